@@ -15,32 +15,47 @@ from .constants import (
 )
 
 
+_SPLIT = 134217729.0  # 2^27 + 1 cuts a double into two halves of 26 bits
+_EXACT = float(2**53)  # below this every integer is a double
+
+
 def fixed(value: Column, places: int) -> Column:
     """Fixed-point text of a double, rounded from its exact binary value.
 
-    ``format_number`` rounds the exact value but sends exact halves to the even
-    neighbour; here they go away from zero. A half at ``places`` decimals is a
-    multiple of 2^-(places+1), and scaling by a power of two is exact, so the
-    test below finds true halves only (2.675 is none, 0.125 is one).
+    Exact halves go away from zero, so 0.125 is ``0.13``; 1.005, which is stored
+    a little below, is ``1.00``. Neither ``format_number`` nor ``format_string``
+    rounds like that. The product with 10^places is taken together with its
+    rounding error (split halves times a small integer are exact), which tells
+    on which side of the half the value lies.
     """
-    x = value.cast("double") + F.lit(0.0)  # turns -0.0 into 0.0
-    scaled = F.abs(x) * F.lit(float(10**places))
-    dyadic = x * F.lit(float(2 ** (places + 1)))
-    is_half = (dyadic == F.floor(dyadic)) & (scaled - F.floor(scaled) == 0.5)
-    nudged = F.when(is_half, x + F.signum(x) * F.lit(10.0 ** -(places + 1))).otherwise(x)
-    pattern = "0" if places == 0 else "0." + "0" * places
-    return F.call_function("format_number", nudged, F.lit(pattern))
+    x = value.cast("double")
+    scale = float(10**places)
+    a = F.abs(x)
+    product = a * scale
+    high = a * _SPLIT - (a * _SPLIT - a)
+    error = (high * scale - product) + (a - high) * scale
+    whole = F.floor(product).cast("bigint")
+    up = (product - F.floor(product).cast("double") - 0.5) + error >= 0
+    units = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    if places:
+        digits = F.concat(
+            F.call_function("div", units, F.lit(10**places)).cast("string"),
+            F.lit("."),
+            F.lpad(F.pmod(units, F.lit(10**places)).cast("string"), places, "0"),
+        )
+    else:
+        digits = units.cast("string")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), digits)
+    pattern = "0." + "0" * places if places else "0"
+    return F.when(product < _EXACT, text).otherwise(F.call_function("format_number", x, F.lit(pattern)))
 
 
 def number_text(value: Column) -> Column:
     """1.50K / 2.00M / 3.25B; below a thousand, and negatives, in full."""
     v = value.cast("double")
-    return (
-        F.when(v >= 1e9, F.concat(fixed(v / 1e9, 2), F.lit("B")))
-        .when(v >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit("M")))
-        .when(v >= 1e3, F.concat(fixed(v / 1e3, 2), F.lit("K")))
-        .otherwise(fixed(v, 0))
-    )
+    unit = F.when(v >= 1e9, 1e9).when(v >= 1e6, 1e6).otherwise(1e3)
+    suffix = F.when(v >= 1e9, "B").when(v >= 1e6, "M").otherwise("K")
+    return F.when(v >= 1e3, F.concat(fixed(v / unit, 2), suffix)).otherwise(fixed(v, 0))
 
 
 def rate_apr(rate: Column) -> Column:

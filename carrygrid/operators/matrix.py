@@ -29,6 +29,14 @@ def find_exchange(exchanges: DataFrame, name: str) -> DataFrame:
     return exchanges.where(F.col("is_active") & (F.lower("name") == F.lower(F.lit(name)))).select("id", "name")
 
 
+def resolve_exchanges(asked: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """`find_exchange` for a column of names: adds ``exchange_id`` and ``exchange``."""
+    known = exchanges.where("is_active").select(
+        F.lower("name").alias("_key"), F.col("id").alias("exchange_id"), F.col("name").alias("exchange")
+    )
+    return asked.withColumn("_key", F.lower("name")).join(known, "_key").drop("_key")
+
+
 def market_dim(markets: DataFrame, tokens: DataFrame, exchanges: DataFrame) -> DataFrame:
     """Active markets with token symbol and exchange name.
 

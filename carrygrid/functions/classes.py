@@ -1,9 +1,11 @@
-"""Classes of spreads, pairs, rows and rates."""
+"""Classes of spreads, pairs, rows and rates.
 
-from __future__ import annotations
+These functions, like those of ``display``, take and return SQL expression text:
+the trees are large, and one ``expr`` call parses in the JVM what would be some
+hundred calls from Python. A spread that is null means that there is no pair.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from .constants import (
     BPS,
@@ -18,66 +20,60 @@ from .constants import (
 )
 
 
-def both_positive(a: Column, b: Column) -> Column:
-    return (a > 0) & (b > 0)
+def both_positive(a: str, b: str) -> str:
+    return f"({a} > 0 AND {b} > 0)"
 
 
-def both_negative(a: Column, b: Column) -> Column:
-    return (a < 0) & (b < 0)
+def both_negative(a: str, b: str) -> str:
+    return f"({a} < 0 AND {b} < 0)"
 
 
-def same_sign(a: Column, b: Column) -> Column:
-    return both_positive(a, b) | both_negative(a, b)
+def same_sign(a: str, b: str) -> str:
+    return f"({both_positive(a, b)} OR {both_negative(a, b)})"
 
 
-def spread_class(spread: Column) -> Column:
-    return (
-        F.when(spread.isNull(), "")
-        .when(spread >= EXTREME_BPS, "arb-extreme")
-        .when(spread >= VERY_HIGH_BPS, "arb-very-high")
-        .when(spread >= HIGH_BPS, "arb-high")
-        .when(spread >= MEDIUM_BPS, "arb-medium")
-        .otherwise("arb-low")
-    )
+def spread_class(spread: str) -> str:
+    return f"""CASE
+        WHEN {spread} IS NULL THEN ''
+        WHEN {spread} >= {EXTREME_BPS}D THEN 'arb-extreme'
+        WHEN {spread} >= {VERY_HIGH_BPS}D THEN 'arb-very-high'
+        WHEN {spread} >= {HIGH_BPS}D THEN 'arb-high'
+        WHEN {spread} >= {MEDIUM_BPS}D THEN 'arb-medium'
+        ELSE 'arb-low' END"""
 
 
-def opportunity_class(long_rate: Column, short_rate: Column, spread: Column) -> Column:
-    return (
-        F.when(spread.isNull(), "")
-        .when(same_sign(long_rate, short_rate) & (spread >= VERY_HIGH_BPS), "arb-combo-extreme-capture")
-        .when(spread >= EXCELLENT_BPS, "arb-combo-excellent")
-        .when(spread >= GOOD_BPS, "arb-combo-good")
-        .when(spread >= DECENT_BPS, "arb-combo-decent")
-        .otherwise("arb-combo-minimal")
-    )
+def opportunity_class(long_rate: str, short_rate: str, spread: str) -> str:
+    return f"""CASE
+        WHEN {spread} IS NULL THEN ''
+        WHEN {spread} >= {VERY_HIGH_BPS}D AND {same_sign(long_rate, short_rate)} THEN 'arb-combo-extreme-capture'
+        WHEN {spread} >= {EXCELLENT_BPS}D THEN 'arb-combo-excellent'
+        WHEN {spread} >= {GOOD_BPS}D THEN 'arb-combo-good'
+        WHEN {spread} >= {DECENT_BPS}D THEN 'arb-combo-decent'
+        ELSE 'arb-combo-minimal' END"""
 
 
-def row_class(long_rate: Column, short_rate: Column, spread: Column) -> Column:
+def row_class(long_rate: str, short_rate: str, spread: str) -> str:
     same = same_sign(long_rate, short_rate)
-    return (
-        F.when(same & (spread >= EXTREME_BPS), "row-extreme-capture")
-        .when(same & (spread >= VERY_HIGH_BPS), "row-high-capture")
-        .when(spread >= VERY_HIGH_BPS, "row-high-spread")
-        .otherwise("")
-    )
+    return f"""CASE
+        WHEN {spread} >= {EXTREME_BPS}D AND {same} THEN 'row-extreme-capture'
+        WHEN {spread} >= {VERY_HIGH_BPS}D AND {same} THEN 'row-high-capture'
+        WHEN {spread} >= {VERY_HIGH_BPS}D THEN 'row-high-spread'
+        ELSE '' END"""
 
 
-def rate_class(rate: Column, low: Column, high: Column, exchanges: Column) -> Column:
+def rate_class(rate: str, low: str, high: str, exchanges: str) -> str:
     """Class of one rate, given the lowest and highest of its token and their number."""
-    spread = (high - low) * BPS
-    one_sided = (low > 0) | (high < 0)
-    extreme = one_sided & (spread >= VERY_HIGH_BPS)
-    is_high, is_low = rate == high, rate == low
-    return (
-        F.when(exchanges < 2, "rate-neutral")
-        .when(extreme & is_high, "rate-extreme-short")
-        .when(extreme & is_low, "rate-extreme-long")
-        .when(spread < MIN_SPREAD_BPS, "rate-neutral")
-        .when(is_high & (spread >= MEDIUM_BPS), "rate-short-candidate")
-        .when(is_low & (spread >= MEDIUM_BPS), "rate-long-candidate")
-        .when(is_high, "rate-short-opportunity")
-        .when(is_low, "rate-long-opportunity")
-        .when(rate > 0, "rate-positive")
-        .when(rate < 0, "rate-negative")
-        .otherwise("rate-neutral")
-    )
+    spread = f"({high} - {low}) * {BPS}D"
+    extreme = f"({low} > 0 OR {high} < 0) AND {spread} >= {VERY_HIGH_BPS}D"
+    return f"""CASE
+        WHEN {exchanges} < 2 THEN 'rate-neutral'
+        WHEN {extreme} AND {rate} = {high} THEN 'rate-extreme-short'
+        WHEN {extreme} AND {rate} = {low} THEN 'rate-extreme-long'
+        WHEN {spread} < {MIN_SPREAD_BPS}D THEN 'rate-neutral'
+        WHEN {rate} = {high} AND {spread} >= {MEDIUM_BPS}D THEN 'rate-short-candidate'
+        WHEN {rate} = {low} AND {spread} >= {MEDIUM_BPS}D THEN 'rate-long-candidate'
+        WHEN {rate} = {high} THEN 'rate-short-opportunity'
+        WHEN {rate} = {low} THEN 'rate-long-opportunity'
+        WHEN {rate} > 0 THEN 'rate-positive'
+        WHEN {rate} < 0 THEN 'rate-negative'
+        ELSE 'rate-neutral' END"""

@@ -1,10 +1,7 @@
-"""Display text of the board."""
+"""Display text of the board, as SQL expression text (see ``classes``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .classes import both_negative, both_positive, same_sign
 from .constants import (
     DAYS_PER_YEAR,
@@ -14,12 +11,11 @@ from .constants import (
     VERY_HIGH_BPS,
 )
 
-
-_SPLIT = 134217729.0  # 2^27 + 1 cuts a double into two halves of 26 bits
-_EXACT = float(2**53)  # below this every integer is a double
+_SPLIT = "134217729D"  # 2^27 + 1 cuts a double into two halves of 26 bits
+_EXACT = "9007199254740992D"  # 2^53: below it every integer is a double
 
 
-def fixed(value: Column, places: int) -> Column:
+def fixed(value: str, places: int) -> str:
     """Fixed-point text of a double, rounded from its exact binary value.
 
     Exact halves go away from zero, so 0.125 is ``0.13``; 1.005, which is stored
@@ -28,81 +24,71 @@ def fixed(value: Column, places: int) -> Column:
     rounding error (split halves times a small integer are exact), which tells
     on which side of the half the value lies.
     """
-    x = value.cast("double")
-    scale = float(10**places)
-    a = F.abs(x)
-    product = a * scale
-    high = a * _SPLIT - (a * _SPLIT - a)
-    error = (high * scale - product) + (a - high) * scale
-    whole = F.floor(product).cast("bigint")
-    up = (product - F.floor(product).cast("double") - 0.5) + error >= 0
-    units = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    x = f"({value})"
+    a, scale = f"abs{x}", 10**places
+    product = f"({a} * {scale}D)"
+    high = f"({a} * {_SPLIT} - ({a} * {_SPLIT} - {a}))"
+    error = f"(({high} * {scale}D - {product}) + ({a} - {high}) * {scale}D)"
+    up = f"CASE WHEN ({product} - floor({product}) - 0.5D) + {error} >= 0 THEN 1 ELSE 0 END"
+    units = f"(floor({product}) + {up})"
+    digits = f"string({units})"
     if places:
-        digits = F.concat(
-            F.call_function("div", units, F.lit(10**places)).cast("string"),
-            F.lit("."),
-            F.lpad(F.pmod(units, F.lit(10**places)).cast("string"), places, "0"),
-        )
-    else:
-        digits = units.cast("string")
-    text = F.concat(F.when(x < 0, "-").otherwise(""), digits)
+        digits = f"string({units} div {scale}), '.', lpad(string({units} % {scale}), {places}, '0')"
     pattern = "0." + "0" * places if places else "0"
-    return F.when(product < _EXACT, text).otherwise(F.call_function("format_number", x, F.lit(pattern)))
+    return f"""CASE
+        WHEN {product} < {_EXACT} THEN concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {digits})
+        ELSE format_number({x}, '{pattern}') END"""
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """1.50K / 2.00M / 3.25B; below a thousand, and negatives, in full."""
-    v = value.cast("double")
-    unit = F.when(v >= 1e9, 1e9).when(v >= 1e6, 1e6).otherwise(1e3)
-    suffix = F.when(v >= 1e9, "B").when(v >= 1e6, "M").otherwise("K")
-    return F.when(v >= 1e3, F.concat(fixed(v / unit, 2), suffix)).otherwise(fixed(v, 0))
+    v = f"double({value})"
+    unit = f"CASE WHEN {v} >= 1e9D THEN 1e9D WHEN {v} >= 1e6D THEN 1e6D ELSE 1e3D END"
+    suffix = f"CASE WHEN {v} >= 1e9D THEN 'B' WHEN {v} >= 1e6D THEN 'M' ELSE 'K' END"
+    return f"CASE WHEN {v} >= 1e3D THEN concat({fixed(f'{v} / {unit}', 2)}, {suffix}) ELSE {fixed(v, 0)} END"
+
 
+def dollars(value: str) -> str:
+    return f"concat('$', {number_text(value)})"
 
-def rate_apr(rate: Column) -> Column:
+
+def rate_apr(rate: str) -> str:
     """8-hour fraction to percent per year."""
-    return rate * F.lit(float(FUNDING_PERIODS_PER_DAY)) * F.lit(float(DAYS_PER_YEAR)) * F.lit(100.0)
+    return f"({rate} * {FUNDING_PERIODS_PER_DAY}D * {DAYS_PER_YEAR}D * 100D)"
 
 
-def rate_text(rate: Column, mode: str = "rate") -> Column:
+def rate_text(rate: str, mode: str = "rate") -> str:
     if mode == "annualized":
-        return F.concat(fixed(rate_apr(rate), 2), F.lit("%"))
+        return f"concat({fixed(rate_apr(rate), 2)}, '%')"
     if mode != "rate":
         raise ValueError(f"unknown display mode: {mode}")
-    return F.concat(fixed(rate * 100.0, 3), F.lit("%"))
+    return f"concat({fixed(f'{rate} * 100D', 3)}, '%')"
 
 
-def spread_text(spread_bps: Column, unit: str = "percentage") -> Column:
+def spread_text(spread_bps: str, unit: str = "percentage") -> str:
     if unit == "percentage":
-        text = F.concat(fixed(spread_bps / 100.0, 3), F.lit("%"))
+        text = f"concat({fixed(f'{spread_bps} / 100D', 3)}, '%')"
     elif unit == "bps":
-        text = F.concat(fixed(spread_bps, 0), F.lit(" bps"))
+        text = f"concat({fixed(spread_bps, 0)}, ' bps')"
     else:
         raise ValueError(f"unknown spread unit: {unit}")
-    return F.coalesce(text, F.lit(MISSING))
-
-
-def _short(exchange: Column) -> Column:
-    return F.upper(F.left(exchange, F.lit(3)))
+    return f"CASE WHEN {spread_bps} IS NULL THEN '{MISSING}' ELSE {text} END"
 
 
-def arb_label(long_exchange: Column, short_exchange: Column, long_rate: Column,
-              short_rate: Column, spread: Column) -> Column:
+def arb_label(long_exchange: str, short_exchange: str, long_rate: str, short_rate: str, spread: str) -> str:
     """``L:AAA S:BBB`` with a mark for wide spreads; a dash when there is no pair."""
     same = same_sign(long_rate, short_rate)
-    mark = (
-        F.when(same & (spread >= EXTREME_BPS), "🔥 ")
-        .when(same & (spread >= VERY_HIGH_BPS), "🎯 ")
-        .when(spread >= VERY_HIGH_BPS, "⚡ ")
-        .otherwise("")
-    )
-    text = F.concat(mark, F.lit("L:"), _short(long_exchange), F.lit(" S:"), _short(short_exchange))
-    return F.when(spread.isNull(), MISSING).otherwise(text)
+    return f"""CASE WHEN {spread} IS NULL THEN '{MISSING}' ELSE concat(
+        CASE WHEN {spread} >= {EXTREME_BPS}D AND {same} THEN '🔥 '
+             WHEN {spread} >= {VERY_HIGH_BPS}D AND {same} THEN '🎯 '
+             WHEN {spread} >= {VERY_HIGH_BPS}D THEN '⚡ ' ELSE '' END,
+        'L:', upper(left({long_exchange}, 3)), ' S:', upper(left({short_exchange}, 3))) END"""
 
 
-def capture_text(long_rate: Column, short_rate: Column, spread: Column) -> Column:
+def capture_text(long_rate: str, short_rate: str, spread: str) -> str:
     """Note on a same-sign pair of 25 bps or more, else null."""
-    tail = F.concat(fixed(spread, 0), F.lit("bps spread"))
-    wide = spread >= VERY_HIGH_BPS
-    return F.when(wide & both_positive(long_rate, short_rate), F.concat(F.lit("Both positive, "), tail)).when(
-        wide & both_negative(long_rate, short_rate), F.concat(F.lit("Both negative, "), tail)
-    )
+    tail = f"{fixed(spread, 0)}, 'bps spread'"
+    wide = f"{spread} >= {VERY_HIGH_BPS}D"
+    return f"""CASE
+        WHEN {wide} AND {both_positive(long_rate, short_rate)} THEN concat('Both positive, ', {tail})
+        WHEN {wide} AND {both_negative(long_rate, short_rate)} THEN concat('Both negative, ', {tail}) END"""

@@ -7,64 +7,46 @@ whose name sorts first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrygrid.functions import classes
 from carrygrid.functions.constants import BPS, MIN_SPREAD_BPS
 
-
-def _oi() -> Column:
-    return F.col("open_interest").cast("double").alias("oi")
-
-
-def lowest() -> Column:
-    return F.min(F.struct(F.col("funding_rate").alias("rate"), "exchange", _oi()))
-
-
-def highest() -> Column:
-    return F.min(F.struct((-F.col("funding_rate")).alias("order"), "exchange", F.col("funding_rate").alias("rate"), _oi()))
-
-
-def total_oi() -> Column:
-    """Decimal sum, exact in any order."""
-    return F.sum("open_interest").cast("double")
+LOWEST = "min(struct(funding_rate AS rate, exchange, double(open_interest) AS oi))"
+HIGHEST = "min(struct(-funding_rate AS falling, exchange, funding_rate AS rate, double(open_interest) AS oi))"
+# A decimal sum is exact in any order.
+TOTAL_OI = "double(sum(open_interest))"
 
 
 def total_open_interest(served: DataFrame) -> DataFrame:
-    return served.groupBy("token").agg(total_oi().alias("total_oi"))
+    return served.groupBy("token").agg(F.expr(TOTAL_OI).alias("total_oi"))
 
 
 def arb_spread(served: DataFrame) -> DataFrame:
     """Highest minus lowest rate in bps; null with fewer than two exchanges."""
-    spread = (F.max("funding_rate") - F.min("funding_rate")) * BPS
-    return served.groupBy("token").agg(F.when(F.count(F.lit(1)) >= 2, spread).alias("spread"))
+    spread = f"CASE WHEN count(1) >= 2 THEN (max(funding_rate) - min(funding_rate)) * {BPS}D END"
+    return served.groupBy("token").agg(F.expr(spread).alias("spread"))
 
 
-def pair_columns(low: Column, high: Column) -> Column:
+def pair_of(low: str, high: str) -> str:
     """Pair struct from the two extremes; null below the smallest spread.
 
     Doubles are compared on purpose: a nominal 2 bps that computes to
     1.9999999999999998 is no pair.
     """
-    spread = (high["rate"] - low["rate"]) * BPS
-    pair = F.struct(
-        low["exchange"].alias("long_exchange"),
-        high["exchange"].alias("short_exchange"),
-        low["rate"].alias("long_rate"),
-        high["rate"].alias("short_rate"),
-        spread.alias("spread"),
-        (low["oi"] + high["oi"]).alias("combined_oi"),
-    )
-    return F.when((low["exchange"] != high["exchange"]) & (spread >= MIN_SPREAD_BPS), pair)
+    spread = f"({high}.rate - {low}.rate) * {BPS}D"
+    return f"""CASE WHEN {low}.exchange <> {high}.exchange AND {spread} >= {MIN_SPREAD_BPS}D THEN struct(
+        {low}.exchange AS long_exchange, {high}.exchange AS short_exchange,
+        {low}.rate AS long_rate, {high}.rate AS short_rate,
+        {spread} AS spread, {low}.oi + {high}.oi AS combined_oi) END"""
 
 
 def best_arb(served: DataFrame) -> DataFrame:
     """Best pair per token; tokens without one are absent."""
-    extremes = served.groupBy("token").agg(lowest().alias("low"), highest().alias("high"))
+    extremes = served.groupBy("token").agg(F.expr(LOWEST).alias("low"), F.expr(HIGHEST).alias("high"))
     return (
-        extremes.select("token", pair_columns(F.col("low"), F.col("high")).alias("pair"))
+        extremes.selectExpr("token", f"{pair_of('low', 'high')} AS pair")
         .where("pair IS NOT NULL")
         .select("token", "pair.*")
     )
@@ -72,19 +54,15 @@ def best_arb(served: DataFrame) -> DataFrame:
 
 def rate_classes(served: DataFrame) -> DataFrame:
     """Class of every cell. A window holds one token: at most one row per exchange."""
-    token = Window.partitionBy("token")
-    rate = F.col("funding_rate")
-    return (
-        served.select(
-            "token",
-            "exchange",
-            "funding_rate",
-            F.min(rate).over(token).alias("low"),
-            F.max(rate).over(token).alias("high"),
-            F.count(F.lit(1)).over(token).alias("exchanges"),
-        )
-        .select(
-            "token", "exchange", "funding_rate",
-            classes.rate_class(rate, F.col("low"), F.col("high"), F.col("exchanges")).alias("rate_class"),
-        )
+    cells = served.selectExpr(
+        "token",
+        "exchange",
+        "funding_rate",
+        "min(funding_rate) OVER (PARTITION BY token) AS low",
+        "max(funding_rate) OVER (PARTITION BY token) AS high",
+        "count(1) OVER (PARTITION BY token) AS exchanges",
+    )
+    return cells.selectExpr(
+        "token", "exchange", "funding_rate",
+        f"{classes.rate_class('funding_rate', 'low', 'high', 'exchanges')} AS rate_class",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carrygrid.functions import classes, display
 from carrygrid.functions.constants import BPS, MISSING
 
-from .arbitrage import highest, lowest, pair_columns, total_oi
+from .arbitrage import HIGHEST, LOWEST, TOTAL_OI, pair_of
 
 
 def funding_board(served: DataFrame, display_mode: str = "rate", spread_unit: str = "percentage") -> DataFrame:
@@ -20,51 +20,39 @@ def funding_board(served: DataFrame, display_mode: str = "rate", spread_unit: st
     """
     per_token = served.groupBy("token").agg(
         F.count(F.lit(1)).alias("exchanges"),
-        total_oi().alias("total_oi"),
-        lowest().alias("low"),
-        highest().alias("high"),
-        F.collect_list(
-            F.struct("exchange", "funding_rate", F.col("open_interest").cast("double").alias("open_interest"))
-        ).alias("raw_cells"),
+        F.expr(TOTAL_OI).alias("total_oi"),
+        F.expr(LOWEST).alias("low"),
+        F.expr(HIGHEST).alias("high"),
+        F.expr("collect_list(struct(exchange, funding_rate, double(open_interest) AS open_interest))").alias("raw_cells"),
         F.max("last_update").alias("last_update"),
     )
-    low, high, n = F.col("low"), F.col("high"), F.col("exchanges")
-    spread = F.when(n >= 2, (high["rate"] - low["rate"]) * BPS)
-
-    def cell(c: Column) -> Column:
-        rate = c["funding_rate"]
-        return F.struct(
-            c["exchange"].alias("exchange"),
-            rate.alias("funding_rate"),
-            c["open_interest"].alias("open_interest"),
-            classes.rate_class(rate, low["rate"], high["rate"], n).alias("rate_class"),
-            display.rate_text(rate, display_mode).alias("rate_text"),
-            F.concat(F.lit("$"), display.number_text(c["open_interest"])).alias("oi_text"),
-        )
-
-    board = per_token.select(
+    cell = f"""struct(
+        c.exchange, c.funding_rate, c.open_interest,
+        {classes.rate_class("c.funding_rate", "low.rate", "high.rate", "exchanges")} AS rate_class,
+        {display.rate_text("c.funding_rate", display_mode)} AS rate_text,
+        {display.dollars("c.open_interest")} AS oi_text)"""
+    board = per_token.selectExpr(
         "token",
         "total_oi",
-        spread.alias("spread"),
-        pair_columns(low, high).alias("pair"),
-        F.transform(F.sort_array("raw_cells"), cell).alias("cells"),
+        f"CASE WHEN exchanges >= 2 THEN (high.rate - low.rate) * {BPS}D END AS spread",
+        f"{pair_of('low', 'high')} AS pair",
+        f"transform(sort_array(raw_cells), c -> {cell}) AS cells",
         "last_update",
     )
-    p = F.col("pair")
-    long_rate, short_rate, pair_spread = p["long_rate"], p["short_rate"], p["spread"]
-    return board.select(
+    rates = ("pair.long_rate", "pair.short_rate", "pair.spread")
+    return board.selectExpr(
         "token",
         "total_oi",
-        F.concat(F.lit("$"), display.number_text(F.col("total_oi"))).alias("total_oi_text"),
+        f"{display.dollars('total_oi')} AS total_oi_text",
         "spread",
-        display.spread_text(F.col("spread"), spread_unit).alias("spread_text"),
-        classes.spread_class(F.col("spread")).alias("spread_class"),
+        f"{display.spread_text('spread', spread_unit)} AS spread_text",
+        f"{classes.spread_class('spread')} AS spread_class",
         "pair",
-        display.arb_label(p["long_exchange"], p["short_exchange"], long_rate, short_rate, pair_spread).alias("pair_label"),
-        display.capture_text(long_rate, short_rate, pair_spread).alias("capture_text"),
-        F.coalesce(F.concat(F.lit("$"), display.number_text(p["combined_oi"])), F.lit(MISSING)).alias("pair_oi_text"),
-        classes.opportunity_class(long_rate, short_rate, pair_spread).alias("pair_class"),
-        classes.row_class(long_rate, short_rate, pair_spread).alias("row_class"),
+        f"{display.arb_label('pair.long_exchange', 'pair.short_exchange', *rates)} AS pair_label",
+        f"{display.capture_text(*rates)} AS capture_text",
+        f"CASE WHEN pair IS NULL THEN '{MISSING}' ELSE {display.dollars('pair.combined_oi')} END AS pair_oi_text",
+        f"{classes.opportunity_class(*rates)} AS pair_class",
+        f"{classes.row_class(*rates)} AS row_class",
         "cells",
         "last_update",
     )

@@ -153,21 +153,23 @@ def stats_by_symbol(stats: DataFrame, markets: DataFrame) -> DataFrame:
     return stats.join(ids, ["exchange_id", "market_symbol"])
 
 
+def new_facts(batch: DataFrame, existing: DataFrame, order: list[Column | str], columns: list[str]) -> DataFrame:
+    """Rows of the batch to append: whole seconds, first of every key, unknown so far.
+
+    Both sides of the anti join hold a (market, second) once, so a hot market
+    spreads over its seconds.
+    """
+    key = ["market_id", "ts"]
+    first = first_per_key(batch.withColumn("ts", whole_second(F.col("ts"))), key, order)
+    return first.join(existing.select(*key), key, "left_anti").select(*columns)
+
+
 def new_funding(batch: DataFrame, existing: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Rows of the batch to append: whole seconds, first of every key, unknown so far."""
-    rows = batch.withColumn("ts", whole_second(F.col("ts")))
-    first = first_per_key(rows, ["market_id", "ts"], order).select("exchange_id", "market_id", "rate", "ts")
-    return first.join(existing.select("market_id", "ts"), ["market_id", "ts"], "left_anti").select(
-        "exchange_id", "market_id", "rate", "ts"
-    )
+    return new_facts(batch, existing, order, ["exchange_id", "market_id", "rate", "ts"])
 
 
 def new_stats(batch: DataFrame, existing: DataFrame, order: list[Column | str]) -> DataFrame:
-    rows = batch.withColumn("ts", whole_second(F.col("ts")))
-    first = first_per_key(rows, ["market_id", "ts"], order)
-    return first.join(existing.select("market_id", "ts"), ["market_id", "ts"], "left_anti").select(
-        "market_id", "open_interest", "volume_24h", "ts"
-    )
+    return new_facts(batch, existing, order, ["market_id", "open_interest", "volume_24h", "ts"])
 
 
 def without_exchange(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:

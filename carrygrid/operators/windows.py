@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from carrygrid.functions.constants import DEFAULT_LOOKBACK_HOURS
 
 HOUR_MS = 3_600_000
+LAST_DAY_MS = 253402300799999  # end of year 9999
 
 
 @dataclass(frozen=True)

@@ -305,62 +305,61 @@ def cell_defaults(t: Tables) -> DataFrame:
 @query
 def fmt_number(t: Tables) -> DataFrame:
     # Powers of ten up to 10^9, both signs.
-    power = F.element_at(
-        F.array(*[F.lit(float(10**n)) for n in (0, 1, 3, 5, 6, 8, 9)]), (F.col("event_id") % 7 + 1).cast("int")
+    scaled = t.events().selectExpr(
+        "event_id",
+        "value * array(1D, 10D, 1e3D, 1e5D, 1e6D, 1e8D, 1e9D)[event_id % 7] * if(event_id % 11 = 0, -1D, 1D) AS v",
     )
-    sign = F.when(F.col("event_id") % 11 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return t.events().select("event_id", display.number_text(F.col("value") * power * sign).alias("text"))
+    return scaled.selectExpr("event_id", f"{display.number_text('v')} AS text")
 
 
 @query
 def fmt_rate(t: Tables) -> DataFrame:
-    rate = t.rate().cast("double")
-    return t.events().select(
+    rates = t.events().select("event_id", t.rate().cast("double").alias("rate"))
+    return rates.selectExpr(
         "event_id",
-        display.rate_text(rate).alias("rate_text"),
-        display.rate_text(rate, "annualized").alias("apr_text"),
-        display.rate_apr(rate).alias("rate_apr"),
+        f"{display.rate_text('rate')} AS rate_text",
+        f"{display.rate_text('rate', 'annualized')} AS apr_text",
+        f"{display.rate_apr('rate')} AS rate_apr",
     )
 
 
 @query
 def fmt_spread(t: Tables) -> DataFrame:
-    spread = F.when(F.col("event_id") % 9 != 0, F.col("value"))
-    return t.events().select(
+    spreads = t.events().selectExpr("event_id", "CASE WHEN event_id % 9 <> 0 THEN value END AS spread")
+    return spreads.selectExpr(
         "event_id",
-        display.spread_text(spread).alias("percent_text"),
-        display.spread_text(spread, "bps").alias("bps_text"),
+        f"{display.spread_text('spread')} AS percent_text",
+        f"{display.spread_text('spread', 'bps')} AS bps_text",
     )
 
 
-@query
-def arb_label(t: Tables) -> DataFrame:
-    pair = [F.col(c) for c in ("long_exchange", "short_exchange", "long_rate", "short_rate", "spread")]
-    return t.arbs().select("event_id", display.arb_label(*pair).alias("label"))
+RATES = ("long_rate", "short_rate", "spread")
 
 
-def _pair_rates() -> list[Column]:
-    return [F.col(c) for c in ("long_rate", "short_rate", "spread")]
+@query
+def arb_label(t: Tables) -> DataFrame:
+    label = display.arb_label("long_exchange", "short_exchange", *RATES)
+    return t.arbs().selectExpr("event_id", f"{label} AS label")
 
 
 @query
 def capture_info(t: Tables) -> DataFrame:
-    return t.arbs().select("event_id", display.capture_text(*_pair_rates()).alias("capture"))
+    return t.arbs().selectExpr("event_id", f"{display.capture_text(*RATES)} AS capture")
 
 
 @query
 def spread_class(t: Tables) -> DataFrame:
-    return t.arbs().select("event_id", classes.spread_class(F.col("spread")).alias("class"))
+    return t.arbs().selectExpr("event_id", f"{classes.spread_class('spread')} AS class")
 
 
 @query
 def opportunity_class(t: Tables) -> DataFrame:
-    return t.arbs().select("event_id", classes.opportunity_class(*_pair_rates()).alias("class"))
+    return t.arbs().selectExpr("event_id", f"{classes.opportunity_class(*RATES)} AS class")
 
 
 @query
 def row_class(t: Tables) -> DataFrame:
-    return t.arbs().select("event_id", classes.row_class(*_pair_rates()).alias("class"))
+    return t.arbs().selectExpr("event_id", f"{classes.row_class(*RATES)} AS class")
 
 
 # ---- joins, aggregates, latest values ------------------------------------------------
@@ -459,19 +458,19 @@ def rate_class(t: Tables) -> DataFrame:
 
 
 def flat_board(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return rows.selectExpr(
         *[c for c in rows.columns if c not in ("pair", "cells", "last_update")],
-        F.col("pair.long_exchange").alias("long_exchange"),
-        F.col("pair.short_exchange").alias("short_exchange"),
-        F.col("pair.long_rate").alias("long_rate"),
-        F.col("pair.short_rate").alias("short_rate"),
-        F.col("pair.spread").alias("pair_spread"),
-        F.col("pair.combined_oi").alias("combined_oi"),
-        F.size("cells").cast("bigint").alias("cells"),
-        F.array_join(F.transform("cells", lambda c: c["rate_class"]), ",").alias("rate_classes"),
-        F.array_join(F.transform("cells", lambda c: c["rate_text"]), ",").alias("rate_texts"),
-        F.array_join(F.transform("cells", lambda c: c["oi_text"]), ",").alias("oi_texts"),
-        F.col("last_update").cast("timestamp_ntz").alias("last_update"),
+        "pair.long_exchange",
+        "pair.short_exchange",
+        "pair.long_rate",
+        "pair.short_rate",
+        "pair.spread AS pair_spread",
+        "pair.combined_oi",
+        "bigint(size(cells)) AS cells",
+        "array_join(cells.rate_class, ',') AS rate_classes",
+        "array_join(cells.rate_text, ',') AS rate_texts",
+        "array_join(cells.oi_text, ',') AS oi_texts",
+        "cast(last_update AS timestamp_ntz) AS last_update",
     )
 
 
@@ -483,9 +482,7 @@ def funding_board(t: Tables) -> DataFrame:
 @query
 def funding_board_annualized(t: Tables) -> DataFrame:
     rows = board.funding_board(t.served(), display_mode="annualized", spread_unit="bps")
-    return rows.select(
-        "token", "spread_text", F.array_join(F.transform("cells", lambda c: c["rate_text"]), ",").alias("rate_texts")
-    )
+    return rows.selectExpr("token", "spread_text", "array_join(cells.rate_text, ',') AS rate_texts")
 
 
 @query

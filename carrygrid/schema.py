@@ -59,6 +59,12 @@ FUNDING_8H = _table(
     ("rate_8h", T.DoubleType(), True),
     ("samples", T.LongType(), False),
 )
+LATEST_FUNDING = _table(
+    ("exchange_id", T.LongType(), False),
+    ("market_id", T.LongType(), False),
+    ("rate_8h", T.DoubleType(), True),
+    ("bucket_start", T.TimestampType(), False),
+)
 FUNDING_MARKS = _table(
     ("market_id", T.LongType(), False),
     ("last_ts", T.TimestampType(), False),

@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # A refreshed day replaces only its own partition.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 #: Large streaming state lives on disk, not on the heap.

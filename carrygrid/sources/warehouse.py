@@ -24,6 +24,8 @@ DIMENSIONS = {
     "tokens": schema.TOKENS,
     "markets": schema.MARKETS,
     "funding_marks": schema.FUNDING_MARKS,
+    "latest_funding": schema.LATEST_FUNDING,
+    "latest_stats": schema.MARKET_STATS,
 }
 FACTS = {
     "funding_rates": (schema.FUNDING_RATES, "ts"),
@@ -48,13 +50,13 @@ class Warehouse:
         fs, folder = self._filesystem(f"{self.root}/{table}")
         if not fs.exists(folder):
             return 0
-        found = [0]
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(marker):
-                found.append(int(name[1:]))
-        return max(found)
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        numbers = sorted((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()), reverse=True)
+        for number in numbers:
+            marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table, number)}/_SUCCESS")
+            if fs.exists(marker):
+                return number
+        return 0
 
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v{version:08d}"
@@ -74,6 +76,12 @@ class Warehouse:
         rows.select(*columns).write.mode("overwrite").parquet(path)
         return self.dimension(table)
 
+    # ---- quarantine -----------------------------------------------------
+
+    def store_rejects(self, kind: str, batch_id: int, rows: DataFrame) -> None:
+        """Keep the unusable records of one micro-batch; a replay replaces them."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/{kind}/batch={batch_id}")
+
     # ---- facts ----------------------------------------------------------
 
     def fact(self, table: str, first_day: dt.date | None = None, last_day: dt.date | None = None,
@@ -108,8 +116,14 @@ class Warehouse:
         self._laid_out(table, rows).write.mode("append").partitionBy("dt").parquet(self._path(table, version))
 
     def replace_days(self, table: str, rows: DataFrame) -> None:
-        """Overwrite just the days present in ``rows`` (which must not read this table)."""
-        version = self._version(table) or 1
+        """Overwrite just the days present in ``rows`` (which must not read this table).
+
+        The first write makes a whole version, since a dynamic overwrite leaves
+        no success marker.
+        """
+        version = self._version(table)
+        if not version:
+            return self.replace_fact(table, rows)
         (
             self._laid_out(table, rows)
             .write.mode("overwrite")
@@ -120,5 +134,10 @@ class Warehouse:
 
     def replace_fact(self, table: str, rows: DataFrame) -> None:
         """Store a complete new version; readers keep the old one until it is done."""
-        path = self._path(table, self._version(table) + 1)
-        self._laid_out(table, rows).write.mode("overwrite").partitionBy("dt").parquet(path)
+        (
+            self._laid_out(table, rows)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("dt")
+            .parquet(self._path(table, self._version(table) + 1))
+        )

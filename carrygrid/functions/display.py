@@ -31,25 +31,33 @@ def fixed(value: str, places: int) -> str:
     error = f"(({high} * {scale}D - {product}) + ({a} - {high}) * {scale}D)"
     up = f"CASE WHEN ({product} - floor({product}) - 0.5D) + {error} >= 0 THEN 1 ELSE 0 END"
     units = f"(floor({product}) + {up})"
-    digits = f"string({units})"
-    if places:
-        digits = f"string({units} div {scale}), '.', lpad(string({units} % {scale}), {places}, '0')"
+    step = f"0.{'1'.zfill(places)}" if places else "1"  # decimal literal: exact, sets the places
     pattern = "0." + "0" * places if places else "0"
     return f"""CASE
-        WHEN {product} < {_EXACT} THEN concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {digits})
+        WHEN {product} < {_EXACT} THEN concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, string({units} * {step}))
         ELSE format_number({x}, '{pattern}') END"""
 
 
-def number_text(value: str) -> str:
-    """1.50K / 2.00M / 3.25B; below a thousand, and negatives, in full."""
+def unit_scaled(value: str) -> str:
+    """The number in its unit: thousands, millions or billions."""
+    v = f"double({value})"
+    return f"({v} / CASE WHEN {v} >= 1e9D THEN 1e9D WHEN {v} >= 1e6D THEN 1e6D ELSE 1e3D END)"
+
+
+def number_text(value: str, scaled: str | None = None) -> str:
+    """1.50K / 2.00M / 3.25B; below a thousand, and negatives, in full.
+
+    ``scaled`` may name a column that already holds `unit_scaled`, which keeps
+    the expression small.
+    """
     v = f"double({value})"
-    unit = f"CASE WHEN {v} >= 1e9D THEN 1e9D WHEN {v} >= 1e6D THEN 1e6D ELSE 1e3D END"
     suffix = f"CASE WHEN {v} >= 1e9D THEN 'B' WHEN {v} >= 1e6D THEN 'M' ELSE 'K' END"
-    return f"CASE WHEN {v} >= 1e3D THEN concat({fixed(f'{v} / {unit}', 2)}, {suffix}) ELSE {fixed(v, 0)} END"
+    in_unit = fixed(scaled or unit_scaled(value), 2)
+    return f"CASE WHEN {v} >= 1e3D THEN concat({in_unit}, {suffix}) ELSE {fixed(v, 0)} END"
 
 
-def dollars(value: str) -> str:
-    return f"concat('$', {number_text(value)})"
+def dollars(value: str, scaled: str | None = None) -> str:
+    return f"concat('$', {number_text(value, scaled)})"
 
 
 def rate_apr(rate: str) -> str:

@@ -26,31 +26,36 @@ def funding_board(served: DataFrame, display_mode: str = "rate", spread_unit: st
         F.expr("collect_list(struct(exchange, funding_rate, double(open_interest) AS open_interest))").alias("raw_cells"),
         F.max("last_update").alias("last_update"),
     )
+    raw = f"""struct(c.exchange, c.funding_rate, c.open_interest,
+        {display.unit_scaled("c.open_interest")} AS oi_scaled)"""
     cell = f"""struct(
         c.exchange, c.funding_rate, c.open_interest,
         {classes.rate_class("c.funding_rate", "low.rate", "high.rate", "exchanges")} AS rate_class,
         {display.rate_text("c.funding_rate", display_mode)} AS rate_text,
-        {display.dollars("c.open_interest")} AS oi_text)"""
-    board = per_token.selectExpr(
+        {display.dollars("c.open_interest", "c.oi_scaled")} AS oi_text)"""
+    pairs = per_token.selectExpr(
         "token",
         "total_oi",
+        f"{display.unit_scaled('total_oi')} AS total_oi_scaled",
         f"CASE WHEN exchanges >= 2 THEN (high.rate - low.rate) * {BPS}D END AS spread",
         f"{pair_of('low', 'high')} AS pair",
-        f"transform(sort_array(raw_cells), c -> {cell}) AS cells",
+        f"{display.unit_scaled('low.oi + high.oi')} AS pair_oi_scaled",
+        f"transform(transform(sort_array(raw_cells), c -> {raw}), c -> {cell}) AS cells",
         "last_update",
     )
     rates = ("pair.long_rate", "pair.short_rate", "pair.spread")
-    return board.selectExpr(
+    return pairs.selectExpr(
         "token",
         "total_oi",
-        f"{display.dollars('total_oi')} AS total_oi_text",
+        f"{display.dollars('total_oi', 'total_oi_scaled')} AS total_oi_text",
         "spread",
         f"{display.spread_text('spread', spread_unit)} AS spread_text",
         f"{classes.spread_class('spread')} AS spread_class",
         "pair",
         f"{display.arb_label('pair.long_exchange', 'pair.short_exchange', *rates)} AS pair_label",
         f"{display.capture_text(*rates)} AS capture_text",
-        f"CASE WHEN pair IS NULL THEN '{MISSING}' ELSE {display.dollars('pair.combined_oi')} END AS pair_oi_text",
+        f"""CASE WHEN pair IS NULL THEN '{MISSING}'
+            ELSE {display.dollars('pair.combined_oi', 'pair_oi_scaled')} END AS pair_oi_text""",
         f"{classes.opportunity_class(*rates)} AS pair_class",
         f"{classes.row_class(*rates)} AS row_class",
         "cells",

@@ -179,3 +179,12 @@ class Tables:
         gated = {c: F.when(keep, F.col(c)) for c in rows.columns if c != "event_id"}
         rows = rows.withColumns(gated)
         return rows.withColumn("spread", (F.col("short_rate") - F.col("long_rate")) * 10000.0)
+
+
+class StreamTables(Tables):
+    """The same tables with the given files read as a stream."""
+
+    def read(self, table: str) -> DataFrame:
+        schema = super().read(table).schema
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+        return reader.parquet(self.folder)

@@ -259,6 +259,31 @@ SPELLED = "['AFRICA','america','aSIA','Europe','middle EAST','nowhere']"
 
 WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+|[^a-z0-9]+')"
 
+ONCE = """, once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market_id, date_trunc('second', ts) ORDER BY ts, event_id) AS rn FROM fx_ticks)
+  WHERE rn = 1),
+f8_once AS (
+  SELECT exchange_id, market_id, time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') AS bucket_start,
+         CAST(SUM(rate) AS DOUBLE)/COUNT(*) AS rate_8h, COUNT(*) AS samples FROM once GROUP BY ALL)"""
+
+JOB_BOARD = f"""WITH jm AS (
+  SELECT DISTINCT user_id, 'TKN' || CAST(floor(user_id/2.0) AS BIGINT) AS token,
+    CASE WHEN user_id % 2 = 0 THEN 'Paradex' ELSE 'Extended' END AS exchange FROM events
+  WHERE user_id % 2 = 0 OR user_id % 20 <> 7),
+ticks AS (SELECT user_id, {RATE} AS rate, ts,
+    row_number() OVER (PARTITION BY user_id, date_trunc('second', ts) ORDER BY ts) AS rn
+  FROM events WHERE event_type <> 'purchase'),
+jb AS (SELECT user_id, time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') AS b,
+    CAST(sum(rate) AS DOUBLE)/count(*) AS r FROM ticks WHERE rn = 1 GROUP BY ALL),
+jf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b DESC) AS rn FROM jb) WHERE rn = 1),
+js AS (SELECT * FROM (SELECT user_id, {VALUE} * CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END AS oi,
+    row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) DESC, ts) AS rn
+  FROM events WHERE event_type = 'purchase') WHERE rn = 1),
+served AS (SELECT jm.token, jm.exchange, coalesce(jf.r, 0.0) AS funding_rate, CAST(coalesce(js.oi, 0) AS DECIMAL(30,10)) AS oi
+  FROM jm LEFT JOIN jf ON jf.user_id = jm.user_id LEFT JOIN js ON js.user_id = jm.user_id)""" + SPREADS + _pairs("served") + """
+SELECT s.token, s.total_oi, s.spread, b.long_exchange, b.short_exchange, b.long_rate, b.short_rate, b.combined_oi
+FROM spreads s LEFT JOIN best b ON b.token = s.token"""
+
 ORACLE: dict[str, str] = {
     "norm_markets_a": BASE + """
 SELECT 'paradex' AS exchange, split_part(market_symbol,'-',1) AS symbol,
@@ -446,4 +471,11 @@ UNION ALL SELECT 'saturating', market_id, 0, {READ_AT_MS} FROM marks""",
     "incremental_extract": BASE + MARKS + f"""
 SELECT t.exchange_id, t.market_id, t.rate, t.ts FROM fx_ticks t JOIN marks m ON m.market_id = t.market_id
 WHERE epoch_ms(t.ts) BETWEEN coalesce(epoch_ms(m.last_ts) + 1, {OPEN_MS}) AND {READ_AT_MS}""",
+    "stream_funding_8h": BASE + ONCE + "\nSELECT * FROM f8_once",
+    "stream_latest_stats": BASE + "\nSELECT market_id, open_interest, volume_24h, ts FROM latest_stats",
+    "stream_latest_funding": BASE + ONCE + """
+SELECT exchange_id, market_id, rate_8h, bucket_start FROM (
+  SELECT *, row_number() OVER (PARTITION BY exchange_id, market_id ORDER BY bucket_start DESC) AS rn FROM f8_once) WHERE rn = 1""",
+    "job_init": JOB_BOARD,
+    "stream_ingest": JOB_BOARD,
 }

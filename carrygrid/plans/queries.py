@@ -6,6 +6,7 @@ cast to ``timestamp_ntz`` at the end, the type of the given data.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 
 from carrygrid.functions import classes, display, names, numbers, timing
 from carrygrid.operators import arbitrage, board, facts, matrix, upserts, windows
+from carrygrid.session import shared_folder
 from carrygrid.sources import extended, paradex, registry
+from carrygrid.sources.landing import write_landing
+from carrygrid.sources.warehouse import Warehouse
+from carrygrid.streaming import ingest, rolling
 
-from .fixtures import NOW, Tables, as_ntz, ts_literal
+from . import jobs
+from .fixtures import NOW, StreamTables, Tables, as_ntz, ts_literal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -664,3 +670,105 @@ def incremental_extract(t: Tables) -> DataFrame:
     ticks = t.ticks().select("exchange_id", "market_symbol", "rate", "ts")
     rows = windows.ticks_in_windows(ticks, spans)
     return as_ntz(rows.select("exchange_id", "market_id", "rate", "ts"), "ts")
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+def _finish(stream) -> None:
+    stream.awaitTermination()
+
+
+def _streamed_buckets(t: Tables) -> DataFrame:
+    return rolling.funding_8h_stream(StreamTables(t.spark, t.folder).funding())
+
+
+@query
+def stream_funding_8h(t: Tables) -> DataFrame:
+    path = shared_folder(t.spark, "buckets")
+    _finish(rolling.write_updates(_streamed_buckets(t), path))
+    return as_ntz(rolling.read_buckets(t.spark, path), "bucket_start")
+
+
+@query
+def stream_latest_stats(t: Tables) -> DataFrame:
+    wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
+    _finish(rolling.latest_stats_stream(wh, StreamTables(t.spark, t.folder).stats()))
+    return as_ntz(wh.dimension("latest_stats"), "ts")
+
+
+@query
+def stream_latest_funding(t: Tables) -> DataFrame:
+    wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
+    _finish(rolling.latest_funding_stream(wh, _streamed_buckets(t)))
+    return as_ntz(wh.dimension("latest_funding"), "bucket_start")
+
+
+# ---- jobs: landed responses of two exchanges, tables, board ------------------------------------------
+
+JOB_NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+ALL_TIME = windows.Between(0, 1706745600000)
+
+
+def _land(t: Tables) -> str:
+    """Write responses for all events; users alternate between the exchanges, two to a token."""
+    even = F.col("user_id") % 2 == 0
+    token = F.concat(F.lit("TKN"), F.floor(F.col("user_id") / 2.0).cast("string"))
+    symbol = F.concat(token, F.lit("-USD-PERP"))
+    exchange = F.when(even, "paradex").otherwise("extended")
+    active = F.col("user_id") % 20 != 7
+
+    listing_a = F.struct(symbol.alias("symbol"), token.alias("base_currency"), F.lit("USD").alias("quote_currency"))
+    listing_b = F.struct(symbol.alias("name"), token.alias("assetName"), active.alias("active"))
+    listing = F.when(even, _json(F.array(listing_a).alias("results"))).otherwise(_json(F.array(listing_b).alias("data")))
+    users = t.read("events").select("user_id").distinct()
+    markets = users.select(*_response(exchange, "markets", listing))
+
+    events = t.events().withColumn("market_symbol", symbol).withColumn("rate", t.rate())
+    ticks = events.where("event_type <> 'purchase'").select(
+        *_response(exchange, "funding", F.when(even, results_ticks()).otherwise(data_ticks()),
+                   received=F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    )
+    value = F.col("value").cast("decimal(18,2)").cast("string")
+    summary = F.struct(symbol.alias("symbol"), value.alias("open_interest"), F.lit("2").alias("mark_price"), value.alias("volume_24h"))
+    snapshot = F.struct(value.alias("openInterest"), value.alias("dailyVolume"))
+    payload = F.when(even, _json(F.array(summary).alias("results"))).otherwise(_json(snapshot.alias("data")))
+    stats = events.where("event_type = 'purchase'").select(
+        *_response(exchange, "stats", payload, market=symbol, received=F.col("ts"))
+    )
+    path = shared_folder(t.spark, "landing")
+    for part in (markets, ticks, stats):
+        write_landing(part, path)
+    return path
+
+
+def _new_tables(t: Tables) -> Warehouse:
+    wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
+    for name in ("paradex", "extended"):
+        jobs.ensure_exchange(wh, name, JOB_NOW)
+    return wh
+
+
+def _job_board(wh: Warehouse) -> DataFrame:
+    return jobs.board_report(wh).selectExpr(
+        "token", "total_oi", "spread", "pair.long_exchange", "pair.short_exchange",
+        "pair.long_rate", "pair.short_rate", "pair.combined_oi",
+    )
+
+
+@query
+def job_init(t: Tables) -> DataFrame:
+    """Landing zone to board through `run_init`."""
+    wh = _new_tables(t)
+    jobs.run_init(wh, _land(t), JOB_NOW, ALL_TIME)
+    return _job_board(wh)
+
+
+@query
+def stream_ingest(t: Tables) -> DataFrame:
+    """The same through the three ingest streams, one after the other."""
+    wh, landing = _new_tables(t), _land(t)
+    _finish(ingest.markets(wh, landing, lambda: JOB_NOW))
+    _finish(ingest.funding(wh, landing))
+    _finish(ingest.stats(wh, landing))
+    return _job_board(wh)

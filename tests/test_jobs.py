@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from carrygrid.operators import upserts
 from carrygrid.operators.windows import Between, LookbackHours, SinceLastOrLookbackHours
 from carrygrid.plans import jobs
 from carrygrid.schema import LANDING
@@ -80,12 +81,18 @@ def landing(spark, tmp_path):
     return land
 
 
+def with_exchanges(warehouse):
+    names = warehouse.spark.createDataFrame([("paradex",), ("EXTENDED",), ("nowhere",)], "name string")
+    now = F.lit(NOW.isoformat()).cast("timestamp")
+    rows = upserts.upsert_exchanges(warehouse.dimension("exchanges"), names, now)
+    warehouse.replace_dimension("exchanges", rows)
+    return warehouse
+
+
 @pytest.fixture
 def wh(spark, tmp_path):
     warehouse = Warehouse(spark, str(tmp_path / "tables"))
-    for name in ("paradex", "EXTENDED", "nowhere"):
-        jobs.ensure_exchange(warehouse, name, NOW)
-    return warehouse
+    return with_exchanges(warehouse)
 
 
 def snapshot(wh):
@@ -176,7 +183,7 @@ def test_add_exchange_takes_stats_of_inactive_markets(spark, tmp_path, landing):
     wh = Warehouse(spark, str(tmp_path / "fresh"))
     done = jobs.add_exchange(wh, landing(FIRST), NOW, "extended")
     assert [done[k][0].rows for k in ("markets", "funding", "stats")] == [3, 2, 2]
-    jobs.backfill(wh, landing([]) if False else str(tmp_path / "landing"), NOW, "Extended")
+    jobs.backfill(wh, str(tmp_path / "landing"), NOW, "Extended")
     assert wh.fact("market_stats").count() == 2
 
 
@@ -200,7 +207,8 @@ def test_empty_landing_is_a_no_op(wh, landing):
 
 def test_streams_equal_the_batch_jobs(spark, wh, landing, tmp_path):
     path = landing(FIRST + [response("extended", "funding", data_ticks("ETH-USD", (4, "oops")))])
-    for query in (ingest.markets(wh, path, lambda: NOW), ingest.stats(wh, path)):
+    for start in (lambda: ingest.markets(wh, path, lambda: NOW), lambda: ingest.stats(wh, path)):
+        query = start()  # one writer at a time
         assert query.awaitTermination(120) and query.exception() is None
     checkpoint = str(tmp_path / "checkpoint")
     ingest.funding(wh, path, checkpoint).awaitTermination(120)
@@ -211,9 +219,7 @@ def test_streams_equal_the_batch_jobs(spark, wh, landing, tmp_path):
     ingest.funding(wh, path, checkpoint).awaitTermination(120)
     assert wh.fact("funding_rates").count() == 8
 
-    other = Warehouse(spark, str(tmp_path / "batch"))
-    for name in ("paradex", "EXTENDED", "nowhere"):
-        jobs.ensure_exchange(other, name, NOW)
+    other = with_exchanges(Warehouse(spark, str(tmp_path / "batch")))
     jobs.sync_markets(other, path, NOW)
     jobs.sync_funding(other, path, NOW, spec=Between(0, ms(48)), mode="quarantine")
     jobs.sync_stats(other, path)

@@ -8,21 +8,16 @@ from pyspark.sql import types as T
 
 from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE
 
-_BLANKS = " \t\r\n"
-
-
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.btrim(text, F.lit(_BLANKS)), F.lit(""))
-
 
 def optional_decimal(text: Column, dtype: T.DecimalType) -> Column:
-    """Null or blank is null; anything unreadable is null too (see `unreadable`)."""
-    return blank_to_null(text).try_cast(dtype)
+    """Null or blank is null, surrounding white space is ignored by the cast;
+    anything unreadable is null too (see `unreadable`)."""
+    return text.try_cast(dtype)
 
 
 def unreadable(text: Column, dtype: T.DataType) -> Column:
     """True where there is text but it is no number of the type."""
-    return blank_to_null(text).isNotNull() & blank_to_null(text).try_cast(dtype).isNull()
+    return text.try_cast(dtype).isNull() & text.rlike(r"\S")
 
 
 def epoch_ms(text: Column) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from carrygrid.functions import names, numbers, timing
 from carrygrid.schema import AMOUNT, RATE
 
-from .records import accept, first_reason, items_of
+from .records import accept, first_reason, is_failfast, item_reason, items_of
 
 NAME = "extended"  # fixed value: the exchange name that selects this normaliser
 
 
-def parse_markets(responses: DataFrame) -> DataFrame:
+def parse_markets(responses: DataFrame, failfast: bool = False) -> DataFrame:
     rows = items_of(responses, "data array<struct<name:string,assetName:string,active:boolean>>", "data")
     item = F.col("item")
     return rows.select(
@@ -28,15 +28,16 @@ def parse_markets(responses: DataFrame) -> DataFrame:
         item["active"].alias("is_active"),
         "received_at",
         "pos",
-        first_reason(
+        item_reason(
+            failfast,
             (item["name"].isNull(), "missing name"),
             (item["assetName"].isNull(), "missing assetName"),
             (item["active"].isNull(), "missing active"),
-        ).alias("reject"),
+        ),
     )
 
 
-def parse_stats(responses: DataFrame) -> DataFrame:
+def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
     """One row per response; the market is the one asked for. No price conversion."""
     schema = "data struct<openInterest:string,dailyVolume:string>"
     data = F.from_json("payload", schema)["data"]
@@ -44,11 +45,12 @@ def parse_stats(responses: DataFrame) -> DataFrame:
     item = F.col("item")
     oi = item["openInterest"].try_cast(AMOUNT)
     volume = item["dailyVolume"].try_cast(AMOUNT)
-    reject = (
-        F.when(item.isNull(), "malformed response")
-        .when(F.col("market").isNull(), "missing market")
-        .when(oi.isNull(), "bad openInterest")
-        .when(volume.isNull(), "bad dailyVolume")
+    reject = first_reason(
+        failfast,
+        (item.isNull(), "malformed response"),
+        (F.col("market").isNull(), "missing market"),
+        (oi.isNull(), "bad openInterest"),
+        (volume.isNull(), "bad dailyVolume"),
     )
     return rows.select(
         F.lit(NAME).alias("exchange"),
@@ -63,7 +65,7 @@ def parse_stats(responses: DataFrame) -> DataFrame:
     )
 
 
-def parse_funding(responses: DataFrame) -> DataFrame:
+def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
     rows = items_of(responses, "data array<struct<m:string,f:string,T:bigint>>", "data")
     item = F.col("item")
     return rows.select(
@@ -73,22 +75,26 @@ def parse_funding(responses: DataFrame) -> DataFrame:
         timing.from_epoch_ms(item["T"]).alias("ts"),
         "received_at",
         "pos",
-        first_reason(
+        item_reason(
+            failfast,
             (item["m"].isNull(), "missing m"),
             (item["f"].try_cast(RATE).isNull(), "bad f"),
             (item["T"].isNull(), "bad T"),
             (~timing.in_range_ms(item["T"]), "T out of range"),
-        ).alias("reject"),
+        ),
     )
 
 
 def markets(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_markets(responses), mode)
+    failfast = is_failfast(mode)
+    return accept(parse_markets(responses, failfast), failfast)
 
 
 def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_stats(responses), mode)
+    failfast = is_failfast(mode)
+    return accept(parse_stats(responses, failfast), failfast)
 
 
 def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_funding(responses), mode)
+    failfast = is_failfast(mode)
+    return accept(parse_funding(responses, failfast), failfast)

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from carrygrid.functions import names, numbers, timing
 from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE, RATE
 
-from .records import accept, first_reason, items_of
+from .records import accept, is_failfast, item_reason, items_of
 
 NAME = "paradex"  # fixed value: the exchange name that selects this normaliser
 
 
-def parse_markets(responses: DataFrame) -> DataFrame:
+def parse_markets(responses: DataFrame, failfast: bool = False) -> DataFrame:
     rows = items_of(
         responses,
         "results array<struct<symbol:string,base_currency:string,quote_currency:string>>",
@@ -32,15 +32,16 @@ def parse_markets(responses: DataFrame) -> DataFrame:
         F.lit(True).alias("is_active"),
         "received_at",
         "pos",
-        first_reason(
+        item_reason(
+            failfast,
             (item["symbol"].isNull(), "missing symbol"),
             (item["base_currency"].isNull(), "missing base_currency"),
             (item["quote_currency"].isNull(), "missing quote_currency"),
-        ).alias("reject"),
+        ),
     )
 
 
-def parse_stats(responses: DataFrame) -> DataFrame:
+def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
     """Open interest arrives in base units and is stored in dollars."""
     fields = ["open_interest", "volume_24h", "mark_price", "underlying_price", "last_traded_price"]
     rows = items_of(
@@ -61,14 +62,15 @@ def parse_stats(responses: DataFrame) -> DataFrame:
         F.col("received_at").alias("ts"),  # a summary carries no time of its own
         "received_at",
         "pos",
-        first_reason(
+        item_reason(
+            failfast,
             (item["symbol"].isNull(), "missing symbol"),
             *[(numbers.unreadable(item[f], t), f"bad {f}") for f, t in zip(fields, types)],
-        ).alias("reject"),
+        ),
     )
 
 
-def parse_funding(responses: DataFrame) -> DataFrame:
+def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
     """Ticks; a tick without a rate is null here and dropped by `funding`.
 
     The three funding numbers must be present, though they may be null, so the
@@ -85,7 +87,8 @@ def parse_funding(responses: DataFrame) -> DataFrame:
         timing.from_epoch_ms(ms).alias("ts"),
         "received_at",
         "pos",
-        first_reason(
+        item_reason(
+            failfast,
             (item["market"].isNull(), "missing market"),
             *[(~F.map_contains_key(item, f), f"missing {f}") for f in fields],
             (numbers.unreadable(item["funding_index"], PRICE), "bad funding_index"),
@@ -93,17 +96,20 @@ def parse_funding(responses: DataFrame) -> DataFrame:
             (numbers.unreadable(item["funding_rate"], RATE), "bad funding_rate"),
             (ms.isNull(), "bad created_at"),
             (~timing.in_range_ms(ms), "created_at out of range"),
-        ).alias("reject"),
+        ),
     )
 
 
 def markets(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_markets(responses), mode).where(names.is_perpetual(F.col("market_symbol")))
+    failfast = is_failfast(mode)
+    return accept(parse_markets(responses, failfast), failfast).where(names.is_perpetual(F.col("market_symbol")))
 
 
 def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_stats(responses), mode).where(names.is_perpetual(F.col("market_symbol")))
+    failfast = is_failfast(mode)
+    return accept(parse_stats(responses, failfast), failfast).where(names.is_perpetual(F.col("market_symbol")))
 
 
 def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_funding(responses), mode).where(F.col("rate").isNotNull())
+    failfast = is_failfast(mode)
+    return accept(parse_funding(responses, failfast), failfast).where(F.col("rate").isNotNull())

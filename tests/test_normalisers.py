@@ -141,3 +141,14 @@ def test_payload_files(spark, tmp_path):
     responses = read_payload_files(spark, str(tmp_path / "*" / "*.json"), "extended", "stats", r"([^/]+)/stats\.json")
     row = registry.normalize(responses, "stats").first()
     assert row.market_symbol == "BTC-USD" and row.open_interest == Decimal("123456.789")
+
+
+def test_later_steps_do_not_hide_bad_records(spark, landed):
+    """Records that a later filter or join would drop are still checked."""
+    text = """{"results": [{"market": %s, "funding_index": null, "funding_premium": null,
+               "funding_rate": null, "created_at": %s}]}"""
+    known = spark.createDataFrame([("BTC-USD-PERP",)], "market_symbol string")
+    for market, created, reason in (("null", "1", "missing market"), ('"X"', '"soon"', "bad created_at")):
+        ticks = paradex.funding(landed(text % (market, created))).where("ts > timestamp'2000-01-01'")
+        with pytest.raises(Exception, match=reason):
+            ticks.join(known, "market_symbol").collect()

@@ -12,12 +12,12 @@ from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE
 def optional_decimal(text: Column, dtype: T.DecimalType) -> Column:
     """Null or blank is null, surrounding white space is ignored by the cast;
     anything unreadable is null too (see `unreadable`)."""
-    return text.try_cast(dtype)
+    return F.nullif(text, F.lit("")).try_cast(dtype)
 
 
 def unreadable(text: Column, dtype: T.DataType) -> Column:
     """True where there is text but it is no number of the type."""
-    return text.try_cast(dtype).isNull() & text.rlike(r"\S")
+    return optional_decimal(text, dtype).isNull() & text.rlike(r"\S")
 
 
 def epoch_ms(text: Column) -> Column:

@@ -42,6 +42,18 @@ def latest_funding_8h(buckets: DataFrame) -> DataFrame:
     )
 
 
+def newest_funding(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Merge newest buckets: the later start wins, a recomputed bucket replaces itself.
+
+    Both sides have one row per market, so the rows to compare are two at most.
+    """
+    both = stored.withColumn("_age", F.lit(0)).unionByName(fresh.withColumn("_age", F.lit(1)))
+    order = F.struct("bucket_start", "_age")
+    return both.groupBy("exchange_id", "market_id").agg(
+        F.max_by("rate_8h", order).alias("rate_8h"), F.max("bucket_start").alias("bucket_start")
+    )
+
+
 def latest_stats(stats: DataFrame) -> DataFrame:
     """Newest stats row per market. (market_id, ts) is unique, so there are no ties."""
     return stats.groupBy("market_id").agg(

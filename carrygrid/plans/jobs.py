@@ -143,7 +143,7 @@ def append_funding(wh: Warehouse, batch: DataFrame, days: Days) -> tuple[int, Da
 
 
 def refresh_derived(wh: Warehouse, days: Days | None) -> None:
-    """Bring 8-hour buckets and marks up to date with the days written.
+    """Bring buckets, newest buckets and marks up to date with the days written.
 
     A bucket never crosses a UTC day, so a day's buckets follow from that day
     alone and late ticks are repaired by refreshing their day. A mark that lags
@@ -154,15 +154,23 @@ def refresh_derived(wh: Warehouse, days: Days | None) -> None:
         return
     written = wh.fact("funding_rates", *days)
     wh.replace_days("funding_8h", facts.funding_8h(written))
+    fresh = facts.latest_funding_8h(wh.fact("funding_8h", *days))
+    wh.replace_dimension("latest_funding", facts.newest_funding(wh.dimension("latest_funding"), fresh))
     marks = wh.dimension("funding_marks").unionByName(facts.funding_marks(written))
     wh.replace_dimension("funding_marks", marks.groupBy("market_id").agg(F.max("last_ts").alias("last_ts")))
 
 
+def refresh_latest_stats(wh: Warehouse, days: Days) -> None:
+    rows = wh.dimension("latest_stats").unionByName(wh.fact("market_stats", *days))
+    wh.replace_dimension("latest_stats", facts.latest_stats(rows))
+
+
 def rebuild_derived(wh: Warehouse) -> None:
-    """Recompute all buckets and marks from the ticks."""
-    funding = wh.fact("funding_rates")
-    wh.replace_fact("funding_8h", facts.funding_8h(funding))
-    wh.replace_dimension("funding_marks", facts.funding_marks(funding))
+    """Recompute everything that is derived from the facts."""
+    wh.replace_fact("funding_8h", facts.funding_8h(wh.fact("funding_rates")))
+    wh.replace_dimension("latest_funding", facts.latest_funding_8h(wh.fact("funding_8h")))
+    wh.replace_dimension("funding_marks", facts.funding_marks(wh.fact("funding_rates")))
+    wh.replace_dimension("latest_stats", facts.latest_stats(wh.fact("market_stats")))
 
 
 def apply_funding(wh: Warehouse, responses: DataFrame, targets: list, mode: str = "failfast") -> tuple[int, Days | None]:
@@ -207,6 +215,8 @@ def apply_stats(wh: Warehouse, responses: DataFrame, targets: list, by_symbol: b
     counts = [F.count_if(F.col("exchange_id") == t.id).alias(f"n{t.id}") for t in targets]
     wh.append_fact("market_stats", rows.observe(seen, *counts))
     got = _observed(seen)
+    if any(got.values()):
+        refresh_latest_stats(wh, days)
     return [Outcome(t.name, got.get(f"n{t.id}", 0)) for t in targets]
 
 
@@ -309,12 +319,13 @@ def backfill(wh: Warehouse, landing: str, now: dt.datetime, name: str,
 def drop_exchange(wh: Warehouse, name: str) -> None:
     """Delete an exchange with its markets and facts; facts go first."""
     fact_tables = ["funding_rates", "market_stats", "funding_8h"]
-    tables = {t: wh.dimension(t) for t in ("exchanges", "markets", "funding_marks")}
+    small = ["funding_marks", "latest_funding", "latest_stats", "markets", "exchanges"]
+    tables = {t: wh.dimension(t) for t in small}
     tables.update({t: wh.fact(t) for t in fact_tables})
     left = upserts.without_exchange(tables, name)
     for t in fact_tables:
         wh.replace_fact(t, left[t])
-    for t in ("funding_marks", "markets", "exchanges"):
+    for t in small:
         wh.replace_dimension(t, left[t])
 
 
@@ -322,13 +333,13 @@ def drop_exchange(wh: Warehouse, name: str) -> None:
 
 
 def cells(wh: Warehouse) -> DataFrame:
-    """Matrix cells from the stored buckets, so no tick is read."""
+    """Matrix cells from the newest rows per market: no history is read."""
     return matrix.matrix_cells(
         wh.dimension("markets"),
         wh.dimension("tokens"),
         wh.dimension("exchanges"),
-        facts.latest_funding_8h(wh.fact("funding_8h")),
-        facts.latest_stats(wh.fact("market_stats")),
+        wh.dimension("latest_funding"),
+        wh.dimension("latest_stats"),
     )
 
 

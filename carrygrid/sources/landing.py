@@ -1,8 +1,9 @@
 """The landing zone: one row per HTTP response of an exchange.
 
 A collector outside this package stores responses as they come. Stored as
-Parquet below ``landed_date=YYYY-MM-DD`` the zone splits freely; whole-file
-JSON can be read too, one task per file.
+Parquet below ``landed_date=/kind=/exchange=`` the zone splits freely, and a job
+opens only the days, the kind and the exchange that it works on; whole-file JSON
+can be read too, one task per file.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from carrygrid.schema import LANDING
 
+FOLDERS = ["landed_date", "kind", "exchange"]
 LANDING_WITH_DAY = T.StructType([*LANDING.fields, T.StructField("landed_date", T.DateType())])
 
 
@@ -45,9 +47,13 @@ def stream_landing(spark: SparkSession, path: str, kind: str, max_files: int | N
 
 
 def write_landing(responses: DataFrame, path: str) -> None:
-    """Append responses, one folder per day of receipt."""
+    """Append responses, one folder per day of receipt, kind and exchange.
+
+    The rebalance hint merges small folders' rows into one task and splits a hot
+    folder over several.
+    """
     rows = responses.select(*LANDING.names).withColumn("landed_date", F.to_date("received_at"))
-    rows.write.mode("append").partitionBy("landed_date").parquet(path)
+    rows.hint("rebalance", *FOLDERS).write.mode("append").partitionBy(*FOLDERS).parquet(path)
 
 
 def read_payload_files(

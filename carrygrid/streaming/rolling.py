@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carrygrid.operators import facts
 from carrygrid.session import shared_folder
-from carrygrid.sources.warehouse import DIMENSIONS, Warehouse
+from carrygrid.sources.warehouse import Warehouse
 
 
 def funding_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -59,12 +59,6 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _merge_latest(wh: Warehouse, table: str, batch: DataFrame, reduce) -> None:
-    columns = DIMENSIONS[table].names
-    merged = reduce(wh.dimension(table).unionByName(batch.select(*columns)))
-    wh.replace_dimension(table, merged.select(*columns))
-
-
 def latest_stats_stream(wh: Warehouse, stats: DataFrame, checkpoint: str | None = None,
                         every: str | None = None) -> StreamingQuery:
     """Keep the newest stats row per market in the ``latest_stats`` table.
@@ -73,7 +67,7 @@ def latest_stats_stream(wh: Warehouse, stats: DataFrame, checkpoint: str | None
     replace newer ones and a replay changes nothing.
     """
     def on_batch(batch: DataFrame, _: int) -> None:
-        _merge_latest(wh, "latest_stats", batch, facts.latest_stats)
+        wh.replace_dimension("latest_stats", facts.latest_stats(wh.dimension("latest_stats").unionByName(batch)))
 
     return _run(stats, on_batch, checkpoint or shared_folder(wh.spark, "latest-stats"), every)
 
@@ -85,14 +79,8 @@ def latest_funding_stream(wh: Warehouse, buckets: DataFrame, checkpoint: str | N
     An update of the stored bucket arrives with the same start and wins.
     """
     def on_batch(batch: DataFrame, _: int) -> None:
-        new = facts.latest_funding_8h(batch)
-        stored = wh.dimension("latest_funding")
-        key = ["exchange_id", "market_id"]
-        newer = new.select(*key, F.col("bucket_start").alias("_new"))
-        kept = stored.join(newer, key, "left").where("_new IS NULL OR _new < bucket_start").drop("_new")
-        older = stored.select(*key, F.col("bucket_start").alias("_old"))
-        added = new.join(older, key, "left").where("_old IS NULL OR _old <= bucket_start").drop("_old")
-        wh.replace_dimension("latest_funding", kept.unionByName(added))
+        fresh = facts.latest_funding_8h(batch)
+        wh.replace_dimension("latest_funding", facts.newest_funding(wh.dimension("latest_funding"), fresh))
 
     return _run(buckets, on_batch, checkpoint or shared_folder(wh.spark, "latest-funding"), every)
 

@@ -77,15 +77,14 @@ def _with_exchange_id(records: DataFrame, targets: list) -> DataFrame:
     return records.withColumn("exchange_id", F.try_element_at(ids, F.col("exchange"))).where("exchange_id IS NOT NULL")
 
 
-# ---- applying responses --------------------------------------------------------------
+# ---- applying records --------------------------------------------------------------
 
 
-def apply_markets(wh: Warehouse, responses: DataFrame, targets: list, now: dt.datetime,
-                  mode: str = "failfast") -> list[Outcome]:
-    """Upsert the markets of the responses; of several answers the newest counts."""
+def apply_markets(wh: Warehouse, records: DataFrame, targets: list, now: dt.datetime) -> list[Outcome]:
+    """Upsert normalised markets; of several answers the newest counts."""
     if not targets:
         return []
-    records = _with_exchange_id(registry.normalize(responses, "markets", mode), targets)
+    records = _with_exchange_id(records, targets)
     newest_first = [-F.unix_micros("received_at"), F.col("pos")]
     incoming = upserts.first_per_key(
         records.select("exchange_id", "market_symbol", "symbol", "is_active", "received_at", "pos"),
@@ -131,7 +130,7 @@ def _join_days(a: Days | None, b: Days | None) -> Days | None:
     return min(a[0], b[0]), max(a[1], b[1])
 
 
-def _days_of(rows: DataFrame, column: str = "ts") -> Days | None:
+def days_of(rows: DataFrame, column: str = "ts") -> Days | None:
     span = rows.agg(F.to_date(F.min(column)).alias("a"), F.to_date(F.max(column)).alias("b")).first()
     return None if span.a is None else (span.a, span.b)
 
@@ -173,18 +172,18 @@ def rebuild_derived(wh: Warehouse) -> None:
     wh.replace_dimension("latest_stats", facts.latest_stats(wh.fact("market_stats")))
 
 
-def apply_funding(wh: Warehouse, responses: DataFrame, targets: list, mode: str = "failfast") -> tuple[int, Days | None]:
-    """Append all ticks of the responses' active markets (no window), then refresh.
+def apply_funding(wh: Warehouse, records: DataFrame, targets: list) -> tuple[int, Days | None]:
+    """Append all normalised ticks of active markets (no window), then refresh.
 
     For micro-batches: the ticks are kept for the two passes over them.
     """
-    records = _with_exchange_id(registry.normalize(responses, "funding", mode), targets)
+    records = _with_exchange_id(records, targets)
     owner = wh.dimension("markets").where("is_active").select(
         "exchange_id", "market_symbol", F.col("id").alias("market_id")
     )
     batch = records.join(owner, ["exchange_id", "market_symbol"]).persist()
     try:
-        days = _days_of(batch)
+        days = days_of(batch)
         if days is None:
             return 0, None
         done, written = append_funding(wh, batch, days)
@@ -194,18 +193,15 @@ def apply_funding(wh: Warehouse, responses: DataFrame, targets: list, mode: str
     return done, written
 
 
-def apply_stats(wh: Warehouse, responses: DataFrame, targets: list, by_symbol: bool = False,
-                mode: str = "failfast") -> list[Outcome]:
-    """Append stats of the responses; ``by_symbol`` includes inactive markets.
+def apply_stats(wh: Warehouse, records: DataFrame, days: Days | None, targets: list,
+                by_symbol: bool = False) -> list[Outcome]:
+    """Append normalised stats received on ``days``; ``by_symbol`` includes inactive markets.
 
-    A response that was asked for one market counts for that market only. Stats
-    carry the time of receipt, so the stored days to read follow from the
-    envelope without parsing anything.
+    A response that was asked for one market counts for that market only.
     """
-    days = _days_of(responses, "received_at")
     if not targets or days is None:
         return [Outcome(t.name, 0) for t in targets]
-    records = _with_exchange_id(registry.normalize(responses, "stats", mode), targets)
+    records = _with_exchange_id(records, targets)
     asked = F.coalesce(F.col("asked_market") == F.col("market_symbol"), F.lit(True))
     markets = wh.dimension("markets") if by_symbol else wh.dimension("markets").where("is_active")
     batch = upserts.stats_by_symbol(records.where(asked), markets)
@@ -228,7 +224,8 @@ def sync_markets(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
     """Markets of all active exchanges, or of one, which is added if unknown."""
     targets = [ensure_exchange(wh, exchange, now)] if exchange else supported_exchanges(wh)
     targets = [t for t in targets if registry.normalizer_for(t.name)]
-    return apply_markets(wh, read_landing(wh.spark, landing, "markets", landed_from), targets, now, mode)
+    responses = read_landing(wh.spark, landing, "markets", landed_from)
+    return apply_markets(wh, registry.normalize(responses, "markets", mode), targets, now)
 
 
 def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str | None = None,
@@ -283,7 +280,10 @@ def sync_stats(wh: Warehouse, landing: str, exchange: str | None = None, landed_
     """Stats of all active exchanges or of one; the first error stops the job."""
     targets = [require_exchange(wh, exchange)] if exchange else supported_exchanges(wh)
     targets = [t for t in targets if registry.normalizer_for(t.name)]
-    return apply_stats(wh, read_landing(wh.spark, landing, "stats", landed_from), targets, by_symbol, mode)
+    responses = read_landing(wh.spark, landing, "stats", landed_from)
+    # Stats carry the time of receipt, so the days follow without parsing anything.
+    days = days_of(responses, "received_at")
+    return apply_stats(wh, registry.normalize(responses, "stats", mode), days, targets, by_symbol)
 
 
 def run_init(wh: Warehouse, landing: str, now: dt.datetime,

@@ -470,7 +470,7 @@ UNION ALL SELECT 'since_last', market_id, coalesce(epoch_ms(last_ts) + 1, {OPEN_
 UNION ALL SELECT 'saturating', market_id, 0, {READ_AT_MS} FROM marks""",
     "incremental_extract": BASE + MARKS + f"""
 SELECT t.exchange_id, t.market_id, t.rate, t.ts FROM fx_ticks t JOIN marks m ON m.market_id = t.market_id
-WHERE epoch_ms(t.ts) BETWEEN coalesce(epoch_ms(m.last_ts) + 1, {OPEN_MS}) AND {READ_AT_MS}""",
+WHERE epoch_us(t.ts) // 1000 BETWEEN coalesce(epoch_ms(m.last_ts) + 1, {OPEN_MS}) AND {READ_AT_MS}""",
     "stream_funding_8h": BASE + ONCE + "\nSELECT * FROM f8_once",
     "stream_latest_stats": BASE + "\nSELECT market_id, open_interest, volume_24h, ts FROM latest_stats",
     "stream_latest_funding": BASE + ONCE + """

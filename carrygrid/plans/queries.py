@@ -518,6 +518,7 @@ def upsert_exchanges(t: Tables) -> DataFrame:
 
 
 def stored_tokens(t: Tables) -> DataFrame:
+    """The tokens taken as known already; the upsert itself sees all of them."""
     return t.tokens().where("id % 3 <> 0").select("id", "symbol", ts_literal("2024-01-01 00:00:00").alias("created_at"))
 
 
@@ -541,6 +542,7 @@ def upsert_tokens_ids(t: Tables) -> DataFrame:
 
 @query
 def upsert_markets(t: Tables) -> DataFrame:
+    """Every market is known, new, or both known and in the batch, by its id."""
     existing = t.market_table().where("id % 4 <> 0")
     symbol = F.when(F.col("id") % 7 == 0, F.lit("TKN0")).otherwise(F.concat(F.lit("TKN"), F.col("token_id").cast("string")))
     incoming = t.markets().where("id % 5 <> 0").select(
@@ -557,8 +559,8 @@ def upsert_markets(t: Tables) -> DataFrame:
 
 
 def _appended(first: DataFrame, second: DataFrame, add: Callable) -> DataFrame:
-    """Append two batches, the second one containing itself twice."""
-    nothing = first.limit(0)
+    """Append two batches to an empty table, the second batch containing itself twice."""
+    nothing = first.sparkSession.createDataFrame([], first.schema)
     stored = add(first, nothing, ["event_id"])
     twice = second.withColumn("copy", F.lit(0)).unionByName(second.withColumn("copy", F.lit(1)))
     return stored.unionByName(add(twice, stored, ["event_id", "copy"]))
@@ -624,7 +626,7 @@ def cascade_delete(t: Tables) -> DataFrame:
 
 @query
 def constraint_report(t: Tables) -> DataFrame:
-    """The report on tables with orphans, repeated keys and a null put in."""
+    """The report on the whole tables, with orphans, repeated keys and nulls added."""
     tables = _small_tables(t)
     orphan = t.funding().where("market_id % 97 = 5").withColumn("market_id", F.col("market_id") + 1_000_000_000)
     tables["funding_rates"] = tables["funding_rates"].unionByName(orphan)

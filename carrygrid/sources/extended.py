@@ -28,6 +28,7 @@ def parse_markets(responses: DataFrame, failfast: bool = False) -> DataFrame:
         item["active"].alias("is_active"),
         "received_at",
         "pos",
+        F.lit(True).alias("wanted"),
         item_reason(
             failfast,
             (item["name"].isNull(), "missing name"),
@@ -61,6 +62,7 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
         F.col("received_at").alias("ts"),
         "received_at",
         F.lit(0).alias("pos"),
+        F.lit(True).alias("wanted"),
         reject.alias("reject"),
     )
 
@@ -75,6 +77,7 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
         timing.from_epoch_ms(item["T"]).alias("ts"),
         "received_at",
         "pos",
+        F.lit(True).alias("wanted"),
         item_reason(
             failfast,
             (item["m"].isNull(), "missing m"),
@@ -86,15 +89,12 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
 
 
 def markets(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_markets(responses, failfast), failfast)
+    return accept(parse_markets(responses, is_failfast(mode)), is_failfast(mode))
 
 
 def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_stats(responses, failfast), failfast)
+    return accept(parse_stats(responses, is_failfast(mode)), is_failfast(mode))
 
 
 def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_funding(responses, failfast), failfast)
+    return accept(parse_funding(responses, is_failfast(mode)), is_failfast(mode))

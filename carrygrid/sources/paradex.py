@@ -32,6 +32,7 @@ def parse_markets(responses: DataFrame, failfast: bool = False) -> DataFrame:
         F.lit(True).alias("is_active"),
         "received_at",
         "pos",
+        names.is_perpetual(item["symbol"]).alias("wanted"),
         item_reason(
             failfast,
             (item["symbol"].isNull(), "missing symbol"),
@@ -62,6 +63,7 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
         F.col("received_at").alias("ts"),  # a summary carries no time of its own
         "received_at",
         "pos",
+        names.is_perpetual(item["symbol"]).alias("wanted"),
         item_reason(
             failfast,
             (item["symbol"].isNull(), "missing symbol"),
@@ -71,7 +73,7 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
 
 
 def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
-    """Ticks; a tick without a rate is null here and dropped by `funding`.
+    """Ticks; one without a rate is not wanted.
 
     The three funding numbers must be present, though they may be null, so the
     records are read as maps, which keep an absent key apart from a null.
@@ -79,14 +81,16 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
     rows = items_of(responses, "results array<map<string,string>>", "results")
     item = F.col("item")
     fields = ["funding_index", "funding_premium", "funding_rate"]
+    rate = numbers.optional_decimal(item["funding_rate"], RATE)
     ms = numbers.epoch_ms(item["created_at"])
     return rows.select(
         F.lit(NAME).alias("exchange"),
         item["market"].alias("market_symbol"),
-        numbers.optional_decimal(item["funding_rate"], RATE).alias("rate"),
+        rate.alias("rate"),
         timing.from_epoch_ms(ms).alias("ts"),
         "received_at",
         "pos",
+        rate.isNotNull().alias("wanted"),
         item_reason(
             failfast,
             (item["market"].isNull(), "missing market"),
@@ -101,15 +105,12 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
 
 
 def markets(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_markets(responses, failfast), failfast).where(names.is_perpetual(F.col("market_symbol")))
+    return accept(parse_markets(responses, is_failfast(mode)), is_failfast(mode))
 
 
 def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_stats(responses, failfast), failfast).where(names.is_perpetual(F.col("market_symbol")))
+    return accept(parse_stats(responses, is_failfast(mode)), is_failfast(mode))
 
 
 def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    failfast = is_failfast(mode)
-    return accept(parse_funding(responses, failfast), failfast).where(F.col("rate").isNotNull())
+    return accept(parse_funding(responses, is_failfast(mode)), is_failfast(mode))

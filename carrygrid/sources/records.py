@@ -1,7 +1,8 @@
 """From a response to its records, and what becomes of unreadable ones.
 
 The normalisers build *parsed* frames: record columns plus ``reject``, the
-reason why a record cannot be used (null for good ones). Two modes:
+reason why a record cannot be used (null for good ones), and ``wanted``, whether
+a good one belongs into the tables. Two modes:
 
 * ``failfast``    the first bad record fails the job, as one bad number fails a
                   whole response in the reference behaviour
@@ -67,7 +68,7 @@ def accept(parsed: DataFrame, failfast: bool) -> DataFrame:
     good = F.col("reject").isNull()
     if failfast:
         good = F.when(F.spark_partition_id() >= 0, good)
-    return parsed.where(good).drop("reject")
+    return parsed.where(good).where("wanted").drop("reject", "wanted")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from carrygrid.functions.names import lookup_key
 
 from . import extended, paradex
-from .records import rejected
+from .records import accept, is_failfast, rejected
 
 NORMALISERS: dict[str, ModuleType] = {m.NAME: m for m in (paradex, extended)}
 KINDS = ("markets", "funding", "stats")
@@ -25,20 +25,25 @@ def _of(responses: DataFrame, exchange: str, kind: str) -> DataFrame:
     return responses.where((lookup_key(F.col("exchange")) == exchange) & (F.col("kind") == kind))
 
 
-def normalize(responses: DataFrame, kind: str, mode: str = "failfast") -> DataFrame:
-    """Records of one kind from every supported exchange; others are passed over."""
+def parse(responses: DataFrame, kind: str, mode: str = "failfast") -> DataFrame:
+    """Parsed records of one kind from every supported exchange; others are passed over."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
-    parts = [getattr(m, kind)(_of(responses, name, kind), mode) for name, m in NORMALISERS.items()]
+    parts = [
+        getattr(m, f"parse_{kind}")(_of(responses, name, kind), is_failfast(mode))
+        for name, m in NORMALISERS.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def normalize(responses: DataFrame, kind: str, mode: str = "failfast") -> DataFrame:
+    """Usable records of one kind from every supported exchange."""
+    return accept(parse(responses, kind, mode), is_failfast(mode))
+
+
 def rejects(responses: DataFrame, kind: str) -> DataFrame:
     """Unusable records of one kind, for the quarantine table."""
-    parts = [
-        rejected(getattr(m, f"parse_{kind}")(_of(responses, name, kind))) for name, m in NORMALISERS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return rejected(parse(responses, kind, "quarantine"))
 
 
 def skipped(responses: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Continuous ingest: the sync jobs driven by the landing zone's file stream.
 
 The file source remembers the responses it has read, so no high-water mark is
-needed; a replayed micro-batch is absorbed by the unique keys. Bad records are
-stored aside instead of stopping the stream.
+needed; a replayed micro-batch is absorbed by the unique keys. A micro-batch is
+parsed once; bad records are stored aside instead of stopping the stream.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from carrygrid.plans import jobs
 from carrygrid.session import shared_folder
 from carrygrid.sources import registry
 from carrygrid.sources.landing import stream_landing
+from carrygrid.sources.records import accept, rejected
 from carrygrid.sources.warehouse import Warehouse
 
 
 def _start(wh: Warehouse, landing: str, kind: str, apply: Callable[[DataFrame], object],
            checkpoint: str | None, every: str | None, max_files: int | None) -> StreamingQuery:
     def on_batch(responses: DataFrame, batch_id: int) -> None:
-        responses.persist()
+        parsed = registry.parse(responses, kind, "quarantine").persist()
         try:
-            apply(responses)
-            wh.store_rejects(kind, batch_id, registry.rejects(responses, kind))
+            apply(accept(parsed, failfast=False))
+            wh.store_rejects(kind, batch_id, rejected(parsed))
         finally:
-            responses.unpersist()
+            parsed.unpersist()
 
     writer = (
         stream_landing(wh.spark, landing, kind, max_files)
@@ -45,8 +46,8 @@ def funding(wh: Warehouse, landing: str, checkpoint: str | None = None, every: s
 
     The reference schedule is one run per funding interval (``every="480 minutes"``).
     """
-    def apply(responses: DataFrame) -> None:
-        jobs.apply_funding(wh, responses, jobs.supported_exchanges(wh), mode="quarantine")
+    def apply(records: DataFrame) -> None:
+        jobs.apply_funding(wh, records, jobs.supported_exchanges(wh))
 
     return _start(wh, landing, "funding", apply, checkpoint, every, max_files)
 
@@ -54,8 +55,8 @@ def funding(wh: Warehouse, landing: str, checkpoint: str | None = None, every: s
 def markets(wh: Warehouse, landing: str, now: Callable[[], dt.datetime], checkpoint: str | None = None,
             every: str | None = None, max_files: int | None = None) -> StreamingQuery:
     """Market discovery (daily in the reference schedule)."""
-    def apply(responses: DataFrame) -> None:
-        jobs.apply_markets(wh, responses, jobs.supported_exchanges(wh), now(), mode="quarantine")
+    def apply(records: DataFrame) -> None:
+        jobs.apply_markets(wh, records, jobs.supported_exchanges(wh), now())
 
     return _start(wh, landing, "markets", apply, checkpoint, every, max_files)
 
@@ -63,7 +64,8 @@ def markets(wh: Warehouse, landing: str, now: Callable[[], dt.datetime], checkpo
 def stats(wh: Warehouse, landing: str, checkpoint: str | None = None, every: str | None = None,
           max_files: int | None = None) -> StreamingQuery:
     """Stats snapshots (daily in the reference schedule)."""
-    def apply(responses: DataFrame) -> None:
-        jobs.apply_stats(wh, responses, jobs.supported_exchanges(wh), mode="quarantine")
+    def apply(records: DataFrame) -> None:
+        days = jobs.days_of(records, "received_at")
+        jobs.apply_stats(wh, records, days, jobs.supported_exchanges(wh))
 
     return _start(wh, landing, "stats", apply, checkpoint, every, max_files)

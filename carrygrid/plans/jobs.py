@@ -22,6 +22,7 @@ from carrygrid.sources.landing import read_landing
 from carrygrid.sources.warehouse import Warehouse
 
 Days = tuple[dt.date, dt.date]
+DAY_MS = 24 * windows.HOUR_MS
 
 
 @dataclass(frozen=True)
@@ -135,10 +136,21 @@ def days_of(rows: DataFrame, column: str = "ts") -> Days | None:
     return None if span.a is None else (span.a, span.b)
 
 
-def append_funding(wh: Warehouse, batch: DataFrame, days: Days) -> tuple[int, Days | None]:
-    """Append the ticks not stored yet; only the stored days of the window are read."""
-    existing = wh.fact("funding_rates", *days)
-    return _append(wh, "funding_rates", upserts.new_funding(batch, existing, ["received_at", "pos"]))
+def append_funding(wh: Warehouse, batch: DataFrame) -> tuple[int, Days | None]:
+    """Append the ticks not stored yet.
+
+    The batch is kept for two passes: its days first, so that only those are
+    read from the stored ticks, however far back a window of a quiet market goes.
+    """
+    batch = batch.persist()
+    try:
+        days = days_of(batch)
+        if days is None:
+            return 0, None
+        existing = wh.fact("funding_rates", *days)
+        return _append(wh, "funding_rates", upserts.new_funding(batch, existing, ["received_at", "pos"]))
+    finally:
+        batch.unpersist()
 
 
 def refresh_derived(wh: Warehouse, days: Days | None) -> None:
@@ -173,22 +185,12 @@ def rebuild_derived(wh: Warehouse) -> None:
 
 
 def apply_funding(wh: Warehouse, records: DataFrame, targets: list) -> tuple[int, Days | None]:
-    """Append all normalised ticks of active markets (no window), then refresh.
-
-    For micro-batches: the ticks are kept for the two passes over them.
-    """
-    records = _with_exchange_id(records, targets)
+    """Append all normalised ticks of active markets (no window), then refresh."""
     owner = wh.dimension("markets").where("is_active").select(
         "exchange_id", "market_symbol", F.col("id").alias("market_id")
     )
-    batch = records.join(owner, ["exchange_id", "market_symbol"]).persist()
-    try:
-        days = days_of(batch)
-        if days is None:
-            return 0, None
-        done, written = append_funding(wh, batch, days)
-    finally:
-        batch.unpersist()
+    batch = _with_exchange_id(records, targets).join(owner, ["exchange_id", "market_symbol"])
+    done, written = append_funding(wh, batch)
     refresh_derived(wh, written)
     return done, written
 
@@ -229,15 +231,21 @@ def sync_markets(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
 
 
 def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str | None = None,
-                 spec: WindowSpec = SinceLastOrLookbackHours(), mode: str = "failfast") -> list[Outcome]:
+                 spec: WindowSpec = SinceLastOrLookbackHours(), mode: str = "failfast",
+                 landed_from: dt.date | None = None) -> list[Outcome]:
     """Ticks of the window. One exchange: errors are raised. All: an exchange that
-    fails is reported and the others go on."""
+    fails is reported and the others go on.
+
+    Responses are read from the day of the earliest window start on. A market that
+    has been quiet for long makes that early; a scheduled run can give the day of
+    the run before as ``landed_from``, since older responses are done.
+    """
     targets = [require_exchange(wh, exchange)] if exchange else supported_exchanges(wh)
     outcomes, days = [], None
     try:
         for target in targets:
             try:
-                rows, written = _sync_funding_of(wh, landing, now, target, spec, mode)
+                rows, written = _sync_funding_of(wh, landing, now, target, spec, mode, landed_from)
                 days = _join_days(days, written)
                 outcomes.append(Outcome(target.name, rows))
             except Exception as error:  # noqa: BLE001 - one exchange must not stop the others
@@ -250,7 +258,7 @@ def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
 
 
 def _sync_funding_of(wh: Warehouse, landing: str, now: dt.datetime, target, spec: WindowSpec,
-                     mode: str) -> tuple[int, Days | None]:
+                     mode: str, landed_from: dt.date | None) -> tuple[int, Days | None]:
     exchanges = wh.dimension("exchanges")
     chosen = exchanges.where(F.col("id") == target.id)
     wrong = ~F.col("funding_interval_minutes").eqNullSafe(F.lit(upserts.FUNDING_INTERVAL_MINUTES))
@@ -261,18 +269,18 @@ def _sync_funding_of(wh: Warehouse, landing: str, now: dt.datetime, target, spec
     spans = windows.resolve_windows(
         facts.active_market_marks(markets, wh.dimension("funding_marks")), spec, _ms(now)
     )
-    span = spans.where("start_ms <= end_ms").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b")).first()
+    start_ms = spans.where("start_ms <= end_ms").agg(F.min("start_ms")).first()[0]
     normaliser = registry.normalizer_for(target.name)
-    if span.a is None or normaliser is None:
+    if start_ms is None or normaliser is None:
         return 0, None
-    first, last = _utc_day(span.a), _utc_day(span.b)
-    # A response cannot hold ticks from after its receipt; one day of clock skew is allowed.
-    landed_from = first - dt.timedelta(days=1) if first > dt.date(1970, 1, 2) else None
+    if landed_from is None and start_ms > 2 * DAY_MS:
+        # A response cannot hold ticks from after its receipt; a day of clock skew is allowed.
+        landed_from = _utc_day(start_ms - DAY_MS)
     responses = read_landing(wh.spark, landing, "funding", landed_from).where(
         lookup_key(F.col("exchange")) == target.name.strip().lower()
     )
     ticks = normaliser.funding(responses, mode).withColumn("exchange_id", F.lit(target.id).cast("bigint"))
-    return append_funding(wh, windows.ticks_in_windows(ticks, spans), (first, last))
+    return append_funding(wh, windows.ticks_in_windows(ticks, spans))
 
 
 def sync_stats(wh: Warehouse, landing: str, exchange: str | None = None, landed_from: dt.date | None = None,

@@ -156,6 +156,14 @@ def matrix_health(cells: DataFrame) -> DataFrame:
     )
 
 
+def health_document(cells: DataFrame) -> DataFrame:
+    """`matrix_health` as the API's JSON text."""
+    fields = F.struct(
+        F.lit(True).alias("ok"), "tokens", timing.zulu_text(F.col("last_updated")).alias("last_updated")
+    )
+    return matrix_health(cells).select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def matrix_documents(cells: DataFrame) -> DataFrame:
     """One JSON document per token, in the shape of the API's ``tokens`` entries.
 

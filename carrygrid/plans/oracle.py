@@ -319,6 +319,9 @@ SELECT token, exchange, market_symbol, funding_rate, CAST(oi AS DOUBLE) AS open_
   strftime(funding_bucket, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS funding_ts,
   strftime(stats_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stats_ts FROM served""",
     "matrix_health": BASE + "\nSELECT count(*) AS tokens, max(last_update) AS last_updated FROM token_update",
+    "health_document": BASE + """
+SELECT concat('{"ok":true,"tokens":', count(*), ',"last_updated":"', strftime(max(last_update), '%Y-%m-%dT%H:%M:%S'), 'Z"}') AS document
+FROM token_update""",
     "perp_filter": f"""SELECT event_id, symbol FROM (
   SELECT event_id, {TOKEN} || '-' || event_id || {SUFFIXES}[event_id % 6 + 1] AS symbol FROM events)
 WHERE upper(symbol) LIKE '%-PERP' OR upper(symbol) LIKE '%-PERPS'""",

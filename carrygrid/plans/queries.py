@@ -229,6 +229,11 @@ def matrix_health(t: Tables) -> DataFrame:
     return as_ntz(matrix.matrix_health(t.cells()), "last_updated")
 
 
+@query
+def health_document(t: Tables) -> DataFrame:
+    return matrix.health_document(t.cells())
+
+
 # ---- scalar functions ------------------------------------------------------------
 
 

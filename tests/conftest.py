@@ -16,10 +16,13 @@ def spark(tmp_path_factory):
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            # Short queries: compile quickly rather than well.
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("catalog")),
         },

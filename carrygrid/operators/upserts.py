@@ -5,6 +5,8 @@ Nothing here writes; `carrygrid.sources.warehouse` stores the results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -193,8 +195,9 @@ def without_exchange(tables: dict[str, DataFrame], name: str) -> dict[str, DataF
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per declared constraint: (constraint, violations).
 
-    Keys are checked by a grouped count. References are counted per id first and
-    then anti joined with the referenced ids, so a hot id is one row in the join.
+    A table is read twice: grouped by its keys for uniqueness, and grouped by the
+    ids it refers to for nulls and references. The second grouping leaves a row
+    per combination of ids, so a hot id is one row when the parents are joined.
     """
 
     def unique(table: str, *keys: str) -> DataFrame:
@@ -203,21 +206,20 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
             F.lit(f"{table}: unique {', '.join(keys)}").alias("constraint"), "violations"
         )
 
-    def not_null(table: str, *columns: str) -> DataFrame:
-        missing = F.lit(False)
-        for c in columns:
-            missing = missing | F.col(c).isNull()
-        return tables[table].agg(F.count_if(missing).alias("violations")).select(
-            F.lit(f"{table}: not null {', '.join(columns)}").alias("constraint"), "violations"
-        )
-
-    def refers(table: str, column: str, parent: str) -> DataFrame:
-        ids = tables[parent].select(F.col("id").alias(column))
-        used = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        orphans = used.join(ids, column, "left_anti")
-        return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-            F.lit(f"{table}: {column} in {parent}").alias("constraint"), "violations"
+    def columns(table: str, required: list[str], refers: dict[str, str]) -> DataFrame:
+        missing = " OR ".join(f"{c} IS NULL" for c in required)
+        groups = tables[table].groupBy(*refers).agg(
+            F.count(F.lit(1)).alias("n"), F.expr(f"count_if({missing})").alias("missing")
         )
+        checks = {f"{table}: not null {', '.join(required)}": "sum(missing)"}
+        for column, parent in refers.items():
+            found = tables[parent].select(F.col("id").alias(column)).distinct().withColumn(f"has_{column}", F.lit(True))
+            groups = groups.join(found, column, "left")
+            orphan = f"{column} IS NOT NULL AND has_{column} IS NULL"
+            checks[f"{table}: {column} in {parent}"] = f"sum(CASE WHEN {orphan} THEN n END)"
+        totals = groups.agg(*[F.expr(f"coalesce({e}, 0)").alias(f"c{i}") for i, e in enumerate(checks.values())])
+        pairs = ", ".join(f"'{name}', c{i}" for i, name in enumerate(checks))
+        return totals.selectExpr(f"stack({len(checks)}, {pairs}) AS (constraint, violations)")
 
     checks = [
         unique("exchanges", "id"),
@@ -228,18 +230,18 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
         unique("markets", "exchange_id", "market_symbol"),
         unique("funding_rates", "market_id", "ts"),
         unique("market_stats", "market_id", "ts"),
-        not_null("exchanges", "id", "name", "is_active"),
-        not_null("tokens", "id", "symbol"),
-        not_null("markets", "id", "exchange_id", "token_id", "market_symbol", "is_active"),
-        not_null("funding_rates", "exchange_id", "market_id", "rate", "ts"),
-        not_null("market_stats", "market_id", "ts"),
-        refers("markets", "exchange_id", "exchanges"),
-        refers("markets", "token_id", "tokens"),
-        refers("funding_rates", "exchange_id", "exchanges"),
-        refers("funding_rates", "market_id", "markets"),
-        refers("market_stats", "market_id", "markets"),
+        columns("exchanges", ["id", "name", "is_active"], {}),
+        columns("tokens", ["id", "symbol"], {}),
+        columns(
+            "markets",
+            ["id", "exchange_id", "token_id", "market_symbol", "is_active"],
+            {"exchange_id": "exchanges", "token_id": "tokens"},
+        ),
+        columns(
+            "funding_rates",
+            ["exchange_id", "market_id", "rate", "ts"],
+            {"exchange_id": "exchanges", "market_id": "markets"},
+        ),
+        columns("market_stats", ["market_id", "ts"], {"market_id": "markets"}),
     ]
-    report = checks[0]
-    for check in checks[1:]:
-        report = report.unionByName(check)
-    return report
+    return reduce(DataFrame.unionByName, checks)

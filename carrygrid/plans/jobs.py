@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from carrygrid.functions.names import lookup_key
+from carrygrid.functions.timing import utc_day
 from carrygrid.operators import board, facts, matrix, upserts, windows
 from carrygrid.operators.windows import SinceLastOrLookbackHours, WindowSpec
 from carrygrid.sources import registry
@@ -116,13 +117,16 @@ def _append(wh: Warehouse, table: str, rows: DataFrame) -> tuple[int, Days | Non
     """Append and report the number of rows and the days they fall on."""
     seen = Observation()
     observed = rows.observe(
-        seen, F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        utc_day(F.min("ts")).alias("first"),
+        utc_day(F.max("ts")).alias("last"),
     )
     wh.append_fact(table, observed)
     got = _observed(seen)
     if not got.get("n"):
         return 0, None
-    return got["n"], (got["first"].date(), got["last"].date())
+    return got["n"], (got["first"], got["last"])
 
 
 def _join_days(a: Days | None, b: Days | None) -> Days | None:
@@ -132,7 +136,7 @@ def _join_days(a: Days | None, b: Days | None) -> Days | None:
 
 
 def days_of(rows: DataFrame, column: str = "ts") -> Days | None:
-    span = rows.agg(F.to_date(F.min(column)).alias("a"), F.to_date(F.max(column)).alias("b")).first()
+    span = rows.agg(utc_day(F.min(column)).alias("a"), utc_day(F.max(column)).alias("b")).first()
     return None if span.a is None else (span.a, span.b)
 
 

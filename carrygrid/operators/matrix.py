@@ -187,26 +187,29 @@ def matrix_documents(cells: DataFrame) -> DataFrame:
     return rows.select("token", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
-def read_cell_json(text, field: str):
-    """Number in a stored cell object, or null."""
-    return F.get_json_object(text, f"$.{field}").try_cast("double")
-
-
-def cell_with_defaults(text) -> list:
-    """Columns of a stored cell's JSON text: older field names are read where the
-    current ones are absent, missing numbers are 0, missing texts stay null."""
-    number = lambda name: F.coalesce(read_cell_json(text, name), F.lit(0.0)).alias(name)
-    string = lambda name: F.get_json_object(text, f"$.{name}")
-    return [
-        F.coalesce(string("market_symbol"), F.lit("")).alias("market_symbol"),
-        F.coalesce(
-            read_cell_json(text, "funding_rate_8h"), read_cell_json(text, "funding_rate"), F.lit(0.0)
-        ).alias("funding_rate"),
-        number("open_interest"),
-        number("volume_24h"),
-        F.coalesce(string("funding_bucket"), string("funding_ts")).alias("funding_ts"),
-        string("stats_ts").alias("stats_ts"),
-    ]
+STORED_CELL = (
+    "market_symbol string, funding_rate_8h double, funding_rate double, open_interest double, "
+    "volume_24h double, funding_bucket string, funding_ts string, stats_ts string"
+)
+
+
+def read_stored_cells(rows: DataFrame, column: str) -> DataFrame:
+    """Replace a column of cell JSON text by the cell's fields.
+
+    Older field names are read where the current ones are absent; missing
+    numbers are 0, missing times null. The text is parsed once per row.
+    """
+    keep = [c for c in rows.columns if c != column]
+    cells = rows.select(*keep, F.from_json(column, STORED_CELL).alias("c"))
+    return cells.selectExpr(
+        *keep,
+        "coalesce(c.market_symbol, '') AS market_symbol",
+        "coalesce(c.funding_rate_8h, c.funding_rate, 0D) AS funding_rate",
+        "coalesce(c.open_interest, 0D) AS open_interest",
+        "coalesce(c.volume_24h, 0D) AS volume_24h",
+        "coalesce(c.funding_bucket, c.funding_ts) AS funding_ts",
+        "c.stats_ts",
+    )
 
 
 def exchange_header(markets: DataFrame, exchanges: DataFrame) -> DataFrame:

@@ -309,8 +309,7 @@ def cell_defaults(t: Tables) -> DataFrame:
         F.when(kind != 1, F.concat(F.lit('"market_symbol":"M'), F.col("user_id").cast("string"), F.lit('"'))),
     ]
     text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    rows = t.events().select("event_id", text.alias("cell"))
-    return rows.select("event_id", *matrix.cell_with_defaults(F.col("cell")))
+    return matrix.read_stored_cells(t.events().select("event_id", text.alias("cell")), "cell")
 
 
 @query

@@ -203,6 +203,15 @@ def test_bucket_edges_and_late_tick(spark):
     assert starts == [at(16), dt.datetime(1969, 12, 31, 16, 0)]
 
 
+def test_stored_cells(spark):
+    texts = ['{"funding_rate_8h": 0.5, "funding_rate": 9}', '{"funding_rate_8h": "x", "funding_rate": 0.25}',
+             '{"funding_ts": "a", "funding_bucket": null, "stats_ts": "b"}', "no json"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, cell string")
+    got = [tuple(r)[1:] for r in matrix.read_stored_cells(rows, "cell").orderBy("i").collect()]
+    assert got == [("", 0.5, 0.0, 0.0, None, None), ("", 0.25, 0.0, 0.0, None, None),
+                   ("", 0.0, 0.0, 0.0, "a", "b"), ("", 0.0, 0.0, 0.0, None, None)]
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("foo-BAR x1.9aB",), ("PARADEX",), ("mIDDLE  east",)], "n string")
     assert [r[0] for r in rows.select(names.display_name(F.col("n"))).collect()] == ["Foo-Bar X1.9ab", "Paradex", "Middle  East"]

@@ -61,6 +61,25 @@ class Warehouse:
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v{version:08d}"
 
+    def drop_old_versions(self, table: str, keep: int = 3) -> int:
+        """Delete all but the newest ``keep`` versions; for a maintenance run.
+
+        Jobs that still read an older snapshot need it to stay, so this is never
+        done in passing.
+        """
+        if keep < 1:
+            raise ValueError("the current version must stay")
+        fs, _ = self._filesystem(f"{self.root}/{table}")
+        last = self._version(table) - keep
+        dropped = 0
+        for number in range(last, 0, -1):
+            folder = self._filesystem(self._path(table, number))[1]
+            if not fs.exists(folder):
+                break  # older ones went in an earlier run
+            fs.delete(folder, True)
+            dropped += 1
+        return dropped
+
     # ---- dimensions -----------------------------------------------------
 
     def dimension(self, table: str) -> DataFrame:

@@ -358,3 +358,18 @@ def test_stored_days_are_pruned(spark, tmp_path):
     pruned = wh.fact("funding_rates", day, day)
     assert "PartitionFilters: [isnotnull(dt" in plan_of(pruned)
     assert pruned.count() == t.funding().where(F.to_date("ts") == F.lit(day)).count() > 0
+
+
+def test_versions_of_a_dimension(spark, tmp_path):
+    from carrygrid.sources.warehouse import Warehouse
+
+    wh = Warehouse(spark, str(tmp_path))
+    assert wh.dimension("tokens").count() == 0
+    for n in range(1, 6):
+        rows = wh.dimension("tokens").select("symbol").unionByName(spark.createDataFrame([(f"T{n}",)], "symbol string"))
+        wh.replace_dimension("tokens", upserts.upsert_tokens(wh.dimension("tokens"), rows, F.current_timestamp()))
+    assert sorted(r.id for r in wh.dimension("tokens").collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "tokens" / "v00000006").mkdir()  # an unfinished write is not seen
+    assert wh.dimension("tokens").count() == 5
+    assert wh.drop_old_versions("tokens", keep=2) == 3 and wh.drop_old_versions("tokens", keep=2) == 0
+    assert wh.dimension("tokens").count() == 5

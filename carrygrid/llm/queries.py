@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrygrid.llm import near_dup
+from carrygrid.llm import near_dup, passages, quality, toxicity
 from carrygrid.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages: who loses which bytes, and which document keeps them."""
+    return passages.repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_minhash_bayes": op2_minhash_bayes,
+    "op3_ngram_ratio": op3_ngram_ratio,
+    "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

@@ -8,7 +8,7 @@ of a pair of documents meet with a chance of about size**2 / 2**64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +20,12 @@ _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SHORT = np.array([0, 0x1B03738712FAD5C9, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x4A7C15F39CC0605D], np.uint64)
-_powers = {_P: np.ones(1, np.uint64), _P_INVERSE: np.ones(1, np.uint64)}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
+    """The first ``n`` powers of ``base`` modulo 2**64."""
+    if len(_powers.get(base, ())) < n:
         grown = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         grown[0] = 1
         _powers[base] = np.cumprod(grown)
@@ -69,8 +70,21 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, lower: bool = True) -> Iterator[Chunk]:
-    """Cut a batch of texts (null counts as empty) into chunks of about ``limit`` bytes; no text is cut."""
+def no_letter(data: np.ndarray) -> np.ndarray:
+    """Bytes between letter runs: all but a-z, 0-9 and parts of non-ASCII characters."""
+    return ~(((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128))
+
+
+def chunks(
+    texts: pa.Array,
+    limit: int = CHUNK_BYTES,
+    lower: bool = True,
+    gap: Callable[[np.ndarray], np.ndarray] = is_space,
+) -> Iterator[Chunk]:
+    """Cut a batch of texts (null counts as empty) into chunks of about ``limit`` bytes; no text is cut.
+
+    ``gap`` tells which bytes separate words.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -87,7 +101,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, lower: bool = True) -> Ite
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         bounds = offsets[row : last + 1] - offsets[row]
-        space = is_space(data)
+        space = gap(data)
         n = len(data)
         head = np.zeros(n + 1, bool)
         head[bounds] = True

@@ -5,7 +5,7 @@ the smallest doc_id stands for all. Classes that share a band of MinHash
 values are candidates. A pair is then judged in batches of signature places:
 after each batch it is dropped where the posterior chance of a similarity of
 0.75 or more, given the matches seen and a uniform prior, is below
-``MISS``. What survives is confirmed on the full sets.
+``bayes.MISS``. What survives is confirmed on the full sets.
 
 Null or empty texts have no set and are linked with nothing. A null doc_id
 keeps its row, is never linked and counts as kept. Repeated rows of one doc_id
@@ -15,7 +15,6 @@ Other columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,37 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrygrid.llm.components import buckets, link_buckets
+from carrygrid.llm.bayes import likely
+from carrygrid.llm.components import Filter, buckets, link_buckets
 from carrygrid.llm.store import written
 from carrygrid.llm.words import chunks, mix, shingle_sets
 
 BANDS, ROWS = 32, 5  # a pair at 0.75 is missed by all bands with a chance of 2e-4
-MISS = 1e-5  # chance of dropping a true pair in a batch
-BATCH = 40
 PLACES = BANDS * ROWS
-NUMERATOR, DENOMINATOR = 3, 4
 _SEEDS = mix(np.arange(1, 2 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEEDS[:PLACES] | np.uint64(1), _SEEDS[PLACES:]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """MinHash values (rows x places, 32 bits) of non-empty sets."""
     joined = np.concatenate(sets)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), PLACES), np.uint32)
-    for k in range(PLACES):
+    out = np.empty((len(sets), places), np.uint32)
+    for k in range(places):
         out[:, k] = np.minimum.reduceat(((joined * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), at)
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(signature), BANDS), np.uint64)
-    for k in range(ROWS):
-        total = mix(total + signature[:, k::ROWS] + np.uint64(k + 1))
-    return mix(total ^ (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key for each ``rows`` neighbouring places."""
+    bands = signature.shape[1] // rows
+    total = np.zeros((len(signature), bands), np.uint64)
+    for k in range(rows):
+        total = mix(total + signature[:, k::rows] + np.uint64(k + 1))
+    return mix(total ^ (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
-SIGNED = "doc_id long, n_shingles long, set_hash long, signature binary, bands array<long>"
+SIGNED = "id long, n_shingles long, set_hash long, signature binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,112 +81,74 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(signed, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "signature", "bands"],
+                names=["id", "n_shingles", "set_hash", "signature", "bands"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in chunks(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(chunk.first, chunk.rows).cast(pa.int64()),
-                    pa.array([s.tobytes() for s in shingle_sets(chunk)], pa.binary()),
-                ],
-                names=["doc_id", "shingles"],
-            )
+def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets of the documents with the given ids, and of a few others.
 
+    The texts stay where they are; a bitmap of a fixed size picks those to look at.
+    """
+    wanted = Filter(ids)
 
-def fewest_matches(seen: int, miss: float = MISS) -> int:
-    """Fewest matches in ``seen`` places at which a similarity of 0.75 keeps a posterior of ``miss``."""
-    grid = (np.arange(4000) + 0.5) / 4000
-    high = grid >= NUMERATOR / DENOMINATOR
-    for matches in range(seen + 1):
-        logs = matches * np.log(grid) + (seen - matches) * np.log1p(-grid)
-        weight = np.exp(logs - logs.max())
-        if weight[high].sum() / weight.sum() >= miss:
-            return matches
-    return seen
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = wanted(batch.column(0).cast(pa.int64()).to_numpy())
+            batch = batch.filter(pa.array(some))
+            for chunk in chunks(batch.column(1)):
+                found = [s.tobytes() for s in shingle_sets(chunk)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(chunk.first, chunk.rows).cast(pa.int64()), pa.array(found, pa.binary())],
+                    names=["id", "shingles"],
+                )
 
+    return docs.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    needed = {seen: fewest_matches(seen) for seen in range(BATCH, PLACES + 1, BATCH)}
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            left, right = (
-                np.frombuffer(b"".join(part.column(name).to_pylist()), np.uint16).reshape(-1, PLACES)
-                for name in ("left", "right")
-            )
-            alive = np.arange(len(left))
-            matches = np.zeros(len(left), np.int64)
-            for seen, least in needed.items():
-                window = slice(seen - BATCH, seen)
-                matches[alive] += (left[alive, window] == right[alive, window]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
-            yield part.select(["a", "b"]).take(pa.array(alive))
 
+def classes(spark: SparkSession, signed: DataFrame) -> DataFrame:
+    """Rows of ``signed`` with a set: id, n_shingles, first_id (smallest id with the same set), signature, bands.
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for row, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"))):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if min(len(s), len(t)) * DENOMINATOR < max(len(s), len(t)) * NUMERATOR:
-                continue
-            both = np.concatenate((s, t))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= 75 * (len(s) + len(t) - common):
-                keep.append(row)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
-def _sides(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """Pairs (a, b) with the value of either end as ``left`` and ``right``."""
-    return pairs.join(values.select(F.col("doc_id").alias("b"), F.col(value).alias("right")), "b").join(
-        values.select(F.col("doc_id").alias("a"), F.col(value).alias("left")), "a"
-    ).select("a", "b", "left", "right")
+    Signature and bands are left with the first of a class only. A class of a
+    third of all rows is one minimum per task, and its join key is split.
+    """
+    named = signed.where("n_shingles > 0 and id is not null")
+    firsts = named.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("first_id"))
+    own = F.col("id") == F.col("first_id")
+    joined = named.join(firsts, ["set_hash", "n_shingles"]).select(
+        "id", "n_shingles", "first_id",
+        F.when(own, F.col("signature")).alias("signature"), F.when(own, F.col("bands")).alias("bands"),
+    )
+    return written(spark, joined, "classes")
+
+
+def banded(spark: SparkSession, grouped: DataFrame) -> DataFrame:
+    """Members (key, id, n, leader) of the bands that two classes or more share."""
+    keys = grouped.where("bands is not null").select(
+        F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n")
+    )
+    return written(spark, buckets(keys), "members")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. See the module for the method."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(spark, docs.mapInArrow(_sign, SIGNED), "signed")
-    named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("first_id"))
-    grouped = written(
-        spark,
-        named.join(classes, ["set_hash", "n_shingles"]).select(
-            "doc_id", "n_shingles", "first_id",
-            F.when(F.col("doc_id") == F.col("first_id"), F.col("signature")).alias("signature"),
-            F.when(F.col("doc_id") == F.col("first_id"), F.col("bands")).alias("bands"),
-        ),
-        "classes",
-    )
-    first = grouped.where("signature is not null")
-    members = written(
-        spark,
-        buckets(first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))),
-        "members",
-    )
-    signature = first.groupBy("doc_id").agg(F.min("signature").alias("signature"))
+    grouped = classes(spark, signed)
+    members = banded(spark, grouped)
+    signature = grouped.where("signature is not null").groupBy("id").agg(F.min("signature").alias("signature"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = written(spark, _sides(pairs, signature, "signature").mapInArrow(_judge, "a long, b long"), "likely")
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        sets = written(spark, texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-        return _sides(likely, sets, "shingles").mapInArrow(_confirm, "a long, b long")
-
-    labels = link_buckets(spark, members, verify)
+    texts = docs.where("doc_id is not null")
+    labels = link_buckets(
+        spark, members, lambda ids: shingles_of(texts, ids), lambda pairs: likely(pairs, signature), signature
+    )
     placed = (
-        grouped.select("doc_id", "n_shingles", F.col("first_id").alias("id"))
+        grouped.select(F.col("id").alias("doc_id"), "n_shingles", F.col("first_id").alias("id"))
         .join(labels, "id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     )
-    alone = signed.where("n_shingles = 0 or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+    alone = signed.where("n_shingles = 0 or id is null").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("id").alias("component_id")
     )
     return placed.union(alone).select(
         "doc_id", "n_shingles", "component_id",

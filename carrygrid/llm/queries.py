@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrygrid.llm import near_dup, passages, quality, toxicity
+from carrygrid.llm import gumbel, html_text, language, near_dup, packing, passages, quality, token_counts, toxicity, vectors
 from carrygrid.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,15 +25,47 @@ def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each document, sampled without replacement."""
+    return gumbel.digest(gumbel.segmentations(table(spark, sf_dir, "documents")))
+
+
+def op5_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op6_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_minhash_bayes": op2_minhash_bayes,
     "op3_ngram_ratio": op3_ngram_ratio,
+    "op4_gumbel_topk": op4_gumbel_topk,
+    "op5_subspace_join": op5_subspace_join,
+    "op6_template_removal": op6_template_removal,
+    "op7_best_fit": op7_best_fit,
+    "op8_hyperdimensional": op8_hyperdimensional,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
+    "op10_trie_counts": op10_trie_counts,
 }
 
+# Hashes, learned scores and iterated joins are not expressible in SQL; tests/llm holds the queries against brute force.
 ORACLE: dict[str, str] = {}

@@ -2,7 +2,8 @@
 
 Every document is scored by how much likelier its n-grams are under a trusted
 target than under the raw corpus. Both are multinomials over ``BUCKETS``
-hashed token n-grams (one and two tokens) with add-one smoothing; the target is
+hashed n-grams (the last three characters of each word, and each word with its
+successor) with add-one smoothing; the target is
 the text of all documents labelled good, the raw corpus all documents. The sum
 of log ratios is divided by the number of n-grams, so long texts are not
 favoured. The threshold is fixed: equal texts always get equal verdicts.
@@ -15,6 +16,7 @@ target is uniform. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,6 @@ THRESHOLD = -0.2
 WINDOW = 5
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,7 +38,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def _covered(hashes: Column) -> Column:
+def _covered(windows: Column) -> Column:
     """Words inside the windows whose hash occurs twice or more."""
 
     def places(s: Column) -> Column:
@@ -52,19 +53,27 @@ def _covered(hashes: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    placed = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     return let(placed, lambda s: let(places(s), total))
 
 
-def repeat_words(w: Column) -> Column:
-    """Number of words in five-word windows that the text holds twice or more."""
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
-    )
-    repeated = let(
-        hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
-    )
-    return F.when(F.size(w) > WINDOW, repeated).otherwise(F.lit(0))
+def repeat_words(single: Column, pairs: Column) -> Column:
+    """Number of words in five-word windows that the text holds twice or more, from the hashes of words and pairs."""
+
+    def count(fours: Column) -> Column:
+        whole = F.slice(fours, F.lit(1), F.size(fours) - WINDOW + 1)
+        windows = F.transform(whole, lambda x, i: F.xxhash64(x, F.get(single, i + 4)))
+        return let(
+            windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
+        )
+
+    fours = F.transform(pairs, lambda x, i: F.xxhash64(x, F.get(pairs, i + 2)))
+    return F.when(F.size(single) > WINDOW, let(fours, count)).otherwise(F.lit(0))
+
+
+def pair_hashes(single: Column) -> Column:
+    """Hash of each word with its successor; the last word stands alone."""
+    return F.transform(single, lambda x, i: F.xxhash64(x, F.get(single, i + 1)))
 
 
 def dup_lines(text: Column) -> Column:
@@ -72,18 +81,17 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def ngram_buckets(text: Column, buckets: int) -> Column:
-    """Buckets of all single tokens and all pairs of neighbours; tokens are lower-cased words and runs of signs."""
+def endings(w: Column) -> Column:
+    """Hash of the last three characters of each word."""
+    return F.transform(w, lambda x: F.xxhash64(F.right(x, F.lit(3))))
+
+
+def bucket(x: Column, buckets: int) -> Column:
+    return F.pmod(x, F.lit(buckets)).cast("int")
 
-    def both(t: Column) -> Column:
-        single = F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size(t) - 1),
-            lambda i: F.pmod(F.xxhash64(F.get(t, i - 1), F.get(t, i)), F.lit(buckets)).cast("int"),
-        )
-        return F.when(F.size(t) > 1, F.concat(single, pairs)).otherwise(single)
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), both)
+def ngram_hashes(w: Column) -> Column:
+    return F.concat(endings(w), let(F.transform(w, lambda x: F.xxhash64(x)), pair_hashes))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -96,8 +104,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Da
     counted = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(good, "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-        .groupBy("bucket")
+        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), ngram_hashes)).alias("gram"))
+        .groupBy(bucket(F.col("gram"), buckets).alias("bucket"))
         .agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -122,31 +130,43 @@ def quality(
 ) -> DataFrame:
     """All columns of ``docs`` that are not replaced, the four statistics, n_words, llr, base_failed and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    weights = log_ratios(docs, labels, buckets).scalar()
+    # A constant of ``buckets`` numbers, so no row carries them.
+    weights = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, buckets).first().weights)), "array<double>")
+
+    def total(hashes: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0.0), lambda a, x: a + F.get(weights, bucket(x, buckets)))
+
+    def counts(w: Column) -> Column:
+        def both(single: Column) -> Column:
+            return let(
+                pair_hashes(single),
+                lambda pairs: F.struct(
+                    F.size(w).cast("long").alias("n_words"),
+                    F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                    repeat_words(single, pairs).cast("long").alias("n_repeat_words"),
+                    F.when(F.size(w) > 0, (total(endings(w)) + total(pairs)) / (2 * F.size(w))).otherwise(0.0).alias("llr"),
+                ),
+            )
 
-    def mean(b: Column) -> Column:
-        total = F.aggregate(F.transform(b, lambda x: F.get(F.col("__weights"), x)), F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))
+        return let(F.transform(w, lambda x: F.xxhash64(x)), both)
 
-    scored = docs.withColumn("__weights", weights).withColumns(
+    plain = text
+    for sign in SYMBOLS:
+        plain = F.replace(plain, F.lit(sign), F.lit(""))
+    scored = docs.withColumns(
         {
-            "__counts": let(
-                words(text),
-                lambda w: F.struct(
-                    F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")
-                ),
-            ),
-            "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "__counts": let(words(text), counts),
+            "n_symbols": (F.length(text) - F.length(plain)).cast("long"),
             "n_dup_lines": dup_lines(text).cast("long"),
-            "llr": let(ngram_buckets(text, buckets), mean),
         }
     )
-    return scored.withColumns(
-        {"n_words": F.col("__counts.n_words"), "n_repeat_words": F.col("__counts.n_repeat_words")}
-    ).withColumn(
-        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__weights", "__counts")
+    found = {name: F.col(f"__counts.{name}") for name in ("n_words", "word_chars", "n_repeat_words", "llr")}
+    return (
+        scored.withColumns(found)
+        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        .drop("__counts")
+    )
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -128,7 +128,9 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
         .collect()
     )
     rows = [r for r in rows if any(x.total for x in r.v)]
-    return [r.lang for r in rows], _unit(np.array([[x.total for x in r.v] for r in rows], np.float64).reshape(len(rows), -1))
+    if not rows:
+        return [], np.zeros((0, dimensions))
+    return [r.lang for r in rows], _unit(np.array([[x.total for x in r.v] for r in rows], np.float64))
 
 
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:

@@ -55,7 +55,7 @@ def paragraphs(chunk: Chunk) -> Iterator[tuple[int, int, int, int]]:
     starts = np.flatnonzero(
         np.concatenate(([True], word_line[1:] != word_line[:-1])) | np.isin(np.arange(len(word_line)), chunk.word_bounds)
     ) if len(word_line) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(word_line))
+    ends = np.append(starts, len(word_line))[1:]
     text = np.searchsorted(chunk.word_bounds, starts, "right") - 1
     before = np.searchsorted(breaks, chunk.bounds)
     for i in np.flatnonzero(ends - starts >= LEAST_WORDS):
@@ -133,7 +133,7 @@ def segment_starts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 def segments(chunk: Chunk) -> tuple[np.ndarray, ...]:
     """Text, number within the chunk, hash, words, first and last byte of all segments."""
     starts, owner = segment_starts(chunk)
-    ends = np.append(starts[1:], len(chunk.start))
+    ends = np.append(starts, len(chunk.start))[1:]
     words = chunk.hashes()
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers(_Q, len(words) + 1)[:-1], out=sums[1:])
@@ -275,10 +275,9 @@ def _join(parts: list[str]) -> str:
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without the repeated spans, n_chars counted anew; those of which nothing is left go."""
     spans = written(spark, repeats(spark, docs), "spans")
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = docs.join(listed, "doc_id", "left").select(
-        "text", "__spans", F.struct(*docs.columns).alias("row"), F.col("__spans").isNotNull().alias("changed")
-    )
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    joined = rows.join(listed, "doc_id", "left").select("text", "spans", "row", F.col("spans").isNotNull().alias("changed"))
     schema = StructType([*joined.schema.fields[2:], StructField("cut", StringType())])
     cut = joined.mapInArrow(_cut, schema).where("not changed or cut <> ''")
     length = F.when(F.col("changed"), F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))

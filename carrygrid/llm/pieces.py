@@ -136,7 +136,7 @@ class PreTokens:
         firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
         head[firsts] = True
         start = np.flatnonzero(head)
-        end = np.append(start[1:], len(points))[: len(start)]
+        end = np.append(start, len(points))[1:]
         sums = prefix_sums(points)
         owner = np.flatnonzero(sizes)[np.searchsorted(firsts, start, "right") - 1] if len(start) else start
         _, first, word = np.unique(span_hashes(sums, start, end), return_index=True, return_inverse=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE
+from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE, WIDE
 
 
 def optional_decimal(text: Column, dtype: T.DecimalType) -> Column:
@@ -27,10 +27,27 @@ def epoch_ms(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
+def no_number(text: Column) -> Column:
+    """True where there is text but no number; for numbers that are not stored, of whatever size."""
+    return F.trim(text).try_cast("double").isNull() & text.rlike(r"\S")
+
+
+def given(text: Column) -> Column:
+    """The text of a number, null where it is blank."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
 def first_price(mark: Column, underlying: Column, last_traded: Column) -> Column:
     return F.coalesce(mark, underlying, last_traded)
 
 
 def open_interest_usd(base_quantity: Column, price: Column) -> Column:
-    """Base units times price; null when either is missing."""
-    return (base_quantity.cast(BASE_QUANTITY) * price.cast(PRICE)).cast(AMOUNT)
+    """Base units times price (numbers or their text); null when either is missing.
+
+    All stored places are exact where both fit their narrow types. Larger ones
+    go by a wide type with eight places each; what no stored amount can hold is
+    null as well, never an error.
+    """
+    exact = F.try_multiply(base_quantity.try_cast(BASE_QUANTITY), price.try_cast(PRICE)).try_cast(AMOUNT)
+    wide = F.try_multiply(base_quantity.try_cast(WIDE), price.try_cast(WIDE)).try_cast(AMOUNT)
+    return F.coalesce(exact, wide)

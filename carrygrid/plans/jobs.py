@@ -1,14 +1,16 @@
 """The sync jobs: landed responses in, tables and board out.
 
-Each job reads only the landed days and stored days that its window touches, and
-running it again changes nothing. Loops on the driver run over the exchanges
-that have a normaliser, never over rows.
+A funding sync reads only the landed days and stored days that its windows
+touch; markets and stats read the landing zone from ``landed_from`` on. Running a
+job again changes nothing but what an interrupted run left undone. Loops on the
+driver run over the exchanges that have a normaliser, never over rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
@@ -20,6 +22,7 @@ from carrygrid.operators import board, facts, matrix, upserts, windows
 from carrygrid.operators.windows import SinceLastOrLookbackHours, WindowSpec
 from carrygrid.sources import registry
 from carrygrid.sources.landing import read_landing
+from carrygrid.sources.records import accept, is_failfast, rejected
 from carrygrid.sources.warehouse import Warehouse
 
 Days = tuple[dt.date, dt.date]
@@ -31,6 +34,7 @@ class Outcome:
     exchange: str
     rows: int
     error: str | None = None
+    rejected: int = 0
 
 
 def _utc_day(ms: int) -> dt.date:
@@ -106,27 +110,18 @@ def apply_markets(wh: Warehouse, records: DataFrame, targets: list, now: dt.date
 
 
 def _observed(seen: Observation) -> dict:
-    """Metrics of a finished write; AQE drops an empty plan together with its metrics."""
+    """Metrics of a finished write, for information; AQE drops an empty plan together with its metrics."""
     try:
         return seen.get
     except Py4JJavaError:
         return {}
 
 
-def _append(wh: Warehouse, table: str, rows: DataFrame) -> tuple[int, Days | None]:
-    """Append and report the number of rows and the days they fall on."""
+def _append(wh: Warehouse, table: str, rows: DataFrame) -> int:
+    """Append and report the number of rows."""
     seen = Observation()
-    observed = rows.observe(
-        seen,
-        F.count(F.lit(1)).alias("n"),
-        utc_day(F.min("ts")).alias("first"),
-        utc_day(F.max("ts")).alias("last"),
-    )
-    wh.append_fact(table, observed)
-    got = _observed(seen)
-    if not got.get("n"):
-        return 0, None
-    return got["n"], (got["first"], got["last"])
+    wh.append_fact(table, rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    return _observed(seen).get("n", 0)
 
 
 def _join_days(a: Days | None, b: Days | None) -> Days | None:
@@ -141,7 +136,7 @@ def days_of(rows: DataFrame, column: str = "ts") -> Days | None:
 
 
 def append_funding(wh: Warehouse, batch: DataFrame) -> tuple[int, Days | None]:
-    """Append the ticks not stored yet.
+    """Append the ticks not stored yet; also gives the days of the batch, stored before or not.
 
     The batch is kept for two passes: its days first, so that only those are
     read from the stored ticks, however far back a window of a quiet market goes.
@@ -152,18 +147,18 @@ def append_funding(wh: Warehouse, batch: DataFrame) -> tuple[int, Days | None]:
         if days is None:
             return 0, None
         existing = wh.fact("funding_rates", *days)
-        return _append(wh, "funding_rates", upserts.new_funding(batch, existing, ["received_at", "pos"]))
+        return _append(wh, "funding_rates", upserts.new_funding(batch, existing, ["received_at", "pos"])), days
     finally:
         batch.unpersist()
 
 
 def refresh_derived(wh: Warehouse, days: Days | None) -> None:
-    """Bring buckets, newest buckets and marks up to date with the days written.
+    """Bring buckets, newest buckets and marks up to date with the days of a batch.
 
     A bucket never crosses a UTC day, so a day's buckets follow from that day
-    alone and late ticks are repaired by refreshing their day. A mark that lags
-    behind (a crash in between) only makes the next window overlap, which the
-    unique key absorbs.
+    alone and late ticks are repaired by refreshing their day. Callers give the
+    days of the whole batch, not of the rows that were new: a run that died
+    between append and refresh is healed by running it again.
     """
     if days is None:
         return
@@ -194,9 +189,46 @@ def apply_funding(wh: Warehouse, records: DataFrame, targets: list) -> tuple[int
         "exchange_id", "market_symbol", F.col("id").alias("market_id")
     )
     batch = _with_exchange_id(records, targets).join(owner, ["exchange_id", "market_symbol"])
-    done, written = append_funding(wh, batch)
-    refresh_derived(wh, written)
-    return done, written
+    done, days = append_funding(wh, batch)
+    refresh_derived(wh, days)
+    return done, days
+
+
+def _waiting(wh: Warehouse, records: DataFrame, targets: list) -> DataFrame:
+    """Records whose market is unknown or inactive by now."""
+    known = wh.dimension("markets").where("is_active").select("exchange_id", "market_symbol")
+    ids = wh.spark.createDataFrame(
+        [(t.name.strip().lower(), t.id) for t in targets], "exchange string, exchange_id long"
+    )
+    return records.join(ids.join(known, "exchange_id"), ["exchange", "market_symbol"], "left_anti")
+
+
+def ingest_funding(wh: Warehouse, records: DataFrame | None = None) -> None:
+    """Append ticks as they come. Those whose market is not active yet wait, and are tried with every batch.
+
+    Ticks are stored before the waiting ones are replaced, so a crash in between
+    loses none, and the unique key absorbs the repetition.
+    """
+    columns = wh.dimension("pending_funding").columns
+    pending = wh.dimension("pending_funding")
+    every = (pending if records is None else pending.unionByName(records.select(*columns))).dropDuplicates(
+        ["exchange", "market_symbol", "ts", "received_at", "pos"]
+    )
+    targets = supported_exchanges(wh)
+    apply_funding(wh, every, targets)
+    wh.replace_dimension("pending_funding", _waiting(wh, every, targets))
+
+
+def ingest_stats(wh: Warehouse, records: DataFrame | None = None) -> None:
+    """The same for stats."""
+    columns = wh.dimension("pending_stats").columns
+    pending = wh.dimension("pending_stats")
+    every = (pending if records is None else pending.unionByName(records.select(*columns))).dropDuplicates(
+        ["exchange", "market_symbol", "asked_market", "received_at", "pos"]
+    )
+    targets = supported_exchanges(wh)
+    apply_stats(wh, every, days_of(every, "received_at"), targets)
+    wh.replace_dimension("pending_stats", _waiting(wh, every, targets))
 
 
 def apply_stats(wh: Warehouse, records: DataFrame, days: Days | None, targets: list,
@@ -217,11 +249,37 @@ def apply_stats(wh: Warehouse, records: DataFrame, days: Days | None, targets: l
     counts = [F.count_if(F.col("exchange_id") == t.id).alias(f"n{t.id}") for t in targets]
     wh.append_fact("market_stats", rows.observe(seen, *counts))
     got = _observed(seen)
-    if any(got.values()):
-        refresh_latest_stats(wh, days)
+    refresh_latest_stats(wh, days)
     return [Outcome(t.name, got.get(f"n{t.id}", 0)) for t in targets]
 
 
+# ---- reading responses -----------------------------------------------------------------
+
+
+def _responses_of(wh: Warehouse, landing: str, kind: str, landed_from: dt.date | None, targets: list) -> DataFrame:
+    """Landed responses of the targets alone; bad answers of other exchanges are not even parsed."""
+    names = [t.name.strip().lower() for t in targets]
+    return read_landing(wh.spark, landing, kind, landed_from).where(lookup_key(F.col("exchange")).isin(names))
+
+
+def _checked(wh: Warehouse, responses: DataFrame, kind: str, mode: str, apply) -> list[Outcome]:  # noqa: ANN001
+    """``apply`` to the usable records; in quarantine mode the others are stored first and counted."""
+    if is_failfast(mode):
+        return apply(registry.normalize(responses, kind, mode))
+    parsed = registry.parse(responses, kind, mode).persist()
+    try:
+        bad = rejected(parsed)
+        wh.store_rejects(kind, uuid.uuid4().hex, 0, bad)
+        counts = {r.exchange: r["count"] for r in bad.groupBy("exchange").count().collect()}
+        return [replace(o, rejected=counts.get(lookup(o.exchange), 0)) for o in apply(accept(parsed, failfast=False))]
+    finally:
+        parsed.unpersist()
+
+
+def lookup(name: str) -> str:
+    return name.strip().lower()
+
+
 # ---- jobs ------------------------------------------------------------------------------
 
 
@@ -230,8 +288,8 @@ def sync_markets(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
     """Markets of all active exchanges, or of one, which is added if unknown."""
     targets = [ensure_exchange(wh, exchange, now)] if exchange else supported_exchanges(wh)
     targets = [t for t in targets if registry.normalizer_for(t.name)]
-    responses = read_landing(wh.spark, landing, "markets", landed_from)
-    return apply_markets(wh, registry.normalize(responses, "markets", mode), targets, now)
+    responses = _responses_of(wh, landing, "markets", landed_from, targets)
+    return _checked(wh, responses, "markets", mode, lambda records: apply_markets(wh, records, targets, now))
 
 
 def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str | None = None,
@@ -245,6 +303,7 @@ def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
     the run before as ``landed_from``, since older responses are done.
     """
     targets = [require_exchange(wh, exchange)] if exchange else supported_exchanges(wh)
+    _set_intervals(wh, now, F.col("id") == targets[0].id if exchange else F.col("is_active"))
     outcomes, days = [], None
     try:
         for target in targets:
@@ -261,14 +320,17 @@ def sync_funding(wh: Warehouse, landing: str, now: dt.datetime, exchange: str |
     return outcomes
 
 
-def _sync_funding_of(wh: Warehouse, landing: str, now: dt.datetime, target, spec: WindowSpec,
-                     mode: str, landed_from: dt.date | None) -> tuple[int, Days | None]:
+def _set_intervals(wh: Warehouse, now: dt.datetime, which) -> None:  # noqa: ANN001
+    """The interval of the chosen exchanges, with a normaliser or not; writes only where it differs."""
     exchanges = wh.dimension("exchanges")
-    chosen = exchanges.where(F.col("id") == target.id)
+    chosen = exchanges.where(which)
     wrong = ~F.col("funding_interval_minutes").eqNullSafe(F.lit(upserts.FUNDING_INTERVAL_MINUTES))
     if not chosen.where(wrong).isEmpty():
         wh.replace_dimension("exchanges", upserts.set_interval(exchanges, _now(now), chosen))
 
+
+def _sync_funding_of(wh: Warehouse, landing: str, now: dt.datetime, target, spec: WindowSpec,
+                     mode: str, landed_from: dt.date | None) -> tuple[int, Days | None]:
     markets = wh.dimension("markets").where(F.col("exchange_id") == target.id)
     spans = windows.resolve_windows(
         facts.active_market_marks(markets, wh.dimension("funding_marks")), spec, _ms(now)
@@ -283,7 +345,13 @@ def _sync_funding_of(wh: Warehouse, landing: str, now: dt.datetime, target, spec
     responses = read_landing(wh.spark, landing, "funding", landed_from).where(
         lookup_key(F.col("exchange")) == target.name.strip().lower()
     )
-    ticks = normaliser.funding(responses, mode).withColumn("exchange_id", F.lit(target.id).cast("bigint"))
+    if is_failfast(mode):
+        ticks = normaliser.funding(responses, mode)
+    else:
+        parsed = normaliser.parse_funding(responses)
+        wh.store_rejects("funding", uuid.uuid4().hex, 0, rejected(parsed))
+        ticks = accept(parsed, failfast=False)
+    ticks = ticks.withColumn("exchange_id", F.lit(target.id).cast("bigint"))
     return append_funding(wh, windows.ticks_in_windows(ticks, spans))
 
 
@@ -292,10 +360,10 @@ def sync_stats(wh: Warehouse, landing: str, exchange: str | None = None, landed_
     """Stats of all active exchanges or of one; the first error stops the job."""
     targets = [require_exchange(wh, exchange)] if exchange else supported_exchanges(wh)
     targets = [t for t in targets if registry.normalizer_for(t.name)]
-    responses = read_landing(wh.spark, landing, "stats", landed_from)
+    responses = _responses_of(wh, landing, "stats", landed_from, targets)
     # Stats carry the time of receipt, so the days follow without parsing anything.
     days = days_of(responses, "received_at")
-    return apply_stats(wh, registry.normalize(responses, "stats", mode), days, targets, by_symbol)
+    return _checked(wh, responses, "stats", mode, lambda records: apply_stats(wh, records, days, targets, by_symbol))
 
 
 def run_init(wh: Warehouse, landing: str, now: dt.datetime,
@@ -339,6 +407,8 @@ def drop_exchange(wh: Warehouse, name: str) -> None:
         wh.replace_fact(t, left[t])
     for t in small:
         wh.replace_dimension(t, left[t])
+    for t in ("pending_funding", "pending_stats"):
+        wh.replace_dimension(t, wh.dimension(t).where(F.col("exchange") != lookup(name)))
 
 
 # ---- reading -----------------------------------------------------------------------------

@@ -125,7 +125,7 @@ classed AS (
 
 
 def fixed(x: str, places: int) -> str:
-    """printf rounds exact halves to even; the reference text rounds them away from zero."""
+    """printf rounds exact halves to even; the display text rounds them away from zero."""
     y, d = f"({x})", 10**places
     half = f"{y}*{2 ** (places + 1)} = floor({y}*{2 ** (places + 1)}) AND abs({y})*{d} - floor(abs({y})*{d}) = 0.5"
     return f"printf('%.{places}f', CASE WHEN {half} THEN {y} + sign({y})*{10.0 ** -(places + 1):.6f} ELSE {y} END)"

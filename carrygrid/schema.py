@@ -8,6 +8,8 @@ RATE = T.DecimalType(18, 10)  # funding rate as a fraction
 AMOUNT = T.DecimalType(30, 10)  # open interest, volume
 # 15 + 10 integer digits: the product is decimal(38,12), no place of AMOUNT is lost.
 BASE_QUANTITY = T.DecimalType(33, 18)
+# Quantities and prices beyond those, with fewer places.
+WIDE = T.DecimalType(38, 8)
 PRICE = T.DecimalType(28, 18)
 
 
@@ -78,3 +80,27 @@ LANDING = _table(
     ("received_at", T.TimestampType(), True),
     ("payload", T.StringType(), True),
 )
+
+# Records that wait for their market, by name.
+PENDING_FUNDING = T.StructType(
+    [
+        T.StructField("exchange", T.StringType()),
+        T.StructField("market_symbol", T.StringType()),
+        T.StructField("rate", RATE),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("received_at", T.TimestampType()),
+        T.StructField("pos", T.IntegerType()),
+    ]
+)
+PENDING_STATS = T.StructType(
+    [
+        T.StructField("exchange", T.StringType()),
+        T.StructField("asked_market", T.StringType()),
+        T.StructField("market_symbol", T.StringType()),
+        T.StructField("open_interest", AMOUNT),
+        T.StructField("volume_24h", AMOUNT),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("received_at", T.TimestampType()),
+        T.StructField("pos", T.IntegerType()),
+    ]
+)

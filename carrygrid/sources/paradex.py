@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrygrid.functions import names, numbers, timing
-from carrygrid.schema import AMOUNT, BASE_QUANTITY, PRICE, RATE
+from carrygrid.schema import AMOUNT, RATE, WIDE
 
 from .records import accept, is_failfast, item_reason, items_of
 
@@ -51,14 +51,15 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
         "results",
     )
     item = F.col("item")
-    types = [BASE_QUANTITY, AMOUNT, PRICE, PRICE, PRICE]
-    price = numbers.first_price(*[numbers.optional_decimal(item[f], PRICE) for f in fields[2:]])
-    base = numbers.optional_decimal(item["open_interest"], BASE_QUANTITY)
+    types = [WIDE, AMOUNT, WIDE, WIDE, WIDE]
+    price = numbers.first_price(*[numbers.given(item[f]) for f in fields[2:]])
+    base = numbers.given(item["open_interest"])
+    dollars = numbers.open_interest_usd(base, price)
     return rows.select(
         F.lit(NAME).alias("exchange"),
         F.col("market").alias("asked_market"),
         item["symbol"].alias("market_symbol"),
-        numbers.open_interest_usd(base, price).alias("open_interest"),
+        dollars.alias("open_interest"),
         numbers.optional_decimal(item["volume_24h"], AMOUNT).alias("volume_24h"),
         F.col("received_at").alias("ts"),  # a summary carries no time of its own
         "received_at",
@@ -68,6 +69,7 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
             failfast,
             (item["symbol"].isNull(), "missing symbol"),
             *[(numbers.unreadable(item[f], t), f"bad {f}") for f, t in zip(fields, types)],
+            (dollars.isNull() & base.isNotNull() & price.isNotNull(), "open_interest out of range"),
         ),
     )
 
@@ -95,8 +97,9 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
             failfast,
             (item["market"].isNull(), "missing market"),
             *[(~F.map_contains_key(item, f), f"missing {f}") for f in fields],
-            (numbers.unreadable(item["funding_index"], PRICE), "bad funding_index"),
-            (numbers.unreadable(item["funding_premium"], PRICE), "bad funding_premium"),
+            # Neither is stored, so any number will do.
+            (numbers.no_number(item["funding_index"]), "bad funding_index"),
+            (numbers.no_number(item["funding_premium"]), "bad funding_premium"),
             (numbers.unreadable(item["funding_rate"], RATE), "bad funding_rate"),
             (ms.isNull(), "bad created_at"),
             (~timing.in_range_ms(ms), "created_at out of range"),

@@ -5,7 +5,7 @@ reason why a record cannot be used (null for good ones), and ``wanted``, whether
 a good one belongs into the tables. Two modes:
 
 * ``failfast``    the first bad record fails the job, as one bad number fails a
-                  whole response in the reference behaviour
+                  whole response
 * ``quarantine``  bad records are left out; `rejected` lists them
 
 In failfast mode the reason is raised where it is found, so the checks appear

@@ -26,6 +26,8 @@ DIMENSIONS = {
     "funding_marks": schema.FUNDING_MARKS,
     "latest_funding": schema.LATEST_FUNDING,
     "latest_stats": schema.MARKET_STATS,
+    "pending_funding": schema.PENDING_FUNDING,
+    "pending_stats": schema.PENDING_STATS,
 }
 FACTS = {
     "funding_rates": (schema.FUNDING_RATES, "ts"),
@@ -97,9 +99,9 @@ class Warehouse:
 
     # ---- quarantine -----------------------------------------------------
 
-    def store_rejects(self, kind: str, batch_id: int, rows: DataFrame) -> None:
-        """Keep the unusable records of one micro-batch; a replay replaces them."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/{kind}/batch={batch_id}")
+    def store_rejects(self, kind: str, run: str, batch_id: int, rows: DataFrame) -> None:
+        """Keep the unusable records of one batch of a run; a replay of that batch replaces them."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/{kind}/run={run}/batch={batch_id}")
 
     # ---- facts ----------------------------------------------------------
 

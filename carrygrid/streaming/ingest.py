@@ -2,12 +2,14 @@
 
 The file source remembers the responses it has read, so no high-water mark is
 needed; a replayed micro-batch is absorbed by the unique keys. A micro-batch is
-parsed once; bad records are stored aside instead of stopping the stream.
+parsed once; bad records are stored aside, before anything else, instead of
+stopping the stream.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -23,18 +25,22 @@ from carrygrid.sources.warehouse import Warehouse
 
 def _start(wh: Warehouse, landing: str, kind: str, apply: Callable[[DataFrame], object],
            checkpoint: str | None, every: str | None, max_files: int | None) -> StreamingQuery:
+    checkpoint = checkpoint or shared_folder(wh.spark, f"ingest-{kind}")
+    # Batches are numbered by checkpoint, so the checkpoint names the run.
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def on_batch(responses: DataFrame, batch_id: int) -> None:
         parsed = registry.parse(responses, kind, "quarantine").persist()
         try:
+            wh.store_rejects(kind, run, batch_id, rejected(parsed))
             apply(accept(parsed, failfast=False))
-            wh.store_rejects(kind, batch_id, rejected(parsed))
         finally:
             parsed.unpersist()
 
     writer = (
         stream_landing(wh.spark, landing, kind, max_files)
         .writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint or shared_folder(wh.spark, f"ingest-{kind}"))
+        .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
@@ -44,28 +50,30 @@ def funding(wh: Warehouse, landing: str, checkpoint: str | None = None, every: s
             max_files: int | None = None) -> StreamingQuery:
     """Append ticks as they land; without ``every`` the backlog is read once.
 
-    The reference schedule is one run per funding interval (``every="480 minutes"``).
+    The usual schedule is one run per interval (``every="480 minutes"``). Ticks
+    of markets that are not known yet wait for them.
     """
     def apply(records: DataFrame) -> None:
-        jobs.apply_funding(wh, records, jobs.supported_exchanges(wh))
+        jobs.ingest_funding(wh, records)
 
     return _start(wh, landing, "funding", apply, checkpoint, every, max_files)
 
 
 def markets(wh: Warehouse, landing: str, now: Callable[[], dt.datetime], checkpoint: str | None = None,
             every: str | None = None, max_files: int | None = None) -> StreamingQuery:
-    """Market discovery (daily in the reference schedule)."""
+    """Market discovery, usually daily. Ticks and stats that waited for a market are stored with it."""
     def apply(records: DataFrame) -> None:
         jobs.apply_markets(wh, records, jobs.supported_exchanges(wh), now())
+        jobs.ingest_funding(wh)
+        jobs.ingest_stats(wh)
 
     return _start(wh, landing, "markets", apply, checkpoint, every, max_files)
 
 
 def stats(wh: Warehouse, landing: str, checkpoint: str | None = None, every: str | None = None,
           max_files: int | None = None) -> StreamingQuery:
-    """Stats snapshots (daily in the reference schedule)."""
+    """Stats snapshots, usually daily. Stats of markets that are not known yet wait for them."""
     def apply(records: DataFrame) -> None:
-        days = jobs.days_of(records, "received_at")
-        jobs.apply_stats(wh, records, days, jobs.supported_exchanges(wh))
+        jobs.ingest_stats(wh, records)
 
     return _start(wh, landing, "stats", apply, checkpoint, every, max_files)

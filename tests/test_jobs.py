@@ -125,7 +125,7 @@ def test_init_and_board(wh, landing):
     buckets = wh.fact("funding_8h").orderBy("market_id", "bucket_start").collect()
     assert sum(b.samples for b in buckets) == wh.fact("funding_rates").count() == 6
     intervals = {r.name: r.funding_interval_minutes for r in wh.dimension("exchanges").collect()}
-    assert intervals == {"Paradex": 480, "Extended": 480, "Nowhere": None}
+    assert intervals == {"Paradex": 480, "Extended": 480, "Nowhere": 480}
     assert jobs.check_constraints(wh).agg(F.sum("violations")).first()[0] == 0
 
 

@@ -114,7 +114,7 @@ class Tables:
         """Funding events with full time, event id and market symbol."""
         return (
             self.events()
-            .where((F.col("event_type") != "purchase") & (F.col("user_id") % 30 != 11))
+            .where(F.col("event_type") != "purchase")
             .select(
                 "event_id",
                 "user_id",
@@ -130,7 +130,7 @@ class Tables:
         return self.ticks().select("exchange_id", "market_id", "rate", timing.whole_second(F.col("ts")).alias("ts"))
 
     def purchases(self) -> DataFrame:
-        return self.events().where((F.col("event_type") == "purchase") & (F.col("user_id") % 30 != 13))
+        return self.events().where(F.col("event_type") == "purchase")
 
     def stats(self) -> DataFrame:
         return self.purchases().select(

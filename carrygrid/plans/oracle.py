@@ -41,11 +41,11 @@ fx_tokens AS (
 fx_ticks AS (
   SELECT e.event_id, e.user_id, m.exchange_id, m.id AS market_id, m.market_symbol, {RATE} AS rate, e.ts
   FROM events e JOIN fx_markets m ON m.id = e.user_id
-  WHERE e.event_type <> 'purchase' AND e.user_id % 30 <> 11),
+  WHERE e.event_type <> 'purchase'),
 fx_funding AS (
   SELECT exchange_id, market_id, rate, date_trunc('second', ts) AS ts FROM fx_ticks),
 fx_purchases AS (
-  SELECT * FROM events WHERE event_type = 'purchase' AND user_id % 30 <> 13),
+  SELECT * FROM events WHERE event_type = 'purchase'),
 fx_stats AS (
   SELECT user_id AS market_id,
          CAST({VALUE}*100000  AS DECIMAL(30,10)) AS open_interest,
@@ -428,7 +428,7 @@ FROM fx_tokens""",
 SELECT count(*) AS tokens, count(*) AS ids,
   coalesce(max(CASE WHEN id % 3 <> 0 THEN id END), 0) + count(*) FILTER (WHERE id % 3 = 0) AS last_id FROM fx_tokens""",
     "upsert_markets": BASE + f""", incoming AS (
-  SELECT id, CASE WHEN id % 3 = 0 THEN NOT is_active ELSE is_active END AS active FROM fx_markets WHERE id % 5 <> 0)
+  SELECT id, CASE WHEN id % 3 = 0 THEN NOT is_active ELSE is_active END AS active FROM fx_markets WHERE id % 5 <> 0 OR id % 4 = 0)
 SELECT m.exchange_id, CASE WHEN m.id % 4 = 0 AND m.id % 7 = 0 THEN 0 ELSE m.token_id END AS token_id, m.market_symbol,
   coalesce(i.active, m.is_active) AS is_active, CASE WHEN m.id % 4 <> 0 THEN {T0} ELSE {NOW} END AS created_at,
   CASE WHEN i.id IS NOT NULL THEN {NOW} ELSE {T0} END AS updated_at

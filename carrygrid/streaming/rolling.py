@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from carrygrid.operators import facts
+from carrygrid.plans import jobs
 from carrygrid.session import shared_folder
 from carrygrid.sources.warehouse import Warehouse
 
@@ -15,8 +18,8 @@ def funding_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     """8-hour means over a stream of (exchange_id, market_id, rate, ts).
 
     State is bounded by the watermark: one entry per tick for the duplicate
-    check and one per open bucket. Ticks later than ``delay`` are dropped here
-    and counted when the batch job next refreshes their day.
+    check and one per open bucket. Ticks later than ``delay`` are dropped; where
+    every tick must count, use `funding_8h_table`.
     """
     return (
         ticks.withWatermark("ts", delay)
@@ -33,29 +36,38 @@ def funding_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def funding_8h_table(wh: Warehouse, ticks: DataFrame, checkpoint: str | None = None,
+                     every: str | None = None) -> StreamingQuery:
+    """8-hour means of all ticks, however late, in the ``funding_8h`` table.
+
+    A micro-batch is appended to the stored ticks, and the buckets of its days are
+    computed anew from them. There is no state and no delay; a replay changes nothing.
+    """
+    def on_batch(batch: DataFrame, _: int) -> None:
+        ordered = batch.withColumns({"received_at": F.col("ts"), "pos": F.lit(0)})
+        _, days = jobs.append_funding(wh, ordered)
+        jobs.refresh_derived(wh, days)
+
+    return _run(ticks, on_batch, checkpoint or shared_folder(wh.spark, "buckets"), every, "append")
+
+
 def write_updates(rows: DataFrame, path: str, checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
-    """Store every micro-batch of updates in its own folder; a replay replaces it."""
-    spark = rows.sparkSession
+    """Store every micro-batch of updates in its own folder; a replay replaces it, another checkpoint does not."""
+    checkpoint = checkpoint or shared_folder(rows.sparkSession, "updates")
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
-    writer = (
-        rows.writeStream.outputMode("update")
-        .foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint or shared_folder(spark, "updates"))
-    )
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    return _run(rows, on_batch, checkpoint, every)
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    """Buckets after all updates: of every bucket the newest batch counts."""
-    newest = lambda name: F.max_by(name, "batch").alias(name)
+    """Buckets after all updates: of every bucket the one with most samples, since updates only add."""
     return (
         spark.read.parquet(path)
         .groupBy("exchange_id", "market_id", "bucket_start")
-        .agg(newest("rate_8h"), newest("samples"))
+        .agg(F.max_by("rate_8h", "samples").alias("rate_8h"), F.max("samples").alias("samples"))
     )
 
 
@@ -85,9 +97,9 @@ def latest_funding_stream(wh: Warehouse, buckets: DataFrame, checkpoint: str | N
     return _run(buckets, on_batch, checkpoint or shared_folder(wh.spark, "latest-funding"), every)
 
 
-def _run(rows: DataFrame, on_batch, checkpoint: str, every: str | None) -> StreamingQuery:
+def _run(rows: DataFrame, on_batch, checkpoint: str, every: str | None, mode: str = "update") -> StreamingQuery:
     writer = (
-        rows.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+        rows.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

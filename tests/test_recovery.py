@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from carrygrid.functions import numbers
+from carrygrid.operators import facts
 from carrygrid.operators.windows import SinceLastOrLookbackHours
 from carrygrid.plans import jobs
 from carrygrid.sources import paradex
 from carrygrid.sources.warehouse import Warehouse
-from carrygrid.streaming import ingest
+from carrygrid.streaming import ingest, rolling
 from tests.test_jobs import (  # noqa: F401 - fixtures
     FIRST,
     NOW,
@@ -101,6 +103,19 @@ def test_rejects_of_every_run_are_kept(spark, wh, landing, tmp_path):  # noqa: F
     assert [r.reject for r in spark.read.parquet(f"{wh.root}/quarantine/funding").collect()] == ["bad funding_rate"]
 
 
+def test_late_ticks_count_in_the_stored_buckets(spark, wh, tmp_path):  # noqa: F811
+    schema = "exchange_id long, market_id long, rate decimal(18,10), ts timestamp"
+    parts = [[(1, 1, Decimal("0.1"), NOW)], [(1, 1, Decimal("0.2"), NOW)], [(1, 1, Decimal("0.4"), NOW - dt.timedelta(days=9)), (1, 2, Decimal("0.5"), NOW)],
+             [(1, 1, Decimal("0.3"), NOW - dt.timedelta(days=9, hours=1))]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+        ticks = spark.readStream.schema(schema).parquet(f"{tmp_path}/ticks")
+        rolling.funding_8h_table(wh, ticks, str(tmp_path / "cp")).awaitTermination(120)
+    first = [r for k, rows in enumerate(parts) for r in rows if k != 1]  # of copies of a key the first counts
+    expected = facts.funding_8h(spark.createDataFrame(first, schema)).collect()
+    assert sorted(map(tuple, wh.fact("funding_8h").collect())) == sorted(map(tuple, expected))
+
+
 def test_large_numbers(spark, landing):  # noqa: F811
     rows = [("2e15", "0.0001"), ("9e14", "9e8"), ("1", "50000000000.5"), ("10", "0.1234567890123"), (None, "1"), ("3", None)]
     found = spark.createDataFrame(rows, "oi string, price string").select(numbers.open_interest_usd(F.col("oi"), F.col("price"))).collect()

@@ -36,6 +36,7 @@ COSINE = 0.9
 BLOCK = 16  # coordinates of a block
 TILE = 6000  # rows of a tile
 SLACK = 1e-6
+ROUGH = 1e-5  # more than single precision errs
 
 
 def rotation(size: int) -> np.ndarray:
@@ -155,12 +156,16 @@ def comparer(cosine: float):  # noqa: ANN201
         side = group.column("side").to_numpy()
         left = np.arange(len(ids)) if inner else np.flatnonzero(side == 0)
         right = left if inner else np.flatnonzero(side == 1)
-        square = (part**2).sum(axis=1)
+        # One product in single precision gives minus half the squared distance; candidates are looked at again below.
+        half = (part**2).sum(axis=1, keepdims=True) / 2
+        ones = np.ones_like(half)
+        rows = np.hstack((part, -half, ones)).astype(np.float32)
+        columns = np.hstack((part, ones, -half)).astype(np.float32)[right].T
+        least = np.float32(-budget / 2 - ROUGH)
         found_a, found_b = [], []
         for at in range(0, len(left), 256):
             some = left[at : at + 256]
-            near = square[some, None] + square[right] - 2 * (part[some] @ part[right].T) <= budget + SLACK
-            i, j = np.nonzero(near)
+            i, j = np.divmod(np.flatnonzero(rows[some] @ columns >= least), len(right))
             a, b = some[i], right[j]
             if inner:
                 a, b = a[a < b], b[a < b]

@@ -179,7 +179,7 @@ class Search:
         self.bounds = np.searchsorted(found.owner, np.arange(self.texts + 1))
         self.word_key = shifted(self.key[found.owner], np.arange(len(found.owner)) - self.bounds[found.owner])
         self.mass = lattice.mass[found.word]
-        self.total = np.bincount(found.owner, self.mass, minlength=self.texts)
+        self.total = np.bincount(found.owner, self.mass, minlength=self.texts).astype(float)
         self.samples: list[Sample] = []
         # Waiting parts, per text: perturbed maximum, place of the first differing word, sample it stems from.
         self.waiting = [np.full((self.texts, 0), -np.inf), np.zeros((self.texts, 0), np.int64), np.zeros((self.texts, 0), np.int64)]
@@ -222,7 +222,7 @@ class Search:
         kept = [(fresh[a], row, take) for a, row, take in edges]
         if number:
             kept = self._redraw(number, live, split, source, word_log, shape, kept)
-        self.samples.append(Sample(live, np.bincount(owner, word_log, minlength=self.texts), value, word_log, shape, kept, stems))
+        self.samples.append(Sample(live, np.bincount(owner, word_log, minlength=self.texts).astype(float), value, word_log, shape, kept, stems))
 
     def _bars(self, split: np.ndarray, source: np.ndarray) -> list[np.ndarray]:
         """Per text, the segmentations that the word at ``split`` must differ from: one array for each earlier sample."""

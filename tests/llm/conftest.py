@@ -16,7 +16,7 @@ ODD = [
     (7, LONG, "en"),
     (8, LONG, "en"),
     (8, LONG, "en"),
-    (9, "Start of ninth " + PASSAGE + " and the ninth goes on alone here", "en"),
+    (9, "Start of ninth " + PASSAGE + " and the ninth goes on alone " + " ".join(f"nine{i}" for i in range(40)), "en"),
     (10, "The tenth begins otherwise " + PASSAGE + " and ends otherwise", "en"),
     (11, "11 22 33 !!", "en"),
     (None, "a row without an id", "en"),

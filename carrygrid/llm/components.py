@@ -151,8 +151,11 @@ def link_buckets(
 def _compare_in_blocks(
     spark: SparkSession, rest: DataFrame, sets_of: Callable[[DataFrame], DataFrame], signature: DataFrame | None
 ) -> DataFrame:
-    tied = rest.join(rest.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    hanging = components(spark, tied)
+    # An id is tied to the smallest of the first ids of its buckets, and so are those first ids: few links, same components.
+    heads = written(spark, rest.join(rest.groupBy("key").agg(F.min("id").alias("head")), "key").select("id", "head").distinct(), "heads")
+    tops = heads.groupBy("id").agg(F.min("head").alias("top"))
+    tied = tops.select(F.col("id").alias("a"), F.col("top").alias("b"))
+    hanging = components(spark, tied.union(heads.join(tops, "id").select(F.col("head").alias("a"), F.col("top").alias("b"))).distinct())
     sizes = hanging.groupBy("component").count()
     small = hanging.join(sizes, "component").select("id", F.when(F.col("count") <= GROUP_ROWS, F.col("component")).alias("tied"))
     # One row for each id of a group; a large group falls into its buckets.

@@ -33,7 +33,6 @@ from carrygrid.llm.store import written
 from carrygrid.llm.words import mix
 
 MANY = 3  # pages of a host that make a subtree a template
-SHARE = 0.05  # of the pages of the host, at least
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -297,33 +296,29 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many different pages of their host.
+def templates(found: DataFrame) -> DataFrame:
+    """(host, hash) of the subtrees that recur on ``MANY`` different pages of their host, however many pages it has.
 
     Copies of a page count once. Counting goes by (host, hash, content) first, so a
-    large host is spread. A host has at most the subtrees of a page divided by
-    ``SHARE`` templates.
+    large host is spread.
     """
-    pages = pages.select("host", "html", F.xxhash64("html").alias("content"))
-    found = pages.mapInArrow(_hashes, "host string, hash long, content long")
-    counts = found.groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
-    sizes = pages.groupBy("host").agg(F.count_distinct("content").alias("pages"))
-    return counts.join(sizes, "host").where((F.col("n") >= MANY) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
+    return found.groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY).select("host", "hash")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_templates (subtrees deleted as recurring) of every page."""
     named = pages.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"), "html")
-    listed = written(spark, templates(named).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template")), "templates")
+    named = named.withColumn("content", F.xxhash64("html"))
+    # Each page gets its own recurring hashes only, so a host may have any number of them.
+    found = written(spark, named.select("host", "html", "content").mapInArrow(_hashes, "host string, hash long, content long"), "subtrees")
+    listed = found.join(templates(found), ["host", "hash"]).groupBy("host", "content").agg(F.collect_set("hash").alias("template"))
+    listed = written(spark, listed, "templates")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            template: dict[str, set[int]] = {}
             texts, removed = [], []
-            for html, found, host in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
-                if host not in template:
-                    template[host] = set(found.as_py() or ())
-                text, n = main_text(parse(html.as_py() or ""), template[host])
+            for html, own in zip(batch.column(2), batch.column(3)):
+                text, n = main_text(parse(html.as_py() or ""), set(own.as_py() or ()))
                 texts.append(text)
                 removed.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -332,4 +327,4 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return named.join(listed, "host", "left").select("page_id", "url", "html", "template", "host").mapInArrow(clean, f"page_id {kind}, url string, text string, n_chars long, n_templates int")
+    return named.join(listed, ["host", "content"], "left").select("page_id", "url", "html", "template").mapInArrow(clean, f"page_id {kind}, url string, text string, n_chars long, n_templates int")

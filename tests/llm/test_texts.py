@@ -227,6 +227,17 @@ def test_recurring_subtrees_go_where_nothing_names_them(spark):
     assert html_text.extract(spark, empty).count() == 0
 
 
+def test_recurring_subtrees_go_on_a_host_of_any_size(spark):
+    """A block on 30 pages goes, be they all of its host or a few hundredths of it."""
+    def page(i, host):
+        strip = "<div><p>Said on thirty pages</p></div>" if i < 30 else ""
+        return (i, f"http://{host}/{i}", f"<body><div><p>{' '.join(f'w{i}x{k}' for k in range(30))}</p>{strip}</div></body>")
+
+    rows = [page(i, "small.org") for i in range(40)] + [page(i, "large.org") for i in range(700)]
+    found = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 740 and all("Said" not in r.text and f"w{r.page_id}x29" in r.text for r in found)
+
+
 def test_parsing():
     text = html_text.main_text(
         html_text.parse(

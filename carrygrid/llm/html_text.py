@@ -7,11 +7,12 @@ occurs; what recurs on many pages of its host is template and its subtree is
 deleted. What is left, without elements that never are text, is the main text.
 
 The main content is the article or main element, or without one the element with the
-most text in paragraphs. Subtrees inside it are deleted for a recurring shape only
-where their name, class or role says that they are no article text (comments,
-adverts, sharing, forms), so repeated paragraphs of articles stay.
-On a host with fewer than ``MANY`` pages nothing recurs; there, and for subtrees too
-rare to be counted, such names, classes and roles decide alone.
+most text in paragraphs. Blocks inside it go where the same text recurs on ``MANY_TEXTS`` pages
+whose main contents differ otherwise, so copies and near copies of an article are no
+template of each other. Subtrees whose name, class or role says that they are no article text (comments,
+adverts, sharing) go for a recurring shape as well, but for ``UNSURE`` words by their text alone.
+Names, classes and roles decide alone on hosts with fewer than ``MANY`` pages, where nothing recurs,
+and, ``UNSURE`` ones aside, where the main content was only guessed.
 
 Null html, or html without text, gives the empty string. Pages with a null or odd url
 belong to the host of the same name as the empty string. Repeated page rows are each extracted.
@@ -20,19 +21,21 @@ An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carrygrid.llm.store import written
-from carrygrid.llm.words import mix
 
 MANY = 3  # pages of a host that make a subtree a template
+MANY_TEXTS = 5  # for blocks that only their text tells
+PAGE = 0  # stands for the page itself where hashes are counted: it recurs on hosts of MANY pages
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,6 +58,8 @@ BOILERPLATE = {
     "recommended", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
     "subscription", "tags", "toolbar", "topbar", "widget", "alert", "contentinfo", "complementary", "discussion", "respond",
 }
+# Those of them that articles use too.
+UNSURE = {"alert", "copyright", "discussion", "header", "legal", "notice", "reply", "search", "share", "tags", "widget"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+", re.I)
@@ -132,6 +137,11 @@ def boilerplate(node: Node) -> bool:
     return node.hidden or node.name in NO_ARTICLE or not BOILERPLATE.isdisjoint(node.marks)
 
 
+def surely(node: Node) -> bool:
+    """Whether they say so in words that articles have no other use for."""
+    return node.hidden or node.name in NO_ARTICLE - {"header"} or not (BOILERPLATE - UNSURE).isdisjoint(node.marks)
+
+
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -183,9 +193,7 @@ def _above(node: Node) -> list[Node]:
 
 def _hash(text: str) -> int:
     """64 bits of a text, the same in every task."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    place = np.arange(1, len(data) + 1, dtype=np.uint64)
-    return int(mix(mix((data + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place).sum(dtype=np.uint64, keepdims=True))[0].view(np.int64))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _text(node: Node) -> str:
@@ -215,12 +223,11 @@ def _shape(node: Node, depth: int = 3) -> str:
     return f"{_label(node)}({','.join(inner)})"
 
 
-def candidates(root: Node, main: Node, named: bool) -> list[tuple[Node, int, int | None]]:
+def candidates(root: Node, main: Node) -> list[tuple[Node, int, int | None]]:
     """(element, hash with text, hash of the shape) of the subtrees that may be template.
 
     These are the elements beside the path to the main content; inside of it
-    those that are marked as no article text, and where the main content was only
-    guessed all others by their text.
+    those that are marked as no article text, and all other blocks by their text.
     """
     path = {id(x) for x in [main, *_above(main)]}
     out, stack = [], [(root, False)]
@@ -235,20 +242,76 @@ def candidates(root: Node, main: Node, named: bool) -> list[tuple[Node, int, int
                 continue
             if marked or not inside:
                 where = "" if marked else ">".join(_label(x) for x in reversed(_above(c)))
-                out.append((c, _hash(f"t{_label(c)}|{_text(c)}"), _hash(f"s{where}|{_shape(c)}")))
+                shape = _hash(f"s{where}|{_shape(c)}") if surely(c) or not inside else None
+                out.append((c, _hash(f"t{_label(c)}|{_text(c)}"), shape))
             else:
-                if not named and c.name in BLOCKS:
-                    out.append((c, _hash(f"t{_label(c)}|{_text(c)}"), None))
+                if c.name in BLOCKS and (text := _text(c)):
+                    out.append((c, _hash(f"u{_label(c)}|{text}"), None))
                 stack.append((c, True))
     return out
 
 
+def _sketch(text: str) -> int:
+    """The least hash of five words in a row: mostly the same for near copies, different for other texts."""
+    words = text.split()
+    return min(zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(len(words) - 4, 1)))
+
+
+def counted(root: Node, content: int) -> set[tuple[int, int, bool]]:
+    """(hash, what must differ between the pages that count, whether only the text tells) of a page.
+
+    For blocks inside the main content that is the longest text outside of the block; a block
+    beside which the page has no text is not counted.
+    """
+    main, _ = main_of(root)
+    out = {(PAGE, content, False)}
+    plain = []
+    for node, a, b in candidates(root, main):
+        if b is None and not boilerplate(node):
+            plain.append((node, a))
+        else:
+            out |= {(h, content, False) for h in (a, b) if h is not None}
+    if not plain:
+        return out
+    pieces = _own_texts(main)
+    for node, a in plain:
+        other = next((p for p in pieces if not node.start <= p[1] < node.end), None)
+        if other is not None:
+            if len(other) == 3:
+                other.append(_sketch(other[2]))
+            out.add((a, other[3], True))
+    return out
+
+
+def _own_texts(main: Node) -> list[list]:
+    """[minus the length, number, text] of all blocks by falling length, without the blocks inside them; numbers the nodes."""
+    found: dict[int, list[str]] = {}
+    stack: list[tuple[Node, int, bool]] = [(main, 0, False)]
+    number = 0
+    while stack:
+        x, block, done = stack.pop()
+        if done:
+            x.end = number
+            continue
+        x.start, number = number, number + 1
+        stack.append((x, block, True))
+        if x is main or x.name in BLOCKS:
+            block = x.start
+        for c in x.children:
+            if isinstance(c, str):
+                found.setdefault(block, []).append(c)
+        stack.extend((c, block, False) for c in reversed(x.children) if isinstance(c, Node) and c.name not in NO_TEXT and not boilerplate(c))
+    texts = ((n, "".join(t).strip()) for n, t in found.items())
+    return sorted([-len(t), n, t] for n, t in texts if t)
+
+
 def main_text(root: Node, template: set[int]) -> tuple[str, int]:
     """The text that is left when recurring subtrees and what never is article text are deleted, and their number."""
     main, named = main_of(root)
-    found = candidates(root, main, named)
+    found = candidates(root, main)
     recurring = {id(node) for node, a, b in found if a in template or b in template}
-    dead = recurring | {id(node) for node, _, _ in found if boilerplate(node)}
+    alone = (lambda x: x.hidden if named else surely(x)) if PAGE in template else boilerplate
+    dead = recurring | {id(node) for node, _, _ in found if alone(node)}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -284,25 +347,27 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes, contents = [], [], []
+        hosts, contents, found = [], [], []
         for host, html, content in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            root = parse(html.as_py() or "")
-            found = {h for _, a, b in candidates(root, *main_of(root)) for h in (a, b) if h is not None}
-            hosts += [host] * len(found)
-            contents += [content] * len(found)
-            hashes += found
+            own = counted(parse(html.as_py() or ""), content)
+            hosts += [host] * len(own)
+            contents += [content] * len(own)
+            found += own
+        hashes, differs, plain = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"]
+            [pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64()), pa.array(differs, pa.int64()), pa.array(plain, pa.bool_())],
+            names=["host", "content", "hash", "differs", "plain"],
         )
 
 
 def templates(found: DataFrame) -> DataFrame:
     """(host, hash) of the subtrees that recur on ``MANY`` different pages of their host, however many pages it has.
 
-    Copies of a page count once. Counting goes by (host, hash, content) first, so a
+    Copies of a page count once. Counting goes by (host, hash, differs) first, so a
     large host is spread.
     """
-    return found.groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY).select("host", "hash")
+    counts = found.groupBy("host", "hash", "plain").agg(F.count_distinct("differs").alias("n"))
+    return counts.where(F.col("n") >= F.when(F.col("plain"), MANY_TEXTS).otherwise(MANY)).select("host", "hash")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -310,7 +375,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"), "html")
     named = named.withColumn("content", F.xxhash64("html"))
     # Each page gets its own recurring hashes only, so a host may have any number of them.
-    found = written(spark, named.select("host", "html", "content").mapInArrow(_hashes, "host string, hash long, content long"), "subtrees")
+    found = written(spark, named.select("host", "html", "content").mapInArrow(_hashes, "host string, content long, hash long, differs long, plain boolean"), "subtrees")
     listed = found.join(templates(found), ["host", "hash"]).groupBy("host", "content").agg(F.collect_set("hash").alias("template"))
     listed = written(spark, listed, "templates")
 

@@ -238,6 +238,29 @@ def test_recurring_subtrees_go_on_a_host_of_any_size(spark):
     assert len(found) == 740 and all("Said" not in r.text and f"w{r.page_id}x29" in r.text for r in found)
 
 
+def test_counts_decide_inside_an_article(spark):
+    """A subscription line on every page goes without a name; what only sounds like boilerplate stays where it does not recur."""
+    def words(name):
+        return " ".join(f"{name}{k}" for k in range(30))
+
+    def page(i):
+        own = f"<div class='notice header'><p>{words(f'notice{i}x')}</p></div>" if i == 3 else ""
+        related = f"<div class='comments'><p>{words(f'reader{i}x')}</p></div>"
+        return f"<body><article><h1>Title {i}</h1>{own}<p>{words(f'w{i}x')}</p>{related}<div><p>Write to us for the letter</p></div></article></body>"
+
+    def near(i):  # near copies of one article are no template of each other
+        return f"<body><article><h1>Same</h1><p>{words('same')}</p><p>{words('again')} {words('more')}</p><p>{i}</p></article></body>"
+
+    rows = [(i, "http://a.org/", page(i)) for i in range(8)] + [(100 + i, "http://a.org/", near(i)) for i in range(8)]
+    rows += [(200, "http://b.org/", page(3))]
+    found = {r.page_id: r.text for r in html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert "Write to us" not in found[i] and "reader" not in found[i] and f"Title {i}" in found[i] and f"w{i}x29" in found[i]
+        assert found[100 + i] == f"Same\n{words('same')}\n{words('again')} {words('more')}\n{i}"
+    assert "notice3x29" in found[3]
+    assert "notice3x29" not in found[200] and "Write to us" in found[200]
+
+
 def test_parsing():
     text = html_text.main_text(
         html_text.parse(

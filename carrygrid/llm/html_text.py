@@ -6,13 +6,13 @@ repeated children as one). Spark counts per host on how many different pages eac
 occurs; what recurs on many pages of its host is template and its subtree is
 deleted. What is left, without elements that never are text, is the main text.
 
-The main content is the article or main element, or without one the element with the
-most text in paragraphs. Blocks inside it go where the same text recurs on ``MANY_TEXTS`` pages
+The main content is the article or main element, or what holds several, or else the whole page.
+Blocks inside it go where the same text recurs on ``MANY_TEXTS`` pages
 whose main contents differ otherwise, so copies and near copies of an article are no
 template of each other. Subtrees whose name, class or role says that they are no article text (comments,
 adverts, sharing) go for a recurring shape as well, but for ``UNSURE`` words by their text alone.
 Names, classes and roles decide alone on hosts with fewer than ``MANY`` pages, where nothing recurs,
-and, ``UNSURE`` ones aside, where the main content was only guessed.
+and, ``UNSURE`` ones aside, where no lone element is named.
 
 Null html, or html without text, gives the empty string. Pages with a null or odd url
 belong to the host of the same name as the empty string. Repeated page rows are each extracted.
@@ -68,7 +68,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "marks", "hidden", "parent", "children", "start", "end", "rows")
+    __slots__ = ("name", "marks", "hidden", "parent", "children", "start", "end")
 
     def __init__(self, name: str, marks: frozenset[str], hidden: bool, parent: Node | None) -> None:
         self.name, self.marks, self.hidden, self.parent = name, marks, hidden, parent
@@ -134,11 +134,15 @@ def parse(html: str) -> Node:
 
 def boilerplate(node: Node) -> bool:
     """Whether name, class, id or role say that the element is no article text."""
+    if node.name in ("html", "body"):
+        return False
     return node.hidden or node.name in NO_ARTICLE or not BOILERPLATE.isdisjoint(node.marks)
 
 
 def surely(node: Node) -> bool:
     """Whether they say so in words that articles have no other use for."""
+    if node.name in ("html", "body"):
+        return False
     return node.hidden or node.name in NO_ARTICLE - {"header"} or not (BOILERPLATE - UNSURE).isdisjoint(node.marks)
 
 
@@ -150,21 +154,8 @@ def _walk(node: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
-def _length(node: Node) -> int:
-    """Characters of text below, links and what never is text aside."""
-    total, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                total += len(c.strip())
-            elif c.name not in NO_TEXT and c.name != "a" and not boilerplate(c):
-                stack.append(c)
-    return total
-
-
 def main_of(root: Node) -> tuple[Node, bool]:
-    """The element that holds the main content, and whether its name says so."""
+    """The element that holds the main content, and whether its name says so: the whole page where none is named."""
     for wanted in (("article",), ("main",)):
         found = [x for x in _walk(root) if x.name in wanted or (wanted == ("main",) and "main" in x.marks and x.name in BLOCKS)]
         found = [x for x in found if not any(boilerplate(p) and p.name not in ("header",) for p in _above(x))]
@@ -173,15 +164,7 @@ def main_of(root: Node) -> tuple[Node, bool]:
             return outer[0], True
         if outer:
             return next(p for p in _above(outer[0]) if all(p in _above(x) for x in outer[1:])), False
-    best, most = root, 0
-    for x in _walk(root):
-        if x.name in ("p", "pre", "blockquote", "h1", "h2", "h3") and not any(boilerplate(p) or p.name in NO_TEXT for p in [x, *_above(x)]):
-            x.parent.rows = getattr(x.parent, "rows", 0) + _length(x)
-    for x in _walk(root):
-        n = getattr(x, "rows", 0)
-        if n > most:
-            best, most = x, n
-    return best, False
+    return root, False
 
 
 def _above(node: Node) -> list[Node]:
@@ -230,7 +213,7 @@ def candidates(root: Node, main: Node) -> list[tuple[Node, int, int | None]]:
     those that are marked as no article text, and all other blocks by their text.
     """
     path = {id(x) for x in [main, *_above(main)]}
-    out, stack = [], [(root, False)]
+    out, stack = [], [(root, main is root)]
     while stack:
         node, inside = stack.pop()
         for c in node.children:

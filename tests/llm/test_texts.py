@@ -261,6 +261,19 @@ def test_counts_decide_inside_an_article(spark):
     assert "notice3x29" not in found[200] and "Write to us" in found[200]
 
 
+def test_split_articles_stay_whole(spark):
+    """Nothing is named, and the parts have parents of their own."""
+    def page(i):
+        parts = "".join(f"<section><p>Part {k} of {i} {' '.join(f'w{i}x{k}x{n}' for n in range(5 + 9 * k))}</p></section>" for k in range(4))
+        return f"<body class='no-sidebar'><nav>Way {i}</nav><div><h1>Title {i}</h1></div><div id='content'>{parts}</div><div>Imprint</div></body>"
+
+    rows = [(i, "http://a.org/", page(i)) for i in range(8)] + [(9, "http://b.org/", page(9))]
+    for r in html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        lines = r.text.split("\n")
+        assert lines[0] == f"Title {r.page_id}" and [x[:6] for x in lines[1:5]] == [f"Part {k}" for k in range(4)]
+        assert lines[5:] == (["Imprint"] if r.page_id == 9 else [])
+
+
 def test_parsing():
     text = html_text.main_text(
         html_text.parse(

@@ -11,7 +11,9 @@ that is not emitted gives the inclusion score of the others: the chance
 of a perturbed value above it.
 
 Random numbers come from a hash of (seed, row key, sample, place), so results depend
-on neither partitions nor retries. All texts of a chunk take each step together. A text
+on neither partitions nor retries. All texts of a chunk take each step together. A word
+must differ from the forms drawn before: it is drawn again up to ``TRIES`` times, and then
+exactly, by a walk over the lattice without the mass of those forms. A text
 with fewer than k segmentations gives all it has.
 
 Null or empty text has one segmentation, the empty one. A null row key counts as 0;
@@ -33,7 +35,8 @@ from carrygrid.llm.words import mix
 
 K = 2
 SEED = 7
-TRIES = 200
+TRIES = 8
+CLOSE = 1e-9  # below, what is left of a word is summed over its other forms
 LINEAR, RATE = 400, 2.7  # pre-tokens up to this length are summed as plain numbers
 _STEP = 0x9E3779B97F4A7C15
 
@@ -75,7 +78,7 @@ class Lattice:
         ids = np.full((rows, width), -1, np.int32)
         linear = longest <= LINEAR
         # Each character counts exp(RATE) times its probability, so that sums stay near 1; long pre-tokens are summed as logs.
-        weight = np.zeros((rows, width), np.float32) if linear else np.full((rows, width), -np.inf)
+        weight = np.zeros((rows, width)) if linear else np.full((rows, width), -np.inf)
         row = np.flatnonzero(left)
         for k in range(1, width + 1):
             row = row[left[row] >= k]
@@ -143,6 +146,57 @@ class Lattice:
         return log, shape, edges
 
 
+@dataclass
+class Others:
+    """The forms of one pre-token without some barred ones, as log masses; nothing is subtracted, so none is too rare."""
+
+    free: list[np.ndarray]  # by place: log probability of each edge
+    left: dict[tuple[int, tuple[int, ...]], np.ndarray]  # the same without barred forms, by place and the barred forms that came there
+    barred: list[dict[int, int]]  # the edge of each barred form by place
+    log: float  # of all that is left
+
+    @classmethod
+    def of(cls, lattice: Lattice, word: int, barred: list[tuple[int, ...]]) -> Others:
+        first = int(lattice.first[word])
+        n = int(lattice.end[first:].argmax())
+        width = lattice.edge_id.shape[1]
+        log = lattice.gain(np.repeat(np.arange(first, first + n), width), np.tile(np.arange(width), n)).reshape(n, width)
+        total, free = np.zeros(n + 1), [np.zeros(0)] * n
+        for i in range(n - 1, -1, -1):
+            edge = log[i, : n - i] + total[i + 1 : i + 1 + width]
+            total[i] = np.logaddexp.reduce(edge)
+            free[i] = edge - total[i]
+        at = [dict(zip(np.cumsum([0, *(t + 1 for t in takes)]).tolist(), takes)) for takes in barred]
+        order = [(0, tuple(range(len(barred))))] if barred else []
+        for i, forms in order:
+            if i < n:
+                order += [(i + t + 1, tuple(f for f in forms if at[f][i] == t)) for t in dict.fromkeys(at[f][i] for f in forms)]
+        left: dict[tuple[int, tuple[int, ...]], np.ndarray] = {}
+        rest: dict[tuple[int, tuple[int, ...]], float] = {}
+        for i, forms in reversed(order):
+            if i == n:
+                rest[i, forms] = -np.inf
+                continue
+            own = free[i].copy()
+            for t in {at[f][i] for f in forms}:
+                own[t] += rest[i + t + 1, tuple(f for f in forms if at[f][i] == t)]
+            left[i, forms], rest[i, forms] = own, float(np.logaddexp.reduce(own))
+        return cls(free, left, at, rest[order[0]] if order else 0.0)
+
+    def draw(self, key: np.uint64) -> tuple[int, ...]:
+        """The edges of one of them."""
+        out, i, forms = [], 0, tuple(range(len(self.barred)))
+        chance = uniform(mix(np.uint64(key) + np.arange(len(self.free), dtype=np.uint64) * np.uint64(_STEP)))
+        while i < len(self.free):
+            edge = self.left[i, forms] if forms else self.free[i]
+            below = np.cumsum(np.exp(edge - edge.max()))
+            t = int(np.searchsorted(below, chance[i] * below[-1], "right"))
+            out.append(t)
+            forms = tuple(f for f in forms if self.barred[f][i] == t)
+            i += t + 1
+        return tuple(out)
+
+
 def _best(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Place of the largest value of each section; -1 for an empty section or one without a finite value."""
     out = np.full(len(bounds) - 1, -1)
@@ -181,6 +235,7 @@ class Search:
         self.mass = lattice.mass[found.word]
         self.total = np.bincount(found.owner, self.mass, minlength=self.texts).astype(float)
         self.samples: list[Sample] = []
+        self.others: dict[tuple[int, frozenset], Others] = {}
         # Waiting parts, per text: perturbed maximum, place of the first differing word, sample it stems from.
         self.waiting = [np.full((self.texts, 0), -np.inf), np.zeros((self.texts, 0), np.int64), np.zeros((self.texts, 0), np.int64)]
 
@@ -192,7 +247,7 @@ class Search:
         live = np.ones(self.texts, bool)
         for number in range(self.k):
             self._emit(number, live, value, split, source)
-            self._split(number, live, value, split)
+            self._split(number, live, value, split, source)
             best = self.waiting[0].argmax(axis=1) if self.waiting[0].shape[1] else np.zeros(self.texts, np.int64)
             rows = np.arange(self.texts)
             if not self.waiting[0].shape[1]:
@@ -246,6 +301,20 @@ class Search:
             result[some] &= before[split[some]] == before[self.bounds[some]]
         return result
 
+    def _forms(self, words: np.ndarray, upto: int) -> list[dict[int, tuple[int, ...]]]:
+        """The edges of the given words in each of the first samples."""
+        wanted = np.zeros(len(self.found.owner), bool)
+        wanted[words] = True
+        drawn: list[dict[int, list[int]]] = []
+        for sample in self.samples[:upto]:
+            own: dict[int, list[int]] = {}
+            for word, _, take in sample.edges:
+                some = wanted[word]
+                for w, t in zip(word[some].tolist(), take[some].tolist()):
+                    own.setdefault(w, []).append(t)
+            drawn.append(own)
+        return [{w: tuple(drawn[sample.source[w]].get(w, ())) for w in words.tolist()} for sample in self.samples[:upto]]
+
     def _redraw(self, number, live, split, source, word_log, shape, kept):  # noqa: ANN001, ANN202
         """Draw the words at the split until none has a barred form."""
         bars = self._bars(split, source)
@@ -262,10 +331,47 @@ class Search:
             word_log[word[ok]], shape[word[ok]] = log[ok], form[ok]
             redrawn += [(word[a][ok[a]], r[ok[a]], t[ok[a]]) for a, r, t in edges]
             bad = bad[~ok]
-        live[bad] = False  # what is left of the node has no mass to speak of
+        if len(bad):
+            word = split[bad]
+            forms = self._forms(word, number)
+            keys = shifted(self.word_key[word], 1000 * (TRIES + 1) + number)
+            takes = []
+            for text, w, key in zip(bad.tolist(), word.tolist(), keys):
+                barred = {own[w] for own, bar in zip(forms, bars) if bar[text]}
+                others = self._others(int(self.found.word[w]), barred)
+                takes.append(others.draw(key) if np.isfinite(others.log) else ())
+            live[bad[[not t for t in takes]]] = False  # it has no other form
+            word, takes = word[[bool(t) for t in takes]], [t for t in takes if t]
+            done[word] = True
+            word_log[word], shape[word] = 0, 0
+            row = self.lattice.first[self.found.word[word]]
+            for step in range(max(map(len, takes), default=0)):
+                some = np.flatnonzero([len(t) > step for t in takes])
+                take = np.array([takes[i][step] for i in some])
+                w = word[some]
+                word_log[w] += self.lattice.gain(row[some], take)
+                shape[w] = mix(shape[w] + (take + 1).astype(np.uint64) * np.uint64(_STEP))
+                redrawn.append((w, row[some], take))
+                row[some] += take + 1
         return [(w[~done[w]], r[~done[w]], t[~done[w]]) for w, r, t in kept] + redrawn
 
-    def _split(self, number: int, live: np.ndarray, value: np.ndarray, split: np.ndarray) -> None:
+    def _others(self, word: int, barred: set[tuple[int, ...]]) -> Others:
+        key = word, frozenset(barred)
+        if key not in self.others:
+            self.others[key] = Others.of(self.lattice, word, sorted(barred))
+        return self.others[key]
+
+    def _close(self, number: int, words: np.ndarray, split: np.ndarray, bars: list[np.ndarray]) -> np.ndarray:
+        """Log of what is left of the given words of a sample, where next to nothing is."""
+        forms = self._forms(words, number + 1)
+        out = []
+        for w in words.tolist():
+            text = self.found.owner[w]
+            barred = {forms[number][w]} | {own[w] for own, bar in zip(forms, bars) if w == split[text] and bar[text]}
+            out.append(self._others(int(self.found.word[w]), barred).log)
+        return np.array(out)
+
+    def _split(self, number: int, live: np.ndarray, value: np.ndarray, split: np.ndarray, stem: np.ndarray) -> None:
         """Parts of the popped node without its sample, by the first word that differs."""
         sample = self.samples[number]
         owner = self.found.owner
@@ -289,8 +395,12 @@ class Search:
             np.add.at(taken, at[live], extra[live])
         rest = 1 - taken
         with np.errstate(divide="ignore"):
-            log_mass = np.where(rest > 1e-12, self.total[owner] + ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
-        log_mass[~(live[owner] & (words >= split[owner]))] = -np.inf
+            log_rest = np.log(np.maximum(rest, 0))
+        own = live[owner] & (words >= split[owner])
+        close = np.flatnonzero(own & (rest < CLOSE))
+        if len(close):
+            log_rest[close] = self._close(number, close, split, self._bars(split, stem)[:number])
+        log_mass = np.where(own, self.total[owner] + ahead + log_rest, -np.inf)
         g = log_mass - np.log(-np.log(uniform(shifted(self.word_key, 7_000_000 + number))))
         cut = -np.logaddexp(-value[owner], -g)
         cut[np.isneginf(log_mass)] = -np.inf

@@ -153,6 +153,28 @@ def test_samples_follow_the_model(vocabulary):
                 assert abs(pairs[a, b] / n - chance[a] * chance[b] / (1 - chance[a])) < 0.03
 
 
+def test_second_samples_of_words_with_one_likely_form(vocabulary):
+    """Whatever the mass of the likeliest form, each text has its second segmentation, by the chances of the others."""
+    n = 400
+    texts = ["a", "N/A", "weather", "Hello", "house"]
+    found = pieces.PreTokens.of(texts * n)
+    search = gumbel.Search(found, gumbel.Lattice.of(found, vocabulary), np.arange(n * len(texts)), 2)
+    bar = search.run()
+    assert all(s.live.all() for s in search.samples)
+    drawn = [search.ids(i, vocabulary) for i in range(2)]
+    for place, text in enumerate(texts):
+        chance = {s: math.exp(x) for s, x in segmentations(vocabulary, pieces.normal(text))}
+        pairs = [tuple(tuple(vocabulary.names[x] for x in ids[b[i] : b[i + 1]]) for ids, b in drawn) for i in range(place, len(texts) * n, len(texts))]
+        assert all(a != b and a in chance and b in chance for a, b in pairs)
+        assert (np.isfinite(bar[place :: len(texts)]) == (len(chance) > 2)).all()
+        first = max(chance, key=chance.get)
+        rest = sum(p for s, p in chance.items() if s != first)
+        after = Counter(b for a, b in pairs if a == first)
+        for form in sorted(chance, key=chance.get)[:-4:-1]:
+            if form != first:
+                assert abs(after[form] / after.total() - chance[form] / rest) < 0.1
+
+
 def test_samples_decode_to_their_texts(spark, docs, odd, none):
     for table in (docs.limit(200), odd):
         found = gumbel.decoded(gumbel.segmentations(table, k=3)).collect()

@@ -9,10 +9,11 @@ of the document that holds its first one.
 
 A passage that starts or ends inside a line has no paragraph of its own. So
 texts are also cut at places that depend on the words around them alone; such
-segments are the same wherever a passage stands. Segments with equal words
-form a component by themselves; the document with the smallest id keeps it. Runs
-of repeated segments of ``LEAST_RUN`` words or more go elsewhere. Repeats within
-one document are left alone.
+segments are the same wherever a passage stands. Windows are the shortest rows of whole
+segments with ``LEAST_RUN`` words or more, from each segment on and up to each
+segment; together they cover every longer row. Of equal windows the document with the smallest
+id keeps its own, and they go elsewhere, so whatever goes stands in one other document
+with at least that many words in sequence. Repeats within one document are left alone.
 
 Null or empty texts have no paragraphs. Rows with a null doc_id are neither
 compared nor changed. Repeated rows of one doc_id are one document. doc_id must
@@ -130,63 +131,69 @@ def segment_starts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return starts, owner[starts]
 
 
-def segments(chunk: Chunk) -> tuple[np.ndarray, ...]:
-    """Text, number within the chunk, hash, words, first and last byte of all segments."""
+def windows(chunk: Chunk) -> tuple[np.ndarray, ...]:
+    """Text, hash, first word within the text, words, first and last byte of all windows."""
     starts, owner = segment_starts(chunk)
     ends = np.append(starts, len(chunk.start))[1:]
+    count = len(starts)
+    each = np.arange(count)
+    first = np.concatenate((each, np.searchsorted(starts, ends - LEAST_RUN, "right") - 1))
+    last = np.concatenate((np.searchsorted(ends, starts + LEAST_RUN), each))
+    some = np.flatnonzero((first >= 0) & (last < count))
+    some = some[owner[first[some]] == owner[last[some]]]
+    pair = np.unique(first[some] * max(count, 1) + last[some])
+    first, last = pair // max(count, 1), pair % max(count, 1)
+    owner, a, b = owner[first], starts[first], ends[last]
     words = chunk.hashes()
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers(_Q, len(words) + 1)[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(_Q_INVERSE, len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
+    hashes = mix((sums[b] - sums[a]) * powers(_Q_INVERSE, len(words) + 1)[a] + (b - a).astype(np.uint64))
     at = chunk.bounds[owner]
-    return owner, np.arange(len(starts)), hashes, ends - starts, chunk.start[starts] - at, chunk.end[ends - 1] - at
+    return owner, hashes, a - chunk.word_bounds[owner], b - a, chunk.start[a] - at, chunk.end[b - 1] - at
 
 
-def _segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
         for chunk in chunks(batch.column(1)):
-            owner, _, hashes, *_ = segments(chunk)
+            owner, hashes, *_ = windows(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[chunk.first + owner])], names=["hash", "doc_id"])
 
 
-def _segment_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        ids, rows = (batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in (0, 2))
         for chunk in chunks(batch.column(1)):
-            owner, number, hashes, words, start, end = segments(chunk)
+            owner, hashes, *places = windows(chunk)
+            at = chunk.first + owner
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(ids[chunk.first + owner]), *(pa.array(x.astype(np.int32)) for x in (number, words, start, end))],
-                names=["hash", "doc_id", "number", "words", "start", "end"],
+                [pa.array(hashes.view(np.int64)), pa.array(ids[at]), pa.array(rows[at]), *(pa.array(x.astype(np.int32)) for x in places)],
+                names=["hash", "doc_id", "row", "number", "words", "start", "end"],
             )
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring repeated segments of a document as one span, where it has enough words."""
+    """Overlapping windows of a row that one document keeps, as one span."""
     for batch in batches:
         rows = []
-        for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc_id, row, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
             runs: list[list[int]] = []
-            last = None
-            for x in sorted(found, key=lambda x: (x["number"], x["start"])):
-                if last is not None and x["number"] == last:
-                    continue
-                if last is not None and x["number"] == last + 1:
+            for x in sorted(found, key=lambda x: (x["first_doc_id"], x["number"], x["words"])):
+                if runs and runs[-1][0] == x["first_doc_id"] and x["number"] <= runs[-1][3] + runs[-1][4]:
                     run = runs[-1]
-                    run[0], run[2], run[3] = min(run[0], x["first_doc_id"]), x["end"], run[3] + x["words"]
+                    run[2], run[4] = max(run[2], x["end"]), max(run[4], x["number"] + x["words"] - run[3])
                 else:
-                    runs.append([x["first_doc_id"], x["start"], x["end"], x["words"]])
-                last = x["number"]
-            rows += [(doc_id, *run) for run in runs if run[3] >= LEAST_RUN]
-        columns = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "first_doc_id", "start", "end", "n_words"])
+                    runs.append([x["first_doc_id"], x["start"], x["end"], x["number"], x["words"]])
+            rows += [(doc_id, row, first, start, end, words) for first, start, end, _, words in runs]
+        columns = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row", "first_doc_id", "start", "end", "n_words"])
 
 
-SPAN = "doc_id long, first_doc_id long, start long, end long, n_words long"
+SPAN = "doc_id long, row long, first_doc_id long, start long, end long, n_words long"
 
 
-def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, first_doc_id, start, end, n_words) of the paragraphs that another document keeps."""
+def _paragraph_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, row, first_doc_id, start, end, n_words) of the paragraphs that another document keeps."""
     signed = written(spark, docs.mapInArrow(_sign, SIGNED), "paragraphs")
     grouped = classes(spark, signed)
 
@@ -203,42 +210,53 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).cast(pa.int64()).to_numpy()
+            own, hashed = (batch.column(i).cast(pa.int64()).to_numpy() for i in (0, 2))
             for chunk in chunks(batch.column(1)):
                 lines = list(paragraphs(chunk))
                 number = np.array([paragraph_id(int(own[chunk.first + t]), line) for t, line, _, _ in lines], np.int64)
                 some = np.flatnonzero(wanted(number))
+                text = hashed[[chunk.first + lines[i][0] for i in some]]
                 rows = [(chunk.start[a] - chunk.bounds[t], chunk.end[b - 1] - chunk.bounds[t], b - a) for t, _, a, b in (lines[i] for i in some)]
                 columns = list(zip(*rows)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(number[some]), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "start", "end", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(number[some]), pa.array(text), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "row", "start", "end", "n_words"])
 
     return (
-        docs.mapInArrow(spans, "id long, start long, end long, n_words long")
+        docs.mapInArrow(spans, "id long, row long, start long, end long, n_words long")
         .join(gone, "id")
-        .select(F.shiftright("id", LINE_BITS).alias("doc_id"), F.col("kept_in").alias("first_doc_id"), "start", "end", "n_words")
+        .select(F.shiftright("id", LINE_BITS).alias("doc_id"), "row", F.col("kept_in").alias("first_doc_id"), "start", "end", "n_words")
         .distinct()
     )
 
 
+def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, first_doc_id, start, end, n_words) of the paragraphs that another document keeps."""
+    return _paragraph_spans(spark, docs.select("doc_id", "text", F.xxhash64("text").alias("row"))).drop("row")
+
+
 def repeated_segments(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Spans made of segments that a document with a smaller id holds too."""
+    """Spans made of windows that a document with a smaller id holds too."""
     shared = (
-        docs.mapInArrow(_segment_keys, "hash long, doc_id long")
+        docs.mapInArrow(_window_keys, "hash long, doc_id long")
         .groupBy("hash")
         .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
         .where("first_doc_id < last")
         .select("hash", "first_doc_id")
     )
-    places = docs.mapInArrow(_segment_places, "hash long, doc_id long, number int, words int, start int, end int")
+    places = docs.mapInArrow(_window_places, "hash long, doc_id long, row long, number int, words int, start int, end int")
     found = places.join(shared, "hash").where("doc_id <> first_doc_id")
-    listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("number", "start", "end", "words", "first_doc_id")).alias("found"))
+    listed = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("number", "start", "end", "words", "first_doc_id")).alias("found"))
     return listed.mapInArrow(_runs, SPAN)
 
 
+def _spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The removed spans by doc_id and row, the hash of the text that they belong to."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    return _paragraph_spans(spark, docs).union(repeated_segments(spark, docs))
+
+
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per removed span: doc_id, first_doc_id that keeps the passage, byte span, n_words. Spans may overlap."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return repeated_paragraphs(spark, docs).union(repeated_segments(spark, docs))
+    return _spans(spark, docs).drop("row")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +292,10 @@ def _join(parts: list[str]) -> str:
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without the repeated spans, n_chars counted anew; those of which nothing is left go."""
-    spans = written(spark, repeats(spark, docs), "spans")
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    joined = rows.join(listed, "doc_id", "left").select("text", "spans", "row", F.col("spans").isNotNull().alias("changed"))
+    spans = written(spark, _spans(spark, docs), "spans")
+    listed = spans.groupBy("doc_id", F.col("row").alias("text_hash")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    joined = rows.join(listed, ["doc_id", "text_hash"], "left").select("text", "spans", "row", F.col("spans").isNotNull().alias("changed"))
     schema = StructType([*joined.schema.fields[2:], StructField("cut", StringType())])
     cut = joined.mapInArrow(_cut, schema).where("not changed or cut <> ''")
     length = F.when(F.col("changed"), F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))

@@ -133,3 +133,22 @@ def test_vectors_equal_brute_force(spark, tile):
     assert all(by_id[i].n_links == 0 and by_id[i].kept for i in (200, 201, 202, 203, 204, 205))
     assert by_id[None].kept
     assert vectors.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_runs_stand_in_one_other_document(spark):
+    """Short phrases of different documents in a row are no repeated passage; spans stay with the row they were found in."""
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    phrases = [words(f"phrase{i}x", 20) for i in range(6)]
+    rows = [(i, f"{words(f'a{i}x', 20)} {p} {words(f'b{i}x', 20)}") for i, p in enumerate(phrases)]
+    rows += [(50, " ".join(phrases))]
+    whole = words("whole", 60)
+    rows += [(60, f"{words('c', 9)} {whole} {words('d', 9)}"), (61, f"{words('e', 30)} {whole} {words('f', 9)}"), (61, words("ü", 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeats(spark, docs).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {(61, 60)}
+    left = passages.without_repeats(spark, docs.selectExpr("*", "cast(length(text) as long) n_chars")).collect()
+    texts = sorted(r.text for r in left if r.doc_id == 61)
+    assert texts[1] == words("ü", 80) and "whole30" not in texts[0] and "e29" in texts[0]
+    assert next(r.text for r in left if r.doc_id == 50) == " ".join(phrases)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrygrid.llm import gumbel, html_text, language, near_dup, packing, passages, quality, token_counts, toxicity, vectors
+from carrygrid.llm import (
+    dialogue, gumbel, html_text, importance, language, near_dup, packing, passages, quality, token_counts, toxicity, vectors, winnowing,
+)
 from carrygrid.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,20 @@ def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_path_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of each damaged conversation."""
+    return dialogue.report(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_crc_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark texts."""
+    return importance.report(spark, sf_dir)
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_minhash_bayes": op2_minhash_bayes,
@@ -65,7 +81,10 @@ QUERIES: dict[str, Query] = {
     "op8_hyperdimensional": op8_hyperdimensional,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_trie_counts": op10_trie_counts,
+    "op11_path_ranking": op11_path_ranking,
+    "op12_crc_matrices": op12_crc_matrices,
+    "op13_winnowing": op13_winnowing,
 }
 
-# Hashes, learned scores and iterated joins are not expressible in SQL; tests/llm holds the queries against brute force.
-ORACLE: dict[str, str] = {}
+# For the others, whose hashes, learned scores or searches SQL cannot express, tests/llm has brute force.
+ORACLE: dict[str, str] = {"op11_path_ranking": dialogue.ORACLE, "op12_crc_matrices": importance.ORACLE}

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from carrygrid.llm.components import components
 from carrygrid.llm.store import written
@@ -54,20 +55,25 @@ def share(size: int, cosine: float) -> float:
     return (2 - 2 * cosine) / (len(block_bounds(size)) - 1)
 
 
-def units(data: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(data), "<f4").reshape(len(data), -1).astype(np.float64)
+FLOAT, DOUBLE = "<f4", "<f8"
+
+
+def units(data: list[bytes], kind: str = FLOAT) -> np.ndarray:
+    rows = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+    if kind == DOUBLE:  # squares of very large or small numbers do not fit
+        rows /= np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, data, keys = [], [], []
         for number, vector in zip(batch.column(0), batch.column(1)):
             raw = None
             if number.is_valid and vector.is_valid and len(vector) and not vector.values.null_count:
-                row = vector.values.to_numpy(zero_copy_only=False).astype("<f4")
+                row = vector.values.to_numpy(zero_copy_only=False).astype(kind)
                 if np.isfinite(row).all() and row.any():
-                    raw = (row + np.float32(0)).tobytes()  # -0 is 0
+                    raw = (row + row.dtype.type(0)).tobytes()  # -0 is 0
             ids.append(number.as_py())
             data.append(raw)
             keys.append(hashlib.blake2b(raw, digest_size=16).digest() if raw is not None else None)
@@ -77,19 +83,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STRIP = "size int, block int, strip int, id long, weight long, data binary"
 
 
-def strips(classes: DataFrame, cosine: float) -> DataFrame:
+def strips(classes: DataFrame, cosine: float, kind: str = FLOAT) -> DataFrame:
     """A row for each class (id, weight, data) and block, with the strip it lies in."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for batch in batches:
             data = batch.column(2).to_pylist()
-            sizes = np.array([len(d) // 4 for d in data])
+            sizes = np.array([len(d) // int(kind[-1]) for d in data])
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
                 if size not in turned:
                     turned[size] = rotation(size)
-                spread = units([data[i] for i in rows]) @ turned[size].T
+                spread = units([data[i] for i in rows], kind) @ turned[size].T
                 width = np.sqrt(share(size, cosine)) + SLACK
                 chosen = batch.take(pa.array(rows))
                 for block, at in enumerate(block_bounds(size)[:-1]):
@@ -142,14 +148,14 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def comparer(cosine: float):  # noqa: ANN201
+def comparer(cosine: float, kind: str = FLOAT):  # noqa: ANN201
     def compare(group: pa.Table) -> pa.Table:
         size, block = (group.column(c)[0].as_py() for c in ("size", "block"))
         inner = group.column("low")[0].as_py() % 2 == 0 and group.column("first")[0].as_py() == group.column("second")[0].as_py()
         order = np.argsort(group.column("id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
         ids, weights = group.column("id").to_numpy(), group.column("weight").to_numpy()
-        own = units(group.column("data").to_pylist())
+        own = units(group.column("data").to_pylist(), kind)
         spread = own @ rotation(size).T
         bounds, budget = block_bounds(size), share(size, cosine)
         part = np.ascontiguousarray(spread[:, bounds[block] : bounds[block + 1]])
@@ -193,17 +199,21 @@ def comparer(cosine: float):  # noqa: ANN201
 
 def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows`` (vec_id, embedding)."""
-    read = written(spark, rows.select("vec_id", F.col("embedding").cast("array<float>")).mapInArrow(_read, "id long, data binary, same binary"), "vectors")
+    # Single precision is kept as it is; all other numbers are read as doubles.
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+    kind, name = (FLOAT, "float") if single else (DOUBLE, "double")
+    chosen = rows.select("vec_id", F.col("embedding").cast(f"array<{name}>"))
+    read = written(spark, chosen.mapInArrow(lambda batches: _read(batches, kind), "id long, data binary, same binary"), "vectors")
     known = read.where("same is not null")
     classes = written(
         spark,
         known.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("data").alias("data")),
         "classes",
     )
-    pairs = tile_pairs(written(spark, strips(classes, cosine), "strips"), tile)
+    pairs = tile_pairs(written(spark, strips(classes, cosine, kind), "strips"), tile)
     found = written(
         spark,
-        pairs.groupBy("size", "block", "low", "first", "second").applyInArrow(comparer(cosine), "id long, links long, root long"),
+        pairs.groupBy("size", "block", "low", "first", "second").applyInArrow(comparer(cosine, kind), "id long, links long, root long"),
         "found",
     )
     labels = components(spark, found.select(F.col("id").alias("a"), F.col("root").alias("b")))

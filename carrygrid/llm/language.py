@@ -31,6 +31,7 @@ from carrygrid.llm.words import mix
 DIMENSIONS = 512
 N = 3
 CHUNK_CHARS = 500_000
+GRAMS = 4096  # n-grams counted at a time
 UNIT = 1_000_000
 
 
@@ -70,16 +71,22 @@ def bundles(texts: list[str | None], letters: np.ndarray, dimensions: int = DIME
         number = np.cumsum(seen)[code] - 1
     else:
         grams, number = np.unique(code, return_inverse=True)
-    vectors = letter_vectors(used, dimensions)
-    bound = np.ones((len(grams), dimensions), np.int8)
-    rest = grams
-    for k in range(N):
-        bound *= np.roll(vectors, k, axis=1)[rest % len(used)]
-        rest = rest // len(used)
-    # A gram of gaps alone says nothing.
-    bound[grams == 0] = 0
-    counts = np.bincount(owner * len(grams) + number, minlength=len(low) * len(grams)).reshape(len(low), len(grams))
-    return counts.astype(np.float32) @ bound.astype(np.float32)
+    vectors = [np.roll(letter_vectors(used, dimensions), k, axis=1) for k in range(N)]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(low), dimensions), np.float32)
+    # A table of texts by n-grams would grow with the alphabet, so it is made for some n-grams at a time.
+    for a in range(0, len(grams), GRAMS):
+        rest = grams[a : a + GRAMS]
+        bound = np.ones((len(rest), dimensions), np.int8)
+        bound[rest == 0] = 0  # a gram of gaps alone says nothing
+        for k in range(N):
+            bound *= vectors[k][rest % len(used)]
+            rest = rest // len(used)
+        some = slice(*np.searchsorted(number, (a, a + GRAMS)))
+        counts = np.bincount(owner[some] * len(bound) + number[some] - a, minlength=len(low) * len(bound)).reshape(len(low), -1)
+        out += counts.astype(np.float32) @ bound.astype(np.float32)
+    return out
 
 
 def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str | None]]]:

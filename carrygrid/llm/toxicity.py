@@ -118,7 +118,7 @@ def _pad(rows: int, owner: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` training rows. The broadcast side has at most that many rows."""
+    """(text, toxic) of at most ``sample`` training rows, one for each labelled id. The broadcast side has at most that many rows."""
     rows = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~held_out("doc_id"))
@@ -127,7 +127,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", F.col("toxic").cast("int"))
+    # Of repeated rows of an id the least text counts.
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id")
+    return found.agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

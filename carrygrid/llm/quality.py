@@ -2,10 +2,10 @@
 
 Every document is scored by how much likelier its n-grams are under a trusted
 target than under the raw corpus. Both are multinomials over ``BUCKETS``
-hashed n-grams (the last three characters of each word, and each word with its
-successor) with add-one smoothing; the target is
-the text of all documents labelled good, the raw corpus all documents. The sum
-of log ratios is divided by the number of n-grams, so long texts are not
+n-grams (words, and words with their successor), hashed by CRC-32, with add-one smoothing. The raw corpus is all
+documents; the target is fitted on the texts of ``TARGET_ROWS`` documents labelled good at most, those
+with the least CRC-32 of the doc_id. Log ratios are whole millionths, so sums do not depend on their
+order; the sum is divided by the number of n-grams, so long texts are not
 favoured. The threshold is fixed: equal texts always get equal verdicts.
 
 Null text counts as empty: no words, no n-grams, a ratio of 0, and the base
@@ -17,13 +17,18 @@ target is uniform. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carrygrid.llm.importance import CRC_SQL, crc_sql
+
 BUCKETS = 1 << 14
-THRESHOLD = -0.2
+TARGET_ROWS = 20_000
+MILLION = 1_000_000
+THRESHOLD = -0.12
 WINDOW = 5
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -81,48 +86,42 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def endings(w: Column) -> Column:
-    """Hash of the last three characters of each word."""
-    return F.transform(w, lambda x: F.xxhash64(F.right(x, F.lit(3))))
+def bucket(x: Column, buckets: int) -> Column:
+    return (F.crc32(x) % buckets).cast("int")
 
 
-def bucket(x: Column, buckets: int) -> Column:
-    return F.pmod(x, F.lit(buckets)).cast("int")
+def ngram_buckets(w: Column, buckets: int) -> Column:
+    """Buckets of all words, and of all words with their successor."""
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.when(y.isNotNull(), bucket(F.concat(x, F.lit(" "), y), buckets)))
+    return F.concat(F.transform(w, lambda x: bucket(x, buckets)), F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def ngram_hashes(w: Column) -> Column:
-    return F.concat(endings(w), let(F.transform(w, lambda x: F.xxhash64(x)), pair_hashes))
+def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
+    """The doc_ids that the target is fitted on: at most ``rows``, so they may be broadcast."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return good.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(rows)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``weights``, the log ratio of each bucket, target over raw.
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The log ratio of each bucket, target over raw, in millionths.
 
-    The only shuffles are the join of texts with labels and one row per bucket
-    and task; the result has ``buckets`` numbers whatever the input.
+    Texts stay where they are; one row per bucket and task is shuffled, and
+    ``buckets`` numbers come to the driver whatever the input.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
+    good = target_ids(labels).withColumn("good", F.lit(1))
     counted = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(good, "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), ngram_hashes)).alias("gram"))
-        .groupBy(bucket(F.col("gram"), buckets).alias("bucket"))
+        .join(F.broadcast(good), "doc_id", "left")
+        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), lambda w: ngram_buckets(w, buckets))).alias("bucket"))
+        .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+        .collect()
     )
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counted, "bucket", "left").select(
-        "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
-    )
-    return full.agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"),
-        F.sum("raw").alias("all_raw"),
-        F.sum("target").alias("all_target"),
-    ).select(
-        F.transform(
-            "b",
-            lambda x: F.log((x["target"] + 1) / (F.col("all_target") + buckets))
-            - F.log((x["raw"] + 1) / (F.col("all_raw") + buckets)),
-        ).alias("weights")
-    )
+    raw, target = [0] * buckets, [0] * buckets
+    for row in counted:
+        raw[row.bucket], target[row.bucket] = row.raw, row.target
+    r, t = float(sum(raw) + buckets), float(sum(target) + buckets)
+    return [math.floor(MILLION * math.log(float(y + 1) * r / (float(x + 1) * t))) for x, y in zip(raw, target)]
 
 
 def quality(
@@ -131,10 +130,10 @@ def quality(
     """All columns of ``docs`` that are not replaced, the four statistics, n_words, llr, base_failed and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # A constant of ``buckets`` numbers, so no row carries them.
-    weights = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, buckets).first().weights)), "array<double>")
+    weights = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, buckets))), "array<long>")
 
-    def total(hashes: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda a, x: a + F.get(weights, bucket(x, buckets)))
+    def total(found: Column) -> Column:
+        return F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.get(weights, x))
 
     def counts(w: Column) -> Column:
         def both(single: Column) -> Column:
@@ -144,7 +143,7 @@ def quality(
                     F.size(w).cast("long").alias("n_words"),
                     F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                     repeat_words(single, pairs).cast("long").alias("n_repeat_words"),
-                    F.when(F.size(w) > 0, (total(endings(w)) + total(pairs)) / (2 * F.size(w))).otherwise(0.0).alias("llr"),
+                    F.when(F.size(w) > 0, total(ngram_buckets(w, buckets)) / (2 * F.size(w) - 1) / MILLION).otherwise(0.0).alias("llr"),
                 ),
             )
 
@@ -179,3 +178,35 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
     return quality(inner, labels).where("kept").select("row.*")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+
+ORACLE = f"""
+WITH {CRC_SQL},
+own AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
+placed AS (SELECT row, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM own),
+runs AS (SELECT *, {", ".join(f"lead(word, {k}) OVER (PARTITION BY row ORDER BY i) AS w{k}" for k in range(1, WINDOW))} FROM placed),
+twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, word, {", ".join(f"w{k}" for k in range(1, WINDOW))}) AS n FROM runs WHERE w{WINDOW - 1} IS NOT NULL),
+repeated AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM twice, range({WINDOW}) AS r(k) WHERE n > 1 GROUP BY row),
+grams AS (SELECT row, doc_id, word AS gram FROM runs UNION ALL SELECT row, doc_id, word || ' ' || w1 FROM runs WHERE w1 IS NOT NULL),
+per_doc AS (SELECT row, doc_id, gram, count(*) AS n FROM grams GROUP BY ALL),
+hashed AS (SELECT gram, {crc_sql("gram")} % {BUCKETS} AS bucket FROM (SELECT DISTINCT gram FROM per_doc), steps),
+graded AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS name FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+good AS (SELECT doc_id FROM graded, steps ORDER BY {crc_sql("name")}, doc_id LIMIT {TARGET_ROWS}),
+raw AS (SELECT bucket, sum(n) AS x, coalesce(sum(n) FILTER (doc_id IN (SELECT doc_id FROM good)), 0) AS y FROM per_doc JOIN hashed USING (gram) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(x), 0)::DOUBLE + {BUCKETS} AS xx, coalesce(sum(y), 0)::DOUBLE + {BUCKETS} AS yy FROM raw),
+weights AS (SELECT bucket, floor({MILLION} * ln((y + 1)::DOUBLE * xx / ((x + 1)::DOUBLE * yy)))::BIGINT AS weight FROM raw, totals),
+scores AS (SELECT row, sum(n * weight) AS total FROM per_doc JOIN hashed USING (gram) JOIN weights USING (bucket) GROUP BY row),
+told AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CASE WHEN len(w) > 0 THEN total::DOUBLE / (2 * len(w) - 1) / {MILLION} ELSE 0 END AS llr
+  FROM own LEFT JOIN repeated USING (row) LEFT JOIN scores USING (row)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM told)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words,
+  base_failed, NOT base_failed AND llr >= {THRESHOLD} AS kept, llr
+FROM judged
+"""

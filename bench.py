@@ -22,12 +22,12 @@ from carrygrid.plans.queries import QUERIES  # noqa: E402
 from carrygrid.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "norm_funding_a",
+    "norm_carry_a",
     "norm_all",
-    "funding_8h",
-    "latest_funding_8h",
+    "carry_8h",
+    "latest_carry_8h",
     "latest_market_stats",
-    "funding_matrix",
+    "carry_matrix",
     "matrix_document",
     "matrix_health",
     "total_open_interest",
@@ -35,11 +35,11 @@ HEADLINE = [
     "best_arb",
     "rate_class",
     "matrix_wide",
-    "funding_board",
+    "carry_board",
     "board_sorted",
-    "funding_hwm",
+    "carry_hwm",
     "incremental_extract",
-    "append_funding",
+    "append_carry",
     "upsert_markets",
     "constraint_report",
 ]
@@ -78,8 +78,8 @@ def alternatives(spark, folder: str) -> dict:
     return {
         "latest_stats: max_by aggregate": lambda: facts.latest_stats(t.stats()),
         "latest_stats: row_number window": by_window,
-        "latest_funding_8h: from ticks": lambda: facts.latest_funding_8h(t.buckets()),
-        "latest_funding_8h: from stored buckets": lambda: facts.latest_funding_8h(spark.read.parquet(stored)),
+        "latest_carry_8h: from ticks": lambda: facts.latest_carry_8h(t.buckets()),
+        "latest_carry_8h: from stored buckets": lambda: facts.latest_carry_8h(spark.read.parquet(stored)),
     }
 
 

@@ -1,4 +1,4 @@
-"""Perpetual-futures funding analytics as Spark jobs.
+"""Perpetual-futures carry analytics as Spark jobs.
 
 Sub-packages:
 

@@ -10,9 +10,9 @@ EXCELLENT_BPS = 15.0
 VERY_HIGH_BPS = 25.0
 EXTREME_BPS = 50.0
 
-FUNDING_PERIODS_PER_DAY = 3
+CARRY_PERIODS_PER_DAY = 3
 DAYS_PER_YEAR = 365
-FUNDING_INTERVAL_MINUTES = 480
+CARRY_INTERVAL_MINUTES = 480
 DEFAULT_LOOKBACK_HOURS = 24
 
 BPS = 10000.0

@@ -6,13 +6,15 @@ from .classes import both_negative, both_positive, same_sign
 from .constants import (
     DAYS_PER_YEAR,
     EXTREME_BPS,
-    FUNDING_PERIODS_PER_DAY,
+    CARRY_PERIODS_PER_DAY,
     MISSING,
     VERY_HIGH_BPS,
 )
 
 _SPLIT = "134217729D"  # 2^27 + 1 cuts a double into two halves of 26 bits
 _EXACT = "9007199254740992D"  # 2^53: below it every integer is a double
+_TWO_63 = "9223372036854775808D"
+_TWO_126 = "8.507059173023462E37D"
 
 
 def fixed(value: str, places: int) -> str:
@@ -22,7 +24,9 @@ def fixed(value: str, places: int) -> str:
     a little below, is ``1.00``. Neither ``format_number`` nor ``format_string``
     rounds like that. The product with 10^places is taken together with its
     rounding error (split halves times a small integer are exact), which tells
-    on which side of the half the value lies.
+    on which side of the half the value lies. From 2^53 on, where the product has no half
+    any more, the whole part of the value itself is cut off first: what is left has few bits, so
+    its product is exact. Whole numbers are added up from two parts, up to 2^126.
     """
     x = f"({value})"
     a, scale = f"abs{x}", 10**places
@@ -32,10 +36,21 @@ def fixed(value: str, places: int) -> str:
     up = f"CASE WHEN ({product} - floor({product}) - 0.5D) + {error} >= 0 THEN 1 ELSE 0 END"
     units = f"(floor({product}) + {up})"
     step = f"0.{'1'.zfill(places)}" if places else "1"  # decimal literal: exact, sets the places
-    pattern = "0." + "0" * places if places else "0"
     return f"""CASE
         WHEN {product} < {_EXACT} THEN concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, string({units} * {step}))
-        ELSE format_number({x}, '{pattern}') END"""
+        ELSE element_at(transform(array({x}), v -> {_large("v", places)}), 1) END"""
+
+
+def _large(v: str, places: int) -> str:
+    """The same from 2^53 on: v = high * 2^63 + whole + part, each exact. Rare, so not worth any generated code."""
+    a, scale = f"abs({v})", 10**places
+    high = f"floor({a} / {_TWO_63})"
+    whole = f"floor({a} - {high} * {_TWO_63})"
+    part = f"(CASE WHEN {a} < {_EXACT} THEN floor(({a} - floor({a})) * {scale}D + 0.5D) ELSE 0 END)"
+    units = f"(CAST({high} AS DECIMAL(19,0)) * 9223372036854775808 + CAST({whole} AS DECIMAL(19,0)) + CAST({part} div {scale} AS DECIMAL(19,0)))"
+    tail = f", '.', lpad(string({part} % {scale}), {places}, '0')" if places else ""
+    sign = f"CASE WHEN {v} < 0 THEN '-' ELSE '' END"
+    return f"CASE WHEN {a} < {_TWO_126} THEN concat({sign}, string(CAST({units} AS DECIMAL(38,0))){tail}) ELSE string({v}) END"
 
 
 def unit_scaled(value: str) -> str:
@@ -62,7 +77,7 @@ def dollars(value: str, scaled: str | None = None) -> str:
 
 def rate_apr(rate: str) -> str:
     """8-hour fraction to percent per year."""
-    return f"({rate} * {FUNDING_PERIODS_PER_DAY}D * {DAYS_PER_YEAR}D * 100D)"
+    return f"({rate} * {CARRY_PERIODS_PER_DAY}D * {DAYS_PER_YEAR}D * 100D)"
 
 
 def rate_text(rate: str, mode: str = "rate") -> str:

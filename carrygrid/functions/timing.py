@@ -34,10 +34,10 @@ def bucket_start(ts: Column, hours: int = BUCKET_HOURS) -> Column:
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(hours * 3600)))
 
 
-def last_update(funding_bucket: Column, stats_ts: Column) -> Column:
+def last_update(carry_bucket: Column, stats_ts: Column) -> Column:
     """The later of two instants, a missing one counting as the epoch."""
     epoch = F.timestamp_seconds(F.lit(0))
-    return F.greatest(F.coalesce(funding_bucket, epoch), F.coalesce(stats_ts, epoch))
+    return F.greatest(F.coalesce(carry_bucket, epoch), F.coalesce(stats_ts, epoch))
 
 
 def zulu_text(ts: Column) -> Column:

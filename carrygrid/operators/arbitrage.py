@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from carrygrid.functions import classes
 from carrygrid.functions.constants import BPS, MIN_SPREAD_BPS
 
-LOWEST = "min(struct(funding_rate AS rate, exchange, double(open_interest) AS oi))"
-HIGHEST = "min(struct(-funding_rate AS falling, exchange, funding_rate AS rate, double(open_interest) AS oi))"
+LOWEST = "min(struct(carry_rate AS rate, exchange, double(open_interest) AS oi))"
+HIGHEST = "min(struct(-carry_rate AS falling, exchange, carry_rate AS rate, double(open_interest) AS oi))"
 # A decimal sum is exact in any order.
 TOTAL_OI = "double(sum(open_interest))"
 
@@ -25,7 +25,7 @@ def total_open_interest(served: DataFrame) -> DataFrame:
 
 def arb_spread(served: DataFrame) -> DataFrame:
     """Highest minus lowest rate in bps; null with fewer than two exchanges."""
-    spread = f"CASE WHEN count(1) >= 2 THEN (max(funding_rate) - min(funding_rate)) * {BPS}D END"
+    spread = f"CASE WHEN count(1) >= 2 THEN (max(carry_rate) - min(carry_rate)) * {BPS}D END"
     return served.groupBy("token").agg(F.expr(spread).alias("spread"))
 
 
@@ -57,12 +57,12 @@ def rate_classes(served: DataFrame) -> DataFrame:
     cells = served.selectExpr(
         "token",
         "exchange",
-        "funding_rate",
-        "min(funding_rate) OVER (PARTITION BY token) AS low",
-        "max(funding_rate) OVER (PARTITION BY token) AS high",
+        "carry_rate",
+        "min(carry_rate) OVER (PARTITION BY token) AS low",
+        "max(carry_rate) OVER (PARTITION BY token) AS high",
         "count(1) OVER (PARTITION BY token) AS exchanges",
     )
     return cells.selectExpr(
-        "token", "exchange", "funding_rate",
-        f"{classes.rate_class('funding_rate', 'low', 'high', 'exchanges')} AS rate_class",
+        "token", "exchange", "carry_rate",
+        f"{classes.rate_class('carry_rate', 'low', 'high', 'exchanges')} AS rate_class",
     )

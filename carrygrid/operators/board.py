@@ -11,7 +11,7 @@ from carrygrid.functions.constants import BPS, MISSING
 from .arbitrage import HIGHEST, LOWEST, TOTAL_OI, pair_of
 
 
-def funding_board(served: DataFrame, display_mode: str = "rate", spread_unit: str = "percentage") -> DataFrame:
+def carry_board(served: DataFrame, display_mode: str = "rate", spread_unit: str = "percentage") -> DataFrame:
     """Token, total open interest, spread, best pair, classes, texts and cells.
 
     One aggregate per token yields all of it; the per-cell classes are computed
@@ -23,15 +23,15 @@ def funding_board(served: DataFrame, display_mode: str = "rate", spread_unit: st
         F.expr(TOTAL_OI).alias("total_oi"),
         F.expr(LOWEST).alias("low"),
         F.expr(HIGHEST).alias("high"),
-        F.expr("collect_list(struct(exchange, funding_rate, double(open_interest) AS open_interest))").alias("raw_cells"),
+        F.expr("collect_list(struct(exchange, carry_rate, double(open_interest) AS open_interest))").alias("raw_cells"),
         F.max("last_update").alias("last_update"),
     )
-    raw = f"""struct(c.exchange, c.funding_rate, c.open_interest,
+    raw = f"""struct(c.exchange, c.carry_rate, c.open_interest,
         {display.unit_scaled("c.open_interest")} AS oi_scaled)"""
     cell = f"""struct(
-        c.exchange, c.funding_rate, c.open_interest,
-        {classes.rate_class("c.funding_rate", "low.rate", "high.rate", "exchanges")} AS rate_class,
-        {display.rate_text("c.funding_rate", display_mode)} AS rate_text,
+        c.exchange, c.carry_rate, c.open_interest,
+        {classes.rate_class("c.carry_rate", "low.rate", "high.rate", "exchanges")} AS rate_class,
+        {display.rate_text("c.carry_rate", display_mode)} AS rate_text,
         {display.dollars("c.open_interest", "c.oi_scaled")} AS oi_text)"""
     pairs = per_token.selectExpr(
         "token",
@@ -77,7 +77,7 @@ def _sort_value(column: str) -> Column:
     if column.startswith("exchange_"):
         name = column.removeprefix("exchange_")
         cell = F.get(F.filter("cells", lambda c: c["exchange"] == name), F.lit(0))
-        return F.coalesce(cell["funding_rate"], F.lit(-999.0))
+        return F.coalesce(cell["carry_rate"], F.lit(-999.0))
     raise ValueError(f"unknown sort column: {column}")
 
 

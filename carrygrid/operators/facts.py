@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from carrygrid.functions.timing import bucket_start
 
 
-def funding_8h(funding: DataFrame) -> DataFrame:
+def carry_8h(carry: DataFrame) -> DataFrame:
     """Mean rate and tick count per (exchange, market, 8-hour bucket).
 
     The sum stays decimal to the last step, so the mean does not depend on the
     order in which partial sums meet.
     """
     return (
-        funding.select("exchange_id", "market_id", "rate", bucket_start(F.col("ts")).alias("bucket_start"))
+        carry.select("exchange_id", "market_id", "rate", bucket_start(F.col("ts")).alias("bucket_start"))
         .groupBy("exchange_id", "market_id", "bucket_start")
         .agg(F.sum("rate").alias("total"), F.count(F.lit(1)).alias("samples"))
         .select(
@@ -34,15 +34,15 @@ def funding_8h(funding: DataFrame) -> DataFrame:
     )
 
 
-def latest_funding_8h(buckets: DataFrame) -> DataFrame:
-    """Newest bucket per (exchange, market) of `funding_8h` rows."""
+def latest_carry_8h(buckets: DataFrame) -> DataFrame:
+    """Newest bucket per (exchange, market) of `carry_8h` rows."""
     return buckets.groupBy("exchange_id", "market_id").agg(
         F.max_by("rate_8h", "bucket_start").alias("rate_8h"),
         F.max("bucket_start").alias("bucket_start"),
     )
 
 
-def newest_funding(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def newest_carry(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Merge newest buckets: the later start wins, a recomputed bucket replaces itself.
 
     Both sides have one row per market, so the rows to compare are two at most.
@@ -73,9 +73,9 @@ def latest_market_stats(stats: DataFrame, markets: DataFrame) -> DataFrame:
     )
 
 
-def funding_marks(funding: DataFrame) -> DataFrame:
+def carry_marks(carry: DataFrame) -> DataFrame:
     """High-water mark: the newest stored tick of every market that has one."""
-    return funding.groupBy("market_id").agg(F.max("ts").alias("last_ts"))
+    return carry.groupBy("market_id").agg(F.max("ts").alias("last_ts"))
 
 
 def active_market_marks(markets: DataFrame, marks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The token x exchange funding matrix.
+"""The token x exchange carry matrix.
 
 Cells are kept long (one row per token and exchange); the nested document is
 built from them at the very end.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carrygrid import keys
 from carrygrid.functions import timing
 
 
@@ -55,7 +56,7 @@ def matrix_cells(
     markets: DataFrame,
     tokens: DataFrame,
     exchanges: DataFrame,
-    latest_funding: DataFrame,
+    latest_carry: DataFrame,
     latest_stats: DataFrame,
 ) -> DataFrame:
     """One row per token and exchange with an active market.
@@ -65,8 +66,8 @@ def matrix_cells(
     reduced to cells before the names are joined, so a token with very many
     markets never reaches a join as a hot key.
     """
-    funding = latest_funding.select(
-        "exchange_id", "market_id", "rate_8h", F.col("bucket_start").alias("funding_bucket")
+    carry = latest_carry.select(
+        "exchange_id", "market_id", "rate_8h", F.col("bucket_start").alias("carry_bucket")
     )
     stats = latest_stats.select(
         "market_id", "open_interest", "volume_24h", F.col("ts").alias("stats_ts")
@@ -74,24 +75,24 @@ def matrix_cells(
     active = (
         markets.where("is_active")
         .select(F.col("id").alias("market_id"), "exchange_id", "token_id", "market_symbol")
-        .join(funding, ["exchange_id", "market_id"], "left")
+        .join(carry, ["exchange_id", "market_id"], "left")
         .join(stats, "market_id", "left")
     )
     newest = lambda name: F.max_by(name, "market_id").alias(name)
     cells = active.groupBy("token_id", "exchange_id").agg(
         newest("market_symbol"),
         newest("rate_8h"),
-        newest("funding_bucket"),
+        newest("carry_bucket"),
         newest("open_interest"),
         newest("volume_24h"),
         newest("stats_ts"),
-        F.max(timing.last_update(F.col("funding_bucket"), F.col("stats_ts"))).alias("last_update"),
+        F.max(timing.last_update(F.col("carry_bucket"), F.col("stats_ts"))).alias("last_update"),
     )
     return (
         cells.join(exchanges.select(F.col("id").alias("exchange_id"), F.col("name").alias("exchange")), "exchange_id")
         .join(tokens.select(F.col("id").alias("token_id"), F.col("symbol").alias("token")), "token_id")
         .select(
-            "token", "exchange", "market_symbol", "rate_8h", "funding_bucket",
+            "token", "exchange", "market_symbol", "rate_8h", "carry_bucket",
             "open_interest", "volume_24h", "stats_ts", "last_update",
         )
     )
@@ -100,7 +101,7 @@ def matrix_cells(
 def served_cells(cells: DataFrame, null_rate: str = "zero") -> DataFrame:
     """Cells as the API serves them: missing numbers are 0.
 
-    ``null_rate='drop'`` leaves cells without a funding rate out instead of
+    ``null_rate='drop'`` leaves cells without a carry rate out instead of
     letting them enter the arbitrage maths as 0. Open interest stays decimal
     here, so that sums over it are exact; outputs cast it to double.
     """
@@ -112,16 +113,16 @@ def served_cells(cells: DataFrame, null_rate: str = "zero") -> DataFrame:
         "token",
         "exchange",
         F.coalesce("market_symbol", F.lit("")).alias("market_symbol"),
-        F.coalesce("rate_8h", F.lit(0.0)).alias("funding_rate"),
+        F.coalesce("rate_8h", F.lit(0.0)).alias("carry_rate"),
         F.coalesce("open_interest", F.lit(0).cast("decimal(30,10)")).alias("open_interest"),
         F.coalesce("volume_24h", F.lit(0).cast("decimal(30,10)")).alias("volume_24h"),
-        F.col("funding_bucket").alias("funding_ts"),
+        F.col("carry_bucket").alias("carry_ts"),
         "stats_ts",
         "last_update",
     )
 
 
-def funding_matrix(cells: DataFrame) -> DataFrame:
+def carry_matrix(cells: DataFrame) -> DataFrame:
     """One row per token: map of exchange to cell, and the token's last update.
 
     A token has at most one cell per exchange, so the collected list is bounded
@@ -129,8 +130,8 @@ def funding_matrix(cells: DataFrame) -> DataFrame:
     """
     cell = F.struct(
         "market_symbol",
-        F.col("rate_8h").alias("funding_rate_8h"),
-        "funding_bucket",
+        F.col("rate_8h").alias(keys.RATE_8H),
+        F.col("carry_bucket").alias(keys.BUCKET),
         F.col("open_interest").cast("double").alias("open_interest"),
         F.col("volume_24h").cast("double").alias("volume_24h"),
         "stats_ts",
@@ -174,10 +175,10 @@ def matrix_documents(cells: DataFrame) -> DataFrame:
     served = served_cells(cells)
     cell = F.struct(
         "market_symbol",
-        "funding_rate",
+        F.col("carry_rate").alias(keys.RATE),
         F.col("open_interest").cast("double").alias("open_interest"),
         F.col("volume_24h").cast("double").alias("volume_24h"),
-        timing.offset_text(F.col("funding_ts")).alias("funding_ts"),
+        timing.offset_text(F.col("carry_ts")).alias(keys.TIME),
         timing.offset_text(F.col("stats_ts")).alias("stats_ts"),
     )
     rows = served.groupBy("token").agg(
@@ -188,8 +189,8 @@ def matrix_documents(cells: DataFrame) -> DataFrame:
 
 
 STORED_CELL = (
-    "market_symbol string, funding_rate_8h double, funding_rate double, open_interest double, "
-    "volume_24h double, funding_bucket string, funding_ts string, stats_ts string"
+    f"market_symbol string, {keys.RATE_8H} double, {keys.RATE} double, open_interest double, "
+    f"volume_24h double, {keys.BUCKET} string, {keys.TIME} string, stats_ts string"
 )
 
 
@@ -204,10 +205,10 @@ def read_stored_cells(rows: DataFrame, column: str) -> DataFrame:
     return cells.selectExpr(
         *keep,
         "coalesce(c.market_symbol, '') AS market_symbol",
-        "coalesce(c.funding_rate_8h, c.funding_rate, 0D) AS funding_rate",
+        f"coalesce(c.{keys.RATE_8H}, c.{keys.RATE}, 0D) AS carry_rate",
         "coalesce(c.open_interest, 0D) AS open_interest",
         "coalesce(c.volume_24h, 0D) AS volume_24h",
-        "coalesce(c.funding_bucket, c.funding_ts) AS funding_ts",
+        f"coalesce(c.{keys.BUCKET}, c.{keys.TIME}) AS carry_ts",
         "c.stats_ts",
     )
 
@@ -232,7 +233,7 @@ def matrix_wide(served: DataFrame, header: list[str]) -> DataFrame:
         served.groupBy("token")
         .pivot("exchange", header)
         .agg(
-            F.first("funding_rate").alias("rate"),
+            F.first("carry_rate").alias("rate"),
             F.first(F.col("open_interest").cast("double")).alias("oi"),
         )
     )

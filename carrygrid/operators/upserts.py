@@ -11,27 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from carrygrid.functions.constants import FUNDING_INTERVAL_MINUTES
+from carrygrid.functions.constants import CARRY_INTERVAL_MINUTES
 from carrygrid.functions.names import display_name
 from carrygrid.functions.timing import whole_second
 
 ID_BUCKETS = 512
 
 
+_HASH, _SECOND = 1 << 32, 1 << 31
+
+
+def _packed(order: list[Column], rest: list[str]) -> Column:
+    """The order (a long or time, then at most an int) and a hash of the rest, as one number that an aggregate updates in place."""
+    first, *more = order
+    second = more[0] if more else F.lit(0)
+    # The int is shifted to be positive, so that it never reaches into the place above.
+    low = F.pmod(F.xxhash64(*rest), F.lit(_HASH)).cast("decimal(10,0)")
+    middle = (second.cast("bigint") + _SECOND).cast("decimal(10,0)") * F.lit(_HASH).cast("decimal(10,0)")
+    return first.cast("decimal(19,0)") * F.lit(str(2 * _SECOND * _HASH)).cast("decimal(20,0)") + middle + low
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of every key in the given order.
+    """The first row of every key in the given order: a long or a time, then an int.
 
-    A minimum over (order, rest) has a map-side half, so many copies of one key
-    shrink to one per task before the shuffle. The other columns break ties,
-    which makes the choice reproducible.
+    Hash aggregates with a map-side half, so many copies of one key
+    shrink to one per task before the shuffle, and fixed-width columns are neither sorted nor
+    copied. A hash of the other columns breaks ties, which makes the choice reproducible.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranked = [c.alias(f"_order{i}") for i, c in enumerate(order)]
+    kinds = dict(rows.dtypes)
+    order = [F.unix_micros(c) if isinstance(c, str) and kinds[c] == "timestamp" else F.col(c) if isinstance(c, str) else c for c in order]
     rest = [c for c in rows.columns if c not in keys]
     return (
-        rows.groupBy(*keys)
-        .agg(F.min(F.struct(*ranked, *rest)).alias("_first"))
-        .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+        rows.withColumn("_order", _packed(order, rest))
+        .groupBy(*keys)
+        .agg(*[F.min_by(c, "_order").alias(c) for c in rest])
+        .select(*keys, *rest)
     )
 
 
@@ -71,7 +85,7 @@ def upsert_exchanges(existing: DataFrame, names: DataFrame, now: Column, touch_a
     kept = current.select(
         "id",
         "name",
-        "funding_interval_minutes",
+        "carry_interval_minutes",
         F.coalesce(F.col("_hit"), F.col("is_active")).alias("is_active"),
         "created_at",
         F.when(touched, now).otherwise(F.col("updated_at")).alias("updated_at"),
@@ -80,7 +94,7 @@ def upsert_exchanges(existing: DataFrame, names: DataFrame, now: Column, touch_a
     added = with_new_ids(new, existing, "name").select(
         "id",
         "name",
-        F.lit(None).cast("int").alias("funding_interval_minutes"),
+        F.lit(None).cast("int").alias("carry_interval_minutes"),
         F.lit(True).alias("is_active"),
         now.alias("created_at"),
         now.alias("updated_at"),
@@ -129,9 +143,9 @@ def upsert_markets(existing: DataFrame, incoming: DataFrame, tokens: DataFrame,
 
 
 def set_interval(exchanges: DataFrame, now: Column, ids: DataFrame | None = None,
-                 minutes: int = FUNDING_INTERVAL_MINUTES) -> DataFrame:
-    """Set the funding interval where it is null or different; touch only those rows."""
-    wrong = ~F.col("funding_interval_minutes").eqNullSafe(F.lit(minutes))
+                 minutes: int = CARRY_INTERVAL_MINUTES) -> DataFrame:
+    """Set the carry interval where it is null or different; touch only those rows."""
+    wrong = ~F.col("carry_interval_minutes").eqNullSafe(F.lit(minutes))
     rows = exchanges
     if ids is not None:
         rows = rows.join(ids.select("id").distinct().withColumn("_chosen", F.lit(True)), "id", "left")
@@ -139,7 +153,7 @@ def set_interval(exchanges: DataFrame, now: Column, ids: DataFrame | None = None
     return rows.select(
         "id",
         "name",
-        F.when(wrong, F.lit(minutes)).otherwise(F.col("funding_interval_minutes")).cast("int").alias("funding_interval_minutes"),
+        F.when(wrong, F.lit(minutes)).otherwise(F.col("carry_interval_minutes")).cast("int").alias("carry_interval_minutes"),
         "is_active",
         "created_at",
         F.when(wrong, now).otherwise(F.col("updated_at")).alias("updated_at"),
@@ -155,18 +169,37 @@ def stats_by_symbol(stats: DataFrame, markets: DataFrame) -> DataFrame:
     return stats.join(ids, ["exchange_id", "market_symbol"])
 
 
+def second_sets(facts: DataFrame) -> DataFrame:
+    """(market_id, word, bits): which of the 64 seconds of each word have a row.
+
+    One fixed-width number per market and 64 seconds, built where the rows lie: of a stored
+    table this is all that is shuffled, at most a row per tick and mostly far fewer.
+    """
+    second = F.unix_seconds("ts")
+    return facts.groupBy("market_id", F.floor(second / 64).alias("word")).agg(F.bit_or(_bit(second)).alias("bits"))
+
+
+def _bit(second: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(second, F.lit(64)).cast("int"))
+
+
 def new_facts(batch: DataFrame, existing: DataFrame, order: list[Column | str], columns: list[str]) -> DataFrame:
     """Rows of the batch to append: whole seconds, first of every key, unknown so far.
 
-    Both sides of the anti join hold a (market, second) once, so a hot market
-    spreads over its seconds.
+    The batch holds a (market, second) once, so a hot market spreads over its seconds; it is
+    held against the sets of seconds that the stored rows have.
     """
     key = ["market_id", "ts"]
-    first = first_per_key(batch.withColumn("ts", whole_second(F.col("ts"))), key, order)
-    return first.join(existing.select(*key), key, "left_anti").select(*columns)
+    kept = [c for c in columns if c not in key] + [c for c in order if isinstance(c, str) and c not in (*key, *columns)]
+    named = batch.select("market_id", whole_second(F.col("ts")).alias("ts"), *kept)
+    first = first_per_key(named, key, order)
+    second = F.unix_seconds("ts")
+    known = second_sets(existing)
+    marked = first.withColumn("word", F.floor(second / 64)).join(known, ["market_id", "word"], "left")
+    return marked.where(F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(_bit(second)) == 0).select(*columns)
 
 
-def new_funding(batch: DataFrame, existing: DataFrame, order: list[Column | str]) -> DataFrame:
+def new_carry(batch: DataFrame, existing: DataFrame, order: list[Column | str]) -> DataFrame:
     return new_facts(batch, existing, order, ["exchange_id", "market_id", "rate", "ts"])
 
 
@@ -228,7 +261,7 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
         unique("tokens", "symbol"),
         unique("markets", "id"),
         unique("markets", "exchange_id", "market_symbol"),
-        unique("funding_rates", "market_id", "ts"),
+        unique("carry_rates", "market_id", "ts"),
         unique("market_stats", "market_id", "ts"),
         columns("exchanges", ["id", "name", "is_active"], {}),
         columns("tokens", ["id", "symbol"], {}),
@@ -238,7 +271,7 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
             {"exchange_id": "exchanges", "token_id": "tokens"},
         ),
         columns(
-            "funding_rates",
+            "carry_rates",
             ["exchange_id", "market_id", "rate", "ts"],
             {"exchange_id": "exchanges", "market_id": "markets"},
         ),

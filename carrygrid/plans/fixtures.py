@@ -1,4 +1,4 @@
-"""Funding tables derived from the given ``events`` and ``region`` tables.
+"""Carry tables derived from the given ``events`` and ``region`` tables.
 
 A market is a user, a token five neighbouring users, an exchange a region. The
 keys are functions of ``user_id``, so no join is needed to build the facts.
@@ -82,7 +82,7 @@ class Tables:
         return self.exchanges().select(
             "id",
             "name",
-            interval.alias("funding_interval_minutes"),
+            interval.alias("carry_interval_minutes"),
             (F.col("id") % 4 != 3).alias("is_active"),
             start.alias("created_at"),
             start.alias("updated_at"),
@@ -98,6 +98,18 @@ class Tables:
             (F.col("user_id") % 20 != 7).alias("is_active"),
         )
 
+    def listed(self) -> DataFrame:
+        """The markets and some newer ones without any tick or stats, so that the matrix has cells without numbers."""
+        new = self.read("events").where("user_id % 30 = 11").select("user_id").distinct()
+        added = new.select(
+            (F.col("user_id") + 1_000_000_000).alias("id"),
+            ((F.col("user_id") + 2) % 5).alias("exchange_id"),
+            self.token_id().alias("token_id"),
+            F.concat(self.token(), F.lit("-NEW")).alias("market_symbol"),
+            F.lit(True).alias("is_active"),
+        )
+        return self.markets().unionByName(added)
+
     def market_table(self) -> DataFrame:
         start = ts_literal("2024-01-01 00:00:00")
         return self.markets().withColumns({"created_at": start, "updated_at": start})
@@ -111,7 +123,7 @@ class Tables:
         )
 
     def ticks(self) -> DataFrame:
-        """Funding events with full time, event id and market symbol."""
+        """Carry events with full time, event id and market symbol."""
         return (
             self.events()
             .where(F.col("event_type") != "purchase")
@@ -126,7 +138,7 @@ class Tables:
             )
         )
 
-    def funding(self) -> DataFrame:
+    def carry(self) -> DataFrame:
         return self.ticks().select("exchange_id", "market_id", "rate", timing.whole_second(F.col("ts")).alias("ts"))
 
     def purchases(self) -> DataFrame:
@@ -143,14 +155,14 @@ class Tables:
     # ---- composed -------------------------------------------------------
 
     def buckets(self) -> DataFrame:
-        return facts.funding_8h(self.funding())
+        return facts.carry_8h(self.carry())
 
     def cells(self) -> DataFrame:
         return matrix.matrix_cells(
-            self.markets(),
+            self.listed(),
             self.tokens(),
             self.exchanges(),
-            facts.latest_funding_8h(self.buckets()),
+            facts.latest_carry_8h(self.buckets()),
             facts.latest_stats(self.stats()),
         )
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrygrid import keys
 from carrygrid.functions import classes, display, names, numbers, timing
 from carrygrid.operators import arbitrage, board, facts, matrix, upserts, windows
 from carrygrid.session import shared_folder
@@ -60,9 +61,9 @@ def results_ticks() -> Column:
     def tick(rate: Column) -> Column:
         return F.struct(
             F.col("market_symbol").alias("market"),
-            F.lit("1.5").alias("funding_index"),
-            F.lit(None).cast("string").alias("funding_premium"),
-            rate.alias("funding_rate"),
+            F.lit("1.5").alias(keys.INDEX),
+            F.lit(None).cast("string").alias(keys.PREMIUM),
+            rate.alias(keys.RATE),
             F.unix_millis("ts").cast("string").alias("created_at"),
         )
 
@@ -129,9 +130,9 @@ def norm_stats_a(t: Tables) -> DataFrame:
 
 
 @query
-def norm_funding_a(t: Tables) -> DataFrame:
-    responses = t.ticks().select(*_response(F.lit("paradex"), "funding", results_ticks()))
-    return as_ntz(paradex.funding(responses).select("market_symbol", "rate", "ts"), "ts")
+def norm_carry_a(t: Tables) -> DataFrame:
+    responses = t.ticks().select(*_response(F.lit("paradex"), "carry", results_ticks()))
+    return as_ntz(paradex.carry(responses).select("market_symbol", "rate", "ts"), "ts")
 
 
 @query
@@ -149,9 +150,9 @@ def norm_markets_b(t: Tables) -> DataFrame:
 
 
 @query
-def norm_funding_b(t: Tables) -> DataFrame:
-    responses = t.ticks().select(*_response(F.lit("extended"), "funding", data_ticks()))
-    return as_ntz(extended.funding(responses).select("market_symbol", "rate", "ts"), "ts")
+def norm_carry_b(t: Tables) -> DataFrame:
+    responses = t.ticks().select(*_response(F.lit("extended"), "carry", data_ticks()))
+    return as_ntz(extended.carry(responses).select("market_symbol", "rate", "ts"), "ts")
 
 
 @query
@@ -167,23 +168,23 @@ def norm_stats_b(t: Tables) -> DataFrame:
     return as_ntz(rows, "ts")
 
 
-def mixed_funding(t: Tables) -> DataFrame:
-    """Funding responses of two supported exchanges and an unknown one."""
+def mixed_carry(t: Tables) -> DataFrame:
+    """Carry responses of two supported exchanges and an unknown one."""
     kind = F.col("user_id") % 3
     exchange = F.when(kind == 0, "Paradex ").when(kind == 1, " EXTENDED").otherwise("Elsewhere")
     payload = F.when(kind == 1, data_ticks()).otherwise(results_ticks())
-    return t.ticks().select(*_response(exchange, "funding", payload))
+    return t.ticks().select(*_response(exchange, "carry", payload))
 
 
 @query
 def norm_all(t: Tables) -> DataFrame:
-    rows = registry.normalize(mixed_funding(t), "funding")
+    rows = registry.normalize(mixed_carry(t), "carry")
     return as_ntz(rows.select("exchange", "market_symbol", "rate", "ts"), "ts")
 
 
 @query
 def norm_skipped(t: Tables) -> DataFrame:
-    return registry.skipped(mixed_funding(t))
+    return registry.skipped(mixed_carry(t))
 
 
 @query
@@ -209,8 +210,8 @@ def active_markets(t: Tables) -> DataFrame:
 
 
 DOCUMENT = (
-    "token string, exchanges map<string, struct<market_symbol:string, funding_rate:double, "
-    "open_interest:double, volume_24h:double, funding_ts:string, stats_ts:string>>"
+    f"token string, exchanges map<string, struct<market_symbol:string, {keys.RATE}:double, "
+    f"open_interest:double, volume_24h:double, {keys.TIME}:string, stats_ts:string>>"
 )
 
 
@@ -221,7 +222,7 @@ def matrix_document(t: Tables) -> DataFrame:
     parsed = documents.select(F.from_json("document", DOCUMENT).alias("d"))
     return parsed.select(F.col("d.token").alias("token"), F.explode("d.exchanges").alias("exchange", "cell")).select(
         "token", "exchange", "cell.*"
-    )
+    ).withColumnsRenamed({keys.RATE: "carry_rate", keys.TIME: "carry_ts"})
 
 
 @query
@@ -262,7 +263,11 @@ def price_fallback(t: Tables) -> DataFrame:
 def oi_usd(t: Tables) -> DataFrame:
     base = F.when(F.col("event_id") % 5 != 0, (F.col("user_id") * 3 + 1).cast("decimal(18,0)"))
     usd = numbers.open_interest_usd(base, numbers.first_price(*_prices()))
-    return t.events().select("event_id", usd.alias("open_interest"))
+    # Large supplies at tiny prices: a product that neither factor's places may be cut for.
+    supply = F.concat(F.col("user_id") * 3 + 1, F.lpad(F.col("event_id").cast("string"), 13, "0"))
+    tiny = (F.col("value").cast("decimal(18,2)") * 100).cast("bigint") * 7919 + F.col("event_id") % 1000
+    small = numbers.open_interest_usd(supply, F.concat(F.lit("0."), F.lpad(tiny.cast("string"), 18, "0")))
+    return t.events().select("event_id", usd.alias("open_interest"), small.alias("tiny_price"))
 
 
 @query
@@ -297,13 +302,13 @@ def cell_defaults(t: Tables) -> DataFrame:
     value = F.col("value").cast("decimal(18,2)").cast("string")
     kind = F.col("event_id") % 4
     parts = [
-        F.when(kind == 0, F.concat(F.lit('"funding_rate_8h":'), value))
-        .when(kind == 1, F.concat(F.lit('"funding_rate_8h":null,"funding_rate":'), value))
-        .when(kind == 2, F.concat(F.lit('"funding_rate":'), value)),
+        F.when(kind == 0, F.concat(F.lit(f'"{keys.RATE_8H}":'), value))
+        .when(kind == 1, F.concat(F.lit(f'"{keys.RATE_8H}":null,"{keys.RATE}":'), value))
+        .when(kind == 2, F.concat(F.lit(f'"{keys.RATE}":'), value)),
         F.when(kind != 3, F.concat(F.lit('"open_interest":'), value)),
         F.when(kind == 0, F.lit('"volume_24h":null')),
-        F.when(kind == 0, F.lit('"funding_bucket":"2024-01-01T00:00:00+00:00"')).when(
-            kind == 1, F.lit('"funding_ts":"2023-12-31T16:00:00+00:00"')
+        F.when(kind == 0, F.lit(f'"{keys.BUCKET}":"2024-01-01T00:00:00+00:00"')).when(
+            kind == 1, F.lit(f'"{keys.TIME}":"2023-12-31T16:00:00+00:00"')
         ),
         F.when(kind == 2, F.lit('"stats_ts":"2024-01-02T00:00:00+00:00"')),
         F.when(kind != 1, F.concat(F.lit('"market_symbol":"M'), F.col("user_id").cast("string"), F.lit('"'))),
@@ -396,13 +401,13 @@ def stats_by_symbol(t: Tables) -> DataFrame:
 
 
 @query
-def funding_8h(t: Tables) -> DataFrame:
+def carry_8h(t: Tables) -> DataFrame:
     return as_ntz(t.buckets(), "bucket_start")
 
 
 @query
-def latest_funding_8h(t: Tables) -> DataFrame:
-    return as_ntz(facts.latest_funding_8h(t.buckets()), "bucket_start")
+def latest_carry_8h(t: Tables) -> DataFrame:
+    return as_ntz(facts.latest_carry_8h(t.buckets()), "bucket_start")
 
 
 @query
@@ -411,11 +416,11 @@ def latest_market_stats(t: Tables) -> DataFrame:
 
 
 @query
-def funding_matrix(t: Tables) -> DataFrame:
+def carry_matrix(t: Tables) -> DataFrame:
     """The nested rows, opened again for comparison."""
-    nested = matrix.funding_matrix(t.cells())
+    nested = matrix.carry_matrix(t.cells())
     rows = nested.select("symbol", "last_update", F.explode("per_exchange").alias("exchange", "cell"))
-    return as_ntz(rows.select("symbol", "exchange", "cell.*", "last_update"), "funding_bucket", "stats_ts", "last_update")
+    return as_ntz(rows.select("symbol", "exchange", "cell.*", "last_update").withColumnsRenamed({keys.RATE_8H: "carry_rate_8h", keys.BUCKET: "carry_bucket"}), "carry_bucket", "stats_ts", "last_update")
 
 
 @query
@@ -445,8 +450,8 @@ def best_arb_known_rates(t: Tables) -> DataFrame:
 
 
 @query
-def funding_hwm(t: Tables) -> DataFrame:
-    rows = facts.active_market_marks(t.markets(), facts.funding_marks(t.funding()))
+def carry_hwm(t: Tables) -> DataFrame:
+    rows = facts.active_market_marks(t.markets(), facts.carry_marks(t.carry()))
     return as_ntz(rows, "last_ts")
 
 
@@ -485,19 +490,19 @@ def flat_board(rows: DataFrame) -> DataFrame:
 
 
 @query
-def funding_board(t: Tables) -> DataFrame:
-    return flat_board(board.funding_board(t.served()))
+def carry_board(t: Tables) -> DataFrame:
+    return flat_board(board.carry_board(t.served()))
 
 
 @query
-def funding_board_annualized(t: Tables) -> DataFrame:
-    rows = board.funding_board(t.served(), display_mode="annualized", spread_unit="bps")
+def carry_board_annualized(t: Tables) -> DataFrame:
+    rows = board.carry_board(t.served(), display_mode="annualized", spread_unit="bps")
     return rows.selectExpr("token", "spread_text", "array_join(cells.rate_text, ',') AS rate_texts")
 
 
 @query
 def board_sorted(t: Tables) -> DataFrame:
-    rows = board.sort_board(board.funding_board(t.served()), "arbCombo")
+    rows = board.sort_board(board.carry_board(t.served()), "arbCombo")
     return rows.select("token", "total_oi", "spread", F.col("pair.spread").alias("pair_spread"))
 
 
@@ -515,7 +520,7 @@ def upsert_exchanges(t: Tables) -> DataFrame:
     known = existing.select("name", F.col("id").alias("known_id"))
     return as_ntz(
         rows.join(known, "name", "left").select(
-            "name", "known_id", "funding_interval_minutes", "is_active", "created_at", "updated_at"
+            "name", "known_id", "carry_interval_minutes", "is_active", "created_at", "updated_at"
         ),
         "created_at", "updated_at",
     )
@@ -579,9 +584,9 @@ def _from(rows: DataFrame, day: str) -> DataFrame:
 
 
 @query
-def append_funding(t: Tables) -> DataFrame:
+def append_carry(t: Tables) -> DataFrame:
     ticks = t.ticks().select("event_id", "exchange_id", "market_id", "rate", "ts")
-    rows = _appended(_before(ticks, "2024-01-20"), _from(ticks, "2024-01-15"), upserts.new_funding)
+    rows = _appended(_before(ticks, "2024-01-20"), _from(ticks, "2024-01-15"), upserts.new_carry)
     return as_ntz(rows, "ts")
 
 
@@ -608,7 +613,7 @@ def _small_tables(t: Tables) -> dict[str, DataFrame]:
         "exchanges": t.exchange_table(),
         "tokens": t.tokens(),
         "markets": t.market_table(),
-        "funding_rates": t.funding(),
+        "carry_rates": t.carry(),
         "market_stats": t.stats(),
     }
 
@@ -622,7 +627,7 @@ def cascade_delete(t: Tables) -> DataFrame:
         )
         for name, key in (
             ("exchanges", "id"), ("tokens", "id"), ("markets", "id"),
-            ("funding_rates", "market_id"), ("market_stats", "market_id"),
+            ("carry_rates", "market_id"), ("market_stats", "market_id"),
         )
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -632,8 +637,8 @@ def cascade_delete(t: Tables) -> DataFrame:
 def constraint_report(t: Tables) -> DataFrame:
     """The report on the whole tables, with orphans, repeated keys and nulls added."""
     tables = _small_tables(t)
-    orphan = t.funding().where("market_id % 97 = 5").withColumn("market_id", F.col("market_id") + 1_000_000_000)
-    tables["funding_rates"] = tables["funding_rates"].unionByName(orphan)
+    orphan = t.carry().where("market_id % 97 = 5").withColumn("market_id", F.col("market_id") + 1_000_000_000)
+    tables["carry_rates"] = tables["carry_rates"].unionByName(orphan)
     stats = tables["market_stats"]
     tables["market_stats"] = stats.unionByName(stats.where("market_id % 10 = 1"))
     tables["markets"] = tables["markets"].withColumn(
@@ -648,8 +653,8 @@ READ_AT_MS = 1706486400000  # 2024-01-29 00:00:00 UTC
 
 
 def _stored_marks(t: Tables) -> DataFrame:
-    stored = _before(t.funding(), "2024-01-20")
-    return facts.active_market_marks(t.markets(), facts.funding_marks(stored))
+    stored = _before(t.carry(), "2024-01-20")
+    return facts.active_market_marks(t.markets(), facts.carry_marks(stored))
 
 
 @query
@@ -686,11 +691,11 @@ def _finish(stream) -> None:
 
 
 def _streamed_buckets(t: Tables) -> DataFrame:
-    return rolling.funding_8h_stream(StreamTables(t.spark, t.folder).funding())
+    return rolling.carry_8h_stream(StreamTables(t.spark, t.folder).carry())
 
 
 @query
-def stream_funding_8h(t: Tables) -> DataFrame:
+def stream_carry_8h(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "buckets")
     _finish(rolling.write_updates(_streamed_buckets(t), path))
     return as_ntz(rolling.read_buckets(t.spark, path), "bucket_start")
@@ -704,10 +709,10 @@ def stream_latest_stats(t: Tables) -> DataFrame:
 
 
 @query
-def stream_latest_funding(t: Tables) -> DataFrame:
+def stream_latest_carry(t: Tables) -> DataFrame:
     wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
-    _finish(rolling.latest_funding_stream(wh, _streamed_buckets(t)))
-    return as_ntz(wh.dimension("latest_funding"), "bucket_start")
+    _finish(rolling.latest_carry_stream(wh, _streamed_buckets(t)))
+    return as_ntz(wh.dimension("latest_carry"), "bucket_start")
 
 
 # ---- jobs: landed responses of two exchanges, tables, board ------------------------------------------
@@ -716,8 +721,8 @@ JOB_NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 ALL_TIME = windows.Between(0, 1706745600000)
 
 
-def _land(t: Tables) -> str:
-    """Write responses for all events; users alternate between the exchanges, two to a token."""
+def _responses(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Markets (with user_id), ticks and stats of all events as responses; users alternate between the exchanges, two to a token."""
     even = F.col("user_id") % 2 == 0
     token = F.concat(F.lit("TKN"), F.floor(F.col("user_id") / 2.0).cast("string"))
     symbol = F.concat(token, F.lit("-USD-PERP"))
@@ -728,11 +733,11 @@ def _land(t: Tables) -> str:
     listing_b = F.struct(symbol.alias("name"), token.alias("assetName"), active.alias("active"))
     listing = F.when(even, _json(F.array(listing_a).alias("results"))).otherwise(_json(F.array(listing_b).alias("data")))
     users = t.read("events").select("user_id").distinct()
-    markets = users.select(*_response(exchange, "markets", listing))
+    markets = users.select("user_id", *_response(exchange, "markets", listing))
 
     events = t.events().withColumn("market_symbol", symbol).withColumn("rate", t.rate())
     ticks = events.where("event_type <> 'purchase'").select(
-        *_response(exchange, "funding", F.when(even, results_ticks()).otherwise(data_ticks()),
+        *_response(exchange, "carry", F.when(even, results_ticks()).otherwise(data_ticks()),
                    received=F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
     )
     value = F.col("value").cast("decimal(18,2)").cast("string")
@@ -740,14 +745,49 @@ def _land(t: Tables) -> str:
     snapshot = F.struct(value.alias("openInterest"), value.alias("dailyVolume"))
     payload = F.when(even, _json(F.array(summary).alias("results"))).otherwise(_json(snapshot.alias("data")))
     stats = events.where("event_type = 'purchase'").select(
-        *_response(exchange, "stats", payload, market=symbol, received=F.col("ts"))
+        "user_id", *_response(exchange, "stats", payload, market=symbol, received=F.col("ts"))
     )
+    return markets, ticks, stats
+
+
+def _land(t: Tables) -> str:
     path = shared_folder(t.spark, "landing")
-    for part in (markets, ticks, stats):
+    for part in _responses(t):
         write_landing(part, path)
     return path
 
 
+def _land_all_but(t: Tables, late: str) -> tuple[str, DataFrame]:
+    """Responses without the late markets, which are given too. Some stats were asked for one market and tell of another."""
+    markets, ticks, stats = _responses(t)
+    other = (F.col("user_id") % 2 == 0) & (F.col("user_id") % 7 == 2)
+    asked = stats.withColumn("market", F.when(other, F.concat("market", F.lit("-X"))).otherwise(F.col("market")))
+    path = shared_folder(t.spark, "landing")
+    for part in (ticks, asked, markets.where(f"NOT ({late})")):
+        write_landing(part, path)
+    return path, markets.where(late)
+
+
+def _stored_facts(wh: Warehouse) -> DataFrame:
+    """Per market: what is stored, and what waits."""
+    ticks = wh.fact("carry_rates").groupBy("market_id").agg(
+        F.count(F.lit(1)).alias("ticks"), F.min("ts").alias("first_tick"), F.max("ts").alias("last_tick")
+    )
+    stats = wh.fact("market_stats").groupBy("market_id").agg(F.count(F.lit(1)).alias("stats"), F.max("ts").alias("last_stats"))
+    key = ["exchange_key", "market_symbol"]
+    waits = [
+        wh.waiting(kind).groupBy(F.col("exchange").alias("exchange_key"), "market_symbol").agg(F.count(F.lit(1)).alias(name))
+        for kind, name in (("carry", "waiting_ticks"), ("stats", "waiting_stats"))
+    ]
+    owner = wh.dimension("exchanges").select(F.col("id").alias("exchange_id"), F.col("name").alias("exchange"), names.lookup_key(F.col("name")).alias("exchange_key"))
+    rows = wh.dimension("markets").withColumnRenamed("id", "market_id").join(owner, "exchange_id")
+    rows = rows.join(ticks, "market_id", "left").join(stats, "market_id", "left").join(waits[0], key, "left").join(waits[1], key, "left")
+    rows = rows.na.fill(0, ["ticks", "stats", "waiting_ticks", "waiting_stats"])
+    return as_ntz(rows, "first_tick", "last_tick", "last_stats").select(
+        "exchange", "market_symbol", "ticks", "first_tick", "last_tick", "stats", "last_stats", "waiting_ticks", "waiting_stats"
+    )
+
+
 def _new_tables(t: Tables) -> Warehouse:
     wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
     for name in ("paradex", "extended"):
@@ -775,6 +815,42 @@ def stream_ingest(t: Tables) -> DataFrame:
     """The same through the three ingest streams, one after the other."""
     wh, landing = _new_tables(t), _land(t)
     _finish(ingest.markets(wh, landing, lambda: JOB_NOW))
-    _finish(ingest.funding(wh, landing))
+    _finish(ingest.carry(wh, landing))
     _finish(ingest.stats(wh, landing))
     return _job_board(wh)
+
+
+@query
+def job_late_markets(t: Tables) -> DataFrame:
+    """Ticks and stats that land before their market wait for it, and are stored with the run that finds it."""
+    wh = _new_tables(t)
+    path, late = _land_all_but(t, "user_id % 3 = 0")
+    jobs.sync_new(wh, path, JOB_NOW)
+    write_landing(late, path)
+    jobs.sync_new(wh, path, JOB_NOW)
+    return _stored_facts(wh)
+
+
+@query
+def job_add_exchange(t: Tables) -> DataFrame:
+    """One exchange, added and synced; stats count for its inactive markets too."""
+    wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
+    jobs.add_exchange(wh, _land(t), JOB_NOW, "EXTENDED")
+    return _stored_facts(wh)
+
+
+@query
+def job_backfill(t: Tables) -> DataFrame:
+    """One exchange by a time window, from responses landed at any time."""
+    wh = _new_tables(t)
+    path, _ = _land_all_but(t, "FALSE")
+    jobs.backfill(wh, path, JOB_NOW, "paradex", windows.Between(1705000000000, 1706000000000))
+    return _stored_facts(wh)
+
+
+@query
+def stream_carry_8h_table(t: Tables) -> DataFrame:
+    """Means of all ticks of a stream, however late, from the stored ones."""
+    wh = Warehouse(t.spark, shared_folder(t.spark, "tables"))
+    _finish(rolling.carry_8h_table(wh, StreamTables(t.spark, t.folder).carry()))
+    return as_ntz(wh.fact("carry_8h"), "bucket_start")

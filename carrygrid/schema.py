@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-RATE = T.DecimalType(18, 10)  # funding rate as a fraction
+RATE = T.DecimalType(18, 10)  # carry rate as a fraction
 AMOUNT = T.DecimalType(30, 10)  # open interest, volume
-# 15 + 10 integer digits: the product is decimal(38,12), no place of AMOUNT is lost.
-BASE_QUANTITY = T.DecimalType(33, 18)
-# Quantities and prices beyond those, with fewer places.
-WIDE = T.DecimalType(38, 8)
-PRICE = T.DecimalType(28, 18)
+WIDE = T.DecimalType(38, 8)  # what a quantity or price must fit at least
 
 
 def _table(*fields: tuple) -> T.StructType:
@@ -20,7 +16,7 @@ def _table(*fields: tuple) -> T.StructType:
 EXCHANGES = _table(
     ("id", T.LongType(), False),
     ("name", T.StringType(), False),
-    ("funding_interval_minutes", T.IntegerType(), True),
+    ("carry_interval_minutes", T.IntegerType(), True),
     ("is_active", T.BooleanType(), False),
     ("created_at", T.TimestampType(), False),
     ("updated_at", T.TimestampType(), False),
@@ -41,7 +37,7 @@ MARKETS = _table(
 )
 # Facts are identified by (market_id, ts); they carry no surrogate id, which
 # no query reads. ``dt`` is the UTC day of ``ts`` and the Parquet partition.
-FUNDING_RATES = _table(
+CARRY_RATES = _table(
     ("exchange_id", T.LongType(), False),
     ("market_id", T.LongType(), False),
     ("rate", RATE, False),
@@ -54,20 +50,20 @@ MARKET_STATS = _table(
     ("ts", T.TimestampType(), False),
 )
 # Materialised 8-hour buckets and per-market marks (both can be rebuilt).
-FUNDING_8H = _table(
+CARRY_8H = _table(
     ("exchange_id", T.LongType(), False),
     ("market_id", T.LongType(), False),
     ("bucket_start", T.TimestampType(), False),
     ("rate_8h", T.DoubleType(), True),
     ("samples", T.LongType(), False),
 )
-LATEST_FUNDING = _table(
+LATEST_CARRY = _table(
     ("exchange_id", T.LongType(), False),
     ("market_id", T.LongType(), False),
     ("rate_8h", T.DoubleType(), True),
     ("bucket_start", T.TimestampType(), False),
 )
-FUNDING_MARKS = _table(
+CARRY_MARKS = _table(
     ("market_id", T.LongType(), False),
     ("last_ts", T.TimestampType(), False),
 )
@@ -75,14 +71,14 @@ FUNDING_MARKS = _table(
 # One landed HTTP response per row.
 LANDING = _table(
     ("exchange", T.StringType(), True),
-    ("kind", T.StringType(), True),  # markets | funding | stats
+    ("kind", T.StringType(), True),  # markets | carry | stats
     ("market", T.StringType(), True),  # the market asked for, if any
     ("received_at", T.TimestampType(), True),
     ("payload", T.StringType(), True),
 )
 
 # Records that wait for their market, by name.
-PENDING_FUNDING = T.StructType(
+WAITING_CARRY = T.StructType(
     [
         T.StructField("exchange", T.StringType()),
         T.StructField("market_symbol", T.StringType()),
@@ -92,7 +88,7 @@ PENDING_FUNDING = T.StructType(
         T.StructField("pos", T.IntegerType()),
     ]
 )
-PENDING_STATS = T.StructType(
+WAITING_STATS = T.StructType(
     [
         T.StructField("exchange", T.StringType()),
         T.StructField("asked_market", T.StringType()),

@@ -67,7 +67,7 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
     )
 
 
-def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
+def parse_carry(responses: DataFrame, failfast: bool = False) -> DataFrame:
     rows = items_of(responses, "data array<struct<m:string,f:string,T:bigint>>", "data")
     item = F.col("item")
     return rows.select(
@@ -96,5 +96,5 @@ def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
     return accept(parse_stats(responses, is_failfast(mode)), is_failfast(mode))
 
 
-def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_funding(responses, is_failfast(mode)), is_failfast(mode))
+def carry(responses: DataFrame, mode: str = "failfast") -> DataFrame:
+    return accept(parse_carry(responses, is_failfast(mode)), is_failfast(mode))

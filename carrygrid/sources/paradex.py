@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrygrid.functions import names, numbers, timing
+from carrygrid import keys
 from carrygrid.schema import AMOUNT, RATE, WIDE
 
 from .records import accept, is_failfast, item_reason, items_of
@@ -74,16 +75,16 @@ def parse_stats(responses: DataFrame, failfast: bool = False) -> DataFrame:
     )
 
 
-def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
+def parse_carry(responses: DataFrame, failfast: bool = False) -> DataFrame:
     """Ticks; one without a rate is not wanted.
 
-    The three funding numbers must be present, though they may be null, so the
+    The three carry numbers must be present, though they may be null, so the
     records are read as maps, which keep an absent key apart from a null.
     """
     rows = items_of(responses, "results array<map<string,string>>", "results")
     item = F.col("item")
-    fields = ["funding_index", "funding_premium", "funding_rate"]
-    rate = numbers.optional_decimal(item["funding_rate"], RATE)
+    fields = [keys.INDEX, keys.PREMIUM, keys.RATE]
+    rate = numbers.optional_decimal(item[keys.RATE], RATE)
     ms = numbers.epoch_ms(item["created_at"])
     return rows.select(
         F.lit(NAME).alias("exchange"),
@@ -98,9 +99,9 @@ def parse_funding(responses: DataFrame, failfast: bool = False) -> DataFrame:
             (item["market"].isNull(), "missing market"),
             *[(~F.map_contains_key(item, f), f"missing {f}") for f in fields],
             # Neither is stored, so any number will do.
-            (numbers.no_number(item["funding_index"]), "bad funding_index"),
-            (numbers.no_number(item["funding_premium"]), "bad funding_premium"),
-            (numbers.unreadable(item["funding_rate"], RATE), "bad funding_rate"),
+            (numbers.no_number(item[keys.INDEX]), f"bad {keys.INDEX}"),
+            (numbers.no_number(item[keys.PREMIUM]), f"bad {keys.PREMIUM}"),
+            (numbers.unreadable(item[keys.RATE], RATE), f"bad {keys.RATE}"),
             (ms.isNull(), "bad created_at"),
             (~timing.in_range_ms(ms), "created_at out of range"),
         ),
@@ -115,5 +116,5 @@ def stats(responses: DataFrame, mode: str = "failfast") -> DataFrame:
     return accept(parse_stats(responses, is_failfast(mode)), is_failfast(mode))
 
 
-def funding(responses: DataFrame, mode: str = "failfast") -> DataFrame:
-    return accept(parse_funding(responses, is_failfast(mode)), is_failfast(mode))
+def carry(responses: DataFrame, mode: str = "failfast") -> DataFrame:
+    return accept(parse_carry(responses, is_failfast(mode)), is_failfast(mode))

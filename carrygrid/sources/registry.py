@@ -14,7 +14,7 @@ from . import extended, paradex
 from .records import accept, is_failfast, rejected
 
 NORMALISERS: dict[str, ModuleType] = {m.NAME: m for m in (paradex, extended)}
-KINDS = ("markets", "funding", "stats")
+KINDS = ("markets", "carry", "stats")
 
 
 def normalizer_for(exchange: str) -> ModuleType | None:

@@ -4,13 +4,16 @@ Dimensions are small and change in place, so every change writes a complete new
 snapshot ``<table>/v<number>``; the newest one with a success marker is current
 and a path being read is never overwritten. Facts are appended to their current
 version below ``dt=<UTC day>`` and get a new version only when an exchange is
-deleted. One writer at a time.
+deleted; days of the 8-hour buckets, which follow from the facts, are replaced in place. Records whose
+market is not active yet wait below ``waiting/<kind>/exchange=/market_symbol=``, so
+what waits for one market is neither read nor written for another. One writer at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +26,15 @@ DIMENSIONS = {
     "exchanges": schema.EXCHANGES,
     "tokens": schema.TOKENS,
     "markets": schema.MARKETS,
-    "funding_marks": schema.FUNDING_MARKS,
-    "latest_funding": schema.LATEST_FUNDING,
+    "carry_marks": schema.CARRY_MARKS,
+    "latest_carry": schema.LATEST_CARRY,
     "latest_stats": schema.MARKET_STATS,
-    "pending_funding": schema.PENDING_FUNDING,
-    "pending_stats": schema.PENDING_STATS,
 }
+WAITING = {"carry": schema.WAITING_CARRY, "stats": schema.WAITING_STATS}
 FACTS = {
-    "funding_rates": (schema.FUNDING_RATES, "ts"),
+    "carry_rates": (schema.CARRY_RATES, "ts"),
     "market_stats": (schema.MARKET_STATS, "ts"),
-    "funding_8h": (schema.FUNDING_8H, "bucket_start"),
+    "carry_8h": (schema.CARRY_8H, "bucket_start"),
 }
 
 
@@ -103,6 +105,46 @@ class Warehouse:
         """Keep the unusable records of one batch of a run; a replay of that batch replaces them."""
         rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/{kind}/run={run}/batch={batch_id}")
 
+    # ---- records that wait for their market --------------------------------
+
+    def waiting_folders(self, kind: str) -> list[tuple[str, str, str]]:
+        """(exchange, market_symbol, path) of all that is waited for: one entry per market, from the folder names alone."""
+        root = f"{self.root}/waiting/{kind}"
+        fs, folder = self._filesystem(root)
+        if not fs.exists(folder):
+            return []
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/exchange=*/market_symbol=*"))
+        paths = [status.getPath() for status in found]
+        value = lambda path: unquote(path.getName().split("=", 1)[1])
+        return [(value(p.getParent()), value(p), p.toString()) for p in paths]
+
+    def waiting(self, kind: str, paths: Iterable[str] | None = None) -> DataFrame:
+        """Waiting records: all, or those of the given folders, which are the only ones opened."""
+        paths = [p for _, _, p in self.waiting_folders(kind)] if paths is None else list(paths)
+        if not paths:
+            return self.spark.createDataFrame([], WAITING[kind])
+        names = WAITING[kind].names
+        read = self.spark.read.schema(WAITING[kind]).option("basePath", f"{self.root}/waiting/{kind}")
+        # A glob pattern would take the escapes of folder names for its own.
+        return read.option("pathGlobFilter", "*.parquet").parquet(*paths).select(*names)
+
+    def add_waiting(self, kind: str, rows: DataFrame) -> None:
+        """Store records by market, without those that already wait."""
+        names = WAITING[kind].names
+        markets = {(r.exchange, r.market_symbol) for r in rows.select("exchange", "market_symbol").distinct().collect()}
+        if not markets:
+            return
+        stored = self.waiting(kind, [p for exchange, market, p in self.waiting_folders(kind) if (exchange, market) in markets])
+        key = ["exchange", "market_symbol", "received_at", "pos", "ts"]
+        new = rows.select(*names).dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+        laid_out = new.hint("rebalance", "exchange", "market_symbol")
+        laid_out.write.mode("append").partitionBy("exchange", "market_symbol").parquet(f"{self.root}/waiting/{kind}")
+
+    def drop_folders(self, paths: Iterable[str]) -> None:
+        for path in paths:
+            fs, folder = self._filesystem(path)
+            fs.delete(folder, True)
+
     # ---- facts ----------------------------------------------------------
 
     def fact(self, table: str, first_day: dt.date | None = None, last_day: dt.date | None = None,

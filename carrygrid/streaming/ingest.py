@@ -1,15 +1,11 @@
-"""Continuous ingest: the sync jobs driven by the landing zone's file stream.
+"""Continuous ingest: the sync jobs driven by the landing zone's file stream (see `sources.intake`).
 
-The file source remembers the responses it has read, so no high-water mark is
-needed; a replayed micro-batch is absorbed by the unique keys. A micro-batch is
-parsed once; bad records are stored aside, before anything else, instead of
-stopping the stream.
+Bad records are stored aside instead of stopping the stream.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,36 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carrygrid.plans import jobs
 from carrygrid.session import shared_folder
-from carrygrid.sources import registry
-from carrygrid.sources.landing import stream_landing
-from carrygrid.sources.records import accept, rejected
+from carrygrid.sources.intake import consume
 from carrygrid.sources.warehouse import Warehouse
 
 
 def _start(wh: Warehouse, landing: str, kind: str, apply: Callable[[DataFrame], object],
            checkpoint: str | None, every: str | None, max_files: int | None) -> StreamingQuery:
     checkpoint = checkpoint or shared_folder(wh.spark, f"ingest-{kind}")
-    # Batches are numbered by checkpoint, so the checkpoint names the run.
-    run = hashlib.md5(checkpoint.encode()).hexdigest()
-
-    def on_batch(responses: DataFrame, batch_id: int) -> None:
-        parsed = registry.parse(responses, kind, "quarantine").persist()
-        try:
-            wh.store_rejects(kind, run, batch_id, rejected(parsed))
-            apply(accept(parsed, failfast=False))
-        finally:
-            parsed.unpersist()
-
-    writer = (
-        stream_landing(wh.spark, landing, kind, max_files)
-        .writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-    )
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
-
-
-def funding(wh: Warehouse, landing: str, checkpoint: str | None = None, every: str | None = None,
+    return consume(wh, landing, kind, lambda records, _: apply(records), checkpoint, every=every, max_files=max_files)
+
+
+def carry(wh: Warehouse, landing: str, checkpoint: str | None = None, every: str | None = None,
             max_files: int | None = None) -> StreamingQuery:
     """Append ticks as they land; without ``every`` the backlog is read once.
 
@@ -54,9 +31,9 @@ def funding(wh: Warehouse, landing: str, checkpoint: str | None = None, every: s
     of markets that are not known yet wait for them.
     """
     def apply(records: DataFrame) -> None:
-        jobs.ingest_funding(wh, records)
+        jobs.ingest_carry(wh, records)
 
-    return _start(wh, landing, "funding", apply, checkpoint, every, max_files)
+    return _start(wh, landing, "carry", apply, checkpoint, every, max_files)
 
 
 def markets(wh: Warehouse, landing: str, now: Callable[[], dt.datetime], checkpoint: str | None = None,
@@ -64,7 +41,7 @@ def markets(wh: Warehouse, landing: str, now: Callable[[], dt.datetime], checkpo
     """Market discovery, usually daily. Ticks and stats that waited for a market are stored with it."""
     def apply(records: DataFrame) -> None:
         jobs.apply_markets(wh, records, jobs.supported_exchanges(wh), now())
-        jobs.ingest_funding(wh)
+        jobs.ingest_carry(wh)
         jobs.ingest_stats(wh)
 
     return _start(wh, landing, "markets", apply, checkpoint, every, max_files)

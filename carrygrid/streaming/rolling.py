@@ -14,12 +14,12 @@ from carrygrid.session import shared_folder
 from carrygrid.sources.warehouse import Warehouse
 
 
-def funding_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
+def carry_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     """8-hour means over a stream of (exchange_id, market_id, rate, ts).
 
     State is bounded by the watermark: one entry per tick for the duplicate
     check and one per open bucket. Ticks later than ``delay`` are dropped; where
-    every tick must count, use `funding_8h_table`.
+    every tick must count, use `carry_8h_table`.
     """
     return (
         ticks.withWatermark("ts", delay)
@@ -36,16 +36,16 @@ def funding_8h_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def funding_8h_table(wh: Warehouse, ticks: DataFrame, checkpoint: str | None = None,
+def carry_8h_table(wh: Warehouse, ticks: DataFrame, checkpoint: str | None = None,
                      every: str | None = None) -> StreamingQuery:
-    """8-hour means of all ticks, however late, in the ``funding_8h`` table.
+    """8-hour means of all ticks, however late, in the ``carry_8h`` table.
 
     A micro-batch is appended to the stored ticks, and the buckets of its days are
     computed anew from them. There is no state and no delay; a replay changes nothing.
     """
     def on_batch(batch: DataFrame, _: int) -> None:
         ordered = batch.withColumns({"received_at": F.col("ts"), "pos": F.lit(0)})
-        _, days = jobs.append_funding(wh, ordered)
+        _, days = jobs.append_carry(wh, ordered)
         jobs.refresh_derived(wh, days)
 
     return _run(ticks, on_batch, checkpoint or shared_folder(wh.spark, "buckets"), every, "append")
@@ -84,17 +84,17 @@ def latest_stats_stream(wh: Warehouse, stats: DataFrame, checkpoint: str | None
     return _run(stats, on_batch, checkpoint or shared_folder(wh.spark, "latest-stats"), every)
 
 
-def latest_funding_stream(wh: Warehouse, buckets: DataFrame, checkpoint: str | None = None,
+def latest_carry_stream(wh: Warehouse, buckets: DataFrame, checkpoint: str | None = None,
                           every: str | None = None) -> StreamingQuery:
-    """Keep the newest bucket per market of an update stream of `funding_8h_stream`.
+    """Keep the newest bucket per market of an update stream of `carry_8h_stream`.
 
     An update of the stored bucket arrives with the same start and wins.
     """
     def on_batch(batch: DataFrame, _: int) -> None:
-        fresh = facts.latest_funding_8h(batch)
-        wh.replace_dimension("latest_funding", facts.newest_funding(wh.dimension("latest_funding"), fresh))
+        fresh = facts.latest_carry_8h(batch)
+        wh.replace_dimension("latest_carry", facts.newest_carry(wh.dimension("latest_carry"), fresh))
 
-    return _run(buckets, on_batch, checkpoint or shared_folder(wh.spark, "latest-funding"), every)
+    return _run(buckets, on_batch, checkpoint or shared_folder(wh.spark, "latest-carry"), every)
 
 
 def _run(rows: DataFrame, on_batch, checkpoint: str, every: str | None, mode: str = "update") -> StreamingQuery:

@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from carrygrid import keys
 from carrygrid.operators import upserts
 from carrygrid.operators.windows import Between, LookbackHours, SinceLastOrLookbackHours
 from carrygrid.plans import jobs
@@ -38,7 +39,7 @@ def results_markets(*symbols):
 def results_ticks(market, *ticks):
     return {
         "results": [
-            {"market": market, "funding_index": "1", "funding_premium": None, "funding_rate": r, "created_at": ms(h)}
+            {"market": market, keys.INDEX: "1", keys.PREMIUM: None, keys.RATE: r, "created_at": ms(h)}
             for h, r in ticks
         ]
     }
@@ -60,10 +61,10 @@ FIRST = [
     response("paradex", "markets", results_markets("BTC-USD-PERP", "ETH-USD-PERP", "BTC-USD-OPTION")),
     response("extended", "markets", data_markets(("BTC-USD", True), ("ETH-USD", True), ("OLD-USD", False))),
     response("nowhere", "markets", "{}"),
-    response("paradex", "funding", results_ticks("BTC-USD-PERP", (1, "0.0001"), (7.9, "0.0003"), (9, "0.0004"), (9, None))),
-    response("paradex", "funding", results_ticks("ETH-USD-PERP", (2, "-0.0002"))),
-    response("extended", "funding", data_ticks("BTC-USD", (1, "0.0010"), (10, "0.0016"))),
-    response("extended", "funding", data_ticks("OLD-USD", (1, "0.5"))),
+    response("paradex", "carry", results_ticks("BTC-USD-PERP", (1, "0.0001"), (7.9, "0.0003"), (9, "0.0004"), (9, None))),
+    response("paradex", "carry", results_ticks("ETH-USD-PERP", (2, "-0.0002"))),
+    response("extended", "carry", data_ticks("BTC-USD", (1, "0.0010"), (10, "0.0016"))),
+    response("extended", "carry", data_ticks("OLD-USD", (1, "0.5"))),
     response("paradex", "stats", summary("BTC-USD-PERP", "10", "50000", "7")),
     response("extended", "stats", {"data": {"openInterest": "250000", "dailyVolume": "9"}}, "BTC-USD"),
     response("extended", "stats", {"data": {"openInterest": "1", "dailyVolume": "1"}}, "OLD-USD"),
@@ -97,9 +98,9 @@ def wh(spark, tmp_path):
 
 def snapshot(wh):
     out = {}
-    for t in ("exchanges", "tokens", "markets", "funding_marks", "latest_funding", "latest_stats"):
+    for t in ("exchanges", "tokens", "markets", "carry_marks", "latest_carry", "latest_stats"):
         out[t] = sorted(map(tuple, wh.dimension(t).collect()), key=repr)
-    for t in ("funding_rates", "market_stats", "funding_8h"):
+    for t in ("carry_rates", "market_stats", "carry_8h"):
         out[t] = sorted(map(tuple, wh.fact(t).collect()), key=repr)
     return out
 
@@ -108,7 +109,7 @@ def test_init_and_board(wh, landing):
     path = landing(FIRST)
     done = jobs.run_init(wh, path, NOW, SinceLastOrLookbackHours(24))
     assert {o.exchange: o.rows for o in done["markets"]} == {"Extended": 3, "Paradex": 2}
-    assert {o.exchange: o.rows for o in done["funding"]} == {"Extended": 2, "Paradex": 4}
+    assert {o.exchange: o.rows for o in done["carry"]} == {"Extended": 2, "Paradex": 4}
     assert {o.exchange: o.rows for o in done["stats"]} == {"Extended": 1, "Paradex": 1}
     assert [o.error for os in done.values() for o in os] == [None] * 6
 
@@ -120,32 +121,32 @@ def test_init_and_board(wh, landing):
     assert btc.total_oi == 750000.0 and btc.total_oi_text == "$750.00K"
     assert btc.pair_label == "L:PAR S:EXT"
     eth = rows["ETH"]  # no rate on one exchange counts as 0
-    assert [c.funding_rate for c in eth.cells] == [0.0, pytest.approx(-0.0002)]
+    assert [c.carry_rate for c in eth.cells] == [0.0, pytest.approx(-0.0002)]
 
-    buckets = wh.fact("funding_8h").orderBy("market_id", "bucket_start").collect()
-    assert sum(b.samples for b in buckets) == wh.fact("funding_rates").count() == 6
-    intervals = {r.name: r.funding_interval_minutes for r in wh.dimension("exchanges").collect()}
+    buckets = wh.fact("carry_8h").orderBy("market_id", "bucket_start").collect()
+    assert sum(b.samples for b in buckets) == wh.fact("carry_rates").count() == 6
+    intervals = {r.name: r.carry_interval_minutes for r in wh.dimension("exchanges").collect()}
     assert intervals == {"Paradex": 480, "Extended": 480, "Nowhere": 480}
     assert jobs.check_constraints(wh).agg(F.sum("violations")).first()[0] == 0
 
 
 def test_second_run_changes_nothing(wh, landing):
     path = landing(FIRST)
-    jobs.run_init(wh, path, NOW)
+    jobs.run_init(wh, path, NOW, SinceLastOrLookbackHours())
     before = snapshot(wh)
     again = jobs.run_init(wh, path, NOW, Between(ms(0), ms(30)))
-    assert all(o.rows == 0 for o in again["funding"] + again["stats"])
+    assert all(o.rows == 0 for o in again["carry"] + again["stats"])
     assert snapshot(wh) == before
 
 
 def test_since_last_reads_only_new_ticks_and_repairs_late_ones(wh, landing):
     path = landing(FIRST)
-    jobs.run_init(wh, path, NOW)
+    jobs.run_init(wh, path, NOW, SinceLastOrLookbackHours())
     # 8.5 h is older than the mark (9 h): skipped by since-last, found by a wider window.
-    landing([response("paradex", "funding", results_ticks("BTC-USD-PERP", (8.5, "0.0008"), (17, "0.0005")), hours=19)])
-    assert jobs.sync_funding(wh, path, NOW, "PARADEX")[0].rows == 1
-    assert jobs.sync_funding(wh, path, NOW, "paradex", LookbackHours(24))[0].rows == 1
-    bucket = wh.fact("funding_8h").where(F.hour("bucket_start") == 8).orderBy("market_id")
+    landing([response("paradex", "carry", results_ticks("BTC-USD-PERP", (8.5, "0.0008"), (17, "0.0005")), hours=19)])
+    assert jobs.sync_carry(wh, path, NOW, "PARADEX")[0].rows == 1
+    assert jobs.sync_carry(wh, path, NOW, "paradex", LookbackHours(24))[0].rows == 1
+    bucket = wh.fact("carry_8h").where(F.hour("bucket_start") == 8).orderBy("market_id")
     means = [r.rate_8h for r in bucket.collect()]
     assert pytest.approx(0.0006) in means  # 8.5 h and 9 h together
     kept = snapshot(wh)
@@ -155,29 +156,29 @@ def test_since_last_reads_only_new_ticks_and_repairs_late_ones(wh, landing):
 
 def test_tick_of_the_marked_second_is_absorbed(wh, landing):
     half = 0.5 / 3600
-    rows = FIRST[:3] + [response("extended", "funding", data_ticks("BTC-USD", (1, "0.1"), (1 + half, "0.2")))]
+    rows = FIRST[:3] + [response("extended", "carry", data_ticks("BTC-USD", (1, "0.1"), (1 + half, "0.2")))]
     path = landing(rows)
-    jobs.run_init(wh, path, NOW)
-    assert jobs.sync_funding(wh, path, NOW, "extended")[0].rows == 0
-    assert [r.rate for r in wh.fact("funding_rates").collect()] == [Decimal("0.1000000000")]
+    jobs.run_init(wh, path, NOW, SinceLastOrLookbackHours())
+    assert jobs.sync_carry(wh, path, NOW, "extended")[0].rows == 0
+    assert [r.rate for r in wh.fact("carry_rates").collect()] == [Decimal("0.1000000000")]
 
 
 def test_one_failing_exchange_does_not_stop_the_other(wh, landing):
-    path = landing(FIRST + [response("paradex", "funding", results_ticks("BTC-USD-PERP", (3, "oops")))])
+    path = landing(FIRST + [response("paradex", "carry", results_ticks("BTC-USD-PERP", (3, "oops")))])
     jobs.sync_markets(wh, path, NOW)
-    done = {o.exchange: o for o in jobs.sync_funding(wh, path, NOW)}
+    done = {o.exchange: o for o in jobs.sync_carry(wh, path, NOW)}
     assert done["Extended"].rows == 2 and done["Extended"].error is None
-    assert done["Paradex"].rows == 0 and "bad funding_rate" in done["Paradex"].error
-    with pytest.raises(Exception, match="bad funding_rate"):
-        jobs.sync_funding(wh, path, NOW, "paradex")
-    assert wh.fact("funding_8h").count() == 2
-    assert jobs.sync_funding(wh, path, NOW, "paradex", mode="quarantine")[0].rows == 4
+    assert done["Paradex"].rows == 0 and f"bad {keys.RATE}" in done["Paradex"].error
+    with pytest.raises(Exception, match=f"bad {keys.RATE}"):
+        jobs.sync_carry(wh, path, NOW, "paradex")
+    assert wh.fact("carry_8h").count() == 2
+    assert jobs.sync_carry(wh, path, NOW, "paradex", mode="quarantine")[0].rows == 4
 
 
 def test_unknown_or_inactive_exchange(wh, landing):
     path = landing(FIRST)
     with pytest.raises(ValueError, match="not found or inactive"):
-        jobs.sync_funding(wh, path, NOW, "absent")
+        jobs.sync_carry(wh, path, NOW, "absent")
     with pytest.raises(ValueError, match="not found or inactive"):
         jobs.backfill(wh, path, NOW, "absent")
 
@@ -185,7 +186,7 @@ def test_unknown_or_inactive_exchange(wh, landing):
 def test_add_exchange_takes_stats_of_inactive_markets(spark, tmp_path, landing):
     wh = Warehouse(spark, str(tmp_path / "fresh"))
     done = jobs.add_exchange(wh, landing(FIRST), NOW, "extended")
-    assert [done[k][0].rows for k in ("markets", "funding", "stats")] == [3, 2, 2]
+    assert [done[k][0].rows for k in ("markets", "carry", "stats")] == [3, 2, 2]
     jobs.backfill(wh, str(tmp_path / "landing"), NOW, "Extended")
     assert wh.fact("market_stats").count() == 2
 
@@ -195,36 +196,36 @@ def test_drop_exchange(wh, landing):
     jobs.drop_exchange(wh, "Extended")
     assert [r.name for r in wh.dimension("exchanges").orderBy("name").collect()] == ["Nowhere", "Paradex"]
     assert wh.dimension("markets").count() == 2 and wh.dimension("tokens").count() == 3
-    assert wh.fact("funding_rates").count() == 4 and wh.fact("market_stats").count() == 1
+    assert wh.fact("carry_rates").count() == 4 and wh.fact("market_stats").count() == 1
     assert jobs.check_constraints(wh).agg(F.sum("violations")).first()[0] == 0
 
 
 def test_empty_landing_is_a_no_op(wh, landing):
     path = landing([response("nowhere", "markets", "{}")])
     before = snapshot(wh)
-    done = jobs.run_init(wh, path, NOW)
+    done = jobs.run_init(wh, path, NOW, SinceLastOrLookbackHours())
     assert all(o.rows == 0 and o.error is None for os in done.values() for o in os)
     after = snapshot(wh)
     assert {k: v for k, v in after.items() if k != "exchanges"} == {k: v for k, v in before.items() if k != "exchanges"}
 
 
 def test_streams_equal_the_batch_jobs(spark, wh, landing, tmp_path):
-    path = landing(FIRST + [response("extended", "funding", data_ticks("ETH-USD", (4, "oops")))])
+    path = landing(FIRST + [response("extended", "carry", data_ticks("ETH-USD", (4, "oops")))])
     for start in (lambda: ingest.markets(wh, path, lambda: NOW), lambda: ingest.stats(wh, path)):
         query = start()  # one writer at a time
         assert query.awaitTermination(120) and query.exception() is None
     checkpoint = str(tmp_path / "checkpoint")
-    ingest.funding(wh, path, checkpoint).awaitTermination(120)
-    assert wh.fact("funding_rates").count() == 6  # the bad tick is set aside
-    rejects = spark.read.parquet(f"{wh.root}/quarantine/funding").collect()
+    ingest.carry(wh, path, checkpoint).awaitTermination(120)
+    assert wh.fact("carry_rates").count() == 6  # the bad tick is set aside
+    rejects = spark.read.parquet(f"{wh.root}/quarantine/carry").collect()
     assert [r.reject for r in rejects] == ["bad f"]
-    landing([response("extended", "funding", data_ticks("ETH-USD", (5, "0.01"), (1, "0.02")), hours=13)])
-    ingest.funding(wh, path, checkpoint).awaitTermination(120)
-    assert wh.fact("funding_rates").count() == 8
+    landing([response("extended", "carry", data_ticks("ETH-USD", (5, "0.01"), (1, "0.02")), hours=13)])
+    ingest.carry(wh, path, checkpoint).awaitTermination(120)
+    assert wh.fact("carry_rates").count() == 8
 
     other = with_exchanges(Warehouse(spark, str(tmp_path / "batch")))
     jobs.sync_markets(other, path, NOW)
-    jobs.sync_funding(other, path, NOW, spec=Between(0, ms(48)), mode="quarantine")
+    jobs.sync_carry(other, path, NOW, spec=Between(0, ms(48)), mode="quarantine")
     jobs.sync_stats(other, path)
     a, b = snapshot(wh), snapshot(other)
     for t in set(a) - {"exchanges"}:

@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pytest
 
+from carrygrid import keys
 from carrygrid.schema import LANDING
 from carrygrid.sources import extended, paradex, registry
 from carrygrid.sources.landing import read_payload_files
@@ -18,7 +19,7 @@ RECEIVED = dt.datetime(2024, 3, 1, 12, 0, 0, 250000)
 
 @pytest.fixture
 def landed(spark):
-    def load(file, exchange="paradex", kind="funding", market=None):
+    def load(file, exchange="paradex", kind="carry", market=None):
         text = file
         if file.endswith(".json"):
             with open(os.path.join(HERE, file), encoding="utf-8") as f:
@@ -52,8 +53,8 @@ def test_results_stats_convert_open_interest(landed):
     assert rows["ALL"].ts == RECEIVED
 
 
-def test_results_funding(landed):
-    rows = paradex.funding(landed("a_funding.json")).orderBy("pos").collect()
+def test_results_carry(landed):
+    rows = paradex.carry(landed("a_carry.json")).orderBy("pos").collect()
     assert [(r.rate, r.ts) for r in rows] == [
         (Decimal("0.0001234568"), dt.datetime(2024, 3, 1, 1, 0, 0, 123000)),
         (Decimal("0.0002"), dt.datetime(2024, 3, 1, 1, 0, 0, 999000)),
@@ -63,13 +64,13 @@ def test_results_funding(landed):
 
 
 def test_unusable_ticks(landed):
-    responses = landed("a_funding_missing_index.json")
-    with pytest.raises(Exception, match="missing funding_index"):
-        paradex.funding(responses).collect()
-    assert [r.rate for r in paradex.funding(responses, "quarantine").collect()] == [Decimal("0.2")]
-    assert [r.reject for r in registry.rejects(responses, "funding").orderBy("pos").collect()] == [
-        "missing funding_index",
-        "bad funding_rate",
+    responses = landed("a_carry_missing_index.json")
+    with pytest.raises(Exception, match=f"missing {keys.INDEX}"):
+        paradex.carry(responses).collect()
+    assert [r.rate for r in paradex.carry(responses, "quarantine").collect()] == [Decimal("0.2")]
+    assert [r.reject for r in registry.rejects(responses, "carry").orderBy("pos").collect()] == [
+        f"missing {keys.INDEX}",
+        f"bad {keys.RATE}",
         "bad created_at",
         "created_at out of range",
     ]
@@ -85,13 +86,13 @@ def test_one_bad_number_fails_even_a_dropped_symbol(landed):
 @pytest.mark.parametrize("text", ["not json", "[]", "{}", '{"results": null}'])
 def test_malformed_responses(landed, text):
     with pytest.raises(Exception, match="malformed response"):
-        paradex.funding(landed(text)).collect()
-    assert registry.rejects(landed(text), "funding").count() == 1
+        paradex.carry(landed(text)).collect()
+    assert registry.rejects(landed(text), "carry").count() == 1
 
 
 def test_empty_array_is_no_error(landed):
-    assert paradex.funding(landed('{"results": []}')).count() == 0
-    assert extended.funding(landed('{"data": []}', "extended")).count() == 0
+    assert paradex.carry(landed('{"results": []}')).count() == 0
+    assert extended.carry(landed('{"data": []}', "extended")).count() == 0
 
 
 def test_data_markets(landed):
@@ -103,16 +104,16 @@ def test_data_markets(landed):
     ]
 
 
-def test_data_funding_rounds_to_ten_places(landed):
-    rows = extended.funding(landed("b_funding.json")).orderBy("pos").collect()
+def test_data_carry_rounds_to_ten_places(landed):
+    rows = extended.carry(landed("b_carry.json")).orderBy("pos").collect()
     assert [r.rate for r in rows] == [Decimal("0.0001"), Decimal("-0.0002"), Decimal("0.1234567891")]
 
 
-def test_data_funding_bad(landed):
-    responses = landed("b_funding_bad.json", "extended")
+def test_data_carry_bad(landed):
+    responses = landed("b_carry_bad.json", "extended")
     with pytest.raises(Exception, match="bad f"):
-        extended.funding(responses).collect()
-    assert [r.reject for r in registry.rejects(responses, "funding").orderBy("pos").collect()] == ["bad f", "bad T"]
+        extended.carry(responses).collect()
+    assert [r.reject for r in registry.rejects(responses, "carry").orderBy("pos").collect()] == ["bad f", "bad T"]
 
 
 def test_data_stats(landed):
@@ -124,8 +125,8 @@ def test_data_stats(landed):
 
 
 def test_dispatch_by_name(landed):
-    both = landed("a_funding.json", " PARADEX ").unionByName(landed("b_funding.json", "Extended"))
-    rows = registry.normalize(both.unionByName(landed("?", "elsewhere")), "funding")
+    both = landed("a_carry.json", " PARADEX ").unionByName(landed("b_carry.json", "Extended"))
+    rows = registry.normalize(both.unionByName(landed("?", "elsewhere")), "carry")
     assert {(r.exchange, r["count"]) for r in rows.groupBy("exchange").count().collect()} == {
         ("paradex", 4), ("extended", 3),
     }
@@ -145,10 +146,10 @@ def test_payload_files(spark, tmp_path):
 
 def test_later_steps_do_not_hide_bad_records(spark, landed):
     """Records that a later filter or join would drop are still checked."""
-    text = """{"results": [{"market": %s, "funding_index": null, "funding_premium": null,
-               "funding_rate": null, "created_at": %s}]}"""
+    text = f"""{{"results": [{{"market": %s, "{keys.INDEX}": null, "{keys.PREMIUM}": null,
+               "{keys.RATE}": null, "created_at": %s}}]}}"""
     known = spark.createDataFrame([("BTC-USD-PERP",)], "market_symbol string")
     for market, created, reason in (("null", "1", "missing market"), ('"X"', '"soon"', "bad created_at")):
-        ticks = paradex.funding(landed(text % (market, created))).where("ts > timestamp'2000-01-01'")
+        ticks = paradex.carry(landed(text % (market, created))).where("ts > timestamp'2000-01-01'")
         with pytest.raises(Exception, match=reason):
             ticks.join(known, "market_symbol").collect()

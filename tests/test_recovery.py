@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from carrygrid import keys
 from carrygrid.functions import numbers
 from carrygrid.operators import facts
 from carrygrid.operators.windows import SinceLastOrLookbackHours
@@ -37,7 +38,7 @@ class Broken(Exception):
     pass
 
 
-@pytest.mark.parametrize("fail_at", [("replace_days", "funding_8h"), ("replace_dimension", "latest_funding"), ("replace_dimension", "latest_stats")])
+@pytest.mark.parametrize("fail_at", [("replace_days", "carry_8h"), ("replace_dimension", "latest_carry"), ("replace_dimension", "latest_stats")])
 def test_a_rerun_heals_what_a_crash_left(wh, landing, spark, tmp_path, monkeypatch, fail_at):  # noqa: F811
     path = landing(FIRST)
     expected = with_exchanges(Warehouse(spark, str(tmp_path / "whole")))
@@ -62,12 +63,12 @@ def test_ticks_and_stats_wait_for_their_market(spark, wh, landing, tmp_path):  #
     path = landing([r for r in FIRST if r[1] != "markets"])
 
     def run():
-        for name, start in (("f", ingest.funding), ("s", ingest.stats)):
+        for name, start in (("f", ingest.carry), ("s", ingest.stats)):
             start(wh, path, str(tmp_path / name)).awaitTermination(120)
         ingest.markets(wh, path, lambda: NOW, str(tmp_path / "m")).awaitTermination(120)
 
     run()
-    assert wh.fact("funding_rates").count() == 0
+    assert wh.fact("carry_rates").count() == 0
     landing([r for r in FIRST if r[1] == "markets"])
     run()
     other = with_exchanges(Warehouse(spark, str(tmp_path / "batch")))
@@ -76,7 +77,45 @@ def test_ticks_and_stats_wait_for_their_market(spark, wh, landing, tmp_path):  #
     for t in set(a) - {"exchanges"}:
         assert a[t] == b[t], t
     # The inactive market goes on waiting.
-    assert {r.market_symbol for r in wh.dimension("pending_funding").collect()} == {"OLD-USD"}
+    assert {r.market_symbol for r in wh.waiting("carry").collect()} == {"OLD-USD"}
+
+
+def test_batch_runs_keep_what_waits(spark, wh, landing, tmp_path):  # noqa: F811
+    """Ticks and stats land a day before their market; runs by windows and runs of what is new end with the same tables as the streams."""
+    path = landing([r for r in FIRST if r[1] != "markets"])
+    runs = {
+        "windows": lambda w: jobs.run_init(w, path, NOW, SPEC, landed_from=NOW.date() - dt.timedelta(days=2)),
+        "new": lambda w: jobs.run_init(w, path, NOW),
+    }
+    houses = {name: with_exchanges(Warehouse(spark, str(tmp_path / name))) for name in runs}
+    for _ in range(2):
+        for name, run in runs.items():
+            run(houses[name])
+            assert houses[name].fact("carry_rates").count() == 0
+    waiting = {name: w.waiting("carry").count() for name, w in houses.items()}
+    assert len(set(waiting.values())) == 1 and waiting["new"] > 0  # a second run adds nothing
+    landing([r for r in FIRST if r[1] == "markets"])
+    for name, run in runs.items():
+        run(houses[name])
+    for name, start in (("s", ingest.stats), ("f", ingest.carry)):
+        start(wh, path, str(tmp_path / f"cp-{name}")).awaitTermination(120)
+    ingest.markets(wh, path, lambda: NOW, str(tmp_path / "cp-m")).awaitTermination(120)
+    streamed = snapshot(wh)
+    for name, w in houses.items():
+        found = snapshot(w)
+        for t in set(found) - {"exchanges"}:
+            assert found[t] == streamed[t], (name, t)
+        assert {r.market_symbol for r in w.waiting("carry").collect()} == {"OLD-USD"}
+
+
+def test_a_second_run_opens_no_old_response(wh, landing):  # noqa: F811
+    path = landing(FIRST)
+    first = jobs.run_init(wh, path, NOW)
+    assert sum(o.rows for o in first["carry"]) == 6
+    second = jobs.run_init(wh, path, NOW)
+    assert [o.rows for os in second.values() for o in os] == [0] * 6
+    landing([response("extended", "markets", data_markets(("NEW-USD", True)))])
+    assert {o.exchange: o.rows for o in jobs.run_init(wh, path, NOW)["markets"]} == {"Extended": 1, "Paradex": 0}
 
 
 def test_bad_answers_of_another_exchange_do_no_harm(wh, landing):  # noqa: F811
@@ -92,15 +131,15 @@ def test_bad_answers_of_another_exchange_do_no_harm(wh, landing):  # noqa: F811
 def test_rejects_of_every_run_are_kept(spark, wh, landing, tmp_path):  # noqa: F811
     bad = {"results": [{"symbol": "A-USD-PERP", "open_interest": "x"}, {"symbol": "B-USD-PERP", "open_interest": "1"}]}
     path = landing([response("paradex", "markets", results_markets("A-USD-PERP", "B-USD-PERP")), response("paradex", "stats", bad),
-                    response("paradex", "funding", results_ticks("A-USD-PERP", (1, "oops"), (2, "0.1")))])
+                    response("paradex", "carry", results_ticks("A-USD-PERP", (1, "oops"), (2, "0.1")))])
     jobs.sync_markets(wh, path, NOW)
     done = {o.exchange: o for o in jobs.sync_stats(wh, path, mode="quarantine")}
     assert (done["Paradex"].rows, done["Paradex"].rejected) == (1, 1)
-    jobs.sync_funding(wh, path, NOW, spec=SPEC, mode="quarantine")
+    jobs.sync_carry(wh, path, NOW, spec=SPEC, mode="quarantine")
     for name in ("one", "two"):
         ingest.stats(wh, path, str(tmp_path / name)).awaitTermination(120)
     assert spark.read.parquet(f"{wh.root}/quarantine/stats").count() == 3
-    assert [r.reject for r in spark.read.parquet(f"{wh.root}/quarantine/funding").collect()] == ["bad funding_rate"]
+    assert [r.reject for r in spark.read.parquet(f"{wh.root}/quarantine/carry").collect()] == [f"bad {keys.RATE}"]
 
 
 def test_late_ticks_count_in_the_stored_buckets(spark, wh, tmp_path):  # noqa: F811
@@ -110,10 +149,10 @@ def test_late_ticks_count_in_the_stored_buckets(spark, wh, tmp_path):  # noqa: F
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
         ticks = spark.readStream.schema(schema).parquet(f"{tmp_path}/ticks")
-        rolling.funding_8h_table(wh, ticks, str(tmp_path / "cp")).awaitTermination(120)
+        rolling.carry_8h_table(wh, ticks, str(tmp_path / "cp")).awaitTermination(120)
     first = [r for k, rows in enumerate(parts) for r in rows if k != 1]  # of copies of a key the first counts
-    expected = facts.funding_8h(spark.createDataFrame(first, schema)).collect()
-    assert sorted(map(tuple, wh.fact("funding_8h").collect())) == sorted(map(tuple, expected))
+    expected = facts.carry_8h(spark.createDataFrame(first, schema)).collect()
+    assert sorted(map(tuple, wh.fact("carry_8h").collect())) == sorted(map(tuple, expected))
 
 
 def test_large_numbers(spark, landing):  # noqa: F811
@@ -122,10 +161,10 @@ def test_large_numbers(spark, landing):  # noqa: F811
     assert [r[0] for r in found] == [Decimal("200000000000"), None, Decimal("50000000000.5"), Decimal("1.2345678901"), None, None]
     landed = spark.createDataFrame(
         [response("paradex", "stats", summary(f"M{i}-USD-PERP", oi, price, "1")) for i, (oi, price) in enumerate(rows[:3])]
-        + [response("paradex", "funding", {"results": [{"market": "M", "funding_index": 25000000000.5, "funding_premium": None, "funding_rate": "0.1", "created_at": 1}]})],
+        + [response("paradex", "carry", {"results": [{"market": "M", keys.INDEX: 25000000000.5, keys.PREMIUM: None, keys.RATE: "0.1", "created_at": 1}]})],
         "exchange string, kind string, market string, received_at timestamp, payload string",
     )
     parsed = paradex.parse_stats(landed.where("kind = 'stats'")).orderBy("market_symbol").collect()
     assert [r.reject for r in parsed] == [None, "open_interest out of range", None]
-    assert paradex.funding(landed.where("kind = 'funding'")).count() == 1
+    assert paradex.carry(landed.where("kind = 'carry'")).count() == 1
     assert data_ticks("a", (1, "1"))

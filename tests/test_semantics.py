@@ -10,6 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from carrygrid import keys
 from carrygrid.functions import classes, display, names, timing
 from carrygrid.operators import arbitrage, board, facts, matrix, upserts, windows
 from carrygrid.plans import fixtures
@@ -17,8 +18,8 @@ from carrygrid.session import shared_folder
 from carrygrid.streaming import rolling
 
 SERVED = (
-    "token string, exchange string, market_symbol string, funding_rate double, open_interest decimal(30,10), "
-    "volume_24h decimal(30,10), funding_ts timestamp, stats_ts timestamp, last_update timestamp"
+    "token string, exchange string, market_symbol string, carry_rate double, open_interest decimal(30,10), "
+    "volume_24h decimal(30,10), carry_ts timestamp, stats_ts timestamp, last_update timestamp"
 )
 
 
@@ -176,7 +177,7 @@ def test_board_sorts(served):
         "B": {"x": (0.02, 1)},
         "C": {"y": (0.03, 100), "z": (0.0, 1)},
     }
-    rows = board.funding_board(served(tokens))
+    rows = board.carry_board(served(tokens))
     order = lambda *a: [r.token for r in board.sort_board(rows, *a).collect()]
     assert order("token") == ["C", "B", "A"] and order("token", "asc") == ["A", "B", "C"]
     assert order("openInterest") == ["C", "A", "B"]
@@ -194,18 +195,18 @@ def test_bucket_edges_and_late_tick(spark):
     at = lambda h, m=0, s=0: dt.datetime(2024, 3, 1, h, m, s)
     rows = [(1, 1, Decimal("0.1"), at(7, 59, 59)), (1, 1, Decimal("0.2"), at(8)), (1, 1, Decimal("0.3"), at(8, 0, 1)),
             (1, 1, Decimal("0.5"), at(0))]
-    funding = spark.createDataFrame(rows, "exchange_id long, market_id long, rate decimal(18,10), ts timestamp")
-    got = {r.bucket_start.hour: (r.rate_8h, r.samples) for r in facts.funding_8h(funding).collect()}
+    carry = spark.createDataFrame(rows, "exchange_id long, market_id long, rate decimal(18,10), ts timestamp")
+    got = {r.bucket_start.hour: (r.rate_8h, r.samples) for r in facts.carry_8h(carry).collect()}
     assert got == {0: (0.3, 2), 8: (0.25, 2)}
-    assert facts.latest_funding_8h(facts.funding_8h(funding)).first().bucket_start == at(8)
+    assert facts.latest_carry_8h(facts.carry_8h(carry)).first().bucket_start == at(8)
     times = spark.createDataFrame([(at(17, 59, 59),), (dt.datetime(1969, 12, 31, 23, 0),)], "ts timestamp")
     starts = [r[0] for r in times.select(timing.bucket_start(F.col("ts"))).collect()]
     assert starts == [at(16), dt.datetime(1969, 12, 31, 16, 0)]
 
 
 def test_stored_cells(spark):
-    texts = ['{"funding_rate_8h": 0.5, "funding_rate": 9}', '{"funding_rate_8h": "x", "funding_rate": 0.25}',
-             '{"funding_ts": "a", "funding_bucket": null, "stats_ts": "b"}', "no json"]
+    texts = [f'{{"{keys.RATE_8H}": 0.5, "{keys.RATE}": 9}}', f'{{"{keys.RATE_8H}": "x", "{keys.RATE}": 0.25}}',
+             f'{{"{keys.TIME}": "a", "{keys.BUCKET}": null, "stats_ts": "b"}}', "no json"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, cell string")
     got = [tuple(r)[1:] for r in matrix.read_stored_cells(rows, "cell").orderBy("i").collect()]
     assert got == [("", 0.5, 0.0, 0.0, None, None), ("", 0.25, 0.0, 0.0, None, None),
@@ -240,12 +241,12 @@ def test_append_is_idempotent_and_order_free(spark):
     b = spark.createDataFrame([(1, 1, Decimal(4), at(1), 0), (1, 1, Decimal(4), at(1), 0)], schema)
     empty = a.limit(0)
     plain = lambda d: sorted(map(tuple, d.collect()))
-    first = upserts.new_funding(a, empty, ["seq"])
+    first = upserts.new_carry(a, empty, ["seq"])
     assert [r.rate for r in first.orderBy("market_id").collect()] == [Decimal(1), Decimal(3)]
-    assert upserts.new_funding(a, first, ["seq"]).count() == 0
-    ab = first.unionByName(upserts.new_funding(b, first, ["seq"]))
-    second = upserts.new_funding(b, empty, ["seq"])
-    ba = second.unionByName(upserts.new_funding(a, second, ["seq"]))
+    assert upserts.new_carry(a, first, ["seq"]).count() == 0
+    ab = first.unionByName(upserts.new_carry(b, first, ["seq"]))
+    second = upserts.new_carry(b, empty, ["seq"])
+    ba = second.unionByName(upserts.new_carry(a, second, ["seq"]))
     assert plain(ab) == plain(ba) and ab.count() == 3
 
 
@@ -263,17 +264,17 @@ def test_exchange_upserts(spark):
     now = F.lit("2024-02-01").cast("timestamp")
     existing = spark.createDataFrame(
         [(1, "Paradex", None, True, old, old), (2, "Foo-Bar", 60, False, old, old)],
-        "id long, name string, funding_interval_minutes int, is_active boolean, created_at timestamp, updated_at timestamp",
+        "id long, name string, carry_interval_minutes int, is_active boolean, created_at timestamp, updated_at timestamp",
     )
     asked = spark.createDataFrame([("PARADEX",), ("foo-bar",), ("new one",)], "name string")
     rows = {r.name: r for r in upserts.upsert_exchanges(existing, asked, now).collect()}
     assert rows["Paradex"].updated_at == old and rows["Paradex"].id == 1
-    assert rows["Foo-Bar"].is_active and rows["Foo-Bar"].updated_at > old and rows["Foo-Bar"].funding_interval_minutes == 60
+    assert rows["Foo-Bar"].is_active and rows["Foo-Bar"].updated_at > old and rows["Foo-Bar"].carry_interval_minutes == 60
     assert rows["New One"].id == 3
     touched = upserts.upsert_exchanges(existing, asked, now, touch_active=True)
     assert touched.where("updated_at = created_at AND id < 3").count() == 0
     intervals = upserts.set_interval(existing, now, spark.createDataFrame([(1,)], "id long")).orderBy("id").collect()
-    assert [(r.funding_interval_minutes, r.updated_at > old) for r in intervals] == [(480, True), (60, False)]
+    assert [(r.carry_interval_minutes, r.updated_at > old) for r in intervals] == [(480, True), (60, False)]
 
 
 def test_windows(spark):
@@ -302,7 +303,7 @@ def test_stream_drops_duplicates_and_late_ticks_the_batch_keeps(spark, tmp_path)
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        rolling.write_updates(rolling.funding_8h_stream(stream), out, str(tmp_path / "cp")).awaitTermination(120)
+        rolling.write_updates(rolling.carry_8h_stream(stream), out, str(tmp_path / "cp")).awaitTermination(120)
         return {r.bucket_start: (r.rate_8h, r.samples) for r in rolling.read_buckets(spark, out).collect()}
 
     run([(1, 1, Decimal("0.1"), at(1)), (1, 1, Decimal("0.1"), at(1)), (1, 1, Decimal("0.3"), at(1, 2))])
@@ -310,7 +311,7 @@ def test_stream_drops_duplicates_and_late_ticks_the_batch_keeps(spark, tmp_path)
     assert got == {at(1, 0): (pytest.approx(0.2), 3), at(10, 0): (0.5, 1)}
     got = run([(1, 1, Decimal("0.9"), at(1, 4))])  # far behind the watermark
     assert got[at(1, 0)][1] == 3
-    batch = facts.funding_8h(spark.read.schema(schema).parquet(source).distinct())
+    batch = facts.carry_8h(spark.read.schema(schema).parquet(source).distinct())
     assert batch.where(F.col("samples") == 4).count() == 1
 
 
@@ -330,14 +331,14 @@ def test_plans(spark):
     pairs = plan_of(arbitrage.best_arb(t.served()))
     assert "NestedLoop" not in pairs and "Cartesian" not in pairs
     # ticks: one scan of the needed columns with the filters pushed, hash aggregates with map-side halves
-    latest = plan_of(facts.latest_funding_8h(t.buckets()))
+    latest = plan_of(facts.latest_carry_8h(t.buckets()))
     assert latest.count("FileScan") == 1 and "SortAggregate" not in latest and "Sort [" not in latest
     assert latest.count("partial_") >= 2 and "props" not in latest
     assert "Not(EqualTo(event_type,purchase))" in latest
     stats = plan_of(facts.latest_stats(t.stats()))
     assert stats.count("Exchange") == 1 and "Window" not in stats
     # the board needs no window and no join back
-    assert "Window" not in plan_of(board.funding_board(t.served()))
+    assert "Window" not in plan_of(board.carry_board(t.served()))
 
 
 def test_no_single_task_steps(spark):
@@ -353,11 +354,11 @@ def test_stored_days_are_pruned(spark, tmp_path):
 
     wh = Warehouse(spark, str(tmp_path))
     t = fixtures.Tables(spark, "/root/testdata/sf0.001")
-    wh.append_fact("funding_rates", t.funding())
+    wh.append_fact("carry_rates", t.carry())
     day = dt.date(2024, 1, 5)
-    pruned = wh.fact("funding_rates", day, day)
+    pruned = wh.fact("carry_rates", day, day)
     assert "PartitionFilters: [isnotnull(dt" in plan_of(pruned)
-    assert pruned.count() == t.funding().where(F.to_date("ts") == F.lit(day)).count() > 0
+    assert pruned.count() == t.carry().where(F.to_date("ts") == F.lit(day)).count() > 0
 
 
 def test_versions_of_a_dimension(spark, tmp_path):

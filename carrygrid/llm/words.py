@@ -8,14 +8,16 @@ of a pair of documents meet with a chance of about size**2 / 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -42,6 +44,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Idle Python workers keep theirs otherwise, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 @dataclass
 class Chunk:
     """Some consecutive texts of a batch. Word ``i`` has bytes ``start[i]:end[i]`` of ``data``."""
@@ -116,6 +132,7 @@ def chunks(
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n + 1)[:n], out=sums[1:])
         yield Chunk(row, bounds, data, start, end, np.searchsorted(start, bounds), sums)
         row = last
+    give_back()
 
 
 def combine(words: np.ndarray) -> np.ndarray:
@@ -131,8 +148,7 @@ def combine(words: np.ndarray) -> np.ndarray:
 
 def short(words: np.ndarray) -> np.ndarray:
     """The one shingle of a text of one to four words."""
-    total = _SHORT[len(words)] + (words * _FACTORS[: len(words)]).sum(dtype=np.uint64)
-    return mix(np.array([total], np.uint64))
+    return mix(_SHORT[len(words) : len(words) + 1] + (words * _FACTORS[: len(words)]).sum(dtype=np.uint64))
 
 
 def shingle_sets(chunk: Chunk) -> Iterator[np.ndarray]:

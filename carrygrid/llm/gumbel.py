@@ -35,6 +35,7 @@ from carrygrid.llm.words import mix
 
 K = 2
 SEED = 7
+CHUNK_CHARS = 400_000
 TRIES = 8
 CLOSE = 1e-9  # below, what is left of a word is summed over its other forms
 LINEAR, RATE = 400, 2.7  # pre-tokens up to this length are summed as plain numbers
@@ -73,42 +74,43 @@ class Lattice:
         rows = int(slots.sum())
         left = np.repeat(first + found.length, slots) - np.arange(rows)  # characters still to come
         at = np.repeat(found.start + found.length, slots) - left
-        longest = int(found.length.max(initial=1))
-        width = min(vocabulary.longest, longest)
-        ids = np.full((rows, width), -1, np.int32)
-        linear = longest <= LINEAR
-        # Each character counts exp(RATE) times its probability, so that sums stay near 1; long pre-tokens are summed as logs.
-        weight = np.zeros((rows, width)) if linear else np.full((rows, width), -np.inf)
+        width = min(vocabulary.longest, int(found.length.max(initial=1)))
+        ids = np.full((rows, width), -1, np.min_scalar_type(-len(vocabulary.names)))
         row = np.flatnonzero(left)
         for k in range(1, width + 1):
             row = row[left[row] >= k]
-            hit, place = vocabulary.find(span_hashes(found.sums, at[row], at[row] + k))
+            hashes = span_hashes(found.sums, at[row], at[row] + k)
+            hit, place = vocabulary.find(hashes)
             ids[row[hit], k - 1] = vocabulary.ids[place]
-            weight[row[hit], k - 1] = np.exp(vocabulary.logs + RATE * k)[place] if linear else vocabulary.logs[place]
+            row = row[vocabulary.begun(hashes)]
         points = found.points[np.minimum(at, max(len(found.points) - 1, 0))] if len(found.points) else np.zeros(rows, np.uint32)
-        lone = np.flatnonzero((left > 0) & (ids[:, 0] < 0))
-        spelled = byte_count(points[lone]) * vocabulary.byte_log
-        weight[lone, 0] = np.exp(spelled + RATE) if linear else spelled
+        lattice = cls(first, ids, np.ones((rows, width)), np.zeros(len(first)), points, left == 0, vocabulary.log_of, vocabulary.byte_log)
         order = np.argsort(left.astype(np.int32), kind="stable")
         levels = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
-        total = np.ones(rows + width) if linear else np.zeros(rows + width)
-        below = np.ones((rows, width), np.float32)
+        # Each character counts exp(RATE) times its probability, so that sums stay near 1; long pre-tokens are summed as logs.
+        long = np.repeat(found.length > LINEAR, slots)
+        total = np.where(long, 0.0, 1.0)
+        bonus = RATE * np.arange(1, width + 1)
         for depth, (a, b) in enumerate(zip(levels[:-1], levels[1:]), 1):
-            row, reach = order[a:b], min(depth, width)
-            after = total[row[:, None] + np.arange(1, reach + 1)]
-            if linear:
-                part = weight[row, :reach] * after
-                whole = part.sum(axis=1)
-                total[row] = whole
-            else:
-                part = weight[row, :reach] + after
-                top = part.max(axis=1)
-                part = np.exp(part - top[:, None])
-                whole = part.sum(axis=1)
-                total[row] = top + np.log(whole)
-            below[row, :reach] = np.cumsum(part, axis=1) / whole[:, None]
-        mass = np.log(total[first]) - RATE * found.length if linear else total[first]
-        return cls(first, ids, below, mass, points, left == 0, vocabulary.log_of, vocabulary.byte_log)
+            reach = min(depth, width)
+            takes = np.arange(reach)
+            here = order[a:b]
+            for row in (here[~long[here]], here[long[here]]):
+                if not len(row):
+                    continue
+                log = lattice.gain(np.repeat(row, reach), np.tile(takes, len(row))).reshape(-1, reach)
+                after = total[row[:, None] + takes + 1]
+                if long[row[0]]:
+                    part = log + after
+                    top = part.max(axis=1)
+                    summed = np.cumsum(np.exp(part - top[:, None]), axis=1)
+                    total[row] = top + np.log(summed[:, -1])
+                else:
+                    summed = np.cumsum(np.exp(log + bonus[:reach]) * after, axis=1)
+                    total[row] = summed[:, -1]
+                lattice.below[row, :reach] = summed / summed[:, -1:]
+        lattice.mass = np.where(found.length > LINEAR, total[first], np.log(np.where(long, 1.0, total)[first]) - RATE * found.length)
+        return lattice
 
     def gain(self, row: np.ndarray, take: np.ndarray) -> np.ndarray:
         """Log probability of edges; minus infinity where there is none."""
@@ -131,7 +133,7 @@ class Lattice:
         while len(active):
             here = row[active]
             own = mix(key[active] + (here - self.first[word[active]]).astype(np.uint64) * np.uint64(_STEP))
-            take = np.minimum((self.below[here] < uniform(own).astype(np.float32)[:, None]).sum(axis=1), last)
+            take = np.minimum((self.below[here] < uniform(own)[:, None]).sum(axis=1), last)
             gain = self.gain(here, take)
             wrong = np.flatnonzero(np.isneginf(gain))
             if len(wrong):  # rounding led to an edge that is not there
@@ -377,8 +379,8 @@ class Search:
         owner = self.found.owner
         words = np.arange(len(owner))
         share = sample.word_log - self.mass  # log probability of the word's form
-        ahead = np.cumsum(share) - share
-        ahead -= ahead[self.bounds[:-1].clip(max=max(len(words) - 1, 0))][owner] if len(words) else 0
+        # Summed text by text, so that no text's sums depend on its neighbours.
+        ahead = np.concatenate([np.cumsum(share[a:b]) for a, b in zip(self.bounds[:-1], self.bounds[1:])] or [share]) - share
         taken = np.exp(share)
         source = np.full(self.texts, number)
         at = np.minimum(split, max(len(words) - 1, 0))
@@ -439,7 +441,27 @@ class Search:
         return out, np.append(start, len(out))[self.bounds]
 
 
-SAMPLE = "sample int, log_prob double, perturbed double, inclusion double, ids array<int>"
+SAMPLE = "sample int, log_prob double, perturbed double, inclusion double"
+
+
+def _samples(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, k: int) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns but for the ids, ids of all texts, where each begins, rows that have the sample) by chunk and sample."""
+    for batch in batches:
+        keys = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        for first, texts in parts(batch.column(1), CHUNK_CHARS):
+            found = PreTokens.of(texts)
+            search = Search(found, Lattice.of(found, vocabulary), keys[first : first + len(texts)], k)
+            bar = search.run()
+            own = batch.column(0).slice(first, len(texts))
+            for number, s in enumerate(search.samples):
+                ids, bounds = search.ids(number, vocabulary)
+                live = np.flatnonzero(s.live)
+                chance = -np.expm1(-np.exp(np.minimum(s.log - bar, 700)))
+                columns = [
+                    own.take(pa.array(live)), pa.array(np.full(len(live), number, np.int32)), pa.array(s.log[live]),
+                    pa.array(s.value[live]), pa.array(chance[live]),
+                ]
+                yield columns, ids, bounds, live
 
 
 def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, path: str = MODEL) -> DataFrame:
@@ -447,28 +469,29 @@ def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     vocabulary = Vocabulary.load(path)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            for first, texts in parts(batch.column(1)):
-                found = PreTokens.of(texts)
-                search = Search(found, Lattice.of(found, vocabulary), keys[first : first + len(texts)], k)
-                bar = search.run()
-                own = batch.column(0).slice(first, len(texts))
-                for number, s in enumerate(search.samples):
-                    ids, bounds = search.ids(number, vocabulary)
-                    live = np.flatnonzero(s.live)
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                    chance = -np.expm1(-np.exp(np.minimum(s.log - bar, 700)))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            own.take(pa.array(live)), pa.array(np.full(len(live), number, np.int32)), pa.array(s.log[live]),
-                            pa.array(s.value[live]), pa.array(chance[live]), lists.take(pa.array(live)),
-                        ],
-                        names=[key, "sample", "log_prob", "perturbed", "inclusion", "ids"],
-                    )
+        for columns, ids, bounds, live in _samples(batches, vocabulary, k):
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)).take(pa.array(live))
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=[key, "sample", "log_prob", "perturbed", "inclusion", "ids"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(sample, f"{key} {kind}, {SAMPLE}, ids array<int>")
+
+
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, path: str = MODEL) -> DataFrame:
+    """The same with n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) in place of the ids, which do not leave their task."""
+    vocabulary = Vocabulary.load(path)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, ids, bounds, live in _samples(batches, vocabulary, k):
+            flat = ids.astype("<u4")
+            crc = [zlib.crc32(flat[bounds[i] : bounds[i + 1]]) for i in live]
+            sizes = np.diff(bounds)[live].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(sizes), pa.array(crc, pa.int64())], names=[key, "sample", "log_prob", "perturbed", "inclusion", "n_tokens", "ids_crc32"]
+            )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(sample, f"{key} {kind}, {SAMPLE}")
+    return docs.select(key, text).mapInArrow(sample, f"{key} {kind}, {SAMPLE}, n_tokens long, ids_crc32 long")
 
 
 def decoded(sampled: DataFrame, path: str = MODEL) -> DataFrame:
@@ -483,22 +506,3 @@ def decoded(sampled: DataFrame, path: str = MODEL) -> DataFrame:
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sampled.schema.fields)
     return sampled.mapInArrow(decode, f"{columns}, decoded string")
-
-
-def digest(sampled: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The samples with n_tokens and ids_crc32 in place of the ids."""
-    at = sampled.columns.index("ids")
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(at)
-            flat = ids.flatten().to_numpy().astype("<u4")
-            ends = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], ids.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64())],
-                names=[*batch.schema.names[:at], "n_tokens", "ids_crc32"],
-            )
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sampled.schema.fields[:at])
-    return sampled.mapInArrow(shorten, f"{columns}, n_tokens long, ids_crc32 long")

@@ -17,11 +17,12 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 
-from carrygrid.llm.words import mix, powers
+from carrygrid.llm.words import give_back, mix, powers
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 CHUNK_CHARS = 1_000_000
+BEGIN_BITS = 22
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -51,6 +52,7 @@ class Vocabulary:
     logs: np.ndarray
     byte_log: float
     longest: int
+    begins: np.ndarray  # by the first bits of a hash: whether a piece may begin so
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -67,9 +69,15 @@ class Vocabulary:
         bounds = np.concatenate(([0], np.cumsum([len(names[i]) for i in plain])))
         hashes = span_hashes(prefix_sums(points), bounds[:-1], bounds[1:])
         order = np.argsort(hashes)
+        # Hashes of all beginnings of pieces: what is none of them needs no longer look.
+        begins = np.zeros(1 << BEGIN_BITS, bool)
+        sums, sizes = prefix_sums(points), np.diff(bounds)
+        for k in range(1, int(sizes.max()) + 1):
+            some = bounds[:-1][sizes >= k]
+            begins[span_hashes(sums, some, some + k) >> np.uint64(64 - BEGIN_BITS)] = True
         return cls(
             names, next(i for i in range(size) if model.is_byte(i)), np.array(plain, np.int32)[order], hashes[order],
-            (-np.log(rank) - total)[order], float(-np.log(len(plain)) - total), int(np.diff(bounds).max()),
+            (-np.log(rank) - total)[order], float(-np.log(len(plain)) - total), int(sizes.max()), begins,
         )
 
     def __post_init__(self) -> None:
@@ -82,6 +90,7 @@ class Vocabulary:
         # By id, for those who keep ids only.
         self.log_of = np.full(len(self.names), -np.inf)
         self.log_of[self.ids] = self.logs
+        self.by_name = {self.names[i]: x for i, x in zip(self.ids.tolist(), self.logs.tolist())}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and their places."""
@@ -97,6 +106,10 @@ class Vocabulary:
             hit[rest] = self.hashes[place[rest]] == wanted[rest]
         return some[hit], place[hit]
 
+    def begun(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be beginnings of pieces; never wrong about those that are."""
+        return self.begins[(hashes >> np.uint64(64 - BEGIN_BITS)).view(np.int64)]
+
     def decode(self, ids: Iterator[int]) -> str:
         """The text that ids stand for; undecodable bytes become U+FFFD."""
         data = bytearray()
@@ -154,3 +167,4 @@ def parts(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list
             first, size, part = i + 1, 0, []
     if part:
         yield first, part
+    give_back()

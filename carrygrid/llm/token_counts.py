@@ -7,13 +7,19 @@ of one depth together. The terminal node of a pre-token holds the number of
 tokens of its best segmentation, of which a text's count is the sum. Of equal
 segmentations the one with the longer last piece counts.
 
+A level of the trie is worth its step where many nodes share it. Pre-tokens over ``DEEP``
+characters share next to nothing, so each is scored by a plain loop over its characters, in
+time proportional to its length; very long texts without spaces are such.
+
 Null or empty text has no tokens. Rows with null or repeated ids are counted like any
 other. An empty table gives no rows. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +28,42 @@ from pyspark.sql import DataFrame
 from carrygrid.llm.pieces import MODEL, PreTokens, Vocabulary, byte_count, parts, span_hashes
 
 CHUNK_CHARS = 2_000_000
+DEEP = 128
+
+
+def _long_count(word: str, vocabulary: Vocabulary) -> int:
+    """Tokens of the best segmentation of one long pre-token."""
+    logs, longest, n = vocabulary.by_name, vocabulary.longest, len(word)
+    score, tokens = [0.0] * (n + 1), [0] * (n + 1)
+    for end in range(1, n + 1):
+        top, count = -math.inf, 0
+        for start in range(max(0, end - longest), end):  # the longest last piece comes first
+            log = logs.get(word[start:end])
+            if log is not None and score[start] + log > top:
+                top, count = score[start] + log, tokens[start] + 1
+        if word[end - 1] not in logs:
+            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            spelled = score[end - 1] + size * vocabulary.byte_log
+            if spelled > top:
+                top, count = spelled, tokens[end - 1] + size
+        score[end], tokens[end] = top, count
+    return tokens[n]
+
+
+def _text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def terminal_counts(found: PreTokens, vocabulary: Vocabulary) -> np.ndarray:
     """Tokens of the best segmentation of each distinct pre-token."""
+    long = found.length > DEEP
+    out = np.zeros(len(long), np.int64)
+    out[long] = [_long_count(_text(found.points[a : a + n]), vocabulary) for a, n in zip(found.start[long], found.length[long])]
+    out[~long] = _shared_counts(replace(found, start=found.start[~long], length=found.length[~long]), vocabulary)
+    return out
+
+
+def _shared_counts(found: PreTokens, vocabulary: Vocabulary) -> np.ndarray:
     n = len(found.length)
     if not n:
         return np.zeros(0, np.int64)

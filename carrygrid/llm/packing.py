@@ -10,8 +10,9 @@ round begins. New sequences are opened for pieces over half the size at once, fo
 when no gap takes any piece, as many as the remaining tokens fill.
 
 Only the sizes of the classes (at most ``CAPACITY`` numbers) pass through the
-driver. Classes are salted, so one length may hold any share of the pieces. Every
-round is a written table.
+driver. Classes are split by their size, so one length may hold any share of the pieces. Every
+round is a written table. Equal lengths are placed in the order of the pieces' numbers. A very long text is
+many pieces, in as many sequences.
 
 Null text counts as empty: one piece with the closing 0. Rows with a null
 or repeated doc_id are packed like any other. An empty table gives no rows.
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carrygrid.llm.store import written
+from carrygrid.llm.words import give_back
 
 CAPACITY = 2048
-SALTS = 64
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -96,6 +97,7 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) ->
                     ],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(tokenise, PIECE)
 
@@ -103,10 +105,12 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) ->
 def ranked(rows: DataFrame, size: str, number: str) -> DataFrame:
     """``rows`` with ``rank``, counted from 0 within each class of equal ``size``.
 
-    A class is split into ``SALTS`` parts, which are numbered by themselves and
-    shifted by the parts before: the table of shifts has a row per class and part.
+    A class of n rows is split into about the square root of n parts of as many rows, which are numbered by
+    themselves and shifted by the parts before, so a class of any size is as many tasks as it needs.
+    Classes are at most ``CAPACITY`` and so may be broadcast; the table of shifts has a row per class and part.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(number), F.lit(SALTS)))
+    parts = rows.groupBy(size).agg(F.ceil(F.sqrt(F.count("*"))).alias("parts"))
+    salted = rows.join(F.broadcast(parts), size).withColumn("salt", F.pmod(F.xxhash64(number), F.col("parts"))).drop("parts")
     counts = salted.groupBy(size, "salt").count()
     before = F.sum("count").over(Window.partitionBy(size).orderBy("salt")) - F.col("count")
     shifts = counts.select(size, "salt", before.alias("shift"))

@@ -16,8 +16,8 @@ id keeps its own, and they go elsewhere, so whatever goes stands in one other do
 with at least that many words in sequence. Repeats within one document are left alone.
 
 Null or empty texts have no paragraphs. Rows with a null doc_id are neither
-compared nor changed. Repeated rows of one doc_id are one document. doc_id must
-lie within +-2**38. An empty table gives no rows. Other columns are not read.
+compared nor changed. Repeated rows of one doc_id are one document. doc_id is any
+64-bit number. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,14 +39,14 @@ BANDS, ROWS = 6, 2
 LEAST_WORDS = 50
 LEAST_RUN = 24
 REACH = 4  # a segment starts at a word whose hash is least among this many neighbours on either side
-LINE_BITS = 25
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
 
 
-def paragraph_id(doc_id, line):
-    """Number of a paragraph; paragraphs sort as their documents do."""
-    return doc_id * (1 << LINE_BITS) + line
+def paragraph_ids(doc_ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A number for each paragraph, whatever the doc_ids are: a hash of both."""
+    own = mix(doc_ids.astype(np.int64).view(np.uint64)) + np.asarray(lines, np.int64).astype(np.uint64) * np.uint64(_Q)
+    return mix(own).view(np.int64)
 
 
 def paragraphs(chunk: Chunk) -> Iterator[tuple[int, int, int, int]]:
@@ -78,18 +78,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sets = [s for _, _, s in found]
             keys = band_keys(signatures(sets, BANDS * ROWS), ROWS).view(np.int64)
+            own = ids[[chunk.first + t for t, _, _ in found]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([paragraph_id(int(ids[chunk.first + t]), line) for t, line, _ in found], pa.int64()),
+                    pa.array(paragraph_ids(own, [line for _, line, _ in found])),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     pa.nulls(len(sets), pa.binary()),
                     pa.array(list(keys), pa.list_(pa.int64())),
+                    pa.array(own),
                 ],
-                names=["id", "n_shingles", "set_hash", "signature", "bands"],
+                names=["id", "n_shingles", "set_hash", "signature", "bands", "doc_id"],
             )
 
 
+def _numbered(chunk: Chunk, own: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """The paragraphs of a chunk and their numbers."""
+    lines = list(paragraphs(chunk))
+    return lines, paragraph_ids(own[[chunk.first + t for t, *_ in lines]], [line for _, line, *_ in lines])
+
+
 def paragraph_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles): the full sets of the paragraphs with the given numbers, and of a few others."""
     wanted = Filter(ids)
@@ -98,8 +106,7 @@ def paragraph_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             own = batch.column(0).cast(pa.int64()).to_numpy()
             for chunk in chunks(batch.column(1)):
-                lines = list(paragraphs(chunk))
-                number = np.array([paragraph_id(int(own[chunk.first + t]), line) for t, line, _, _ in lines], np.int64)
+                lines, number = _numbered(chunk, own)
                 some = np.flatnonzero(wanted(number))
                 if not len(some):
                     continue
@@ -194,17 +201,20 @@ SPAN = "doc_id long, row long, first_doc_id long, start long, end long, n_words
 
 def _paragraph_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, row, first_doc_id, start, end, n_words) of the paragraphs that another document keeps."""
-    signed = written(spark, docs.mapInArrow(_sign, SIGNED), "paragraphs")
+    signed = written(spark, docs.mapInArrow(_sign, f"{SIGNED}, doc_id long"), "paragraphs")
     grouped = classes(spark, signed)
 
     labels = link_buckets(spark, banded(spark, grouped), lambda ids: paragraph_sets(docs, ids))
-    gone = (
+    # The document with the smallest id of a component keeps its paragraph.
+    members = (
         grouped.select(F.col("id").alias("own"), F.col("first_id").alias("id"))
         .join(labels, "id", "left")
-        .select(F.col("own").alias("id"), F.shiftright(F.coalesce("component", "id"), LINE_BITS).alias("kept_in"))
-        .where(F.shiftright("id", LINE_BITS) != F.col("kept_in"))
-        .distinct()
+        .select(F.col("own").alias("id"), F.coalesce("component", "id").alias("component"))
+        .join(signed.select("id", "doc_id").distinct(), "id")
     )
+    members = written(spark, members, "members")
+    kept = members.groupBy("component").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in < last")
+    gone = members.join(kept, "component").where("doc_id <> kept_in").select("id", "kept_in").distinct()
     gone = written(spark, gone, "gone")
     wanted = Filter(gone.select("id"))
 
@@ -212,18 +222,19 @@ def _paragraph_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for batch in batches:
             own, hashed = (batch.column(i).cast(pa.int64()).to_numpy() for i in (0, 2))
             for chunk in chunks(batch.column(1)):
-                lines = list(paragraphs(chunk))
-                number = np.array([paragraph_id(int(own[chunk.first + t]), line) for t, line, _, _ in lines], np.int64)
+                lines, number = _numbered(chunk, own)
                 some = np.flatnonzero(wanted(number))
                 text = hashed[[chunk.first + lines[i][0] for i in some]]
                 rows = [(chunk.start[a] - chunk.bounds[t], chunk.end[b - 1] - chunk.bounds[t], b - a) for t, _, a, b in (lines[i] for i in some)]
                 columns = list(zip(*rows)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(number[some]), pa.array(text), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "row", "start", "end", "n_words"])
+                docs_of = own[[chunk.first + lines[i][0] for i in some]]
+                arrays = [pa.array(number[some]), pa.array(docs_of), pa.array(text), *(pa.array(c, pa.int64()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "row", "start", "end", "n_words"])
 
     return (
-        docs.mapInArrow(spans, "id long, row long, start long, end long, n_words long")
+        docs.mapInArrow(spans, "id long, doc_id long, row long, start long, end long, n_words long")
         .join(gone, "id")
-        .select(F.shiftright("id", LINE_BITS).alias("doc_id"), "row", F.col("kept_in").alias("first_doc_id"), "start", "end", "n_words")
+        .select("doc_id", "row", F.col("kept_in").alias("first_doc_id"), "start", "end", "n_words")
         .distinct()
     )
 

@@ -152,3 +152,17 @@ def test_runs_stand_in_one_other_document(spark):
     texts = sorted(r.text for r in left if r.doc_id == 61)
     assert texts[1] == words("ü", 80) and "whole30" not in texts[0] and "e29" in texts[0]
     assert next(r.text for r in left if r.doc_id == 50) == " ".join(phrases)
+
+
+def test_passages_of_any_64_bit_id(spark):
+    passage = " ".join(f"passage{i}" for i in range(70))
+    rows = [(1 << 40, f"one\n{passage}\nend"), ((1 << 62) + 5, f"two\n{passage}\nother"), (-(1 << 61), "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeats(spark, docs).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {((1 << 62) + 5, 1 << 40)}
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [2e39, 4.00001e39]), (4, [1e-200, -5e-200]), (5, None), (6, [0.0, 0.0])]
+    found = vectors.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}

@@ -189,7 +189,7 @@ def test_samples_decode_to_their_texts(spark, docs, odd, none):
         (r.doc_id, r.sample, tuple(r.ids)) for r in gumbel.segmentations(docs.limit(200), k=2).collect()
     }
     assert gumbel.segmentations(none).count() == 0
-    assert "ids_crc32" in gumbel.digest(gumbel.segmentations(odd)).columns
+    assert "ids_crc32" in gumbel.digest(odd).columns
 
 
 def test_ids_equal_the_tokenizers_library():
@@ -297,12 +297,73 @@ def test_split_articles_stay_whole(spark):
 
 
 def test_parsing():
-    text = html_text.main_text(
+    page = html_text.Page(
         html_text.parse(
             "<article><h1>T &amp; t</h1><p>One<br>two  three<p>Four <i>five</i><aside>side</aside><form>x<input></form>"
             "<div class='share-buttons'>Share</div><ul><li>a<li>b</ul><script>var a='</p>'</script><!-- <p>no</p> -->"
             "<section id=comments><p>Nice!</p></section><table><tr><td>c<td>d</table></article><footer>f</footer>"
-        ),
-        set(),
-    )[0]
+        )
+    )
+    text = html_text.main_text(page.texts, page.owners, page.around, [False] * len(page.hashes), page.alone)[0]
     assert text == "T & t\nOne two three\nFour five\na\nb\nc\nd"
+
+
+def test_samples_do_not_depend_on_the_chunk(docs, vocabulary):
+    """Each text alone gives the very numbers that it gives among others, a long pre-token among them too."""
+    texts = [r.text for r in docs.limit(60).collect()] + ["x" * 500, "", "a"]
+
+    def run(some, keys):
+        found = pieces.PreTokens.of(some)
+        search = gumbel.Search(found, gumbel.Lattice.of(found, vocabulary), np.array(keys), 3)
+        bar = search.run()
+        return [[(s.log[i], s.value[i], bar[i], s.live[i]) for s in search.samples] for i in range(len(some))]
+
+    together = run(texts, range(len(texts)))
+    assert all(run([text], [i])[0] == together[i] for i, text in enumerate(texts))
+
+
+def test_long_pretokens(vocabulary):
+    word = np.random.default_rng(1).choice(list("abcdetionrs漢é"), 300).astype(str)
+    texts = ["".join(word[:n]) for n in (127, 128, 129, 200, 300)]
+    found = pieces.PreTokens.of(texts)
+    assert token_counts.terminal_counts(found, vocabulary).tolist() == token_counts._shared_counts(found, vocabulary).tolist()
+    long = pieces.PreTokens.of(["x" * 20_000])
+    assert token_counts.terminal_counts(long, vocabulary)[0] > 1000
+
+
+def test_language_of_large_alphabets():
+    draw = np.random.default_rng(2)
+    texts = ["".join(map(chr, draw.integers(0x4E00, 0x9F00, 300))) for _ in range(40)]
+    letters = language.is_letter()
+    together = language.bundles(texts, letters)
+    assert all((language.bundles([t], letters)[0] == v).all() for t, v in zip(texts, together))
+
+
+def test_one_training_row_for_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, 5).count() <= 2
+
+
+def test_near_copies_keep_their_blocks(spark):
+    def near(i, host):
+        blocks = [[f"b{k}w{j}" for j in range(40)] for k in range(6)]
+        blocks[i % 6][i // 6 % 40] = f"edit{i}"
+        return f"<body><nav>x</nav><article><h1>Heading</h1>{''.join(f'<p>{chr(32).join(b)}</p>' for b in blocks)}</article></body>"
+
+    def own(i):
+        return f"<body><article><h1>T{i}</h1><p>{' '.join(f'q{i}x{j}' for j in range(50))}</p><p>Strip on all pages</p></article></body>"
+
+    rows = [(n * 10_000 + i, f"http://near{n}.org/{i}", near(i, n)) for n in (8, 40, 200) for i in range(n)]
+    rows += [(i, "http://own.org/", own(i)) for i in range(6)]
+    found = {r.page_id: r.text.split("\n") for r in html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(lines) == (7 if page >= 6 else 2) for page, lines in found.items())
+
+
+@pytest.mark.parametrize("html", ["<div>" * 8000 + "x", "<article>a b</article>" * 8000, "<a href=x " * 10_000, "<a title=\"x' " * 10_000, "<ul><li>" * 5000, "</b>" * 20_000])
+def test_odd_pages_take_little_time(html):
+    import time
+
+    began = time.process_time()
+    html_text.Page(html_text.parse(html))
+    assert time.process_time() - began < 2

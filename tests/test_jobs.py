@@ -185,14 +185,14 @@ def test_unknown_or_inactive_exchange(wh, landing):
 
 def test_add_exchange_takes_stats_of_inactive_markets(spark, tmp_path, landing):
     wh = Warehouse(spark, str(tmp_path / "fresh"))
-    done = jobs.add_exchange(wh, landing(FIRST), NOW, "extended")
+    done = jobs.add_exchange(wh, landing(FIRST), NOW, "extended", SinceLastOrLookbackHours())
     assert [done[k][0].rows for k in ("markets", "carry", "stats")] == [3, 2, 2]
     jobs.backfill(wh, str(tmp_path / "landing"), NOW, "Extended")
     assert wh.fact("market_stats").count() == 2
 
 
 def test_drop_exchange(wh, landing):
-    jobs.run_init(wh, landing(FIRST), NOW)
+    jobs.run_init(wh, landing(FIRST), NOW, SinceLastOrLookbackHours())
     jobs.drop_exchange(wh, "Extended")
     assert [r.name for r in wh.dimension("exchanges").orderBy("name").collect()] == ["Nowhere", "Paradex"]
     assert wh.dimension("markets").count() == 2 and wh.dimension("tokens").count() == 3

@@ -14,7 +14,7 @@ from carrygrid.operators import facts
 from carrygrid.operators.windows import SinceLastOrLookbackHours
 from carrygrid.plans import jobs
 from carrygrid.sources import paradex
-from carrygrid.sources.warehouse import Warehouse
+from carrygrid.sources.warehouse import WAITING_PARTS, Warehouse
 from carrygrid.streaming import ingest, rolling
 from tests.test_jobs import (  # noqa: F401 - fixtures
     FIRST,
@@ -119,6 +119,31 @@ def test_batch_runs_keep_what_waits(spark, wh, landing, tmp_path):  # noqa: F811
         assert {r.market_symbol for r in w.waiting("carry").collect()} == {"OLD-USD"}
 
 
+def test_folders_of_waiting_records_do_not_grow_with_the_markets(wh, landing, monkeypatch):  # noqa: F811
+    names = [f"M{i}-USD" for i in range(200)]
+    at = int(NOW.timestamp() * 1000) - 3_600_000
+    ticks = {"data": [{"m": name, "f": "0.1", "T": at + i} for i, name in enumerate(names)]}
+    path = landing([response("extended", "carry", ticks)])
+    jobs.run_init(wh, path, NOW)
+    assert wh.waiting("carry").count() == 200 and len(wh.waiting_folders("carry")) <= WAITING_PARTS
+    landing([response("extended", "markets", data_markets(*((name, True) for name in names[:3])))])
+
+    def broken(self, paths):
+        raise Broken
+
+    with monkeypatch.context() as m:  # the records are stored, but those that go on waiting are there twice
+        m.setattr(Warehouse, "drop", broken)
+        with pytest.raises(Broken):
+            jobs.run_init(wh, path, NOW)
+    for _ in range(2):
+        jobs.sync_markets(wh, path, NOW)
+        assert {r.market_symbol for r in wh.waiting("carry").collect()} == set(names[3:]) and wh.waiting("carry").count() == 197
+        assert wh.fact("carry_rates").count() == 3
+        assert {r.market_symbol for r in wh.dimension("waiting_carry").collect()} == set(names[3:])
+    jobs.drop_exchange(wh, "extended")
+    assert not wh.waiting_folders("carry") and wh.dimension("waiting_carry").isEmpty()
+
+
 def test_a_second_run_opens_no_old_response(wh, landing):  # noqa: F811
     path = landing(FIRST)
     first = jobs.run_init(wh, path, NOW)

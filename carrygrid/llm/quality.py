@@ -3,8 +3,7 @@
 Every document is scored by how much likelier its n-grams are under a trusted
 target than under the raw corpus. Both are multinomials over ``BUCKETS``
 n-grams (words, and words with their successor), hashed by CRC-32, with add-one smoothing. The raw corpus is all
-documents; the target is fitted on the texts of ``TARGET_ROWS`` documents labelled good at most, those
-with the least CRC-32 of the doc_id. Log ratios are whole millionths, so sums do not depend on their
+documents; the target is fitted on the texts of all documents labelled good. Log ratios are whole millionths, so sums do not depend on their
 order; the sum is divided by the number of n-grams, so long texts are not
 favoured. The threshold is fixed: equal texts always get equal verdicts.
 
@@ -24,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrygrid.llm.importance import CRC_SQL, crc_sql
+from carrygrid.llm.store import written
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 20_000
+TARGET_ROWS = 20_000  # of the SQL alone, which states the result up to that many good labels
 MILLION = 1_000_000
 THRESHOLD = -0.12
 WINDOW = 5
@@ -96,23 +96,34 @@ def ngram_buckets(w: Column, buckets: int) -> Column:
     return F.concat(F.transform(w, lambda x: bucket(x, buckets)), F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """The doc_ids that the target is fitted on: at most ``rows``, so they may be broadcast."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """(word, bits): which of the 64 doc_ids of each word the target is fitted on, all that are labelled good."""
+    good = labels.where("quality = 1 and doc_id is not null")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place(F.col("doc_id")))
+    return good.groupBy(word(F.col("doc_id")).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def word(doc_id: Column) -> Column:
+    return F.shiftright(doc_id.cast("bigint"), 6)
+
+
+def place(doc_id: Column) -> Column:
+    return doc_id.cast("bigint").bitwiseAND(F.lit(63)).cast("int")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """The log ratio of each bucket, target over raw, in millionths.
 
-    Texts stay where they are; one row per bucket and task is shuffled, and
-    ``buckets`` numbers come to the driver whatever the input.
+    One row per bucket and task is shuffled, and ``buckets`` numbers come to the driver whatever the
+    input. The ids of the target are stored first, at a number per 64 ids, so that Spark knows their size:
+    it sends them to the texts while they are small, and shuffles the texts beyond that.
     """
-    good = target_ids(labels).withColumn("good", F.lit(1))
+    good = written(docs.sparkSession, target_ids(labels), "target")
+    is_good = F.call_function("shiftright", F.coalesce("bits", F.lit(0)), place(F.col("doc_id"))).bitwiseAND(F.lit(1))
     counted = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(good), "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), lambda w: ngram_buckets(w, buckets))).alias("bucket"))
+        .join(good, word(F.col("doc_id")) == F.col("word"), "left")
+        .select(F.coalesce(is_good, F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), lambda w: ngram_buckets(w, buckets))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
         .collect()

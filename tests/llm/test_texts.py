@@ -34,6 +34,20 @@ def test_ratio_tells_good_from_bad(docs, labels):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
 
 
+def test_all_good_labels_count(spark):
+    """More good labels than any limit, ids of all sizes; of two texts one is labelled good."""
+    ids = [-(2**63), -65, -1, 0, 63, 64, 2**62 + 1, 2**63 - 1]
+    graded = spark.range(1000, 24_000).selectExpr("id AS doc_id", "1 AS quality")
+    graded = graded.unionByName(spark.createDataFrame([(i, 1) for i in ids] + [(None, 1), (65, 0)], "doc_id long, quality int"))
+    rows = [(i, "fine") for i in [*ids, *range(1000, 24_000)]] + [(i, "poor") for i in (65, 1, -2, 2**62, 999, 24_000, None)]
+    found = quality.log_ratios(spark.createDataFrame(rows, "doc_id long, text string"), graded)
+    fine, poor = (zlib.crc32(w.encode()) % quality.BUCKETS for w in ("fine", "poor"))
+    n, size = 23_000 + len(ids), quality.BUCKETS
+    raw = n + 7 + size
+    assert found[fine] == math.floor(1e6 * math.log(float(n + 1) * raw / (float(n + 1) * (n + size))))
+    assert found[poor] == math.floor(1e6 * math.log(float(raw) / (8.0 * (n + size))))
+
+
 def test_quality_runs_no_python(docs, labels):
     plan = quality.report(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

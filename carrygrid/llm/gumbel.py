@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from carrygrid.llm.pieces import MODEL, PreTokens, Vocabulary, byte_count, parts, span_hashes
@@ -77,36 +78,45 @@ class Lattice:
         width = min(vocabulary.longest, int(found.length.max(initial=1)))
         ids = np.full((rows, width), -1, np.min_scalar_type(-len(vocabulary.names)))
         row = np.flatnonzero(left)
+        most = 1
         for k in range(1, width + 1):
             row = row[left[row] >= k]
             hashes = span_hashes(found.sums, at[row], at[row] + k)
             hit, place = vocabulary.find(hashes)
             ids[row[hit], k - 1] = vocabulary.ids[place]
+            most = k if len(hit) else most
             row = row[vocabulary.begun(hashes)]
+        # No edge is longer than the longest piece found.
+        width = min(width, most)
+        ids = np.ascontiguousarray(ids[:, :width])
         points = found.points[np.minimum(at, max(len(found.points) - 1, 0))] if len(found.points) else np.zeros(rows, np.uint32)
         lattice = cls(first, ids, np.ones((rows, width)), np.zeros(len(first)), points, left == 0, vocabulary.log_of, vocabulary.byte_log)
-        order = np.argsort(left.astype(np.int32), kind="stable")
+        order = np.argsort(left.astype(np.min_scalar_type(left.max(initial=0))), kind="stable")
         levels = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
         # Each character counts exp(RATE) times its probability, so that sums stay near 1; long pre-tokens are summed as logs.
         long = np.repeat(found.length > LINEAR, slots)
         total = np.where(long, 0.0, 1.0)
-        bonus = RATE * np.arange(1, width + 1)
+        # By piece id; the last place is for no piece.
+        weight_of = np.append(np.exp(vocabulary.log_of + RATE * vocabulary.length_of), 0.0)
+        spelled = np.exp(np.arange(5) * vocabulary.byte_log + RATE)
         for depth, (a, b) in enumerate(zip(levels[:-1], levels[1:]), 1):
             reach = min(depth, width)
-            takes = np.arange(reach)
             here = order[a:b]
             for row in (here[~long[here]], here[long[here]]):
                 if not len(row):
                     continue
-                log = lattice.gain(np.repeat(row, reach), np.tile(takes, len(row))).reshape(-1, reach)
-                after = total[row[:, None] + takes + 1]
+                after = sliding_window_view(total, reach)[row + 1]
                 if long[row[0]]:
-                    part = log + after
+                    part = lattice.gains(row, reach) + after
                     top = part.max(axis=1)
                     summed = np.cumsum(np.exp(part - top[:, None]), axis=1)
                     total[row] = top + np.log(summed[:, -1])
                 else:
-                    summed = np.cumsum(np.exp(log + bonus[:reach]) * after, axis=1)
+                    piece = ids[row, :reach]
+                    weight = weight_of[piece]
+                    bare = np.flatnonzero(piece[:, 0] < 0)
+                    weight[bare, 0] = spelled[byte_count(points[row[bare]])]
+                    summed = np.cumsum(weight * after, axis=1)
                     total[row] = summed[:, -1]
                 lattice.below[row, :reach] = summed / summed[:, -1:]
         lattice.mass = np.where(found.length > LINEAR, total[first], np.log(np.where(long, 1.0, total)[first]) - RATE * found.length)
@@ -122,9 +132,19 @@ class Lattice:
             log[bare] = np.where(take[bare] == 0, spelled, -np.inf)
         return log
 
+    def gains(self, row: np.ndarray, reach: int) -> np.ndarray:
+        """The same of all edges of the given rows up to a length."""
+        piece = self.edge_id[row, :reach]
+        log = self.log_of[piece]
+        log[piece < 0] = -np.inf
+        bare = np.flatnonzero(piece[:, 0] < 0)
+        log[bare, 0] = byte_count(self.points[row[bare]]) * self.byte_log
+        return log
+
     def draw(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
         """A segmentation of each given pre-token: log probability, a hash of it, and its edges by step."""
-        row = self.first[word]
+        first = self.first[word]
+        row = first.copy()
         log = np.zeros(len(word))
         shape = np.zeros(len(word), np.uint64)
         edges = []
@@ -132,7 +152,7 @@ class Lattice:
         last = self.below.shape[1] - 1
         while len(active):
             here = row[active]
-            own = mix(key[active] + (here - self.first[word[active]]).astype(np.uint64) * np.uint64(_STEP))
+            own = mix(key[active] + (here - first[active]).astype(np.uint64) * np.uint64(_STEP))
             take = np.minimum((self.below[here] < uniform(own)[:, None]).sum(axis=1), last)
             gain = self.gain(here, take)
             wrong = np.flatnonzero(np.isneginf(gain))
@@ -162,7 +182,7 @@ class Others:
         first = int(lattice.first[word])
         n = int(lattice.end[first:].argmax())
         width = lattice.edge_id.shape[1]
-        log = lattice.gain(np.repeat(np.arange(first, first + n), width), np.tile(np.arange(width), n)).reshape(n, width)
+        log = lattice.gains(np.arange(first, first + n), width)
         total, free = np.zeros(n + 1), [np.zeros(0)] * n
         for i in range(n - 1, -1, -1):
             edge = log[i, : n - i] + total[i + 1 : i + 1 + width]

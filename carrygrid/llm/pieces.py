@@ -90,6 +90,7 @@ class Vocabulary:
         # By id, for those who keep ids only.
         self.log_of = np.full(len(self.names), -np.inf)
         self.log_of[self.ids] = self.logs
+        self.length_of = np.array([len(name) for name in self.names])
         self.by_name = {self.names[i]: x for i, x in zip(self.ids.tolist(), self.logs.tolist())}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

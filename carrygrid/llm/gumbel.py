@@ -28,18 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
-from carrygrid.llm.pieces import MODEL, PreTokens, Vocabulary, byte_count, parts, span_hashes
+from carrygrid.llm.pieces import MODEL, PreTokens, Vocabulary, byte_count, parts, prefix_sums, span_hashes
 from carrygrid.llm.words import mix
 
 K = 2
 SEED = 7
 CHUNK_CHARS = 400_000
 TRIES = 8
+KEPT_BYTES = 1 << 16  # of the words whose other forms are kept for the next chunks
 CLOSE = 1e-9  # below, what is left of a word is summed over its other forms
 LINEAR, RATE = 400, 2.7  # pre-tokens up to this length are summed as plain numbers
+TINY = 1e-250  # where plain sums end
+LEADS = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)  # bits of the first byte, by UTF-8 bytes
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -57,115 +59,155 @@ def uniform(key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """Edges of the distinct pre-tokens. Rows are the places of all of them, one end each included."""
+    """Edges of the distinct pre-tokens, only those that exist.
+
+    Rows are the places of all pre-tokens, their ends first and the others by the characters
+    still to come and the number of edges. The edges lie row after row, shorter ones first.
+    """
 
     first: np.ndarray  # row of the start of each pre-token
-    edge_id: np.ndarray  # rows x lengths: piece id, -1 where the character is spelled in bytes
-    below: np.ndarray  # rows x lengths: cumulated probabilities of the edges
+    last: np.ndarray  # last edge of each row; of no use for ends
+    piece: np.ndarray  # by edge: piece id, or beyond those the number of bytes that spell the character
+    target: np.ndarray  # by edge: the row where it leads
+    before: np.ndarray  # by edge: probability of the shorter ones of its row
     mass: np.ndarray  # log of the sum over all segmentations of each pre-token
-    points: np.ndarray  # code point at the row
-    end: np.ndarray  # rows where a pre-token ends
-    log_of: np.ndarray  # log probability by piece id
-    byte_log: float
+    spelled: np.ndarray  # edges of characters that are spelled in bytes
+    points: np.ndarray  # their code points
+    log_of: np.ndarray  # log probability by piece, then by number of bytes
+    length_of: np.ndarray  # characters by the same
+    count_of: np.ndarray  # ids by the same
 
     @classmethod
-    def of(cls, found: PreTokens, vocabulary: Vocabulary) -> Lattice:
-        slots = found.length + 1
-        first = np.cumsum(slots) - slots
-        rows = int(slots.sum())
-        left = np.repeat(first + found.length, slots) - np.arange(rows)  # characters still to come
-        at = np.repeat(found.start + found.length, slots) - left
-        width = min(vocabulary.longest, int(found.length.max(initial=1)))
-        ids = np.full((rows, width), -1, np.min_scalar_type(-len(vocabulary.names)))
-        row = np.flatnonzero(left)
-        most = 1
-        for k in range(1, width + 1):
-            row = row[left[row] >= k]
-            hashes = span_hashes(found.sums, at[row], at[row] + k)
+    def of(cls, found: PreTokens, vocabulary: Vocabulary, logs: np.ndarray | None = None) -> Lattice:
+        """``logs`` tells which pre-tokens are summed as logs: long ones, and those whose plain sums leave the range."""
+        logs = found.length > LINEAR if logs is None else logs
+        words, names, width = len(found.length), len(vocabulary.names), vocabulary.longest + 1
+        log_of = np.append(vocabulary.log_of, np.arange(5) * vocabulary.byte_log)
+        length_of = np.append(vocabulary.length_of, np.ones(5, np.int64))
+        count_of = np.append(np.ones(names, np.int32), np.arange(5, dtype=np.int32))
+        # The characters of the distinct pre-tokens, one after the other.
+        size = int(found.length.sum())
+        begin = np.cumsum(found.length) - found.length
+        left = np.repeat(begin + found.length, found.length) - np.arange(size)  # characters still to come
+        points = found.points[np.repeat(found.start - begin, found.length) + np.arange(size)]
+        sums = prefix_sums(points)
+        # Each has an edge of its own.
+        hit, place = vocabulary.find(span_hashes(sums, np.arange(size), np.arange(1, size + 1)))
+        single = byte_count(points) + names
+        single[hit] = vocabulary.ids[place]
+        count = np.ones(size, np.int16)
+        longer = []  # by length: where edges start, their pieces, edges that lie before them
+        at = np.flatnonzero(left > 1)
+        for k in range(2, width):
+            hashes = span_hashes(sums, at, at + k)
             hit, place = vocabulary.find(hashes)
-            ids[row[hit], k - 1] = vocabulary.ids[place]
-            most = k if len(hit) else most
-            row = row[vocabulary.begun(hashes)]
-        # No edge is longer than the longest piece found.
-        width = min(width, most)
-        ids = np.ascontiguousarray(ids[:, :width])
-        points = found.points[np.minimum(at, max(len(found.points) - 1, 0))] if len(found.points) else np.zeros(rows, np.uint32)
-        lattice = cls(first, ids, np.ones((rows, width)), np.zeros(len(first)), points, left == 0, vocabulary.log_of, vocabulary.byte_log)
-        order = np.argsort(left.astype(np.min_scalar_type(left.max(initial=0))), kind="stable")
-        levels = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
-        # Each character counts exp(RATE) times its probability, so that sums stay near 1; long pre-tokens are summed as logs.
-        long = np.repeat(found.length > LINEAR, slots)
-        total = np.where(long, 0.0, 1.0)
-        # By piece id; the last place is for no piece.
-        weight_of = np.append(np.exp(vocabulary.log_of + RATE * vocabulary.length_of), 0.0)
-        spelled = np.exp(np.arange(5) * vocabulary.byte_log + RATE)
-        for depth, (a, b) in enumerate(zip(levels[:-1], levels[1:]), 1):
-            reach = min(depth, width)
-            here = order[a:b]
-            for row in (here[~long[here]], here[long[here]]):
-                if not len(row):
-                    continue
-                after = sliding_window_view(total, reach)[row + 1]
-                if long[row[0]]:
-                    part = lattice.gains(row, reach) + after
-                    top = part.max(axis=1)
-                    summed = np.cumsum(np.exp(part - top[:, None]), axis=1)
-                    total[row] = top + np.log(summed[:, -1])
-                else:
-                    piece = ids[row, :reach]
-                    weight = weight_of[piece]
-                    bare = np.flatnonzero(piece[:, 0] < 0)
-                    weight[bare, 0] = spelled[byte_count(points[row[bare]])]
-                    summed = np.cumsum(weight * after, axis=1)
-                    total[row] = summed[:, -1]
-                lattice.below[row, :reach] = summed / summed[:, -1:]
-        lattice.mass = np.where(found.length > LINEAR, total[first], np.log(np.where(long, 1.0, total)[first]) - RATE * found.length)
-        return lattice
-
-    def gain(self, row: np.ndarray, take: np.ndarray) -> np.ndarray:
-        """Log probability of edges; minus infinity where there is none."""
-        piece = self.edge_id[row, take]
-        log = self.log_of[piece]
-        bare = np.flatnonzero(piece < 0)
-        if len(bare):
-            spelled = byte_count(self.points[row[bare]]) * self.byte_log
-            log[bare] = np.where(take[bare] == 0, spelled, -np.inf)
-        return log
-
-    def gains(self, row: np.ndarray, reach: int) -> np.ndarray:
-        """The same of all edges of the given rows up to a length."""
-        piece = self.edge_id[row, :reach]
-        log = self.log_of[piece]
-        log[piece < 0] = -np.inf
-        bare = np.flatnonzero(piece[:, 0] < 0)
-        log[bare, 0] = byte_count(self.points[row[bare]]) * self.byte_log
+            start = at[hit]
+            longer.append((start, vocabulary.ids[place], count[start]))
+            count[start] += 1
+            at = at[vocabulary.begun(hashes)]
+            at = at[left[at] > k]
+        group = (left * 2 + np.repeat(logs, found.length)) * width + count
+        order = np.argsort(group.astype(np.min_scalar_type(group.max(initial=0))), kind="stable")
+        row = np.zeros(size + 1, np.int32)
+        row[order] = np.arange(words, words + size)
+        end = np.cumsum(count[order], dtype=np.int64)
+        edges = int(end[-1]) if size else 0
+        own = np.zeros(size, np.int64)
+        own[order] = end - count[order]
+        word = np.repeat(np.arange(words, dtype=np.int32), found.length)
+        piece, target = np.zeros(edges, np.min_scalar_type(len(log_of))), np.zeros(edges, np.int32)
+        for k, (start, ids, rank) in enumerate([(np.arange(size), single, 0), *longer], 1):
+            edge = own[start] + rank
+            piece[edge] = ids
+            target[edge] = np.where(left[start] == k, word[start], row[start + k])
+        bare = np.flatnonzero(single >= names)
+        bare = bare[np.argsort(own[bare])]
+        last = np.append(np.full(words, -1), end - 1).astype(np.int32)
+        lattice = cls(row[begin], last, piece, target, np.zeros(edges), np.zeros(words), own[bare], points[bare], log_of, length_of, count_of)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            total = lattice._sum(found.length, group[order] // width, logs)
+        lost = np.flatnonzero(~((total[words:] > TINY) & (total[words:] < 1 / TINY)) & ~logs[word[order]])
+        if not len(lost):
+            return lattice
+        logs = logs.copy()
+        logs[word[order[lost]]] = True
+        return cls.of(found, vocabulary, logs)
+
+    def _sum(self, length: np.ndarray, level: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Fill ``before`` and ``mass``; the sums by row. Rows of a level that have as many edges are a matrix."""
+        words = len(length)
+        # Each character counts exp(RATE) times its probability, so that plain sums stay near 1.
+        weight_of = np.exp(self.log_of + RATE * self.length_of)
+        total = np.append(np.where(logs, 0.0, 1.0), np.zeros(len(level)))
+        sizes = np.diff(self.last[words:], prepend=-1)
+        new = (level[1:] != level[:-1]) | (sizes[1:] != sizes[:-1])
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1)) if len(level) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(level))
+        for a, b, n, as_logs in zip(starts.tolist(), ends.tolist(), sizes[starts].tolist(), (level[starts] % 2).tolist()):
+            stop = int(self.last[words + b - 1]) + 1
+            some = slice(stop - (b - a) * n, stop)
+            after = total[self.target[some]]
+            if as_logs:
+                part = (self.log_of[self.piece[some]] + after).reshape(b - a, n)
+                top = part.max(axis=1)
+                part = np.exp(part - top[:, None])
+            else:
+                part = (weight_of[self.piece[some]] * after).reshape(b - a, n)
+            for k in range(1, n):
+                part[:, k] += part[:, k - 1]
+            summed = part[:, -1]
+            total[words + a : words + b] = top + np.log(summed) if as_logs else summed
+            if n > 1:
+                self.before[some].reshape(b - a, n)[:, 1:] = part[:, :-1] / summed[:, None]
+        own = total[self.first]
+        self.mass = np.where(logs, own, np.log(np.where(logs, 1.0, own)) - RATE * length)
+        return total
+
+    def edges(self, row: np.ndarray, take: np.ndarray) -> np.ndarray:
+        """The edges of the given rows that are one character longer than ``take``."""
+        edge = self.last[row].astype(np.int64)
+        while len(far := np.flatnonzero(self.length_of[self.piece[edge]] > take + 1)):
+            edge[far] -= 1
+        return edge
+
+    def gains(self, word: int) -> np.ndarray:
+        """Log probability of a pre-token's edges by place and length; minus infinity where there is none."""
+        row, rows = int(self.first[word]), []
+        while row >= len(self.first):
+            edge = int(self.last[row])
+            own = [edge]
+            while self.length_of[self.piece[edge]] > 1:
+                edge -= 1
+                own.append(edge)
+            rows.append(self.piece[own])
+            row = int(self.target[edge])
+        log = np.full((len(rows), max((int(self.length_of[own[0]]) for own in rows), default=1)), -np.inf)
+        for i, own in enumerate(rows):
+            log[i, self.length_of[own] - 1] = self.log_of[own]
         return log
 
     def draw(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
         """A segmentation of each given pre-token: log probability, a hash of it, and its edges by step."""
-        first = self.first[word]
-        row = first.copy()
-        log = np.zeros(len(word))
-        shape = np.zeros(len(word), np.uint64)
-        edges = []
-        active = np.flatnonzero(~self.end[row])
-        last = self.below.shape[1] - 1
+        log, form = np.zeros(len(word)), np.zeros(len(word), np.uint64)
+        active, edges = np.arange(len(word)), []
+        row, at, shape = self.first[word], np.zeros(len(word), np.uint64), form
         while len(active):
-            here = row[active]
-            own = mix(key[active] + (here - first[active]).astype(np.uint64) * np.uint64(_STEP))
-            take = np.minimum((self.below[here] < uniform(own)[:, None]).sum(axis=1), last)
-            gain = self.gain(here, take)
-            wrong = np.flatnonzero(np.isneginf(gain))
-            if len(wrong):  # rounding led to an edge that is not there
-                take[wrong] = np.diff(self.below[here[wrong]], axis=1, prepend=0).argmax(axis=1)
-                gain[wrong] = self.gain(here[wrong], take[wrong])
-            log[active] += gain
-            shape[active] = mix(shape[active] + (take + 1).astype(np.uint64) * np.uint64(_STEP))
-            edges.append((active, here, take))
-            here = here + take + 1
-            row[active] = here
-            active = active[~self.end[here]]
-        return log, shape, edges
+            chance = uniform(mix(key + at * np.uint64(_STEP)))
+            edge = self.last[row].astype(np.intp)
+            far = np.flatnonzero(self.before[edge] >= chance)
+            while len(far):
+                edge[far] -= 1
+                far = far[self.before[edge[far]] >= chance[far]]
+            piece = self.piece[edge].astype(np.intp)
+            log[active] += self.log_of[piece]
+            length = self.length_of[piece].astype(np.uint64)
+            shape = mix(shape + length * np.uint64(_STEP))
+            form[active] = shape
+            edges.append((active, edge))
+            row = self.target[edge].astype(np.intp)
+            on = np.flatnonzero(row >= len(self.first))
+            active, row, key, at, shape = active[on], row[on], key[on], (at + length)[on], shape[on]
+        return log, form, edges
 
 
 @dataclass
@@ -179,10 +221,8 @@ class Others:
 
     @classmethod
     def of(cls, lattice: Lattice, word: int, barred: list[tuple[int, ...]]) -> Others:
-        first = int(lattice.first[word])
-        n = int(lattice.end[first:].argmax())
-        width = lattice.edge_id.shape[1]
-        log = lattice.gains(np.arange(first, first + n), width)
+        log = lattice.gains(word)
+        n, width = log.shape
         total, free = np.zeros(n + 1), [np.zeros(0)] * n
         for i in range(n - 1, -1, -1):
             edge = log[i, : n - i] + total[i + 1 : i + 1 + width]
@@ -241,14 +281,14 @@ class Sample:
     value: np.ndarray  # perturbed log probability
     word_log: np.ndarray
     shape: np.ndarray
-    edges: list  # (words, rows, lengths) by step, for words drawn anew
+    edges: list  # (words, edges) by step, for words drawn anew
     source: np.ndarray  # per word: the sample whose edges it has
 
 
 class Search:
     """The k best of all texts of a chunk, all texts in step."""
 
-    def __init__(self, found: PreTokens, lattice: Lattice, keys: np.ndarray, k: int) -> None:
+    def __init__(self, found: PreTokens, lattice: Lattice, keys: np.ndarray, k: int, others: dict[tuple[bytes, frozenset], Others] | None = None) -> None:
         self.found, self.lattice, self.k = found, lattice, k
         self.texts = len(keys)
         self.key = shifted(keys.astype(np.uint64), SEED)
@@ -257,7 +297,8 @@ class Search:
         self.mass = lattice.mass[found.word]
         self.total = np.bincount(found.owner, self.mass, minlength=self.texts).astype(float)
         self.samples: list[Sample] = []
-        self.others: dict[tuple[int, frozenset], Others] = {}
+        self.others = {} if others is None else others  # by code points and barred forms, on which alone they depend
+        self.flat: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         # Waiting parts, per text: perturbed maximum, place of the first differing word, sample it stems from.
         self.waiting = [np.full((self.texts, 0), -np.inf), np.zeros((self.texts, 0), np.int64), np.zeros((self.texts, 0), np.int64)]
 
@@ -283,8 +324,9 @@ class Search:
     def _emit(self, number: int, live: np.ndarray, value: np.ndarray, split: np.ndarray, source: np.ndarray) -> None:
         words = np.arange(len(self.found.owner))
         owner = self.found.owner
+        # Equal words are drawn side by side, so that the lattice is read in its order.
         if number == 0:
-            fresh = words
+            fresh = self.found.order
             word_log, shape = np.zeros(len(words)), np.zeros(len(words), np.uint64)
             stems = np.full(len(words), 0)
         else:
@@ -292,11 +334,12 @@ class Search:
             word_log = np.choose(of, [s.word_log for s in self.samples])
             shape = np.choose(of, [s.shape for s in self.samples])
             stems = np.choose(of, [s.source for s in self.samples])
-            fresh = words[live[owner] & (words >= split[owner])]
+            fresh = self.found.order
+            fresh = fresh[(live[owner] & (words >= split[owner]))[fresh]]
             stems[fresh] = number
         log, form, edges = self.lattice.draw(self.found.word[fresh], shifted(self.word_key[fresh], number))
         word_log[fresh], shape[fresh] = log, form
-        kept = [(fresh[a], row, take) for a, row, take in edges]
+        kept = [(fresh[a], edge) for a, edge in edges]
         if number:
             kept = self._redraw(number, live, split, source, word_log, shape, kept)
         self.samples.append(Sample(live, np.bincount(owner, word_log, minlength=self.texts).astype(float), value, word_log, shape, kept, stems))
@@ -330,9 +373,10 @@ class Search:
         drawn: list[dict[int, list[int]]] = []
         for sample in self.samples[:upto]:
             own: dict[int, list[int]] = {}
-            for word, _, take in sample.edges:
-                some = wanted[word]
-                for w, t in zip(word[some].tolist(), take[some].tolist()):
+            for word, edge in sample.edges:
+                some = np.flatnonzero(wanted[word])
+                take = self.lattice.length_of[self.lattice.piece[edge[some]]] - 1
+                for w, t in zip(word[some].tolist(), take.tolist()):
                     own.setdefault(w, []).append(t)
             drawn.append(own)
         return [{w: tuple(drawn[sample.source[w]].get(w, ())) for w in words.tolist()} for sample in self.samples[:upto]]
@@ -351,7 +395,7 @@ class Search:
             ok = ~np.any([form == b[bad] for b in bars], axis=0)
             done[word[ok]] = True
             word_log[word[ok]], shape[word[ok]] = log[ok], form[ok]
-            redrawn += [(word[a][ok[a]], r[ok[a]], t[ok[a]]) for a, r, t in edges]
+            redrawn += [(word[a][ok[a]], e[ok[a]]) for a, e in edges]
             bad = bad[~ok]
         if len(bad):
             word = split[bad]
@@ -370,28 +414,37 @@ class Search:
             for step in range(max(map(len, takes), default=0)):
                 some = np.flatnonzero([len(t) > step for t in takes])
                 take = np.array([takes[i][step] for i in some])
-                w = word[some]
-                word_log[w] += self.lattice.gain(row[some], take)
+                w, edge = word[some], self.lattice.edges(row[some], take)
+                word_log[w] += self.lattice.log_of[self.lattice.piece[edge]]
                 shape[w] = mix(shape[w] + (take + 1).astype(np.uint64) * np.uint64(_STEP))
-                redrawn.append((w, row[some], take))
-                row[some] += take + 1
-        return [(w[~done[w]], r[~done[w]], t[~done[w]]) for w, r, t in kept] + redrawn
+                redrawn.append((w, edge))
+                row[some] = self.lattice.target[edge]
+        return [(w[~done[w]], e[~done[w]]) for w, e in kept] + redrawn
 
     def _others(self, word: int, barred: set[tuple[int, ...]]) -> Others:
-        key = word, frozenset(barred)
+        start, n = self.found.start[word], self.found.length[word]
+        key = self.found.points[start : start + n].tobytes(), frozenset(barred)
         if key not in self.others:
             self.others[key] = Others.of(self.lattice, word, sorted(barred))
         return self.others[key]
 
     def _close(self, number: int, words: np.ndarray, split: np.ndarray, bars: list[np.ndarray]) -> np.ndarray:
         """Log of what is left of the given words of a sample, where next to nothing is."""
-        forms = self._forms(words, number + 1)
-        out = []
-        for w in words.tolist():
+        # Equal words of equal form count once; bars can hold for the words at the split only.
+        of, shape, at = self.found.word[words], self.samples[number].shape[words], split[self.found.owner[words]] == words
+        order = np.lexsort((shape, of))
+        new = np.ones(len(words), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (of, shape)], axis=0) | at[order[1:]] | at[order[:-1]]
+        some = np.sort(order[new])
+        forms = self._forms(words[some], number + 1)
+        log = np.zeros(len(words))
+        for i, w in zip(some.tolist(), words[some].tolist()):
             text = self.found.owner[w]
-            barred = {forms[number][w]} | {own[w] for own, bar in zip(forms, bars) if w == split[text] and bar[text]}
-            out.append(self._others(int(self.found.word[w]), barred).log)
-        return np.array(out)
+            barred = {forms[number][w]} | {own[w] for own, bar in zip(forms, bars) if at[i] and bar[text]}
+            log[i] = self._others(int(self.found.word[w]), barred).log
+        out = np.empty(len(words))
+        out[order] = log[order[new]][np.cumsum(new) - 1]
+        return out
 
     def _split(self, number: int, live: np.ndarray, value: np.ndarray, split: np.ndarray, stem: np.ndarray) -> None:
         """Parts of the popped node without its sample, by the first word that differs."""
@@ -438,27 +491,44 @@ class Search:
 
     def ids(self, number: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a sample, text after text, and where each text starts."""
-        n = len(self.found.owner)
-        origin = self.samples[number].source
-        size = np.zeros(n, np.int64)
+        size, out = self._flat(number, vocabulary)
+        return out, np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[self.bounds]
+
+    def _flat(self, number: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has in a sample, and all ids."""
+        if number in self.flat:
+            return self.flat[number]
+        sample, lattice = self.samples[number], self.lattice
+        size = np.zeros(len(self.found.owner), np.int32)
         picked = []
-        for s in range(number + 1):
-            for word, row, take in self.samples[s].edges:
-                some = origin[word] == s
-                word, row, take = word[some], row[some], take[some]
-                piece = self.lattice.edge_id[row, take]
-                many = np.where(piece < 0, byte_count(self.lattice.points[row]), 1)
-                picked.append((word, piece, row, size[word].copy()))
-                size[word] += many
-        start = np.cumsum(size) - size
+        for word, edge in sample.edges:
+            piece, shift = lattice.piece[edge], size[word]
+            picked.append((word, edge, piece, shift))
+            size[word] = shift + lattice.count_of[piece]
+        taken = []
+        for s in range(number):
+            of = sample.source == s
+            if of.any():
+                many, ids = self._flat(s, vocabulary)
+                size[of] = many[of]
+                taken.append((of, ids[np.repeat(of, many)]))
+        start = np.cumsum(size, dtype=np.int64) - size
         out = np.zeros(int(size.sum()), np.int32)
-        for word, piece, row, shift in picked:
-            out[start[word] + shift] = piece
-            for i in np.flatnonzero(piece < 0):
-                data = chr(self.lattice.points[row[i]]).encode("utf-8", "surrogatepass")
-                at = start[word[i]] + shift[i]
-                out[at : at + len(data)] = [vocabulary.first_byte + b for b in data]
-        return out, np.append(start, len(out))[self.bounds]
+        for of, ids in taken:
+            out[np.repeat(of, size)] = ids
+        for word, edge, piece, shift in picked:
+            at = start[word] + shift
+            out[at] = piece
+            some = np.flatnonzero(piece >= len(vocabulary.names))
+            point = lattice.points[np.searchsorted(lattice.spelled, edge[some])]
+            many = byte_count(point)
+            for byte in range(4):
+                has = np.flatnonzero(many > byte)
+                data = point[has] >> (6 * (many[has] - 1 - byte)).astype(np.uint32)
+                data = LEADS[many[has]] | data if not byte else data & 0x3F | 0x80
+                out[at[some[has]] + byte] = vocabulary.first_byte + data
+        self.flat[number] = size, out
+        return size, out
 
 
 SAMPLE = "sample int, log_prob double, perturbed double, inclusion double"
@@ -466,12 +536,15 @@ SAMPLE = "sample int, log_prob double, perturbed double, inclusion double"
 
 def _samples(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, k: int) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]]:
     """(columns but for the ids, ids of all texts, where each begins, rows that have the sample) by chunk and sample."""
+    others: dict[tuple[bytes, frozenset], Others] = {}
     for batch in batches:
         keys = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
         for first, texts in parts(batch.column(1), CHUNK_CHARS):
             found = PreTokens.of(texts)
-            search = Search(found, Lattice.of(found, vocabulary), keys[first : first + len(texts)], k)
+            search = Search(found, Lattice.of(found, vocabulary), keys[first : first + len(texts)], k, others)
             bar = search.run()
+            if sum(len(points) for points, _ in others) > KEPT_BYTES:
+                others.clear()
             own = batch.column(0).slice(first, len(texts))
             for number, s in enumerate(search.samples):
                 ids, bounds = search.ids(number, vocabulary)

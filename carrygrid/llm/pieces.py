@@ -129,7 +129,7 @@ def byte_count(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class PreTokens:
-    """Pre-tokens of some texts: ``word`` numbers the distinct ones, whose first occurrence is ``start``, ``length``."""
+    """Pre-tokens of some texts: ``word`` numbers the distinct ones, of which ``start``, ``length`` is an occurrence."""
 
     points: np.ndarray
     sums: np.ndarray
@@ -137,6 +137,7 @@ class PreTokens:
     word: np.ndarray  # distinct pre-token of each occurrence
     start: np.ndarray  # of each distinct pre-token
     length: np.ndarray
+    order: np.ndarray  # occurrences by distinct pre-token
 
     @classmethod
     def of(cls, texts: list[str]) -> PreTokens:
@@ -153,8 +154,14 @@ class PreTokens:
         end = np.append(start, len(points))[1:]
         sums = prefix_sums(points)
         owner = np.flatnonzero(sizes)[np.searchsorted(firsts, start, "right") - 1] if len(start) else start
-        _, first, word = np.unique(span_hashes(sums, start, end), return_index=True, return_inverse=True)
-        return cls(points, sums, owner, word, start[first], (end - start)[first])
+        hashes = span_hashes(sums, start, end)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        word, first = np.empty(len(order), np.int64), order[new]
+        word[order] = np.cumsum(new) - 1
+        return cls(points, sums, owner, word, start[first], (end - start)[first], order)
 
 
 def parts(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

@@ -167,6 +167,58 @@ def test_samples_follow_the_model(vocabulary):
                 assert abs(pairs[a, b] / n - chance[a] * chance[b] / (1 - chance[a])) < 0.03
 
 
+def test_lattices_hold_the_edges_that_exist(vocabulary):
+    """No more, however long the longest piece beside them; the chances are those of all segmentations."""
+
+    def lattice(texts):
+        found = pieces.PreTokens.of(texts)
+        return found, gumbel.Lattice.of(found, vocabulary)
+
+    def held(own):
+        return sum(a.nbytes for name, a in vars(own).items() if isinstance(a, np.ndarray) and not name.endswith("_of"))
+
+    texts = ["".join(word) for word in itertools.product("xzqé", repeat=5)]
+    wide = vocabulary.names[max(vocabulary.ids, key=lambda i: len(vocabulary.names[i].strip("▁")))].replace("▁", " ").strip()
+    assert held(lattice([*texts, wide])[1]) < 1.1 * held(lattice(texts)[1])
+    known = {vocabulary.names[i] for i in vocabulary.ids}
+    words = ["the", "an", "weather", "N/A", "漢字é", "\U0001f600a"]
+    found, own = lattice(words)
+    for n, (a, size) in enumerate(zip(found.start, found.length)):
+        word = "".join(map(chr, found.points[a : a + size]))
+        chance = [math.exp(x) for _, x in segmentations(vocabulary, word)]
+        assert math.isclose(own.mass[n], math.log(math.fsum(chance)), rel_tol=1e-12)
+    whole = ["".join(map(chr, found.points[a : a + size])) for a, size in zip(found.start, found.length)]
+    assert len(own.before) == sum(j == i + 1 or w[i:j] in known for w in whole for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+
+
+def test_sums_beyond_the_range_of_doubles(vocabulary):
+    """Runs of rare characters, or of one long piece: finite masses, both samples, the same alone and among others."""
+    texts = ["\U0001f9ff" * 40 + " and", "漢" * 399 + " and", " " * 390, "plain words", "x"]
+
+    def run(some, keys):
+        found = pieces.PreTokens.of(some)
+        own = gumbel.Lattice.of(found, vocabulary)
+        search = gumbel.Search(found, own, np.array(keys), 2)
+        bar = search.run()
+        assert np.isfinite(own.mass).all() and all(s.live.all() and np.isfinite(s.value).all() for s in search.samples)
+        return [[(s.log[i], s.value[i], bar[i]) for s in search.samples] for i in range(len(some))]
+
+    together = run(texts, range(len(texts)))
+    assert all(run([text], [i])[0] == together[i] for i, text in enumerate(texts))
+
+
+def test_ids_of_spelled_characters(vocabulary):
+    texts = ["\U0001f9ff\u0378 \ud800x \u07c0", "\U0010ffff\x01", "é\ufdd0"]
+    found = pieces.PreTokens.of(texts)
+    search = gumbel.Search(found, gumbel.Lattice.of(found, vocabulary), np.arange(len(texts)), 2)
+    search.run()
+    for number in range(2):
+        ids, bounds = search.ids(number, vocabulary)
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+            spelled = [bytes([i - vocabulary.first_byte]) if 0 <= i - vocabulary.first_byte < 256 else vocabulary.names[i].encode() for i in ids[a:b].tolist()]
+            assert b"".join(spelled) == pieces.normal(text).encode("utf-8", "surrogatepass")
+
+
 def test_second_samples_of_words_with_one_likely_form(vocabulary):
     """Whatever the mass of the likeliest form, each text has its second segmentation, by the chances of the others."""
     n = 400

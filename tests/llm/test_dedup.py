@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -135,6 +138,39 @@ def test_vectors_equal_brute_force(spark, tile):
     assert vectors.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_are_not_stored_for_each_partner(spark, monkeypatch):
+    """Shuffles and tables of many tiles hold a few times the input; many near copies and cosines next to the limit are as by brute force."""
+    rng = np.random.default_rng(5)
+    own = rng.standard_normal((900, 64))
+    own[:200] = own[0] + 0.05 * rng.standard_normal((200, 64))
+    for i in range(200, 400, 2):  # the next row at a cosine of 0.9 give or take up to 1e-4
+        unit = own[i] / np.linalg.norm(own[i])
+        across = own[i + 1] - (own[i + 1] @ unit) * unit
+        angle = np.arccos(0.9 + (i - 300) * 1e-6)
+        own[i + 1] = np.cos(angle) * unit + np.sin(angle) * across / np.linalg.norm(across)
+    own = own.astype("f4")
+    places = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), spark.conf.get("spark.checkpoint.dir")]
+
+    def on_disk():
+        return sum(f.stat().st_size for p in places for f in Path(p).rglob("*") if f.suffix in (".data", ".parquet") and f.exists())
+
+    before, most, write = on_disk(), [0], vectors.written
+
+    def written(*args):
+        table = write(*args)
+        most[0] = max(most[0], on_disk() - before)
+        return table
+
+    monkeypatch.setattr(vectors, "written", written)
+    found = vectors.near_vectors(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<float>"), tile=7).collect()
+    assert most[0] < 20 * own.nbytes
+    unit = own.astype(float) / np.linalg.norm(own.astype(float), axis=1, keepdims=True)
+    links = [(i, j) for i in range(900) for j in range(i) if unit[i] @ unit[j] >= 0.9]
+    assert 199 * 100 < len(links) < 199 * 100 + 99
+    expected, count = brute.components(range(900), links), Counter(i for p in links for i in p)
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, count[i], expected[i]) for i in range(900)}
+
+
 def test_runs_stand_in_one_other_document(spark):
     """Short phrases of different documents in a row are no repeated passage; spans stay with the row they were found in."""
     def words(name, n):

@@ -46,12 +46,14 @@ from carrygrid.llm.store import drop_table, settings, written
 COSINE = 0.9
 BLOCK = 16  # coordinates of a block
 TILE = 6000  # rows of a tile, more in large tables
-TILE_BYTES = 16 << 20  # of a large tile
+TILE_BYTES = 8 << 20  # of a large tile
+SLICE_BYTES = 256 << 10  # of a row of the table of tiles
+PART_BYTES = 32 << 20  # of a partition of it; a task holds two
 ROUGH = 1e-5  # more than single precision errs
 STEPS = 32767  # of a coordinate between 0 and 1
 CELLS = 4096  # centres of a block at most
 SAMPLE = 1 << 21  # numbers on the driver that centres are made from
-CHUNK = 256  # rows compared at once
+CHUNK = 128  # rows compared at once
 PENDING = 200_000  # links that wait to be counted
 
 
@@ -187,11 +189,12 @@ def tile_plan(members: dict[tuple[int, int], int], tile: int = TILE) -> dict[int
 
 
 DEALT = "tile int, size int, cell int, id long, weight long, same binary, data binary"
-TILES = "tile int, size int, cells binary, starts binary, ids binary, weights binary, same binary, data binary"
+COLUMNS = ("cells", "ids", "weights", "same", "data")
+TILES = "tile int, size int, slice int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 def tiles(placed: DataFrame, block: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """A row for each tile of a block: its vectors by cell, in columns of fixed width."""
+    """The vectors of each tile of a block by cell, in slices of columns of fixed width."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,31 +209,29 @@ def tiles(placed: DataFrame, block: int, plan: dict[int, tuple[np.ndarray, np.nd
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        cells = group.column("cell").to_numpy()
-        group = group.take(pa.array(np.lexsort((group.column("id").to_numpy(), cells))))
-        cells, starts = np.unique(group.column("cell").to_numpy(), return_index=True)
-        packed = [b"".join(group.column(c).to_pylist()) for c in ("same", "data")]
-        row = [cells.astype("<i4").tobytes(), starts.astype("<i8").tobytes(), *(group.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "weight")), *packed]
-        return pa.Table.from_arrays(
-            [*(group.column(c).slice(0, 1) for c in ("tile", "size")), *(pa.array([x], pa.binary()) for x in row)], schema=pa.schema(
-                [("tile", pa.int32()), ("size", pa.int32()), *((c, pa.binary()) for c in ("cells", "starts", "ids", "weights", "same", "data"))]
-            )
-        )
+        group = group.take(pa.array(np.lexsort((group.column("id").to_numpy(), group.column("cell").to_numpy()))))
+        tile, size = (group.column(c)[0].as_py() for c in ("tile", "size"))
+        rows = max(1, SLICE_BYTES // (2 * size + 36))
+        packed: dict[str, list] = {name: [] for name in ("tile", "size", "slice", *COLUMNS)}
+        for number, at in enumerate(range(0, group.num_rows, rows)):
+            some = group.slice(at, rows)
+            numbers = (some.column(c).to_numpy().astype(kind).tobytes() for c, kind in (("cell", "<i4"), ("id", "<i8"), ("weight", "<i8")))
+            texts = (b"".join(some.column(c).to_pylist()) for c in ("same", "data"))
+            for name, value in zip(packed, (tile, size, number, *numbers, *texts)):
+                packed[name].append(value)
+        return pa.table({name: pa.array(v, pa.binary() if name in COLUMNS else pa.int32()) for name, v in packed.items()})
 
     own = placed.where(F.size("cells") > block).select("size", F.col("cells")[block].alias("cell"), "id", "weight", "same", "data")
     return own.mapInArrow(deal, DEALT).groupBy("tile").applyInArrow(pack, TILES)
 
 
-def tile_pairs(packed: DataFrame) -> DataFrame:
-    """Every pair of tiles of one size once, a tile with itself too, their columns named a_ and b_.
-
-    A pair is led by the lower tile or, as often, by the upper one, so that all pairs of partitions have work.
-    """
-    left, right = (packed.toDF(*(f"{side}_{c}" for c in packed.columns)) for side in "ab")
-    a, b = F.col("a_tile"), F.col("b_tile")
-    once = F.when(a < b, (a + b) % 2 == 1).when(a > b, (a + b) % 2 == 0).otherwise(True)
-    # Written as two inequalities, so that the sizes are no join key and nothing is shuffled.
-    return left.join(right.hint("shuffle_replicate_nl"), once & (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") >= F.col("b_size")))
+def partition_pairs(packed: DataFrame) -> DataFrame:
+    """For every pair of partitions, as one partition: each slice of the left one once (a_) and each of the right one once (b_)."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    left, right = (packed.withColumn("first", first).toDF(*(f"{side}_{c}" for c in (*packed.columns, "first"))) for side in "ab")
+    both = left.join(right.hint("shuffle_replicate_nl"), F.col("a_first") | F.col("b_first"))
+    # Of all pairs of slices only those with the first one of either side pass, and bring the other.
+    return both.select(*(F.when(F.col(f"{other}_first"), F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side, other in ("ab", "ba") for c in packed.columns))
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -284,20 +285,22 @@ class _Links:
 
 
 class _Tile:
-    """A tile in memory; ``part`` is one block's coordinates."""
-
-    def __init__(self, row: dict, block: int) -> None:
-        self.number, self.size = row["tile"].as_py(), row["size"].as_py()
-        own = {c: row[c].as_buffer() for c in ("cells", "starts", "ids", "weights", "same", "data")}
-        self.ids, self.weights = np.frombuffer(own["ids"], "<i8"), np.frombuffer(own["weights"], "<i8")
-        self.same = np.frombuffer(own["same"], np.uint8).reshape(-1, 16)
-        self.steps = np.frombuffer(own["data"], "<i2").reshape(len(self.ids), -1)
-        self.cells = np.frombuffer(own["cells"], "<i4")
-        self.ends = [*np.frombuffer(own["starts"], "<i8").tolist(), len(self.ids)]
-        self.part = self.of_block(slice(None), block)
+    """Slices of a tile in memory, with one block's coordinates as rows and columns of a product."""
+
+    def __init__(self, size: int, slices: dict[int, dict], block: int) -> None:
+        self.size, self.slices = size, sorted(slices)
+        cells, self.ids, self.weights, same, steps = (
+            np.concatenate([np.frombuffer(slices[n][c], kind) for n in self.slices])
+            for c, kind in zip(COLUMNS, ("<i4", "<i8", "<i8", np.uint8, "<i2"))
+        )
+        self.same, self.steps = same.reshape(-1, 16), steps.reshape(len(self.ids), -1)
+        self.cells, starts = np.unique(cells, return_index=True)
+        self.ends = [*starts.tolist(), len(self.ids)]
         # One product in single precision gives minus half the squared distance.
-        half, ones = (self.part**2).sum(axis=1, keepdims=True) / 2, np.ones((len(self.ids), 1), np.float32)
-        self.rows, self.columns = np.hstack((self.part, -half, ones)), np.hstack((self.part, ones, -half))
+        part = self.of_block(slice(None), block)
+        half, ones = (part**2).sum(axis=1, keepdims=True) / 2, np.ones((len(self.ids), 1), np.float32)
+        self.rows, self.columns = np.hstack((part, -half, ones)), np.hstack((part, ones, -half))
+        self.part = self.rows[:, : part.shape[1]]
 
     def of_block(self, rows: slice | np.ndarray, block: int) -> np.ndarray:
         low, high = block_bounds(self.size)[block : block + 2]
@@ -313,7 +316,7 @@ def _half_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _compare(a: _Tile, b: _Tile, block: int, centres: np.ndarray, cosine: float) -> pa.RecordBatch:
-    inner, size, bounds = a.number == b.number, a.size, block_bounds(a.size)
+    inner, size, bounds = a is b, a.size, block_bounds(a.size)
     low, high = reach(size, cosine)
     budget = share(size, cosine)
     limit, width = budget * STEPS**2, np.float32(np.sqrt(budget) + ROUGH)
@@ -355,37 +358,46 @@ def _compare(a: _Tile, b: _Tile, block: int, centres: np.ndarray, cosine: float)
         i, j = np.nonzero(found & ~sure & (half <= (high / STEPS) ** 2 / 2 + rough))
         look(x[i], y[j])
 
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def look_at_waiting(most: int = 0) -> None:
+        if sum(len(p) for p, _ in waiting) > most:
+            look(*(np.concatenate([pair[side] for pair in waiting]) for side in (0, 1)))
+            waiting.clear()
+
     for i, cell in enumerate(a.cells):
         start, others = a.ends[i], range(i if inner else 0, len(b.cells))
         lines = centres[b.cells[others.start :]] - centres[cell]
         lines /= np.maximum(np.sqrt((lines**2).sum(axis=1, keepdims=True)), np.float32(1e-6))
-        places = a.part[start : a.ends[i + 1]] @ lines.T
+        places = lines @ a.part[start : a.ends[i + 1]].T
         for k, j in enumerate(others):
             # Of points nearer than the width, the places on any line are.
-            s, t = places[:, k], b.part[b.ends[j] : b.ends[j + 1]] @ lines[k]
+            s, t, own = places[k], b.part[b.ends[j] : b.ends[j + 1]] @ lines[k], inner and i == j
             x, y = np.flatnonzero(s >= t.min() - width), np.flatnonzero(t <= s.max() + width)
             if not len(x) or not len(y):
                 continue
-            x, y = x[np.argsort(-s[x], kind="stable")], y[np.argsort(t[y], kind="stable")]
-            upto = np.searchsorted(t[y], s[x] + width, side="right")
-            x, y, own = x + start, y + b.ends[j], inner and i == j
-            rows, columns = a.rows[x], b.columns[y]
+            if not own:  # in a cell itself all places are 0
+                x, y = x[np.argsort(-s[x])], y[np.argsort(t[y])]
+            upto = np.searchsorted(t[y], s[x[::CHUNK]] + width, side="right").tolist()
+            y = y[: upto[0]]
+            rows, columns = a.rows[start:].take(x, axis=0), b.columns[b.ends[j] :].take(y, axis=0)
+            x, y = x + start, y + b.ends[j]
             for at in range(0, len(x), CHUNK):
-                some = x[at : at + CHUNK]
-                for over in range(at if own else 0, int(upto[at]), 16 * CHUNK):
-                    others_at = y[over : min(over + 16 * CHUNK, int(upto[at]))]
-                    near = rows[at : at + CHUNK] @ columns[over : over + len(others_at)].T
-                    if near.max() < least:
-                        continue
+                some, last = x[at : at + CHUNK], upto[at // CHUNK]
+                for over in range(at if own else 0, last, 32 * CHUNK):
+                    partners = y[over : min(over + 32 * CHUNK, last)]
+                    near = rows[at : at + CHUNK] @ columns[over : over + len(partners)].T
                     hits = np.flatnonzero(near >= least)
+                    if not len(hits):
+                        continue
                     if len(hits) > 1000 and 16 * len(hits) > near.size:
-                        look_at_all(some, others_at, near)
+                        look_at_all(some, partners, near)
                         continue
-                    p, q = np.divmod(hits, len(others_at))
-                    p, q = some[p], others_at[q]
-                    if own:
-                        p, q = p[p < q], q[p < q]
-                    look(p, q)
+                    p, q = np.divmod(hits, len(partners))
+                    p, q = some[p], partners[q]
+                    waiting.append((p[p < q], q[p < q]) if own else (p, q))
+            look_at_waiting(PENDING)
+    look_at_waiting()
     links.settle()
     linked = np.flatnonzero(links.count)
     left, right = (np.concatenate([np.zeros((0, 16), np.uint8), *(u[side] for u in unsure)]) for side in (0, 1))
@@ -400,22 +412,47 @@ def _compare(a: _Tile, b: _Tile, block: int, centres: np.ndarray, cosine: float)
     )
 
 
+Slices = dict[tuple[int, int], dict[int, dict]]  # columns by slice by (size, tile)
 FOUND = "id long, links long, root long, x binary, y binary"
 
 
 def comparer(cosine: float, block: int, centres: dict[int, np.ndarray]):  # noqa: ANN201
-    """Of pairs of tiles: links and a representative by id, and pairs (x, y) of classes to be verified."""
+    """Of pairs of partitions: links and a representative by id, and pairs (x, y) of classes to be verified.
+
+    Of two tiles the lower or, as often, the upper one is to be on the left, so that each pair counts once
+    and no task is idle.
+    """
+
+    def pairs(left: Slices, right_slices: Slices) -> Iterator[tuple[_Tile, _Tile]]:
+        right = {tile: _Tile(size, slices, block) for (size, tile), slices in sorted(right_slices.items())}
+        for (size, tile), slices in sorted(left.items()):
+            a = None
+            for other, b in right.items():
+                if b.size != size or (tile < other) != ((tile + other) % 2 == 1) and tile != other:
+                    continue
+                if tile == other and sorted(slices) == b.slices:
+                    yield b, b
+                elif tile == other:  # it lies in several partitions: slice by slice, each pair once
+                    raw = right_slices[size, tile]
+                    for x in sorted(slices):
+                        for y in b.slices:
+                            if x <= y:
+                                c = _Tile(size, {x: slices[x]}, block)
+                                yield c, c if x == y else _Tile(size, {y: raw[y]}, block)
+                else:
+                    a = a or _Tile(size, slices, block)
+                    yield a, b
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        sides: dict[str, Slices] = {"a": {}, "b": {}}
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-                a, b = ({n[2:]: v for n, v in row.items() if n[0] == side} for side in "ab")
-                if left is None or left.number != a["tile"].as_py():
-                    left = _Tile(a, block)
-                right = left if left.number == b["tile"].as_py() else _Tile(b, block)
-                yield _compare(left, right, block, centres[left.size], cosine)
+            for side, slices in sides.items():
+                tile, size, number, *columns = (batch.column(batch.schema.get_field_index(f"{side}_{c}")) for c in ("tile", "size", "slice", *COLUMNS))
+                for i in np.flatnonzero(tile.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    own = slices.setdefault((size[i].as_py(), tile[i].as_py()), {})
+                    own[number[i].as_py()] = {name: c[i].as_buffer() for name, c in zip(COLUMNS, columns)}
+        for a, b in pairs(sides["a"], sides["b"]):
+            yield _compare(a, b, block, centres[a.size], cosine)
 
     return compare
 
@@ -438,9 +475,9 @@ def verified(unsure: DataFrame, classes: DataFrame, cosine: float, kind: str = F
     return rows.mapInArrow(verify, "id long, links long, root long")
 
 
-# Files of a shuffle go when its table is written; partitions of tiles are few, and hold more than one.
+# Files of a shuffle go when its table is written; partitions of tiles are few.
 LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-WIDE = {"spark.sql.files.maxPartitionBytes": str(4 * TILE_BYTES)}
+WIDE = {"spark.sql.files.maxPartitionBytes": str(PART_BYTES)}
 
 
 def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
@@ -469,7 +506,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, t
             packed = written(spark, tiles(placed, block, plan), "tiles")
             own = {size: c[block] for size, c in centres.items() if block < len(c)}
             with settings(spark, WIDE):
-                found.append(written(spark, tile_pairs(packed).mapInArrow(comparer(cosine, block, own), FOUND), "found"))
+                found.append(written(spark, partition_pairs(packed).mapInArrow(comparer(cosine, block, own), FOUND), "found"))
             drop_table(spark, packed)
         drop_table(spark, placed)
         together = reduce(DataFrame.union, found) if found else spark.createDataFrame([], FOUND)

@@ -171,6 +171,20 @@ def test_vectors_are_not_stored_for_each_partner(spark, monkeypatch):
     assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, count[i], expected[i]) for i in range(900)}
 
 
+def test_tiles_may_lie_in_several_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    own = (rng.standard_normal((8, 20))[rng.integers(0, 8, 160)] + 0.3 * rng.standard_normal((160, 20))).astype("f4")
+    pairs = vectors.partition_pairs
+    monkeypatch.setattr(vectors, "SLICE_BYTES", 400)
+    monkeypatch.setattr(vectors, "partition_pairs", lambda packed: pairs(packed.repartition(3, "tile", "slice")))
+    found = vectors.near_vectors(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<float>"), tile=60).collect()
+    unit = own.astype(float) / np.linalg.norm(own.astype(float), axis=1, keepdims=True)
+    links = [(i, j) for i in range(160) for j in range(i) if unit[i] @ unit[j] >= 0.9]
+    assert len(links) > 400
+    expected, count = brute.components(range(160), links), Counter(i for p in links for i in p)
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, count[i], expected[i]) for i in range(160)}
+
+
 def test_runs_stand_in_one_other_document(spark):
     """Short phrases of different documents in a row are no repeated passage; spans stay with the row they were found in."""
     def words(name, n):
